@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import media, mixing, quality, sharding, url_filters
+from lattica.llm import media, mixing, ngram_jaccard, quality, sharding, url_filters
 from lattica.llm.common import small_batches, store, table, utf8, work_path
 
 RULES = (
@@ -77,12 +77,18 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(docs, [1.0] * SHARDS, grown=[1.0] * (SHARDS + 1)).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 3-word shingles are 90 % alike."""
+    return ngram_jaccard.jaccard_components(table(spark, sf_dir, "documents"), ngram_jaccard.Likeness(words=3, percent=90))
+
+
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_media_columns": op4_media_columns,
     "op5_mixing": op5_mixing,
     "op8_url_filters": op8_url_filters,
     "op9_sharding": op9_sharding,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
 ORACLES: dict[str, str] = {}
