@@ -31,7 +31,7 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lattica/{name}-{uuid.uuid4().hex}"
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
+def store(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Cut lineage: write ``df`` to the shared folder and read it back.
 
     The files are committed once, so stages after it neither repeat the work
@@ -40,7 +40,7 @@ def store(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = work_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     release(spark)
     return out
