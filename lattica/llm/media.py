@@ -18,6 +18,7 @@ import time
 import uuid
 import zlib
 from dataclasses import dataclass
+from hashlib import sha256
 
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
@@ -25,7 +26,9 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 WIDTH = 192
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 _ENTRY = struct.Struct("<qqqI")  # offset of the header, of the data, length, crc32
-SCHEMA = "doc_id long, n_bytes long, media binary, payload binary"
+SCHEMA = "doc_id long, n_bytes long, media binary, payload binary, feature string"
+#: With the option ``content=digest``: what is known of the bytes, without the bytes.
+DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def pad(data: bytes) -> bytes:
@@ -148,7 +151,8 @@ class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
         self.split = int(options.get("split_bytes", 16 << 20))
-        self.batch = int(options.get("batch_bytes", 8 << 20))
+        self.batch = int(options.get("batch_bytes", 4 << 20))
+        self.digest = options.get("content", "bytes") == "digest"
         self.retries = int(options.get("retries", 3))
         self.wait = float(options.get("retry_seconds", 0.2))
 
@@ -185,28 +189,32 @@ class ArchiveReader(DataSourceReader):
                 time.sleep(self.wait * 2**attempt)
         raise AssertionError
 
+    def row(self, doc_id, media: bytes, payload: bytes, n: int) -> tuple:
+        if not self.digest:
+            return doc_id, n, media, payload, feature(payload)
+        return doc_id, n, len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), sha256(media).hexdigest(), feature(payload)
+
     def read(self, partition):
-        import pyarrow as pa
+        from lattica.llm.chunks import rows as batch_of
 
-        schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("payload", pa.binary())])
         if not partition.archive:
             return
         fs, root = _filesystem(self.path)
         path = posixpath.join(root, partition.archive)
         with fs.open_input_stream(path + ".idx") as s:
             index = s.read()
-        rows, held = [], 0
+        schema, held, size = DIGEST if self.digest else SCHEMA, [], 0
         for entry in _ENTRY.iter_unpack(index):
             if not partition.start <= entry[0] < partition.stop:
                 continue
             doc_id, media, payload, n = self.fetch(fs, path, entry)
-            rows.append((doc_id, n, media, payload))
-            held += len(media) + len(payload)
-            if held >= self.batch:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-                rows, held = [], 0
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            held.append(self.row(doc_id, media, payload, n))
+            size += len(media) + len(payload)
+            if size >= self.batch:
+                yield batch_of(schema, *zip(*held, strict=True))
+                held, size = [], 0
+        if held:
+            yield batch_of(schema, *zip(*held, strict=True))
 
 
 class MediaArchive(DataSource):
@@ -217,7 +225,7 @@ class MediaArchive(DataSource):
         return "media_archive"
 
     def schema(self):
-        return SCHEMA
+        return DIGEST if self.options.get("content") == "digest" else SCHEMA
 
     def reader(self, schema):
         return ArchiveReader(self.options)

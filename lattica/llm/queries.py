@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,21 +32,7 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_path(spark, "media")
     table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("data")).write.format("media_archive").mode("append").save(path)
 
-    @F.pandas_udf("string")
-    def feature(p: pd.Series) -> pd.Series:
-        return p.map(media.feature)
-
-    back = spark.read.format("media_archive").load(path)
-    return back.select(
-        "doc_id",
-        "n_bytes",
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        F.sha2("payload", 256).alias("payload_sha256"),
-        F.crc32(F.expr("substring(payload, -16)")).alias("tail_crc32"),
-        F.octet_length("media").cast("long").alias("media_bytes"),
-        F.sha2("media", 256).alias("media_sha256"),
-        feature("payload").alias("feature"),
-    )
+    return spark.read.format("media_archive").option("content", "digest").load(path)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
