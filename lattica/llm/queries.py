@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import media, mixing, ngram_jaccard, quality, sharding, url_filters
+from lattica.llm import media, mixing, ngram_jaccard, quality, sharding, url_filters, window_log
 from lattica.llm.common import small_batches, store, table, utf8, work_path
 
 RULES = (
@@ -41,6 +41,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(store(sized, "sizes")).select("doc_id", "size", "source_size", "target", "taken", "source", "epochs")
 
 
+def op6_window_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removal of repeated 35-word windows through the fingerprint log."""
+    out = window_log.remove_repeated_windows(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict for every page's url; the classifier learns from a bounded sample of urls that rules decide."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -71,6 +77,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_media_columns": op4_media_columns,
     "op5_mixing": op5_mixing,
+    "op6_window_log": op6_window_log,
     "op8_url_filters": op8_url_filters,
     "op9_sharding": op9_sharding,
     "op10_ngram_jaccard": op10_ngram_jaccard,
