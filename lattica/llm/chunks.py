@@ -92,32 +92,36 @@ def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
 
 
 class Question:
-    """The distinct keys of a chunk in bucket order, and where each asked key is among them."""
+    """The distinct keys of a chunk in bucket order, and where each asked key is among them.
 
-    def __init__(self, keys: np.ndarray, n: int):
+    ``route``, one value per key and equal for equal keys, deals keys to buckets
+    in place of the keys themselves.  ``first`` is where a distinct key came first.
+    """
+
+    def __init__(self, keys: np.ndarray, n: int, route: np.ndarray | None = None):
         keys = keys.astype(_U, copy=False)
-        unique, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
-        bucket = bucket_of(unique, n)
+        unique, first, inverse, counts = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+        bucket = bucket_of(unique if route is None else route[first], n)
         order = np.argsort(bucket, kind="stable")
-        self.keys, self.counts, self.bucket = unique[order], counts[order], bucket[order]
+        self.keys, self.counts, self.bucket, self.first = unique[order], np.minimum(counts[order], 255).astype(np.uint8), bucket[order], first[order]
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         self.place = place[inverse]
         self.cuts = np.flatnonzero(np.append(True, self.bucket[1:] != self.bucket[:-1])) if len(order) else np.zeros(0, np.int64)
 
     def parts(self) -> Iterable[tuple[int, slice]]:
-        for a, b in zip(self.cuts, np.append(self.cuts[1:], len(self.keys)), strict=True):
+        for a, b in zip(self.cuts, np.append(self.cuts[1:], len(self.keys))[: len(self.cuts)], strict=True):
             yield int(self.bucket[a]), slice(a, b)
 
-    def answers(self, got: dict[int, bytes], dtype=np.uint8) -> np.ndarray:
-        """The answer to every asked key, from the answers by bucket."""
-        if not len(self.keys):
-            return np.zeros(0, dtype)
-        return np.concatenate([np.frombuffer(got[b], dtype) for b, _ in self.parts()])[self.place]
+    def answers(self, got: dict[int, bytes], width: int = 1) -> np.ndarray:
+        """The answer to every asked key, from the answers by bucket: a byte, or a row of ``width`` bytes."""
+        every = [np.frombuffer(got[b], np.uint8) for b, _ in self.parts()]
+        flat = np.concatenate(every) if every else np.zeros(0, np.uint8)
+        return (flat.reshape(-1, width) if width > 1 else flat)[self.place]
 
 
 def ask(chunked: DataFrame, keys_of: Callable[..., np.ndarray], n: int) -> DataFrame:
-    """Ask rows of every chunk: sorted distinct keys per bucket; ``extra`` flags those that the chunk holds twice or more.
+    """Ask rows of every chunk: sorted distinct keys per bucket; ``extra`` has how often the chunk holds each, 255 at most.
 
     ``keys_of`` takes a chunk's table and its gathered answers (null where there are none).
     """
@@ -126,7 +130,7 @@ def ask(chunked: DataFrame, keys_of: Callable[..., np.ndarray], n: int) -> DataF
         for b in batches:
             for chunk, blob, got in zip(b.column("chunk").to_pylist(), b.column("blob"), b.column("got").to_pylist(), strict=True):
                 q = Question(keys_of(decode(blob.as_py()), _by_bucket(got)), n)
-                out = [(k, chunk, q.keys[s].tobytes(), (q.counts[s] > 1).astype(np.uint8).tobytes()) for k, s in q.parts()]
+                out = [(k, chunk, q.keys[s].tobytes(), q.counts[s].tobytes()) for k, s in q.parts()]
                 if out:
                     yield rows(ASKS, *zip(*out, strict=True))
 
@@ -158,17 +162,17 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str = "bucket") -> Iterator[
 
 
 def repeated_keys(hot: int = 0):
-    """Answers each asked key: 0 if one chunk holds it once, 1 if it is found again, 2 if ``hot`` chunks or more ask."""
+    """Answers each asked key: 0 if one chunk holds it once, 1 if it is found again, 2 if ``hot`` times or more."""
 
     def run(batches):
         for bucket, asks in grouped(batches):
             keys = [np.frombuffer(a["keys"], _U) for a in asks]
-            weight = [1 + np.frombuffer(a["extra"], np.uint8).astype(np.int64) for a in asks]
+            weight = [np.frombuffer(a["extra"], np.uint8) for a in asks]
             unique, inverse = np.unique(np.concatenate(keys), return_inverse=True)
             total = np.bincount(inverse, np.concatenate(weight))
             verdict = (total > 1).astype(np.uint8)
             if hot:
-                verdict[np.bincount(inverse) >= hot] = 2
+                verdict[total >= hot] = 2
             every = np.split(verdict[inverse], np.cumsum([len(k) for k in keys])[:-1])
             yield rows(ANSWERS, [bucket] * len(asks), [a["chunk"] for a in asks], [v.tobytes() for v in every])
 

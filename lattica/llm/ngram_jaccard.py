@@ -2,10 +2,16 @@
 
 Sets of word shingles fall into size bands.  Two sets of a band (or of two
 neighbouring bands) whose Jaccard similarity reaches the threshold differ in at
-most k shingles.  The shingle domain is cut by hash into n1 first-level parts,
-of which at least one then holds no more than k2 = ceil((k+1)/n1)-1 differences;
-each part is cut again into n2 > k2, and one of the subsets of n2-k2 of those is
-free of differences: its hash is a signature that both sets share.
+most k shingles.  The shingle domain is cut by hash into n1 first-level parts.
+At most k / (k2+1) of them hold more than k2 differences, so of
+n1 = k / (k2+1) + 1 + spare parts at least spare+1 hold k2 or fewer.  Each part is
+cut again into n2 > k2, and one of the subsets of n2-k2 of those is then free of
+differences: its hash is a signature that both sets share.
+
+A signature of no shingles says nothing, so none is given: if at most ``spare``
+first-level parts of a set have such a subset, one of its spare+1 good parts has
+none, and its shared signature holds shingles.  The few sets with more of them
+are also compared with each other, band by band.
 """
 
 from __future__ import annotations
@@ -14,7 +20,7 @@ import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
-from math import ceil, floor
+from math import floor
 
 import numpy as np
 import pyarrow as pa
@@ -32,15 +38,21 @@ _U = np.uint64
 class Likeness:
     """``words`` per shingle; sets link when 100 * intersection >= percent * union.
 
-    ``spread`` is k2+1, the differences a first-level part may hold plus one;
-    ``second`` is n2.
+    ``within`` is k2, the differences a first-level part may hold; ``second`` is n2.
     """
 
     words: int = 5
     percent: int = 80
-    spread: int = 2
+    within: int = 1
     second: int = 2
 
+    def spare(self, k: int) -> int:
+        return 0 if k < 4 else max(2, k // (16 if self.percent >= 90 else 8))
+
+    def top(self, low: int) -> int:
+        """The largest size of the band that begins at ``low``."""
+        return max(low, low * 10000 // (80 * self.percent) if self.percent < 90 else low * 5 // 4)
+
     def linked(self, common, a, b):
         return 100 * common >= self.percent * (a + b - common)
 
@@ -66,34 +78,39 @@ def class_of(s: np.ndarray) -> int:
 def bands(like: Likeness, n: int) -> list[tuple[int, int]]:
     """(band, k) under which a set of ``n`` shingles signs: its own, and the next if a partner may lie there."""
     low, band = 1, 0
-    while (high := max(low, low * 3 // 2)) < n:
+    while (high := like.top(low)) < n:
         low, band = high + 1, band + 1
     out = [(band, high)]
     if floor(100 * n / like.percent + 1e-9) > high:
-        out.append((band + 1, max(high + 1, (high + 1) * 3 // 2)))
+        out.append((band + 1, like.top(high + 1)))
     return [(b, floor(2 * h * (100 - like.percent) / (100 + like.percent) + 1e-9)) for b, h in out]
 
 
-def signatures(s: np.ndarray, like: Likeness) -> np.ndarray:
-    """The PartEnum signatures of a shingle set."""
-    out = []
+def signatures(s: np.ndarray, like: Likeness) -> tuple[np.ndarray, np.ndarray]:
+    """The PartEnum signatures of a shingle set, and one more per band in which it has many empty subsets."""
+    out, sparse = [], []
     for band, k in bands(like, len(s)):
-        n1 = max(1, (k + 1) // like.spread)
-        k2 = ceil((k + 1) / n1) - 1
-        n2 = max(like.second, k2 + 1)
+        k2 = min(like.within, k)
+        spare = like.spare(k)
+        n1, n2 = k // (k2 + 1) + 1 + spare, max(like.second, k2 + 1)
         scattered = mix(s ^ _U(0xA5A5A5A5 + band * 7919))
         part = (scattered % _U(n1 * n2)).astype(np.int64)
+        counts = np.bincount(part, minlength=n1 * n2).reshape(n1, n2)
         sums = np.zeros(n1 * n2, _U)
-        counts = np.bincount(part, minlength=n1 * n2).astype(_U)
         with np.errstate(over="ignore"):
-            np.add.at(sums, part, mix(s))
-            grid = mix(sums + counts * _U(0xC2B2AE3D27D4EB4F)).reshape(n1, n2)
+            np.add.at(sums, part, scattered)
+            grid = mix(sums.reshape(n1, n2) + counts.astype(_U) * _U(0xC2B2AE3D27D4EB4F))
             grid = mix(grid + np.arange(n2, dtype=_U) * _U(0x165667B19E3779F9))
             where = mix(np.arange(n1, dtype=_U) + _U(band << 32))
+            bare = np.zeros(n1, bool)
             for pick in combinations(range(n2), n2 - k2):
                 code = _U(sum(1 << p for p in pick))
-                out.append(mix(grid[:, pick].sum(axis=1, dtype=_U) + where * (code * _U(2) + _U(1))))
-    return np.concatenate(out)
+                empty = counts[:, pick].sum(axis=1) == 0
+                out.append(mix(grid[:, pick].sum(axis=1, dtype=_U) + where * (code * _U(2) + _U(1)))[~empty])
+                bare |= empty
+        if bare.sum() > spare:
+            sparse.append(mix(_U(0xB5AD4ECEDA1CE2A9) + _U(band)))
+    return np.concatenate(out), np.array(sparse, _U)
 
 
 def _batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
@@ -118,15 +135,17 @@ def _sets(like: Likeness):
 def _signed(like: Likeness):
     """(sig, cls) rows.  Sets of one batch that share a signature pass it on once: the others are tied
     to the first by a signature of their own, so a signature that very many sets share stays narrow."""
-    schema = pa.schema([("sig", pa.int64()), ("cls", pa.int64())])
+    schema = pa.schema([("sig", pa.int64()), ("cls", pa.int64()), ("sparse", pa.bool_())])
 
     def run(batches):
         for b in batches:
             seen: dict[int, np.ndarray] = {}
+            few: list[tuple[int, int]] = []
             for t in b.column("_t"):
                 s = shingles(t.as_py(), like.words)
                 if len(s) and (c := class_of(s)) not in seen:
-                    seen[c] = signatures(s, like)
+                    seen[c], sparse = signatures(s, like)
+                    few += [(int(x), c) for x in sparse.view(np.int64)]
             if not seen:
                 continue
             names = np.fromiter(seen, np.int64, len(seen))
@@ -139,17 +158,25 @@ def _signed(like: Likeness):
             tied = np.unique(np.stack([cls[again], cls[head[again]]]), axis=1)
             tied = tied[:, tied[0] != tied[1]]
             pair = mix(tied[0].view(_U) ^ mix(tied[1].view(_U)))
-            yield _batch(schema, np.concatenate([sig[~again], pair, pair]).view(np.int64), np.concatenate([cls[~again], tied[0], tied[1]]))
+            keys, members = np.concatenate([sig[~again], pair, pair]).view(np.int64), np.concatenate([cls[~again], tied[0], tied[1]])
+            more = np.array(few, np.int64).reshape(-1, 2)
+            yield _batch(schema, np.append(keys, more[:, 0]), np.append(members, more[:, 1]), np.append(np.zeros(len(keys), bool), np.ones(len(more), bool)))
 
     return run
 
 
 def _hub_edges(batches):
-    """Rows sorted by (sig, cls): ties every further set of a signature to its first."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """Rows sorted by (sig, cls): ties every further set of a signature to its first.
+
+    Sets that came as sparse are passed on with their signature instead.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sparse", pa.bool_())])
     last_sig = hub = None
     for b in batches:
-        sig, cls = b.column("sig").to_numpy(), b.column("cls").to_numpy()
+        sig, cls, sparse = (b.column(c).to_numpy(zero_copy_only=False) for c in ("sig", "cls", "sparse"))
+        if sparse.any():
+            yield _batch(schema, cls[sparse], sig[sparse], np.ones(int(sparse.sum()), bool))
+            sig, cls = sig[~sparse], cls[~sparse]
         if not len(sig):
             continue
         new = np.append(last_sig is None or sig[0] != last_sig, sig[1:] != sig[:-1])
@@ -159,7 +186,7 @@ def _hub_edges(batches):
         pairs = np.unique(np.stack([cls[keep], head[keep]]), axis=1)
         last_sig, hub = sig[-1], head[-1]
         if pairs.shape[1]:
-            yield _batch(schema, pairs[0], pairs[1])
+            yield _batch(schema, pairs[0], pairs[1], np.zeros(pairs.shape[1], bool))
 
 
 class _Family:
@@ -287,7 +314,7 @@ def _items(like: Likeness):
 def _verify(members: DataFrame, like: Likeness, block: int) -> DataFrame:
     """Exact link edges (a, b) that span the components of every family in (family, cls, items)."""
     spark, width = members.sparkSession, shuffle_width(members.sparkSession)
-    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("m"), F.max_by("cls", F.struct(F.octet_length("items"), "cls")).alias("hub"))
+    sizes = members.groupBy("family").agg((F.sum(F.octet_length("items")) / 8).alias("m"), F.max_by("cls", F.struct(F.octet_length("items"), "cls")).alias("hub"))
     large = store(sizes.filter(F.col("m") > block), "large")
     small = members.join(large.select("family"), "family", "left_anti")
     edges = small.repartition(width, "family").sortWithinPartitions("family", "cls").mapInArrow(_labels(like), "a long, b long")
@@ -305,7 +332,7 @@ def _verify(members: DataFrame, like: Likeness, block: int) -> DataFrame:
                 flags.append(bool(like.linked(len(np.intersect1d(s, t, assume_unique=True)), len(s), len(t))))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("family", "cls", "hub", "m", "items")), pa.array(flags)], names=["family", "cls", "hub", "m", "items", "near"])
 
-    judged = store(rows.join(hubs, F.col("family") == F.col("_f")).select("family", "cls", "hub", "m", "items", "hub_items").mapInArrow(near, "family long, cls long, hub long, m long, items binary, near boolean"), "near")
+    judged = store(rows.join(hubs, F.col("family") == F.col("_f")).select("family", "cls", "hub", "m", "items", "hub_items").mapInArrow(near, "family long, cls long, hub long, m double, items binary, near boolean"), "near")
     edges = edges.union(judged.filter(F.col("near") & (F.col("cls") != F.col("hub"))).select(F.col("cls").alias("a"), F.col("hub").alias("b")))
     n = F.ceil(F.col("m") / F.lit(block)).cast("int")
     cut = judged.withColumn("nb", n).withColumn("mb", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int"))
@@ -318,25 +345,28 @@ def _verify(members: DataFrame, like: Likeness, block: int) -> DataFrame:
     return edges.union(found)
 
 
-def jaccard_components(docs: DataFrame, like: Likeness, *, block: int = 4000) -> DataFrame:
+def jaccard_components(docs: DataFrame, like: Likeness, *, block: int = 4_000_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document.
 
     Links are exact and no link between different sets is lost; component_id is
     the least doc_id reachable by links, the document's own included.  Null and
     empty texts have no shingles and link with nothing.  Documents with equal
-    sets are one class from the start.  Repeated rows each get a row.
+    sets are one class from the start.  Repeated rows each get a row.  A family
+    of sets that may link is compared in one task up to ``block`` shingles, and
+    block by block beyond.
     """
     spark = docs.sparkSession
     small_batches(spark)
     width = shuffle_width(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), id_key().alias("_k"), utf8().alias("_t"))
     known = store(texts.select("doc_id", "_t").mapInArrow(_sets(like), "doc_id long, cls long, n_shingles long"), "sets")
-    signed = texts.select("_t").mapInArrow(_signed(like), "sig long, cls long")
-    edges = store(signed.repartition(width, "sig").sortWithinPartitions("sig", "cls").mapInArrow(_hub_edges, "a long, b long").distinct(), "hubs")
-    families = connected(edges)
-    drop_stored(edges)
+    signed = texts.select("_t").mapInArrow(_signed(like), "sig long, cls long, sparse boolean")
+    tied = store(signed.repartition(width, "sig").sortWithinPartitions("sig", "cls").mapInArrow(_hub_edges, "a long, b long, sparse boolean").distinct(), "hubs")
+    families = connected(tied.filter(~F.col("sparse")).select("a", "b")).select(F.col("node").alias("cls"), F.col("component").alias("family"))
+    sparse = tied.filter("sparse").select(F.col("a").alias("cls"), F.col("b").alias("family"))
     one = known.filter("n_shingles > 0").groupBy("cls").agg(F.min(id_key()).alias("_k"))
-    wanted = store(families.select(F.col("node").alias("cls"), F.col("component").alias("family")).join(one, "cls"), "wanted")
+    wanted = store(families.union(sparse).join(one, "cls"), "wanted")
+    drop_stored(tied)
     fetched = texts.join(wanted, "_k").select("family", "cls", "_t").mapInArrow(_items(like), "family long, cls long, items binary")
     members = store(fetched, "members")
     links = connected(_verify(members, like, block))

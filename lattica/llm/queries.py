@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import media, mixing, ngram_jaccard, quality, sharding, url_filters, window_log
+from lattica.llm import media, mixing, ngram_jaccard, quality, sharding, substrings, url_filters, window_log
 from lattica.llm.common import small_batches, store, table, utf8, work_path
 
 RULES = (
@@ -18,6 +18,12 @@ RULES = (
 SHARDS = 40
 
 
+def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removal of every byte under a 400-byte string that occurs twice."""
+    out = substrings.remove_repeated_bytes(table(spark, sf_dir, "documents"), "doc_id")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule statistics, base rules, and the forest's verdict for every document."""
     measured = store(quality.base_rules(quality.stats(table(spark, sf_dir, "documents"), "doc_id")), "stats")
@@ -74,6 +80,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_array": op1_suffix_array,
     "op3_quality_rules": op3_quality_rules,
     "op4_media_columns": op4_media_columns,
     "op5_mixing": op5_mixing,

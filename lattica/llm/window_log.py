@@ -26,9 +26,9 @@ RUN = "bucket int, keys binary, many binary"
 
 
 def merge_runs(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted (keys, seen twice) of several such pairs: a key of two runs counts as seen twice."""
+    """Sorted keys of several (keys, counts) pairs, and which of them have counts of two or more together."""
     keys, inverse = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    total = np.bincount(inverse, np.concatenate([1 + m.astype(np.int64) for _, m in parts]), minlength=len(keys))
+    total = np.bincount(inverse, np.concatenate([m for _, m in parts]), minlength=len(keys))
     return keys, total > 1
 
 
@@ -40,7 +40,7 @@ def _as_run(batches):
     """Rows of a bucket (asks of chunks, or rows of runs) as one row of a run."""
     for bucket, got in chunks.grouped(batches):
         keys, many = merge_runs([_pair(r) for r in got])
-        yield chunks.rows(RUN, [bucket], [keys.tobytes()], [many.astype(np.uint8).tobytes()])
+        yield chunks.rows(RUN, [bucket], [keys.tobytes()], [(1 + many.astype(np.uint8)).tobytes()])
 
 
 def _merge_join(batches):
@@ -51,7 +51,7 @@ def _merge_join(batches):
         if not new:
             continue
         keys, many = _pair(new[0])
-        found = many.astype(bool)
+        found = many > 1
         for r in old:
             past, _ = _pair(r)
             at = np.searchsorted(past, keys)
@@ -68,7 +68,7 @@ def _flag(batches):
         if not asks:
             continue
         keys, many = merge_runs([_pair(r) for r in index])
-        again = keys[many.astype(bool)]
+        again = keys[many]
         out = []
         for r in asks:
             k = np.frombuffer(r["keys"], _U)
