@@ -43,44 +43,48 @@ def rows(schema: str | pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def _pack(limit: int, most: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+def tables(batches: Iterable[pa.RecordBatch], limit: int = 4 << 20, most: int = 2000) -> Iterator[tuple[int, pa.Table]]:
+    """Whole rows in numbered tables of about ``limit`` bytes of text and ``most`` rows; a longer text is one alone."""
+    from pyspark import TaskContext
 
-        task = TaskContext.get()
-        base, count = (task.partitionId() if task else 0) << 32, 0
-        held, size, n = [], 0, 0
+    task = TaskContext.get()
+    base, count = (task.partitionId() if task else 0) << 32, 0
+    held, size, n = [], 0, 0
+    for b in batches:
+        start = 0
+        for i, t in enumerate(b.column("_t")):
+            m = t.as_buffer().size if t.is_valid else 0
+            if n and (size + m > limit or n >= most):
+                yield base | count, pa.Table.from_batches([*held, b.slice(start, i - start)])
+                held, size, n, start, count = [], 0, 0, i, count + 1
+            size += m
+            n += 1
+        if start < b.num_rows:
+            held.append(b.slice(start))
+    if n:
+        yield base | count, pa.Table.from_batches(held)
 
-        def flush():
-            batch = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            return rows("chunk long, blob binary", [base | count], [encode(batch)])
 
-        for b in batches:
-            lengths = b.column("_t").value_lengths().to_numpy(zero_copy_only=False) if hasattr(b.column("_t"), "value_lengths") else np.array([len(x.as_py()) for x in b.column("_t")])
-            start = 0
-            for i, m in enumerate(lengths):
-                if n and (size + m > limit or n >= most):
-                    if i > start:
-                        held.append(b.slice(start, i - start))
-                    yield flush()
-                    held, size, n, start, count = [], 0, 0, i, count + 1
-                size += m
-                n += 1
-            if start < b.num_rows:
-                held.append(b.slice(start))
-        if held:
-            yield flush()
+def _pack(limit: int, most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, table in tables(batches, limit, most):
+            yield rows("chunk long, blob binary", [chunk], [encode(table.combine_chunks().to_batches()[0])])
 
     return run
 
 
+def texts(docs: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` and ``_t``, the UTF-8 text (null: empty), in small batches."""
+    small_batches(docs.sparkSession)
+    return docs.select(*columns, utf8().alias("_t"))
+
+
 def pack(docs: DataFrame, *columns: str, limit: int = 4 << 20, most: int = 2000) -> DataFrame:
     """(chunk, blob) rows in the shared folder; a blob holds ``columns`` and ``_t``, the UTF-8 text (null: empty).
 
     The table is written once, so every later pass sees the same chunks.
     """
-    small_batches(docs.sparkSession)
-    return store(docs.select(*columns, utf8().alias("_t")).mapInArrow(_pack(limit, most), "chunk long, blob binary"), "chunks", compression="none")
+    return store(texts(docs, *columns).mapInArrow(_pack(limit, most), "chunk long, blob binary"), "chunks", compression="none")
 
 
 def buckets(spark) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import media, mixing, ngram_jaccard, quality, sharding, substrings, url_filters, window_log
+from lattica.llm import lm_scoring, media, mixing, ngram_jaccard, pieces, quality, sharding, substrings, url_filters, window_log
 from lattica.llm.common import small_batches, store, table, utf8, work_path
 
 RULES = (
@@ -16,6 +16,8 @@ RULES = (
     url_filters.Rule("block", "com", "/de/"),
 )
 SHARDS = 40
+#: A public vocabulary; any sentencepiece model file does.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +26,11 @@ def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every whole text, and the digest of what they decode to."""
+    return pieces.encode(table(spark, sf_dir, "documents"), pieces.load_vocabulary(VOCABULARY), "doc_id")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule statistics, base rules, and the forest's verdict for every document."""
     measured = store(quality.base_rules(quality.stats(table(spark, sf_dir, "documents"), "doc_id")), "stats")
@@ -53,6 +60,12 @@ def op6_window_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word and subword log probabilities of every text, learned from four fifths of the documents."""
+    held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(5)) == 1
+    return lm_scoring.score(table(spark, sf_dir, "documents"), held_out, VOCABULARY)
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict for every page's url; the classifier learns from a bounded sample of urls that rules decide."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -81,10 +94,12 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_suffix_array": op1_suffix_array,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_quality_rules": op3_quality_rules,
     "op4_media_columns": op4_media_columns,
     "op5_mixing": op5_mixing,
     "op6_window_log": op6_window_log,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_url_filters": op8_url_filters,
     "op9_sharding": op9_sharding,
     "op10_ngram_jaccard": op10_ngram_jaccard,
