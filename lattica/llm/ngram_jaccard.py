@@ -127,7 +127,7 @@ def _sets(like: Likeness):
                 s = shingles(t.as_py(), like.words)
                 cls.append(class_of(s))
                 sizes.append(len(s))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(cls, pa.int64()), pa.array(sizes, pa.int64())], names=["doc_id", *schema.names])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(cls, pa.int64()), pa.array(sizes, pa.int64())], names=[*b.schema.names[:-1], *schema.names])
 
     return run
 
@@ -345,8 +345,8 @@ def _verify(members: DataFrame, like: Likeness, block: int) -> DataFrame:
     return edges.union(found)
 
 
-def jaccard_components(docs: DataFrame, like: Likeness, *, block: int = 4_000_000) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document.
+def jaccard_components(docs: DataFrame, like: Likeness, *columns: str, block: int = 4_000_000) -> DataFrame:
+    """(doc_id, ``columns``, n_shingles, component_id) of every document.
 
     Links are exact and no link between different sets is lost; component_id is
     the least doc_id reachable by links, the document's own included.  Null and
@@ -358,8 +358,9 @@ def jaccard_components(docs: DataFrame, like: Likeness, *, block: int = 4_000_00
     spark = docs.sparkSession
     small_batches(spark)
     width = shuffle_width(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), id_key().alias("_k"), utf8().alias("_t"))
-    known = store(texts.select("doc_id", "_t").mapInArrow(_sets(like), "doc_id long, cls long, n_shingles long"), "sets")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *columns, id_key().alias("_k"), utf8().alias("_t"))
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields if f.name in columns)
+    known = store(texts.select("doc_id", *columns, "_t").mapInArrow(_sets(like), f"doc_id long, {kept}cls long, n_shingles long"), "sets")
     signed = texts.select("_t").mapInArrow(_signed(like), "sig long, cls long, sparse boolean")
     tied = store(signed.repartition(width, "sig").sortWithinPartitions("sig", "cls").mapInArrow(_hub_edges, "a long, b long, sparse boolean").distinct(), "hubs")
     families = connected(tied.filter(~F.col("sparse")).select("a", "b")).select(F.col("node").alias("cls"), F.col("component").alias("family"))
@@ -367,7 +368,8 @@ def jaccard_components(docs: DataFrame, like: Likeness, *, block: int = 4_000_00
     one = known.filter("n_shingles > 0").groupBy("cls").agg(F.min(id_key()).alias("_k"))
     wanted = store(families.union(sparse).join(one, "cls"), "wanted")
     drop_stored(tied)
-    fetched = texts.join(wanted, "_k").select("family", "cls", "_t").mapInArrow(_items(like), "family long, cls long, items binary")
+    # What is wanted grows with the corpus, so it is never broadcast.
+    fetched = texts.join(wanted.hint("merge"), "_k").select("family", "cls", "_t").mapInArrow(_items(like), "family long, cls long, items binary")
     members = store(fetched, "members")
     links = connected(_verify(members, like, block))
     drop_stored(members)
@@ -377,4 +379,4 @@ def jaccard_components(docs: DataFrame, like: Likeness, *, block: int = 4_000_00
     least = placed.filter("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("_least"))
     out = placed.join(least, "component", "left")
     own = F.when(F.col("n_shingles") > 0, F.coalesce("_least", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"))
+    return out.select("doc_id", *columns, "n_shingles", own.alias("component_id"))
