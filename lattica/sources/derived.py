@@ -57,3 +57,10 @@ def supply_graph(spark: SparkSession, sf_dir: str) -> Graph:
     frames = _frames(spark, sf_dir)
     used = lambda sql: {t: f for t, f in frames.items() if "{" + t + "}" in sql}
     return Graph(spark.sql(NODES_SQL, **used(NODES_SQL)), spark.sql(EDGES_SQL, **used(EDGES_SQL)))
+
+
+def by_path():
+    """Order of files; there is one row per file, not per node."""
+    from pyspark.sql import Window
+
+    return Window.orderBy("file_path")
