@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.common import shuffle_width, small_batches, store, utf8
-from lattica.llm.sequences import mix
+from lattica.llm.sequences import mix, prefix_sums, spans_hash
 
 _U = np.uint64
 ASKS = "bucket int, chunk long, keys binary, extra binary"
@@ -124,6 +124,26 @@ class Question:
         return (flat.reshape(-1, width) if width > 1 else flat)[self.place]
 
 
+class Words:
+    """The tokens of a chunk's texts as places in its list of distinct words, which is in bucket order.
+
+    ``data`` is all texts end to end, with ``starts`` and ``ends`` of the tokens
+    and ``lengths``, the tokens of each text.  Words are told apart by 64 bits
+    of content hash.
+    """
+
+    def __init__(self, data: bytes, starts: np.ndarray, ends: np.ndarray, lengths: np.ndarray, n: int):
+        keys = spans_hash(prefix_sums(np.frombuffer(data, np.uint8) + _U(1)), starts, ends)
+        q = Question(keys, n)
+        self.codes, self.lengths, self.bucket, self.parts = q.place, lengths, q.bucket, q.parts
+        self.words = [data[a:b] for a, b in zip(starts[q.first].tolist(), ends[q.first].tolist(), strict=True)]
+
+    def sums(self, per_word: np.ndarray) -> np.ndarray:
+        """Sum of a value of each word over the tokens of each text."""
+        owner = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        return np.bincount(owner, per_word[self.codes], len(self.lengths))
+
+
 def ask(chunked: DataFrame, keys_of: Callable[..., np.ndarray], n: int) -> DataFrame:
     """Ask rows of every chunk: sorted distinct keys per bucket; ``extra`` has how often the chunk holds each, 255 at most.
 

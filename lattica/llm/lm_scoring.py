@@ -10,23 +10,25 @@ word of the corpus, and a text is the product of its words and of an end.
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 from math import log, log10
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm import chunks
 from lattica.llm.common import release, store
-from lattica.llm.sequences import BASE, INVERSE, mix, powers
+from lattica.llm.sequences import BASE, INVERSE, mix, powers, word_spans
 
 _U = np.uint64
 SPACE = "▁"
 #: Words of up to this many characters go through the vectorised recursion.
 SHORT = 64
+#: Entries of the vocabulary that one row of sums holds.
+_PART = 1024
 
 
 @dataclass
@@ -183,37 +185,13 @@ def _expected(texts: list[str], counts: np.ndarray, pieces: Pieces, size: int) -
     return out
 
 
-def _tokens(text: bytes) -> list[bytes]:
-    return text.lower().split()  # bytes: A-Z only
-
-
-class _Words:
-    """A chunk's distinct words in (bucket, word) order with their counts in training rows."""
-
-    def __init__(self, table: pa.Table, n: int):
-        self.tokens = [_tokens(t.as_py()) for t in table.column("_t")]
-        seen: Counter = Counter()
-        train: Counter = Counter()
-        for words, held in zip(self.tokens, table.column("held_out").to_pylist(), strict=True):
-            (seen if held else train).update(words)
-        words = sorted(seen.keys() | train.keys())
-        data = np.frombuffer(b"\n".join(words) + b"\n", np.uint8) if words else np.zeros(0, np.uint8)
-        ends = np.flatnonzero(data == 10)  # no word has a newline
-        bucket = chunks.bucket_of(_spans(data, np.append(0, ends[:-1] + 1) if len(ends) else ends, ends), n) if words else np.zeros(0, np.int32)
-        order = np.argsort(bucket, kind="stable")
-        self.words, self.bucket = [words[i] for i in order], bucket[order]
-        self.train = np.array([train[w] for w in self.words], np.int64)
-
-    def parts(self):
-        cuts = np.flatnonzero(np.append(True, self.bucket[1:] != self.bucket[:-1])) if self.words else []
-        for a, b in zip(cuts, [*cuts[1:], len(self.words)], strict=False):
-            yield int(self.bucket[a]), slice(a, b)
-
-
-def _spans(data, starts, ends):
-    from lattica.llm.sequences import prefix_sums, spans_hash
-
-    return spans_hash(prefix_sums(data + _U(1)), starts, ends)
+def _words(table: pa.Table, n: int) -> chunks.Words:
+    """A chunk's words, A-Z lower-cased; texts are parted by newlines, which no word holds."""
+    texts = [t.as_py() for t in table.column("_t")]
+    data = b"\n".join(texts).lower()  # bytes: A-Z only
+    starts, ends = word_spans(data)
+    firsts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    return chunks.Words(data, starts, ends, np.diff(np.searchsorted(starts, firsts)), n)
 
 
 _ASK = "bucket int, chunk long, words binary"
@@ -225,9 +203,12 @@ def _ask(n: int):
     def run(batches):
         for b in batches:
             for chunk, blob in zip(b.column("chunk").to_pylist(), b.column("blob"), strict=True):
-                w = _Words(chunks.decode(blob.as_py()), n)
+                table = chunks.decode(blob.as_py())
+                w = _words(table, n)
+                learned = np.repeat(~table.column("held_out").to_numpy(), w.lengths)
+                train = np.bincount(w.codes[learned], minlength=len(w.words))
                 for k, s in w.parts():
-                    yield chunks.rows(_ASK, [k], [chunk], [chunks.encode(chunks.rows(_WORDS, w.words[s], w.train[s]))])
+                    yield chunks.rows(_ASK, [k], [chunk], [chunks.encode(chunks.rows(_WORDS, w.words[s], train[s]))])
 
     return run
 
@@ -236,7 +217,7 @@ def _count(batches):
     """All chunks' words of a bucket as one row of the word table."""
     for bucket, got in chunks.grouped(batches):
         table = pa.concat_tables([chunks.decode(r["words"]) for r in got]).group_by("word").aggregate([("train", "sum")])
-        words, train = table.column("word").to_pylist(), table.column("train_sum").to_numpy()
+        words, train = table.column("word").combine_chunks(), table.column("train_sum").to_numpy()
         yield chunks.rows(_TABLE, [bucket], [chunks.encode(chunks.rows(_WORDS, words, train))], [int(train.sum())], [int((train > 0).sum())])
 
 
@@ -244,17 +225,16 @@ def _answer(shared):
     def run(batches):
         pieces = shared.value
         for bucket, got in chunks.grouped(batches):
-            (row,) = [r for r in got if r["chunk"] is None] or [None]
             asks = [r for r in got if r["chunk"] is not None]
-            if row is None or not asks:
+            if not asks:
                 continue
+            (row,) = [r for r in got if r["chunk"] is None]
             table = chunks.decode(row["words"])
-            words = table.column("word").to_pylist()
-            where = {w: i for i, w in enumerate(words)}
+            words = table.column("word").combine_chunks()
             train = table.column("train").to_numpy()
-            lp = log_probabilities(words, pieces).astype(np.float32)
+            lp = log_probabilities(words.to_pylist(), pieces).astype(np.float32)
             for r in asks:
-                at = np.fromiter((where[w] for w in chunks.decode(r["words"]).column("word").to_pylist()), np.int64)
+                at = pc.index_in(chunks.decode(r["words"]).column("word").combine_chunks(), value_set=words).to_numpy()
                 answer = pa.RecordBatch.from_arrays([pa.array(train[at]), pa.array(lp[at])], names=["c", "lp"])
                 yield chunks.rows(chunks.ANSWERS, [bucket], [r["chunk"]], [chunks.encode(answer)])
 
@@ -265,23 +245,29 @@ def _expect(table: DataFrame, model: Pieces) -> np.ndarray:
     """Expected counts of pieces and bytes in the training words of the word table."""
     shared = table.sparkSession.sparkContext.broadcast(model)  # one entry per piece of the vocabulary, whatever the input
 
+    size = len(model.names) + 256
+    parts = -(-size // _PART)
+
     def run(batches):
-        pieces = shared.value
+        """A task's sums, cut into parts of the vocabulary: as few rows as there are parts."""
+        pieces, total = shared.value, np.zeros(parts * _PART)
         for b in batches:
             for blob in b.column("words"):
                 t = chunks.decode(blob.as_py())
                 train = t.column("train").to_numpy()
                 known = np.flatnonzero(train)
-                every = t.column("word").take(pa.array(known)).to_pylist()
-                got = expected_counts(every, train[known].astype(float), pieces)
-                at = np.flatnonzero(got)
-                yield chunks.rows("piece long, expected double", at, got[at])
-
-    out = np.zeros(len(model.names) + 256)
-    # At most one row per piece of the vocabulary comes back.
-    for r in table.mapInArrow(run, "piece long, expected double").groupBy("piece").agg(F.sum("expected").alias("expected")).collect():
-        out[r.piece] = r.expected
-    return out
+                total[:size] += expected_counts(t.column("word").combine_chunks().take(pa.array(known)).to_pylist(), train[known].astype(float), pieces)
+        yield chunks.rows("bucket int, sums binary", range(parts), [p.tobytes() for p in total.reshape(parts, _PART)])
+
+    def add(batches):
+        for part, got in chunks.grouped(batches):
+            yield chunks.rows("bucket int, sums binary", [part], [np.sum([np.frombuffer(r["sums"]) for r in got], axis=0).tobytes()])
+
+    out = np.zeros(parts * _PART)
+    # As many rows as parts come back, whatever the input.
+    for r in chunks.by_bucket(table.mapInArrow(run, "bucket int, sums binary"), add, "bucket int, sums binary").collect():
+        out[r.bucket * _PART : (r.bucket + 1) * _PART] = np.frombuffer(r.sums)
+    return out[:size]
 
 
 def score(docs: DataFrame, held_out, vocabulary: str, *, steps: int = 2) -> DataFrame:
@@ -322,17 +308,12 @@ def score(docs: DataFrame, held_out, vocabulary: str, *, steps: int = 2) -> Data
         for b in batches:
             for blob, got in zip(b.column("blob"), b.column("got").to_pylist(), strict=True):
                 t = chunks.decode(blob.as_py())
-                w = _Words(t, n)
+                w = _words(t, n)
                 told = chunks._by_bucket(got)
                 parts = [chunks.decode(told[k]) for k, _ in w.parts()]
-                c = np.concatenate([p.column("c").to_numpy() for p in parts]) if parts else np.zeros(0)
-                lp = np.concatenate([p.column("lp").to_numpy() for p in parts]).astype(float) if parts else np.zeros(0)
-                base = np.log10((c + 0.5) / bottom)
-                where = {x: i for i, x in enumerate(w.words)}
-                out = []
-                for words in w.tokens:
-                    at = np.fromiter(map(where.__getitem__, words), np.int64, len(words))
-                    out.append((len(words) + 1, int((c[at] > 0).sum()) + (ends > 0), total, float(base[at].sum()) + end_base, (float(lp[at].sum()) + end_lp) / log(10)))
-                yield chunks.rows(schema, t.column("doc_id").to_pylist(), t.column("held_out").to_pylist(), *zip(*out, strict=True))
+                gathered = lambda name: np.concatenate([p.column(name).to_numpy() for p in parts]) if parts else np.zeros(0)  # noqa: B023, E731
+                c, lp = gathered("c"), gathered("lp").astype(float)
+                known, base, model = w.sums(c > 0).astype(np.int64), w.sums(np.log10((c + 0.5) / bottom)), w.sums(lp)
+                yield chunks.rows(schema, t.column("doc_id").to_pylist(), t.column("held_out").to_pylist(), w.lengths + 1, known + (ends > 0), np.full(len(known), total), base + end_base, (model + end_lp) / log(10))
 
     return chunks.tell(packed, answers).select("blob", "got").mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

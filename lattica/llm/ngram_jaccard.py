@@ -12,6 +12,10 @@ A signature of no shingles says nothing, so none is given: if at most ``spare``
 first-level parts of a set have such a subset, one of its spare+1 good parts has
 none, and its shared signature holds shingles.  The few sets with more of them
 are also compared with each other, band by band.
+
+Sets that share a signature, and those that such sets share others with, are a
+family.  A family is parted by the rarest shingles of its sets, of which linked
+sets share one, and what is left together is compared exactly.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.llm import chunks
 from lattica.llm.common import drop_stored, id_key, release, shuffle_width, small_batches, store, utf8
 from lattica.llm.components import connected
 from lattica.llm.sequences import mix, word_hashes
@@ -311,6 +316,63 @@ def _items(like: Likeness):
     return run
 
 
+#: Counters of the sketch that orders shingles by how common they are: a bounded table, whatever the input.
+SKETCH, _PARTS = 1 << 20, 64
+
+
+def _sketch(members: DataFrame) -> np.ndarray:
+    """Counts of shingles by the low bits of their hashes, summed part by part."""
+
+    def run(batches):
+        total = np.zeros(SKETCH, np.int64)
+        for b in batches:
+            for x in b.column("items"):
+                np.add.at(total, (np.frombuffer(x.as_buffer(), _U) & _U(SKETCH - 1)).astype(np.int64), 1)
+        yield chunks.rows("bucket int, sums binary", range(_PARTS), [p.tobytes() for p in total.reshape(_PARTS, -1)])
+
+    def add(batches):
+        for part, got in chunks.grouped(batches):
+            yield chunks.rows("bucket int, sums binary", [part], [np.sum([np.frombuffer(r["sums"], np.int64) for r in got], axis=0).tobytes()])
+
+    out = np.zeros((_PARTS, SKETCH // _PARTS), np.int64)
+    for r in chunks.by_bucket(members.select("items").mapInArrow(run, "bucket int, sums binary"), add, "bucket int, sums binary").collect():
+        out[r.bucket] = np.frombuffer(r.sums, np.int64)
+    return out.ravel()
+
+
+def _prefixes(like: Likeness, shared):
+    """(sig, cls): the rarest n - ceil(t n) + 1 shingles of every set, within its family.
+
+    Two sets that link share one of these, in whatever order shingles are taken.
+    """
+    schema = pa.schema([("sig", pa.int64()), ("cls", pa.int64()), ("sparse", pa.bool_())])
+
+    def run(batches):
+        for b in batches:
+            sig, cls = [], []
+            for f, c, x in zip(b.column("family").to_pylist(), b.column("cls").to_pylist(), b.column("items"), strict=True):
+                s = np.frombuffer(x.as_buffer(), _U)
+                n = len(s) - -(-like.percent * len(s) // 100) + 1
+                rare = np.lexsort((s, shared.value[(s & _U(SKETCH - 1)).astype(np.int64)]))[:n]
+                sig.append(mix(s[rare] ^ mix(np.array([f], np.int64).view(_U))))
+                cls.append(np.full(len(rare), c))
+            if sig:
+                keys = np.concatenate(sig).view(np.int64)
+                yield _batch(schema, keys, np.concatenate(cls), np.zeros(len(keys), bool))
+
+    return run
+
+
+def _refine(members: DataFrame, like: Likeness) -> DataFrame:
+    """Members regrouped by shared rare shingles: what shares only a common passage falls apart, what links stays together."""
+    spark, width = members.sparkSession, shuffle_width(members.sparkSession)
+    shared = spark.sparkContext.broadcast(_sketch(members))
+    signed = members.mapInArrow(_prefixes(like, shared), "sig long, cls long, sparse boolean")
+    tied = signed.repartition(width, "sig").sortWithinPartitions("sig", "cls").mapInArrow(_hub_edges, "a long, b long, sparse boolean").select("a", "b").distinct()
+    close = connected(tied).select(F.col("node").alias("cls"), F.col("component").alias("family"))
+    return members.drop("family").join(close, "cls").select("family", "cls", "items")
+
+
 def _verify(members: DataFrame, like: Likeness, block: int) -> DataFrame:
     """Exact link edges (a, b) that span the components of every family in (family, cls, items)."""
     spark, width = members.sparkSession, shuffle_width(members.sparkSession)
@@ -371,8 +433,10 @@ def jaccard_components(docs: DataFrame, like: Likeness, *columns: str, block: in
     # What is wanted grows with the corpus, so it is never broadcast.
     fetched = texts.join(wanted.hint("merge"), "_k").select("family", "cls", "_t").mapInArrow(_items(like), "family long, cls long, items binary")
     members = store(fetched, "members")
-    links = connected(_verify(members, like, block))
+    close = store(_refine(members, like), "close")
     drop_stored(members)
+    links = connected(_verify(close, like, block))
+    drop_stored(close)
     release(spark)
     cls = links.select(F.col("node").alias("cls"), F.col("component"))
     placed = known.join(cls, "cls", "left").withColumn("component", F.coalesce("component", "cls"))

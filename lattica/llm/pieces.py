@@ -9,22 +9,20 @@ per chunk and no token is ever a row.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import chunks
-from lattica.llm.common import drop_path, release, shuffle_width, store, work_path
-from lattica.llm.sequences import prefix_sums, spans_hash
+from lattica.llm.common import drop_path, release, store, work_path
 
 _U = np.uint64
 SPACE = "▁"
-_WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
 #: Words of more characters are folded outside the lattice: an array fold copies its state at each step.
 LONG = 64
 
@@ -67,8 +65,8 @@ def piece_table(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
     return spark.createDataFrame(pa.table({"piece": list(vocabulary.pieces), "id": pa.array(vocabulary.ids, pa.int32()), "score": list(vocabulary.scores)}))
 
 
-def encode_words(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(word, ids) of distinct words of up to ``LONG`` characters in (word).
+def encode_words(words: DataFrame, vocabulary: Vocabulary, *columns: str) -> DataFrame:
+    """(word, ``columns``, ids) of distinct words of up to ``LONG`` characters in (word).
 
     Of paths of one score the one whose last piece begins first wins, piece by
     piece from the end.  A character without a piece costs ``unknown_score`` and
@@ -76,9 +74,12 @@ def encode_words(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """
     pieces = F.broadcast(piece_table(words.sparkSession, vocabulary))
     # Dealt by word first: neither the join nor the grouping below moves a substring.
-    dealt = words.repartition(shuffle_width(words.sparkSession), "word").withColumn("n", F.char_length("word"))
-    starts = dealt.select("word", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("start"))
-    spans = starts.select("word", "n", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(vocabulary.longest), F.col("n") - F.col("start")))).alias("m"))
+    spark = words.sparkSession
+    dealt = words.repartition(chunks.buckets(spark), "word").withColumn("n", F.char_length("word"))
+    # A partition's words are grouped in memory; past this many the grouping would sort substrings on disk.
+    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(1 << 20))
+    starts = dealt.select("word", *columns, "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("start"))
+    spans = starts.select("word", *columns, "n", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(vocabulary.longest), F.col("n") - F.col("start")))).alias("m"))
     spans = spans.withColumn("piece", F.expr("substring(word, start + 1, m)"))
     if vocabulary.byte_ids:
         table = F.array(*[F.lit(i) for i in vocabulary.byte_ids])
@@ -93,7 +94,7 @@ def encode_words(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         F.coalesce("score", F.lit(vocabulary.unknown_score)).alias("score"),
         F.when(F.col("id").isNotNull(), F.array("id")).otherwise(own).alias("ids"),
     )
-    lattice = found.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"), F.first("n").alias("n"))
+    lattice = found.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"), F.first("n").alias("n"), *(F.first(c).alias(c) for c in columns))
     best = F.expr(
         """aggregate(edges, array(struct(0D as score, 0 as start, cast(array() as array<int>) as ids)), (s, e) ->
              case when size(s) = e.stop then concat(s, array(struct(s[e.start].score + e.score as score, e.start as start, e.ids as ids)))
@@ -105,7 +106,7 @@ def encode_words(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         """aggregate(sequence(1, n), struct(n as at, cast(array() as array<int>) as ids), (r, i) ->
              case when r.at = 0 then r else struct(best[r.at].start as at, concat(best[r.at].ids, r.ids) as ids) end, r -> r.ids)"""
     )
-    return lattice.select("word", "n", best.alias("best")).select("word", back.alias("ids"))
+    return lattice.select("word", *columns, "n", best.alias("best")).select("word", *columns, back.alias("ids"))
 
 
 def best_path(word: str, index: dict[str, tuple[int, float]], longest: int, unknown_score: float, byte_ids: tuple[int, ...], unknown: int) -> list[int]:
@@ -139,90 +140,92 @@ def decode_ids(ids, names: dict[int, str], byte_of: dict[int, int]) -> bytes:
     return bytes(out)
 
 
-def split_words(text: bytes) -> list[str]:
-    """Words of a text, each led by its spaces; the text gets one space in front.  An empty text has none."""
-    return _WORD.findall(SPACE + text.decode("utf-8", "replace").replace(" ", SPACE)) if text else []
+def spellings(vocabulary: Vocabulary) -> pa.Array:
+    """The bytes of every id, spaces as such."""
+    out = [b""] * (max([*vocabulary.ids, *vocabulary.byte_ids, vocabulary.unknown]) + 1)
+    for i, p in zip(vocabulary.ids, vocabulary.pieces, strict=True):
+        out[i] = p.replace(SPACE, " ").encode()
+    for b, i in enumerate(vocabulary.byte_ids):
+        out[i] = bytes([b])
+    return pa.array(out, pa.binary())
+
+
+def _joined(lists: pa.ListArray) -> pa.Array:
+    return pc.binary_join(lists, pa.scalar(b"", pa.binary()))
+
+
+def chunk_words(table: pa.Table, n: int) -> chunks.Words:
+    """Words of a chunk, each led by its spaces; every text that isn't empty gets one space in front."""
+    texts = [b" " + t.as_py().replace(SPACE.encode(), b" ") if len(t.as_buffer() or b"") else b"" for t in table.column("_t")]
+    data = b"".join(texts)
+    firsts = np.cumsum([0, *map(len, texts)])
+    space = np.frombuffer(data, np.uint8) == 32
+    starts = np.union1d(np.flatnonzero(space & ~np.append(False, space[:-1])), firsts[:-1][np.diff(firsts) > 0])
+    ends = np.append(starts[1:], len(data)) if len(starts) else starts
+    return chunks.Words(data, starts, ends, np.diff(np.searchsorted(starts, firsts)), n)
+
+
+def _marked(words: pa.Array) -> pa.Array:
+    """Words as the lattice reads them: text, with marked spaces."""
+    return pa.array([w.decode("utf-8", "replace").replace(" ", SPACE) for w in words.to_pylist()], pa.string())
 
 
 _DOC = "kind int, chunk long, bucket int, body binary"
 
 
+def _lists(values: np.ndarray, lengths: np.ndarray, kind) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), pa.array(values, kind))
+
+
 def _coded(columns: list[str], n: int):
     """Per chunk: rows of kind 1 with its distinct words by bucket, and one of kind 0 with its documents."""
 
     def run(batches):
         for chunk, table in chunks.tables(batches):
-            place: dict[str, int] = {}
-            codes, lengths, digests = [], [], []
-            for t in table.column("_t"):
-                raw = t.as_py()
-                words = split_words(raw)
-                codes.append(np.fromiter((place.setdefault(w, len(place)) for w in words), np.uint32, len(words)))
-                lengths.append(len(words))
-                digests.append(sha256(raw).digest())
-            words = list(place)
-            order, bucket = _order(words, n)
-            rank = np.empty(len(words), np.uint32)
-            rank[order] = np.arange(len(words), dtype=np.uint32)
-            flat = rank[np.concatenate(codes)] if words else np.zeros(0, np.uint32)
-            docs = pa.RecordBatch.from_arrays([*(table.column(c).combine_chunks() for c in columns), pa.array(lengths, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), pa.array(flat))], names=[*columns, "_n", "_sha", "_codes"])
+            w = chunk_words(table, n)
+            digests = [sha256(t.as_py()).digest() for t in table.column("_t")]
+            docs = pa.RecordBatch.from_arrays([*(table.column(c).combine_chunks() for c in columns), pa.array(digests, pa.binary()), _lists(w.codes.astype(np.uint32), w.lengths, pa.uint32())], names=[*columns, "_sha", "_codes"])
             yield chunks.rows(_DOC, [0], [chunk], [-1], [chunks.encode(docs)])
-            for k, s in _cuts(bucket[order]):
-                body = chunks.encode(chunks.rows("word string", [words[i] for i in order[s]]))
-                yield chunks.rows(_DOC, [1], [chunk], [k], [body])
+            for k, s in w.parts():
+                yield chunks.rows(_DOC, [1], [chunk], [k], [chunks.encode(chunks.rows("word binary", w.words[s]))])
 
     return run
 
 
-def _order(words: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order by (bucket, word), and each word's bucket."""
-    if not words:
-        return np.zeros(0, np.int64), np.zeros(0, np.int32)
-    raw = [w.encode("utf-8", "surrogatepass") for w in words]
-    ends = np.cumsum([len(r) for r in raw])
-    bucket = chunks.bucket_of(spans_hash(prefix_sums(np.frombuffer(b"".join(raw), np.uint8) + _U(1)), np.append(0, ends[:-1]), ends), n)
-    return np.array(sorted(range(len(words)), key=lambda i: (bucket[i], words[i])), np.int64), bucket
-
-
-def _cuts(bucket: np.ndarray):
-    at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
-    for a, b in zip(at, np.append(at[1:], len(bucket))[: len(at)], strict=True):
-        yield int(bucket[a]), slice(a, b)
+def _distinct(batches):
+    for bucket, got in chunks.grouped(batches):
+        words = _marked(pa.concat_tables([chunks.decode(r["body"]) for r in got]).column("word").unique()).unique()
+        yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(words), pa.int32()), words], names=["bucket", "word"])
 
 
-def _distinct(long: int):
-    def run(batches):
-        for bucket, got in chunks.grouped(batches):
-            words = pa.concat_tables([chunks.decode(r["body"]) for r in got]).column("word").unique().to_pylist()
-            yield chunks.rows("bucket int, word string", [bucket] * len(words), words)
-
-    return run
+def _packed(batches):
+    """Encoded words in blobs by bucket."""
+    for b in batches:
+        for k in pc.unique(b.column("bucket")).to_pylist():
+            part = b.filter(pc.equal(b.column("bucket"), k)).select(["word", "ids"])
+            yield chunks.rows("bucket int, body binary", [k], [chunks.encode(part)])
 
 
 def _reply(shared):
-    """Rows of a bucket: first the encoded words, then what chunks hold; answers ids in the chunk's order."""
+    """Rows of a bucket: the encoded words, and what chunks hold; answers ids in the chunk's order."""
 
     def run(batches):
-        vocabulary = shared.value
-        index = {p: (i, s) for p, i, s in zip(vocabulary.pieces, vocabulary.ids, vocabulary.scores, strict=True)}
-        now, known = None, {}
-        for b in batches:
-            for bucket, chunk, body, word, ids in zip(*(b.column(c).to_pylist() for c in ("bucket", "chunk", "body", "word", "ids")), strict=True):
-                if bucket != now:
-                    now, known = bucket, {}
-                if chunk is None:
-                    known[word] = ids
-                    continue
-                found = []
-                for w in chunks.decode(body).column("word").to_pylist():
-                    got = known.get(w)
-                    if got is None:
-                        got = known[w] = best_path(w, index, vocabulary.longest, vocabulary.unknown_score, vocabulary.byte_ids, vocabulary.unknown)
-                    found.append(got)
-                sizes = np.array([len(f) for f in found], np.int32)
-                flat = np.fromiter((i for f in found for i in f), np.int32, int(sizes.sum()))
-                answer = pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(flat))], names=["ids"])
-                yield chunks.rows(chunks.ANSWERS, [bucket], [chunk], [chunks.encode(answer)])
+        v = shared.value
+        index = None
+        for bucket, got in chunks.grouped(batches):
+            asks = [r for r in got if r["chunk"] is not None]
+            tables = [chunks.decode(r["body"]) for r in got if r["chunk"] is None]
+            asked = [_marked(chunks.decode(r["body"]).column("word").combine_chunks()) for r in asks]
+            known = pa.concat_tables(tables) if tables else pa.table({"word": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int32()))})
+            long = sorted({w for a in asked for w in a.filter(pc.greater(pc.utf8_length(a), LONG)).to_pylist()})
+            if long:
+                index = index or {p: (i, s) for p, i, s in zip(v.pieces, v.ids, v.scores, strict=True)}
+                paths = [best_path(w, index, v.longest, v.unknown_score, v.byte_ids, v.unknown) for w in long]
+                known = pa.concat_tables([known, pa.table({"word": pa.array(long, pa.string()), "ids": pa.array(paths, known.schema.field("ids").type)})])
+            words, ids = known.column("word").combine_chunks(), known.column("ids").combine_chunks()
+            for r, a in zip(asks, asked, strict=True):
+                answer = pa.RecordBatch.from_arrays([ids.take(pc.index_in(a, value_set=words))], names=["ids"])
+                yield chunks.rows(chunks.ANSWERS, [bucket], [r["chunk"]], [chunks.encode(answer)])
 
     return run
 
@@ -247,55 +250,42 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, *columns: str) -> DataFrame:
             raise
         held = spark.createDataFrame([], schema)
     shared = spark.sparkContext.broadcast(vocabulary)
-    distinct = chunks.by_bucket(held, _distinct(LONG), "bucket int, word string")
-    short = encode_words(distinct.filter(F.char_length("word") <= LONG), vocabulary)
-    words = store(short.mapInArrow(_with_bucket(n), "bucket int, word string, ids array<int>"), "encoded-words", compression="zstd")
+    distinct = chunks.by_bucket(held, _distinct, "bucket int, word string")
+    short = encode_words(distinct.filter(F.char_length("word") <= LONG), vocabulary, "bucket")
+    words = store(short.mapInArrow(_packed, "bucket int, body binary"), "encoded-words", compression="none")
     release(spark)
-    both = words.select("bucket", F.lit(None).cast("long").alias("chunk"), F.lit(None).cast("binary").alias("body"), "word", "ids").unionByName(held.select("bucket", "chunk", "body", F.lit(None).cast("string").alias("word"), F.lit(None).cast("array<int>").alias("ids")))
-    answers = store(chunks.by_bucket(both, _reply(shared), chunks.ANSWERS, "chunk"), "encoded", compression="none")
+    both = words.select("bucket", F.lit(None).cast("long").alias("chunk"), "body").unionByName(held.select("bucket", "chunk", "body"))
+    answers = store(chunks.by_bucket(both, _reply(shared), chunks.ANSWERS), "encoded", compression="none")
     release(spark)
     drop_path(spark, f"{path}/kind=1")
     kept = [f for f in docs.schema.fields if f.name in columns]
     out_schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "ids array<int>", "n_pieces long", "decoded_sha256 string", "lossless boolean"])
 
     def finish(batches):
-        v = shared.value
-        names, byte_of = dict(zip(v.ids, v.pieces, strict=True)), {i: b for b, i in enumerate(v.byte_ids)}
+        spelling = spellings(shared.value)
         for b in batches:
             for body, got in zip(b.column("body"), b.column("got").to_pylist(), strict=True):
                 table = chunks.decode(body.as_py())
                 told = chunks._by_bucket(got)
                 parts = [chunks.decode(told[k]).column("ids").combine_chunks() for k in sorted(told)]
                 ids = pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
-                offsets, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
+                offsets, flat = ids.offsets.to_numpy().astype(np.int64), ids.values.to_numpy()
                 sizes = np.diff(offsets)
-                spelled = [decode_ids(flat[x:y].tolist(), names, byte_of).replace(SPACE.encode(), b" ") for x, y in zip(offsets[:-1], offsets[1:], strict=True)]
-                out, digests = [], []
-                for codes in table.column("_codes"):
-                    c = codes.values.to_numpy()
-                    size = sizes[c]
-                    at = np.repeat(offsets[c] - np.append(0, np.cumsum(size)[:-1])[: len(c)], size) + np.arange(size.sum())
-                    out.append(flat[at])
-                    digests.append(sha256(b"".join(spelled[i] for i in c.tolist())[1:]).digest())
-                lengths = [len(x) for x in out]
-                whole = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), pa.array(np.concatenate(out) if out else np.zeros(0, np.int32), pa.int32()))
+                spelled = _joined(pa.ListArray.from_arrays(ids.offsets, spelling.take(ids.values)))
+                listed = table.column("_codes").combine_chunks()
+                codes, cuts = listed.values.to_numpy(), listed.offsets.to_numpy()
+                per = sizes[codes]
+                at = np.repeat(offsets[:-1][codes] - np.append(0, np.cumsum(per)[:-1])[: len(per)], per) + np.arange(per.sum())
+                total = np.append(0, np.cumsum(per))
+                lengths = total[cuts[1:]] - total[cuts[:-1]]
+                texts = _joined(pa.ListArray.from_arrays(listed.offsets, spelled.take(listed.values)))
+                digests = [sha256(t.as_py()[1:]).digest() for t in texts]
                 same = [a == b for a, b in zip(digests, table.column("_sha").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*(table.column(f.name).combine_chunks() for f in kept), whole, pa.array(lengths, pa.int64()), pa.array([d.hex() for d in digests]), pa.array(same)], names=[*(f.name for f in kept), "ids", "n_pieces", "decoded_sha256", "lossless"])
+                yield pa.RecordBatch.from_arrays([*(table.column(f.name).combine_chunks() for f in kept), _lists(flat[at], lengths, pa.int32()), pa.array(lengths, pa.int64()), pa.array([d.hex() for d in digests]), pa.array(same)], names=[*(f.name for f in kept), "ids", "n_pieces", "decoded_sha256", "lossless"])
 
     return chunks.tell(coded, answers).select("body", "got").mapInArrow(finish, out_schema)
 
 
-def _with_bucket(n: int):
-    def run(batches):
-        for b in batches:
-            if b.num_rows:
-                words = b.column("word").to_pylist()
-                _, bucket = _order(words, n)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), b.column("word"), b.column("ids")], names=["bucket", "word", "ids"])
-
-    return run
-
-
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids") -> DataFrame:
     """Replace a column of ids by ``text``, the text they stand for; null ids give null."""
     shared = encoded.sparkSession.sparkContext.broadcast(vocabulary)
