@@ -43,7 +43,7 @@ def rows(schema: str | pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def tables(batches: Iterable[pa.RecordBatch], limit: int = 4 << 20, most: int = 2000) -> Iterator[tuple[int, pa.Table]]:
+def tables(batches: Iterable[pa.RecordBatch], limit: int = 4_000_000, most: int = 2000) -> Iterator[tuple[int, pa.Table]]:
     """Whole rows in numbered tables of about ``limit`` bytes of text and ``most`` rows; a longer text is one alone."""
     from pyspark import TaskContext
 
@@ -79,7 +79,7 @@ def texts(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*columns, utf8().alias("_t"))
 
 
-def pack(docs: DataFrame, *columns: str, limit: int = 4 << 20, most: int = 2000) -> DataFrame:
+def pack(docs: DataFrame, *columns: str, limit: int = 4_000_000, most: int = 2000) -> DataFrame:
     """(chunk, blob) rows in the shared folder; a blob holds ``columns`` and ``_t``, the UTF-8 text (null: empty).
 
     The table is written once, so every later pass sees the same chunks.
@@ -133,7 +133,11 @@ class Words:
     """
 
     def __init__(self, data: bytes, starts: np.ndarray, ends: np.ndarray, lengths: np.ndarray, n: int):
-        keys = spans_hash(prefix_sums(np.frombuffer(data, np.uint8) + _U(1)), starts, ends)
+        raw, keys, i = np.frombuffer(data, np.uint8), np.empty(len(starts), _U), 0
+        while i < len(starts):  # some hundred kB at a time, so that sums stay small
+            j = max(i + 1, int(np.searchsorted(ends, starts[i] + (1 << 18), "right")))
+            keys[i:j] = spans_hash(prefix_sums(raw[starts[i] : ends[j - 1]] + _U(1)), starts[i:j] - starts[i], ends[i:j] - starts[i])
+            i = j
         q = Question(keys, n)
         self.codes, self.lengths, self.bucket, self.parts = q.place, lengths, q.bucket, q.parts
         self.words = [data[a:b] for a, b in zip(starts[q.first].tolist(), ends[q.first].tolist(), strict=True)]

@@ -407,7 +407,7 @@ def _verify(members: DataFrame, like: Likeness, block: int) -> DataFrame:
     return edges.union(found)
 
 
-def jaccard_components(docs: DataFrame, like: Likeness, *columns: str, block: int = 4_000_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, like: Likeness, *columns: str, block: int = 1_500_000) -> DataFrame:
     """(doc_id, ``columns``, n_shingles, component_id) of every document.
 
     Links are exact and no link between different sets is lost; component_id is

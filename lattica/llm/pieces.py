@@ -15,7 +15,7 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import chunks
@@ -72,41 +72,47 @@ def encode_words(words: DataFrame, vocabulary: Vocabulary, *columns: str) -> Dat
     piece from the end.  A character without a piece costs ``unknown_score`` and
     becomes its bytes' pieces, or the unknown id where the vocabulary has none.
     """
-    pieces = F.broadcast(piece_table(words.sparkSession, vocabulary))
-    # Dealt by word first: neither the join nor the grouping below moves a substring.
     spark = words.sparkSession
-    dealt = words.repartition(chunks.buckets(spark), "word").withColumn("n", F.char_length("word"))
+    # Joined by a number and then by the piece itself: a table of numbers is probed faster than one of strings.
+    pieces = F.broadcast(piece_table(spark, vocabulary).select(F.xxhash64("piece").alias("key"), F.col("piece").alias("known"), "id", "score"))
     # A partition's words are grouped in memory; past this many the grouping would sort substrings on disk.
     spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(1 << 20))
+    # Dealt by word first: neither the join nor the grouping below moves a substring.
+    dealt = words.repartition(chunks.buckets(spark), "word").withColumn("n", F.char_length("word"))
     starts = dealt.select("word", *columns, "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("start"))
     spans = starts.select("word", *columns, "n", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(vocabulary.longest), F.col("n") - F.col("start")))).alias("m"))
-    spans = spans.withColumn("piece", F.expr("substring(word, start + 1, m)"))
-    if vocabulary.byte_ids:
-        table = F.array(*[F.lit(i) for i in vocabulary.byte_ids])
-        hexed = F.hex(F.encode("piece", "UTF-8"))
-        own = F.transform(F.sequence(F.lit(0), F.octet_length("piece") - 1), lambda i: F.element_at(table, (F.conv(F.substring(hexed, i * 2 + 1, F.lit(2)), 16, 10).cast("int") + 1)))
-    else:
-        own = F.array(F.lit(vocabulary.unknown))
-    found = spans.join(pieces, "piece", "left").filter("id is not null or m = 1")
+    spans = spans.withColumn("piece", F.expr("substring(word, start + 1, m)")).withColumn("key", F.xxhash64("piece"))
+    found = spans.join(pieces, "key", "left").withColumn("id", F.when(F.col("known") == F.col("piece"), F.col("id"))).filter("id is not null or m = 1")
+    # An edge is (stop * 256 + start, score, id), id -1 for a character without a piece; words are shorter than 256.
     edge = F.struct(
-        (F.col("start") + F.col("m")).alias("stop"),
-        F.col("start"),
-        F.coalesce("score", F.lit(vocabulary.unknown_score)).alias("score"),
-        F.when(F.col("id").isNotNull(), F.array("id")).otherwise(own).alias("ids"),
+        F.expr("shiftleft(start + m, 8) + start").alias("k"),
+        F.when(F.col("id").isNull(), F.lit(vocabulary.unknown_score)).otherwise(F.col("score")).alias("s"),
+        F.coalesce("id", F.lit(-1)).alias("id"),
     )
     lattice = found.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"), F.first("n").alias("n"), *(F.first(c).alias(c) for c in columns))
+    # By place: the best score of a path to it, and where its last piece starts.
     best = F.expr(
-        """aggregate(edges, array(struct(0D as score, 0 as start, cast(array() as array<int>) as ids)), (s, e) ->
-             case when size(s) = e.stop then concat(s, array(struct(s[e.start].score + e.score as score, e.start as start, e.ids as ids)))
-                  when s[e.start].score + e.score > s[e.stop].score
-                  then concat(slice(s, 1, e.stop), array(struct(s[e.start].score + e.score as score, e.start as start, e.ids as ids)))
-                  else s end)"""
+        """aggregate(edges, array(struct(0D as score, 0 as start, -1 as id)), (b, e) ->
+             case when size(b) = shiftright(e.k, 8) then concat(b, array(struct(b[e.k & 255].score + e.s as score, e.k & 255 as start, e.id as id)))
+                  when b[e.k & 255].score + e.s > b[shiftright(e.k, 8)].score
+                  then concat(slice(b, 1, shiftright(e.k, 8)), array(struct(b[e.k & 255].score + e.s as score, e.k & 255 as start, e.id as id)))
+                  else b end)"""
     )
-    back = F.expr(
-        """aggregate(sequence(1, n), struct(n as at, cast(array() as array<int>) as ids), (r, i) ->
-             case when r.at = 0 then r else struct(best[r.at].start as at, concat(best[r.at].ids, r.ids) as ids) end, r -> r.ids)"""
+    path = F.expr(
+        """aggregate(sequence(1, n), struct(n as at, cast(array() as array<struct<start:int,id:int>>) as path), (r, i) ->
+             case when r.at = 0 then r else struct(best[r.at].start as at, concat(array(struct(best[r.at].start as start, best[r.at].id as id)), r.path) as path) end, r -> r.path)"""
     )
-    return lattice.select("word", *columns, "n", best.alias("best")).select("word", *columns, back.alias("ids"))
+    ids = F.when(F.exists("path", lambda e: e["id"] < 0), F.flatten(F.transform("path", lambda e: F.when(e["id"] >= 0, F.array(e["id"])).otherwise(_spelled(F.col("word"), e["start"], vocabulary))))).otherwise(F.transform("path", lambda e: e["id"]))
+    return lattice.select("word", *columns, "n", best.alias("best")).select("word", *columns, path.alias("path")).select("word", *columns, ids.alias("ids"))
+
+
+def _spelled(word: Column, at: Column, vocabulary: Vocabulary) -> Column:
+    """Byte ids of the character at a place, or the unknown id where the vocabulary has no bytes."""
+    if not vocabulary.byte_ids:
+        return F.array(F.lit(vocabulary.unknown))
+    char = F.substring(word, at + 1, F.lit(1))
+    table = F.array(*[F.lit(i) for i in vocabulary.byte_ids])
+    return F.transform(F.sequence(F.lit(0), F.octet_length(char) - 1), lambda i: F.get(table, F.conv(F.substring(F.hex(F.encode(char, "UTF-8")), i * 2 + 1, F.lit(2)), 16, 10).cast("int")))
 
 
 def best_path(word: str, index: dict[str, tuple[int, float]], longest: int, unknown_score: float, byte_ids: tuple[int, ...], unknown: int) -> list[int]:
@@ -241,14 +247,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, *columns: str) -> DataFrame:
     n = chunks.buckets(spark)
     path = work_path(spark, "coded")
     chunks.texts(docs, *columns).mapInArrow(_coded(list(columns), n), _DOC).write.partitionBy("kind").option("compression", "none").parquet(path)
-    schema = "chunk long, bucket int, body binary"
-    coded, held = spark.read.schema(schema).parquet(f"{path}/kind=0"), None
-    try:
-        held = spark.read.schema(schema).parquet(f"{path}/kind=1")
-    except Exception as e:  # no document has a word: there is no such folder
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        held = spark.createDataFrame([], schema)
+    written = spark.read.schema("chunk long, bucket int, body binary, kind int").parquet(path)
+    coded, held = (written.filter(F.col("kind") == k).drop("kind") for k in (0, 1))
     shared = spark.sparkContext.broadcast(vocabulary)
     distinct = chunks.by_bucket(held, _distinct, "bucket int, word string")
     short = encode_words(distinct.filter(F.char_length("word") <= LONG), vocabulary, "bucket")
