@@ -35,22 +35,23 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
     return F.array_max(F.array(*scored)).getField("shard")
 
 
-def shard(docs: DataFrame, weights: Sequence[float], *, key: str = "doc_id", grown: Sequence[float] | None = None, slot_buckets: int = 1024) -> DataFrame:
+def shard(docs: DataFrame, weights: Sequence[float], *, key: str = "doc_id", grown: Sequence[float] | None = None, prefix_digits: int = 3) -> DataFrame:
     """Add ``shard``, ``slot`` and ``grown_shard`` to rows keyed by ``key``.
 
-    ``slot`` numbers the rows of a shard from 0 without gaps, by (bucket, key):
-    each shard is cut into ``slot_buckets`` hash buckets that are numbered apart
-    and offset by the counts before them, so no task ever holds a whole shard.
-    The offsets are shards x buckets rows at most, whatever the input.
+    ``slot`` numbers the rows of a shard from 0 without gaps, by hash of the key
+    and the key: each shard is cut into 16^prefix_digits ranges of the hash that
+    are numbered apart and offset by the counts before them, so no task ever
+    holds a whole shard.  The offsets are shards x ranges rows at most, whatever
+    the input.
     Rows that repeat a key share a shard and get slots of their own.
     """
     k = F.coalesce(F.col(key).cast("string"), F.lit(""))
     out = docs.withColumn("shard", rendezvous(F.col(key), weights))
     out = out.withColumn("grown_shard", rendezvous(F.col(key), grown) if grown else F.lit(None).cast("int"))
-    out = out.withColumn("_b", F.pmod(F.xxhash64(k), F.lit(slot_buckets)).cast("int"))
+    out = out.withColumn("_k", F.md5(F.concat(F.lit("slot"), k))).withColumn("_b", F.substring("_k", 1, prefix_digits))
     counts = out.groupBy("shard", "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy("shard").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select("shard", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
-    inside = W.partitionBy("shard", "_b").orderBy(F.col(key).asc_nulls_first())
+    inside = W.partitionBy("shard", "_b").orderBy("_k", F.col(key).asc_nulls_first())
     ranked = out.withColumn("_r", F.row_number().over(inside).cast("long"))
-    return ranked.join(F.broadcast(offsets), ["shard", "_b"]).withColumn("slot", F.col("_o") + F.col("_r") - 1).drop("_b", "_o", "_r")
+    return ranked.join(F.broadcast(offsets), ["shard", "_b"]).withColumn("slot", F.col("_o") + F.col("_r") - 1).drop("_k", "_b", "_o", "_r")
