@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from lattica import catalog
+from lattica import catalog_more as catalog
 
 
 @pytest.fixture(scope="module")
