@@ -137,10 +137,25 @@ def _sets(like: Likeness):
     return run
 
 
-def _signed(like: Likeness):
-    """(sig, cls) rows.  Sets of one batch that share a signature pass it on once: the others are tied
+_SIGNED = "bucket int, sigs binary, who binary, names binary, sparse boolean"
+
+
+def _by_signature(sig: np.ndarray, cls: np.ndarray, sparse: bool, n: int) -> Iterator[pa.RecordBatch]:
+    """One row per bucket: sorted signatures, and for each the place of its set among the names of the row."""
+    bucket = chunks.bucket_of(sig, n)
+    order = np.lexsort((cls, sig, bucket))
+    sig, cls, bucket = sig[order], cls[order], bucket[order]
+    cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    out = []
+    for x, y in zip(cuts, np.append(cuts[1:], len(sig)), strict=True):
+        names, who = np.unique(cls[x:y], return_inverse=True)
+        out.append((int(bucket[x]), sig[x:y].tobytes(), who.astype(np.uint16).tobytes(), names.tobytes(), sparse))
+    yield chunks.rows(_SIGNED, *zip(*out, strict=True))
+
+
+def _signed(like: Likeness, n: int):
+    """Signatures by bucket.  Sets of one batch that share a signature pass it on once: the others are tied
     to the first by a signature of their own, so a signature that very many sets share stays narrow."""
-    schema = pa.schema([("sig", pa.int64()), ("cls", pa.int64()), ("sparse", pa.bool_())])
 
     def run(batches):
         for b in batches:
@@ -153,45 +168,49 @@ def _signed(like: Likeness):
                     few += [(int(x), c) for x in sparse.view(np.int64)]
             if not seen:
                 continue
-            names = np.fromiter(seen, np.int64, len(seen))
-            cls = np.repeat(names, [len(v) for v in seen.values()])
-            sig = np.concatenate(list(seen.values()))
-            order = np.lexsort((cls, sig))
-            sig, cls = sig[order], cls[order]
-            again = np.append(False, sig[1:] == sig[:-1])
-            head = np.maximum.accumulate(np.where(again, 0, np.arange(len(sig))))
-            tied = np.unique(np.stack([cls[again], cls[head[again]]]), axis=1)
-            tied = tied[:, tied[0] != tied[1]]
-            pair = mix(tied[0].view(_U) ^ mix(tied[1].view(_U)))
-            keys, members = np.concatenate([sig[~again], pair, pair]).view(np.int64), np.concatenate([cls[~again], tied[0], tied[1]])
-            more = np.array(few, np.int64).reshape(-1, 2)
-            yield _batch(schema, np.append(keys, more[:, 0]), np.append(members, more[:, 1]), np.append(np.zeros(len(keys), bool), np.ones(len(more), bool)))
+            cls = np.repeat(np.fromiter(seen, np.int64, len(seen)), [len(v) for v in seen.values()])
+            yield from _narrow(np.concatenate(list(seen.values())), cls, n)
+            if few:
+                more = np.array(few, np.int64)
+                yield from _by_signature(more[:, 0].copy().view(_U), more[:, 1], True, n)
 
     return run
 
 
+def _narrow(sig: np.ndarray, cls: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
+    order = np.lexsort((cls, sig))
+    sig, cls = sig[order], cls[order]
+    again = np.append(False, sig[1:] == sig[:-1])
+    head = np.maximum.accumulate(np.where(again, 0, np.arange(len(sig))))
+    tied = np.unique(np.stack([cls[again], cls[head[again]]]), axis=1)
+    tied = tied[:, tied[0] != tied[1]]
+    pair = mix(tied[0].view(_U) ^ mix(tied[1].view(_U)))
+    yield from _by_signature(np.concatenate([sig[~again], pair, pair]), np.concatenate([cls[~again], tied[0], tied[1]]), False, n)
+
+
 def _hub_edges(batches):
-    """Rows sorted by (sig, cls): ties every further set of a signature to its first.
+    """Ties every further set of a signature to its first, bucket by bucket.
 
     Sets that came as sparse are passed on with their signature instead.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sparse", pa.bool_())])
-    last_sig = hub = None
-    for b in batches:
-        sig, cls, sparse = (b.column(c).to_numpy(zero_copy_only=False) for c in ("sig", "cls", "sparse"))
-        if sparse.any():
-            yield _batch(schema, cls[sparse], sig[sparse], np.ones(int(sparse.sum()), bool))
-            sig, cls = sig[~sparse], cls[~sparse]
-        if not len(sig):
-            continue
-        new = np.append(last_sig is None or sig[0] != last_sig, sig[1:] != sig[:-1])
-        at = np.maximum.accumulate(np.where(new, np.arange(len(sig)), -1))
-        head = np.where(at >= 0, cls[np.maximum(at, 0)], hub if hub is not None else 0)
-        keep = cls != head
-        pairs = np.unique(np.stack([cls[keep], head[keep]]), axis=1)
-        last_sig, hub = sig[-1], head[-1]
-        if pairs.shape[1]:
-            yield _batch(schema, pairs[0], pairs[1], np.zeros(pairs.shape[1], bool))
+    for _, got in chunks.grouped(batches):
+        for sparse in (False, True):
+            rows = [r for r in got if r["sparse"] == sparse]
+            if not rows:
+                continue
+            sig = np.concatenate([np.frombuffer(r["sigs"], _U) for r in rows])
+            cls = np.concatenate([np.frombuffer(r["names"], np.int64)[np.frombuffer(r["who"], np.uint16)] for r in rows])
+            if sparse:
+                yield _batch(schema, cls, sig.view(np.int64), np.ones(len(cls), bool))
+                continue
+            order = np.lexsort((cls, sig))
+            sig, cls = sig[order], cls[order]
+            head = np.maximum.accumulate(np.where(np.append(True, sig[1:] != sig[:-1]), np.arange(len(sig)), 0))
+            keep = cls != cls[head]
+            if keep.any():
+                pairs = np.unique(np.stack([cls[keep], cls[head[keep]]]), axis=1)
+                yield _batch(schema, pairs[0], pairs[1], np.zeros(pairs.shape[1], bool))
 
 
 class _Family:
@@ -340,35 +359,33 @@ def _sketch(members: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def _prefixes(like: Likeness, shared):
-    """(sig, cls): the rarest n - ceil(t n) + 1 shingles of every set, within its family.
+def _prefixes(like: Likeness, shared, n: int):
+    """The rarest m - ceil(t m) + 1 of the m shingles of every set, within its family, as signatures.
 
     Two sets that link share one of these, in whatever order shingles are taken.
     """
-    schema = pa.schema([("sig", pa.int64()), ("cls", pa.int64()), ("sparse", pa.bool_())])
 
     def run(batches):
         for b in batches:
             sig, cls = [], []
             for f, c, x in zip(b.column("family").to_pylist(), b.column("cls").to_pylist(), b.column("items"), strict=True):
                 s = np.frombuffer(x.as_buffer(), _U)
-                n = len(s) - -(-like.percent * len(s) // 100) + 1
-                rare = np.lexsort((s, shared.value[(s & _U(SKETCH - 1)).astype(np.int64)]))[:n]
+                m = len(s) - -(-like.percent * len(s) // 100) + 1
+                rare = np.lexsort((s, shared.value[(s & _U(SKETCH - 1)).astype(np.int64)]))[:m]
                 sig.append(mix(s[rare] ^ mix(np.array([f], np.int64).view(_U))))
                 cls.append(np.full(len(rare), c))
             if sig:
-                keys = np.concatenate(sig).view(np.int64)
-                yield _batch(schema, keys, np.concatenate(cls), np.zeros(len(keys), bool))
+                yield from _narrow(np.concatenate(sig), np.concatenate(cls), n)
 
     return run
 
 
 def _refine(members: DataFrame, like: Likeness) -> DataFrame:
     """Members regrouped by shared rare shingles: what shares only a common passage falls apart, what links stays together."""
-    spark, width = members.sparkSession, shuffle_width(members.sparkSession)
+    spark = members.sparkSession
     shared = spark.sparkContext.broadcast(_sketch(members))
-    signed = members.mapInArrow(_prefixes(like, shared), "sig long, cls long, sparse boolean")
-    tied = signed.repartition(width, "sig").sortWithinPartitions("sig", "cls").mapInArrow(_hub_edges, "a long, b long, sparse boolean").select("a", "b").distinct()
+    signed = members.mapInArrow(_prefixes(like, shared, chunks.buckets(spark)), _SIGNED)
+    tied = chunks.by_bucket(signed, _hub_edges, "a long, b long, sparse boolean").select("a", "b").distinct()
     close = connected(tied).select(F.col("node").alias("cls"), F.col("component").alias("family"))
     return members.drop("family").join(close, "cls").select("family", "cls", "items")
 
@@ -419,12 +436,11 @@ def jaccard_components(docs: DataFrame, like: Likeness, *columns: str, block: in
     """
     spark = docs.sparkSession
     small_batches(spark)
-    width = shuffle_width(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *columns, id_key().alias("_k"), utf8().alias("_t"))
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields if f.name in columns)
     known = store(texts.select("doc_id", *columns, "_t").mapInArrow(_sets(like), f"doc_id long, {kept}cls long, n_shingles long"), "sets")
-    signed = texts.select("_t").mapInArrow(_signed(like), "sig long, cls long, sparse boolean")
-    tied = store(signed.repartition(width, "sig").sortWithinPartitions("sig", "cls").mapInArrow(_hub_edges, "a long, b long, sparse boolean").distinct(), "hubs")
+    signed = texts.select("_t").mapInArrow(_signed(like, chunks.buckets(spark)), _SIGNED)
+    tied = store(chunks.by_bucket(signed, _hub_edges, "a long, b long, sparse boolean").distinct(), "hubs")
     families = connected(tied.filter(~F.col("sparse")).select("a", "b")).select(F.col("node").alias("cls"), F.col("component").alias("family"))
     sparse = tied.filter("sparse").select(F.col("a").alias("cls"), F.col("b").alias("family"))
     one = known.filter("n_shingles > 0").groupBy("cls").agg(F.min(id_key()).alias("_k"))
