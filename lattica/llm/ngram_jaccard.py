@@ -387,7 +387,21 @@ def _refine(members: DataFrame, like: Likeness) -> DataFrame:
     signed = members.mapInArrow(_prefixes(like, shared, chunks.buckets(spark)), _SIGNED)
     tied = chunks.by_bucket(signed, _hub_edges, "a long, b long, sparse boolean").select("a", "b").distinct()
     close = connected(tied).select(F.col("node").alias("cls"), F.col("component").alias("family"))
-    return members.drop("family").join(close, "cls").select("family", "cls", "items")
+    return members.drop("family").join(close, "cls").select("family", "cls", "items").mapInArrow(_banded(like), "family long, cls long, items binary")
+
+
+def _banded(like: Likeness):
+    """Members of a family by the size bands they sign for: sets that link share a band, and a large family becomes many."""
+    schema = pa.schema([("family", pa.int64()), ("cls", pa.int64()), ("items", pa.binary())])
+
+    def run(batches):
+        for b in batches:
+            rows = [(f, c, x, tag) for f, c, x in zip(*(b.column(n).to_pylist() for n in schema.names), strict=True) for tag, _ in bands(like, len(x) // 8)]
+            if rows:
+                family, cls, items, tag = zip(*rows, strict=True)
+                yield _batch(schema, mix(np.array(family, np.int64).view(_U) ^ mix(np.array(tag, np.int64).view(_U))).view(np.int64), cls, items)
+
+    return run
 
 
 def _verify(members: DataFrame, like: Likeness, block: int) -> DataFrame:
@@ -424,7 +438,7 @@ def _verify(members: DataFrame, like: Likeness, block: int) -> DataFrame:
     return edges.union(found)
 
 
-def jaccard_components(docs: DataFrame, like: Likeness, *columns: str, block: int = 1_500_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, like: Likeness, *columns: str, block: int = 3_000_000) -> DataFrame:
     """(doc_id, ``columns``, n_shingles, component_id) of every document.
 
     Links are exact and no link between different sets is lost; component_id is
