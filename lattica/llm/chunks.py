@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import shuffle_width, small_batches, store, utf8
+from lattica.llm.common import shuffle_width, small_batches, store, trimmed, utf8
 from lattica.llm.sequences import mix, prefix_sums, spans_hash
 
 _U = np.uint64
@@ -172,7 +172,7 @@ def _by_bucket(got) -> dict[int, bytes]:
 
 def by_bucket(frame: DataFrame, run, schema: str, *order: str) -> DataFrame:
     """Apply ``run`` to rows that come bucket by bucket."""
-    return frame.repartition(buckets(frame.sparkSession), "bucket").sortWithinPartitions("bucket", *order).mapInArrow(run, schema)
+    return frame.repartition(buckets(frame.sparkSession), "bucket").sortWithinPartitions("bucket", *order).mapInArrow(trimmed(run), schema)
 
 
 def grouped(batches: Iterator[pa.RecordBatch], key: str = "bucket") -> Iterator[tuple[int, list[dict]]]:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm import chunks
-from lattica.llm.common import drop_stored, id_key, release, shuffle_width, small_batches, store, utf8
+from lattica.llm.common import drop_stored, id_key, release, shuffle_width, small_batches, store, trimmed, utf8
 from lattica.llm.components import connected
 from lattica.llm.sequences import mix, word_hashes
 
@@ -384,7 +384,7 @@ def _refine(members: DataFrame, like: Likeness) -> DataFrame:
     """Members regrouped by shared rare shingles: what shares only a common passage falls apart, what links stays together."""
     spark = members.sparkSession
     shared = spark.sparkContext.broadcast(_sketch(members))
-    signed = members.mapInArrow(_prefixes(like, shared, chunks.buckets(spark)), _SIGNED)
+    signed = members.mapInArrow(trimmed(_prefixes(like, shared, chunks.buckets(spark))), _SIGNED)
     tied = chunks.by_bucket(signed, _hub_edges, "a long, b long, sparse boolean").select("a", "b").distinct()
     close = connected(tied).select(F.col("node").alias("cls"), F.col("component").alias("family"))
     return members.drop("family").join(close, "cls").select("family", "cls", "items").mapInArrow(_banded(like), "family long, cls long, items binary")
@@ -410,7 +410,7 @@ def _verify(members: DataFrame, like: Likeness, block: int) -> DataFrame:
     sizes = members.groupBy("family").agg((F.sum(F.octet_length("items")) / 8).alias("m"), F.max_by("cls", F.struct(F.octet_length("items"), "cls")).alias("hub"))
     large = store(sizes.filter(F.col("m") > block), "large")
     small = members.join(large.select("family"), "family", "left_anti")
-    edges = small.repartition(width, "family").sortWithinPartitions("family", "cls").mapInArrow(_labels(like), "a long, b long")
+    edges = small.repartition(width, "family").sortWithinPartitions("family", "cls").mapInArrow(trimmed(_labels(like)), "a long, b long")
     if large.isEmpty():
         return edges
     # A family beyond one task: first all against its hub, then those that miss the hub against all, block by block.
@@ -434,7 +434,7 @@ def _verify(members: DataFrame, like: Likeness, block: int) -> DataFrame:
     against = cut.select("family", "mb", "cls", "items").join(asks, "family").withColumn("asked", F.lit(False))
     queries = asked.withColumn("mb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("asked", F.lit(True))
     both = queries.select("family", "qb", "mb", "cls", "items", "asked").union(against.select("family", "qb", "mb", "cls", "items", "asked"))
-    found = both.repartition(width, "family", "qb", "mb").sortWithinPartitions("family", "qb", "mb").mapInArrow(_blocks(like), "a long, b long")
+    found = both.repartition(width, "family", "qb", "mb").sortWithinPartitions("family", "qb", "mb").mapInArrow(trimmed(_blocks(like)), "a long, b long")
     return edges.union(found)
 
 
@@ -453,7 +453,7 @@ def jaccard_components(docs: DataFrame, like: Likeness, *columns: str, block: in
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *columns, id_key().alias("_k"), utf8().alias("_t"))
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields if f.name in columns)
     known = store(texts.select("doc_id", *columns, "_t").mapInArrow(_sets(like), f"doc_id long, {kept}cls long, n_shingles long"), "sets")
-    signed = texts.select("_t").mapInArrow(_signed(like, chunks.buckets(spark)), _SIGNED)
+    signed = texts.select("_t").mapInArrow(trimmed(_signed(like, chunks.buckets(spark))), _SIGNED)
     tied = store(chunks.by_bucket(signed, _hub_edges, "a long, b long, sparse boolean").distinct(), "hubs")
     families = connected(tied.filter(~F.col("sparse")).select("a", "b")).select(F.col("node").alias("cls"), F.col("component").alias("family"))
     sparse = tied.filter("sparse").select(F.col("a").alias("cls"), F.col("b").alias("family"))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import chunks
-from lattica.llm.common import drop_path, release, store, work_path
+from lattica.llm.common import drop_path, release, store, trimmed, work_path
 
 _U = np.uint64
 SPACE = "▁"
@@ -78,7 +78,7 @@ def encode_words(words: DataFrame, vocabulary: Vocabulary, *columns: str) -> Dat
     # A partition's words are grouped in memory; past this many the grouping would sort substrings on disk.
     spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(1 << 20))
     # Dealt by word first: neither the join nor the grouping below moves a substring.
-    dealt = words.repartition(chunks.buckets(spark), "word").withColumn("n", F.char_length("word"))
+    dealt = words.repartition(4 * chunks.buckets(spark), "word").withColumn("n", F.char_length("word"))
     starts = dealt.select("word", *columns, "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("start"))
     spans = starts.select("word", *columns, "n", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(vocabulary.longest), F.col("n") - F.col("start")))).alias("m"))
     spans = spans.withColumn("piece", F.expr("substring(word, start + 1, m)")).withColumn("key", F.xxhash64("piece"))
@@ -246,7 +246,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, *columns: str) -> DataFrame:
     spark = docs.sparkSession
     n = chunks.buckets(spark)
     path = work_path(spark, "coded")
-    chunks.texts(docs, *columns).mapInArrow(_coded(list(columns), n), _DOC).write.partitionBy("kind").option("compression", "none").parquet(path)
+    chunks.texts(docs, *columns).mapInArrow(trimmed(_coded(list(columns), n)), _DOC).write.partitionBy("kind").option("compression", "none").parquet(path)
     written = spark.read.schema("chunk long, bucket int, body binary, kind int").parquet(path)
     coded, held = (written.filter(F.col("kind") == k).drop("kind") for k in (0, 1))
     shared = spark.sparkContext.broadcast(vocabulary)
