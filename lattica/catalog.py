@@ -305,6 +305,6 @@ add_plain("grep_rank", lambda s, d: search.grep_rank(_table(s, d, "documents"),
 add_plain("tumbling_counts", lambda s, d: watch.tumbling_counts(_table(s, d, "events"), "1 hour"), "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 add_plain("debounce", lambda s, d: watch.debounce(_table(s, d, "events").select(F.col("user_id").cast("string").alias("file_path"), "ts"), "1 hour").select("file_path", "start", "n"),
           "SELECT file_path, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY file_path ORDER BY ts, event_id) g FROM (SELECT cast(user_id AS varchar) AS file_path, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 1 HOUR THEN 0 ELSE 1 END fresh FROM events) x) y GROUP BY file_path, g")
-add_plain("line_budget", lambda s, d: ranges.line_budget(_table(s, d, "part").filter("p_partkey <= 40").select("p_partkey", F.lit(1).alias("start"), F.col("p_size").alias("end")), 200, ["p_partkey"]).select("p_partkey", "given"), "SELECT p_partkey, given FROM (SELECT p_partkey, cast(greatest(0, least(p_size, 200 - coalesce(sum(p_size) OVER (ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS bigint) AS given FROM part WHERE p_partkey <= 40) x WHERE given > 0")
+add_plain("line_budget", lambda s, d: ranges.line_budget(_table(s, d, "part").select("p_partkey", F.lit(1).alias("start"), F.col("p_size").alias("end")), 200, ["p_partkey"]).select("p_partkey", "given"), "SELECT p_partkey, given FROM (SELECT p_partkey, cast(greatest(0, least(p_size, 200 - coalesce(sum(p_size) OVER (ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS bigint) AS given FROM part) x WHERE given > 0")
 add_plain("mrr", lambda s, d: aggregates.mean_reciprocal_rank(_table(s, d, "lineitem").select(F.col("l_orderkey").alias("query"), F.col("l_partkey").alias("item"), F.col("l_linenumber").alias("rank")), _table(s, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("query"), F.col("l_partkey").alias("item"))).withColumn("mrr", F.round("mrr", 9)),
           "SELECT round(avg(1e0 / r), 9) AS mrr FROM (SELECT a.l_orderkey, min(a.l_linenumber) r FROM lineitem a JOIN (SELECT DISTINCT l_orderkey o, l_partkey p FROM lineitem WHERE l_returnflag = 'R') w ON a.l_orderkey = o AND a.l_partkey = p GROUP BY 1) x")

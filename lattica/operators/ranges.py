@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lattica.graph import Graph
+from lattica.plans.materialise import settle
 
 
 def parse_unified_diff(diffs: DataFrame, text: str = "text") -> DataFrame:
@@ -67,7 +68,15 @@ def merge_windows(spans: DataFrame, around: int = 2) -> DataFrame:
 
 
 def line_budget(spans: DataFrame, budget: int, order: list[str | Column]) -> DataFrame:
-    """Spans cut to a budget of lines they share in order; ``given`` has the lines each gets."""
-    size = F.col("end") - F.col("start") + 1
-    before = F.coalesce(F.sum(size).over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return spans.withColumn("given", F.greatest(F.lit(0), F.least(size, F.lit(budget) - before)).cast("long")).filter("given > 0")
+    """Spans cut to a budget of lines they share in order; ``given`` has the lines each gets.
+
+    Spans are dealt by ranges of the order, so that only the sums of the ranges
+    pass through one task.
+    """
+    dealt = settle(spans.repartitionByRange(*order).withColumns({"_range": F.spark_partition_id(), "_size": F.col("end") - F.col("start") + 1}))
+    sums = dealt.groupBy("_range").agg(F.sum("_size").alias("_sum"))
+    bases = sums.select("_range", F.coalesce(F.sum("_sum").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    inside = F.sum("_size").over(W.partitionBy("_range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
+    before = F.col("_base") + F.coalesce(inside, F.lit(0))
+    left = dealt.join(bases, "_range").withColumn("given", F.greatest(F.lit(0), F.least("_size", F.lit(budget) - before)).cast("long"))
+    return left.filter("given > 0").select(*spans.columns, "given")

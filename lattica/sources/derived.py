@@ -21,7 +21,7 @@ SELECT kind, name, qualified_name, file_path, cast(line_start as int) AS line_st
   UNION ALL SELECT 'Class', concat('Region', cast(r_regionkey as string)), concat('/geo/', lower(replace(r_name, ' ', '_')), '/base.java::Region', cast(r_regionkey as string)), concat('/geo/', lower(replace(r_name, ' ', '_')), '/base.java'), 1, 90, 'java', cast(null as string), false, '{{{{}}}}' FROM {{region}}
   UNION ALL SELECT 'Class', concat('Nation', cast(n_nationkey as string)), concat({_NATION_PATH}, '::Nation', cast(n_nationkey as string)), {_NATION_PATH}, 1, 400, 'java', cast(null as string), false, '{{{{}}}}' FROM {{nation}} JOIN {{region}} ON n_regionkey = r_regionkey
   UNION ALL SELECT 'Function', concat('supply_token_', cast(s_suppkey as string)), concat({_NATION_PATH}, '::Nation', cast(n_nationkey as string), '.supply_token_', cast(s_suppkey as string)), {_NATION_PATH}, (s_suppkey * 3) % 380 + 2, (s_suppkey * 3) % 380 + 10, 'java', concat('Nation', cast(n_nationkey as string)), false, '{{{{}}}}' FROM {{supplier}} JOIN {{nation}} ON s_nationkey = n_nationkey JOIN {{region}} ON n_regionkey = r_regionkey
-  UNION ALL SELECT DISTINCT 'Test', concat('test_', cast(l_orderkey as string)), {_TEST}, '/tests/t.py', l_orderkey % 900 + 1, l_orderkey % 900 + 9, 'python', cast(null as string), true, '{{{{}}}}' FROM {{lineitem}} WHERE l_returnflag = 'R' AND l_orderkey % 40 = 1
+  UNION ALL SELECT DISTINCT 'Test', concat('test_', cast(l_orderkey as string)), {_TEST}, '/tests/t.py', l_orderkey % 900 + 1, l_orderkey % 900 + 9, 'python', cast(null as string), true, '{{{{}}}}' FROM {{lineitem}} WHERE l_returnflag = 'R'
 ) n
 """.replace("{{{{", "{{").replace("}}}}", "}}")
 
@@ -29,12 +29,12 @@ EDGES_SQL = f"""
 SELECT kind, source_qualified, target_qualified, file_path, cast(line as int) AS line, confidence FROM (
   SELECT 'CONTAINS' AS kind, {_PART_PATH} AS source_qualified, {_PART} AS target_qualified, {_PART_PATH} AS file_path, 1 AS line, 1.0e0 AS confidence FROM {{part}}
   UNION ALL SELECT DISTINCT 'CALLS', concat('/src/', lower(replace(a_brand, '#', '')), '.py::part_', cast(a_key as string)), concat('/src/', lower(replace(b_brand, '#', '')), '.py::part_', cast(b_key as string)), concat('/src/', lower(replace(a_brand, '#', '')), '.py'), 2, 1.0e0 FROM (
-    SELECT l_partkey AS a_key, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS b_key FROM {{lineitem}} WHERE l_orderkey % 20 = 0) p
+    SELECT l_partkey AS a_key, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS b_key FROM {{lineitem}}) p
     JOIN (SELECT p_partkey AS ka, p_brand AS a_brand FROM {{part}}) pa ON a_key = ka JOIN (SELECT p_partkey AS kb, p_brand AS b_brand FROM {{part}}) pb ON b_key = kb
   UNION ALL SELECT 'CALLS', {_PART}, concat('ext_', cast(p_partkey % 13 as string)), {_PART_PATH}, 3, 0.5e0 FROM {{part}} WHERE p_partkey % 97 = 0
-  UNION ALL SELECT DISTINCT 'TESTED_BY', {_PART}, {_TEST}, {_PART_PATH}, 4, 1.0e0 FROM {{lineitem}} JOIN {{part}} ON l_partkey = p_partkey WHERE l_returnflag = 'R' AND l_orderkey % 40 = 1
-  UNION ALL SELECT DISTINCT 'REFERENCES', {_PART}, concat({_NATION_PATH}, '::Nation', cast(n_nationkey as string), '.supply_token_', cast(s_suppkey as string)), {_PART_PATH}, 5, 0.9e0 FROM {{lineitem}} JOIN {{part}} ON l_partkey = p_partkey JOIN {{supplier}} ON l_suppkey = s_suppkey JOIN {{nation}} ON s_nationkey = n_nationkey JOIN {{region}} ON n_regionkey = r_regionkey WHERE l_orderkey % 50 = 0
-  UNION ALL SELECT DISTINCT 'IMPORTS_FROM', {_PART_PATH}, {_NATION_PATH}, {_PART_PATH}, 1, 1.0e0 FROM {{lineitem}} JOIN {{part}} ON l_partkey = p_partkey JOIN {{supplier}} ON l_suppkey = s_suppkey JOIN {{nation}} ON s_nationkey = n_nationkey JOIN {{region}} ON n_regionkey = r_regionkey WHERE l_orderkey % 50 = 0
+  UNION ALL SELECT DISTINCT 'TESTED_BY', {_PART}, {_TEST}, {_PART_PATH}, 4, 1.0e0 FROM {{lineitem}} JOIN {{part}} ON l_partkey = p_partkey WHERE l_returnflag = 'R'
+  UNION ALL SELECT DISTINCT 'REFERENCES', {_PART}, concat({_NATION_PATH}, '::Nation', cast(n_nationkey as string), '.supply_token_', cast(s_suppkey as string)), {_PART_PATH}, 5, 0.9e0 FROM {{lineitem}} JOIN {{part}} ON l_partkey = p_partkey JOIN {{supplier}} ON l_suppkey = s_suppkey JOIN {{nation}} ON s_nationkey = n_nationkey JOIN {{region}} ON n_regionkey = r_regionkey
+  UNION ALL SELECT DISTINCT 'IMPORTS_FROM', {_PART_PATH}, {_NATION_PATH}, {_PART_PATH}, 1, 1.0e0 FROM {{lineitem}} JOIN {{part}} ON l_partkey = p_partkey JOIN {{supplier}} ON l_suppkey = s_suppkey JOIN {{nation}} ON s_nationkey = n_nationkey JOIN {{region}} ON n_regionkey = r_regionkey
   UNION ALL SELECT 'INHERITS', concat({_NATION_PATH}, '::Nation', cast(n_nationkey as string)), concat('/geo/', lower(replace(r_name, ' ', '_')), '/base.java::Region', cast(r_regionkey as string)), {_NATION_PATH}, 1, 1.0e0 FROM {{nation}} JOIN {{region}} ON n_regionkey = r_regionkey
   UNION ALL SELECT 'CONTAINS', concat({_NATION_PATH}, '::Nation', cast(n_nationkey as string)), concat({_NATION_PATH}, '::Nation', cast(n_nationkey as string), '.supply_token_', cast(s_suppkey as string)), {_NATION_PATH}, 1, 1.0e0 FROM {{supplier}} JOIN {{nation}} ON s_nationkey = n_nationkey JOIN {{region}} ON n_regionkey = r_regionkey
 ) e
