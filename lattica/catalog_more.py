@@ -101,10 +101,10 @@ add("token_budget_prefix", lambda g: ranking.token_budget_prefix(g.nodes.select(
 add("community_ids_for", lambda g: g.nodes.filter(F.col("file_path") == A).select("qualified_name").join(g.communities, "qualified_name"), f"SELECT qualified_name, community_id FROM C JOIN N USING (qualified_name) WHERE file_path = '{A}'")
 add("get_community", lambda g: g.communities.filter("community_id = 3").join(g.nodes.select("qualified_name", "kind"), "qualified_name"), "SELECT qualified_name, community_id, kind FROM C JOIN N USING (qualified_name) WHERE community_id = 3")
 add("knowledge_gaps", lambda g: aggregates.isolated_nodes(g).select(F.lit("isolated").alias("gap"), F.col("qualified_name").alias("subject")).union(aggregates.thin_communities(g).select(F.lit("thin"), F.col("community_id").cast("string"))).union(aggregates.untested_hotspots(g).select(F.lit("hotspot"), "qualified_name")).union(aggregates.single_file_communities(g).select(F.lit("single_file"), F.col("community_id").cast("string"))))
-add("flow_qns", lambda g: (lambda h: h.memberships.join(h.flows.orderBy("entry").limit(1).select("flow_id"), "flow_id", "left_semi").select("qualified_name").distinct())(flows.flow_tables(g, None, 2)))
-add("flow_position", lambda g: flows.flow_tables(g, None, 2).memberships.select("entry", "qualified_name", "position"))
-add("flow_criticalities", lambda g: flows.flow_counts(flows.flow_tables(g, None, 2)))
-add("store_flows", lambda g: flows.flow_tables(g, None, 2).flows.select("entry", "node_count", "file_count", "depth"))
+add("flow_qns", lambda g: (lambda h: h.memberships.join(h.flows.orderBy("entry").limit(1).select("flow_id"), "flow_id", "left_semi").select("qualified_name").distinct())(flows.flow_tables(g)))
+add("flow_position", lambda g: flows.flow_tables(g).memberships.select("entry", "qualified_name", "position"))
+add("flow_criticalities", lambda g: flows.flow_counts(flows.flow_tables(g)))
+add("store_flows", lambda g: flows.flow_tables(g).flows.select("entry", "node_count", "file_count", "depth"))
 add("store_communities", lambda g: g.nodes.join(g.communities, "qualified_name", "left").select("qualified_name", "community_id"), "SELECT N.qualified_name, community_id FROM N LEFT JOIN C USING (qualified_name)")
 add("pr_risk_band", lambda g: aggregates.risk_index(g).select("qualified_name", review.risk_band(F.col("risk_score")).alias("band")).groupBy("band").agg(F.count(F.lit(1)).alias("n")))
 add("review_context", lambda g: impact.impact_radius(g, _files(g, A)).groupBy("file_path").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("best")))

@@ -2,7 +2,7 @@
 
 import pytest
 
-from lattica.catalog import QUERIES
+from lattica.catalog_more import QUERIES
 from lattica.operators import ranges
 from lattica.sources.derived import supply_graph
 
@@ -57,3 +57,28 @@ def test_line_budget_takes_every_part(spark, tmp_path):
     spans = spark.createDataFrame([(k, 1, n) for k, n in sizes.items()], "k long, start int, end int").repartition(7)
     got = ranges.line_budget(spans, 700, ["k"]).collect()
     assert sum(r.given for r in got) == 700 and max(r.k for r in got) == 30 + len(got) - 1
+
+
+def test_registered_flows_go_to_the_default_depth(spark, small, tmp_path):
+    import shutil
+
+    shutil.copytree(small, tmp_path, dirs_exist_ok=True)
+    steps = [(k, k + 1) for k in range(1, 20)] + [(12, 4), (21, 22)]
+    part = spark.createDataFrame([(k, f"Brand#1{k % 3}", 7) for k in range(1, 23)], "p_partkey long, p_brand string, p_size int")
+    lines = [(o, p, 1, k, 1.0, "N") for o, pair in enumerate(steps) for k, p in enumerate(pair)]
+    part.write.mode("overwrite").parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_extendedprice double, l_returnflag string").write.mode("overwrite").parquet(f"{tmp_path}/lineitem.parquet")
+    name = lambda p: f"/src/brand1{p % 3}.py::part_{p}"
+    want = {}
+    for entry in (1, 21):
+        hops, front = {entry: 0}, [entry]
+        while front:
+            front = [b for a in front for x, b in steps if x == a and b not in hops and not hops.update({b: hops[a] + 1})]
+        want |= {(name(entry), name(p)): h for p, h in hops.items() if h <= 15}
+    run = lambda q: QUERIES[q](spark, str(tmp_path)).collect()
+    assert max(want.values()) > 3
+    assert {(r.entry, r.qualified_name): r.hop for r in run("trace_flows")} == want
+    assert {(r.entry, r.qualified_name) for r in run("flow_position")} == set(want)
+    deepest = {(e, sum(x == e for x, _ in want), max(h for (x, _), h in want.items() if x == e)) for e, _ in want}
+    for q in ("flow_criticality", "incremental_flows", "store_flows"):
+        assert {(r.entry, r.node_count, r.depth) for r in run(q)} == deepest, q
