@@ -5,7 +5,9 @@ fingerprints of its windows' anchors, and whether each was seen twice.  A new
 run is merge-joined with the runs before it, bucket by bucket; runs of a level
 are compacted into one of the next level when enough have gathered.  A
 fingerprint that recurs is only a hint: the windows that name it are then
-compared by their own hashes before a word is removed.
+compared by their own hashes before a word is removed.  A log that outlives a
+call keeps the hashes of all windows as runs of the same kind, and the windows
+of later calls are merge-joined with these.
 """
 
 from __future__ import annotations
@@ -78,12 +80,39 @@ def _flag(batches):
         yield chunks.rows(chunks.ANSWERS, [bucket] * len(asks), [r["chunk"] for r in asks], out)
 
 
+def _verdict(batches):
+    """Rows of a bucket, those of older runs first, then what chunks ask: 1 for keys that the asks hold twice or an older run has."""
+    for bucket, got in chunks.grouped(batches):
+        asks = [r for r in got if r["chunk"] is not None]
+        if not asks:
+            continue
+        keys, many = merge_runs([_pair(r) for r in asks])
+        for r in got:
+            if r["chunk"] is None:
+                many = many | np.isin(keys, _pair(r)[0], assume_unique=True)
+        out = [many[np.searchsorted(keys, _pair(r)[0])].astype(np.uint8).tobytes() for r in asks]
+        yield chunks.rows(chunks.ANSWERS, [bucket] * len(asks), [r["chunk"] for r in asks], out)
+
+
 @dataclass
 class FingerprintLog:
-    """Runs by level, all in the shared folder; ``fan_in`` runs of a level are compacted into the next."""
+    """Runs by level, all in the shared folder; ``fan_in`` runs of a level are compacted into the next.
+
+    ``windows`` is the log of the window hashes themselves, and ``shape`` the
+    (width, gram, buckets) that all calls share.
+    """
 
     fan_in: int = 2
     levels: list[list[DataFrame]] = field(default_factory=list)
+    windows: FingerprintLog | None = None
+    shape: tuple[int, int, int] | None = None
+
+    def fix(self, width: int, gram: int, n: int) -> int:
+        """The number of buckets, which the first call sets; other windows than the log's are refused."""
+        self.shape = self.shape or (width, gram, n)
+        if self.shape[:2] != (width, gram):
+            raise ValueError(f"the log holds windows of {self.shape[0]} words by grams of {self.shape[1]}")
+        return self.shape[2]
 
     @property
     def runs(self) -> list[DataFrame]:
@@ -128,6 +157,13 @@ class FingerprintLog:
             rows = rows.unionByName(r.withColumn("chunk", F.lit(None).cast("long")))
         return chunks.by_bucket(rows, _flag, chunks.ANSWERS, "chunk")
 
+    def verdicts(self, asks: DataFrame) -> DataFrame:
+        """Answers to asks that are not in the log: which of their keys are found twice in them or once in an older run."""
+        rows = asks.select("bucket", "chunk", "keys", F.col("extra").alias("many"))
+        for r in self.runs:
+            rows = rows.unionByName(r.withColumn("chunk", F.lit(None).cast("long")))
+        return chunks.by_bucket(rows, _verdict, chunks.ANSWERS, "chunk")
+
 
 def _anchor_keys(width: int, gram: int):
     def keys(table, got):
@@ -150,6 +186,14 @@ def candidate_windows(table, got: dict, width: int, gram: int, n: int) -> list[t
     return out
 
 
+def _every_window(width: int):
+    def keys(table, got):
+        out = [windows_hash(prefix_sums(word_hashes(t.as_py())), width) for t in table.column("_t")]
+        return np.concatenate(out) if out else np.zeros(0, _U)
+
+    return keys
+
+
 def _window_keys(width: int, gram: int, n: int):
     def keys(table, got):
         out = [windows_hash(prefix_sums(w), width)[at] for w, at in candidate_windows(table, got, width, gram, n)]
@@ -181,25 +225,31 @@ def remove_repeated_windows(docs: DataFrame, *, width: int = 35, gram: int = 18,
     """(doc_id, n_words, n_removed, kept) of every document, ``kept`` the remaining words joined by one space.
 
     A word goes if a window of ``width`` words covers it whose sequence also
-    starts anywhere else, in this document or another.  Chunks enter the index
-    in ``batches``, each merge-joined with what is there.  Null and empty texts
-    have no words; texts shorter than a window lose none; repeated rows repeat
+    starts anywhere else, in this document or another, or in a document of an
+    earlier call with the same ``log``.  Chunks enter the index in ``batches``,
+    and a given log also takes the hashes of all windows; without one no later
+    call can ask for them.  Null and empty texts have no words; texts shorter than a window lose none; repeated rows repeat
     each other and so lose what a window covers.
     """
     spark = docs.sparkSession
-    n = chunks.buckets(spark)
-    packed = chunks.pack(docs, "doc_id")
+    lasting = log is not None
     log = log or FingerprintLog(fan_in)
+    n = log.fix(width, gram, chunks.buckets(spark))
+    log.windows = log.windows or FingerprintLog(log.fan_in)
+    packed = chunks.pack(docs, "doc_id")
     asks = store(chunks.ask(packed, _anchor_keys(width, gram), n), "asks")
     for b in range(batches):
         new = asks.filter(F.pmod(F.xxhash64("chunk"), F.lit(batches)) == b)
-        drop_stored(store(log.append(new), "recurring"))  # what a user of one batch would look at
+        log.append(new)
         log.compact()
     hints = store(log.recurring(asks), "hints")
     drop_stored(asks)
     told = chunks.tell(packed, hints)
     asked = chunks.ask(told, _window_keys(width, gram, n), n)
-    verified = store(chunks.by_bucket(asked, chunks.repeated_keys(), chunks.ANSWERS), "verified")
+    verified = store(log.windows.verdicts(asked), "verified")
+    if lasting:
+        log.windows.append(chunks.ask(packed, _every_window(width), n))
+        log.windows.compact()
     release(spark)
 
     def digest(batches):
