@@ -25,15 +25,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of least doc_id, of every group linked by 80 % of 5-word shingles.
+    """One document of every group linked by 80 % of 5-word shingles: that of least (doc_id with null last, text hash).
 
-    Repeated rows are one document.  A row without a doc_id goes if its group
-    has a document with one; groups of such rows alone keep their different texts.
+    Repeated rows are one document.  Texts without shingles link with nothing.
     """
     keyed = docs.withColumn("_id", id_key()).withColumn("_text", text_key())
-    groups = ngram_jaccard.jaccard_components(keyed, ngram_jaccard.Likeness(words=5, percent=80), "_id", "_text")
-    gone = groups.filter(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select("_id", "_text").distinct()
-    return keyed.join(gone, ["_id", "_text"], "left_anti").dropDuplicates(["_id", "_text"]).select(*COLUMNS)
+    groups = ngram_jaccard.jaccard_components(keyed, ngram_jaccard.Likeness(words=5, percent=80), "_id", "_text", group="_group")
+    alone = [F.when(F.col("_group").isNull(), F.col(c)).alias(f"_alone{c}") for c in ("_id", "_text")]
+    first = groups.groupBy("_group", *alone).agg(F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "_id", "_text")).alias("_first"))
+    return keyed.join(first.select("_first._id", "_first._text"), ["_id", "_text"], "left_semi").dropDuplicates(["_id", "_text"]).select(*COLUMNS)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -438,7 +438,7 @@ def _verify(members: DataFrame, like: Likeness, block: int) -> DataFrame:
     return edges.union(found)
 
 
-def jaccard_components(docs: DataFrame, like: Likeness, *columns: str, block: int = 3_000_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, like: Likeness, *columns: str, block: int = 3_000_000, group: str | None = None) -> DataFrame:
     """(doc_id, ``columns``, n_shingles, component_id) of every document.
 
     Links are exact and no link between different sets is lost; component_id is
@@ -446,7 +446,9 @@ def jaccard_components(docs: DataFrame, like: Likeness, *columns: str, block: in
     empty texts have no shingles and link with nothing.  Documents with equal
     sets are one class from the start.  Repeated rows each get a row.  A family
     of sets that may link is compared in one task up to ``block`` shingles, and
-    block by block beyond.
+    block by block beyond.  ``group`` names a further column, which tells
+    components apart where their documents share ids or have none; it is null
+    without shingles.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -473,4 +475,5 @@ def jaccard_components(docs: DataFrame, like: Likeness, *columns: str, block: in
     least = placed.filter("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("_least"))
     out = placed.join(least, "component", "left")
     own = F.when(F.col("n_shingles") > 0, F.coalesce("_least", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", *columns, "n_shingles", own.alias("component_id"))
+    more = [F.when(F.col("n_shingles") > 0, F.col("component")).alias(group)] if group else []
+    return out.select("doc_id", *columns, "n_shingles", own.alias("component_id"), *more)

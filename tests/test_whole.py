@@ -118,3 +118,15 @@ def test_calls_that_share_a_log_find_what_earlier_ones_held(spark):
     assert [len(level) for level in log.windows.levels] == [0, 0, 1]
     with pytest.raises(ValueError):
         window_log.remove_repeated_windows(spark.createDataFrame([], "doc_id long, text string"), width=20, gram=10, log=log)
+
+
+def test_one_document_of_every_group_stays(spark):
+    import corpus_pipeline as cp
+
+    text = lambda key, *odd: " ".join(f"{key}{k}" for k in range(200)) + "".join(f" {x}" for x in odd)
+    rows = [(1, text("a")), (1, text("a", "x")), (1, text("b")), (2, text("b", "y")), (None, text("c")), (None, text("c", "z")), (None, text("c", "w")), (None, text("d")), (3, text("d", "v")), (1, "too short"), (None, None), (None, "short"), (None, "short")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r.doc_id, r.text) for r in cp.near_duplicates(spark, docs, "").collect()]
+    group = Counter((t or "").split("0")[0] for _, t in kept)
+    assert group == {"a": 1, "b": 1, "c": 1, "d": 1, "too short": 1, "": 1, "short": 1}
+    assert {i for i, t in kept if t and t[0] in "abd"} == {1, 3} and len(kept) == 7
