@@ -19,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset and all runs on one machine."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         conf = f"file://{tempfile.mkdtemp(prefix='lattica-')}"
         spark.conf.set("spark.checkpoint.dir", conf)
     return conf.rstrip("/")
@@ -43,6 +45,7 @@ def store(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     path = work_path(spark, name)
     df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
     release(spark)
     return out
 
@@ -56,9 +59,9 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 def drop_stored(df: DataFrame) -> None:
     """Delete what ``store`` wrote for ``df``."""
-    files = df.inputFiles()
-    if files:
-        drop_path(df.sparkSession, files[0].rsplit("/", 1)[0])
+    path = getattr(df, "stored_at", None)
+    if path:
+        drop_path(df.sparkSession, path)
 
 
 def release(spark: SparkSession) -> None:
@@ -101,5 +104,17 @@ def id_key(col: str = "doc_id") -> Column:
     return F.coalesce(F.col(col).cast("long"), F.lit(NULL_ID))
 
 
+def fresh(taken, *names: str) -> dict[str, str]:
+    """For each helper name one that no column in ``taken`` has, whatever its letter case."""
+    used, out = {c.lower() for c in taken if c}, {}
+    for name in names:
+        made = f"_{name}"
+        while made.lower() in used:
+            made += "_"
+        used.add(made.lower())
+        out[name] = made
+    return out
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

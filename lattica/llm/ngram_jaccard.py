@@ -13,6 +13,12 @@ first-level parts of a set have such a subset, one of its spare+1 good parts has
 none, and its shared signature holds shingles.  The few sets with more of them
 are also compared with each other, band by band.
 
+Before anything is signed, sets that can't link leave.  Every set asks about its
+least-hashed shingles, a share of twice the differences a link allows; of two
+sets that link, enough of these are the same (prefix filtering with an overlap
+of more than one).  Sets whose asked shingles are not found again often enough
+link with nothing, and most of a corpus never signs.
+
 Sets that share a signature, and those that such sets share others with, are a
 family.  A family is parted by the rarest shingles of its sets, of which linked
 sets share one, and what is left together is compared exactly.
@@ -28,11 +34,12 @@ from math import floor
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm import chunks
-from lattica.llm.common import drop_stored, id_key, release, shuffle_width, small_batches, store, trimmed, utf8
+from lattica.llm.common import drop_stored, fresh, id_key, release, shuffle_width, small_batches, store, text_key, trimmed, utf8
 from lattica.llm.components import connected
 from lattica.llm.sequences import mix, word_hashes
 
@@ -61,6 +68,22 @@ class Likeness:
     def linked(self, common, a, b):
         return 100 * common >= self.percent * (a + b - common)
 
+    def least(self, n: int) -> int:
+        """Shingles that a set of ``n`` shares at least with any it links with, and the least size of those."""
+        return -(-self.percent * n // 100)
+
+    def overlap(self, n: int) -> int:
+        """Asked shingles that a set of ``n`` shares with any set it links with, if that is no smaller."""
+        return min(self.least(n), max(1, n - self.least(n)))
+
+    def asked(self, n: int) -> int:
+        """How many of its least-hashed shingles a set of ``n`` asks about."""
+        return n - self.least(n) + self.overlap(n)
+
+    def needed(self, n: int) -> int:
+        """Asked shingles of a set of ``n`` that any linked set, which may be smaller, asks about as well."""
+        return self.overlap(self.least(n))
+
 
 def shingles(text: bytes, words: int) -> np.ndarray:
     """Sorted distinct 64-bit shingle hashes; with fewer words the whole sequence is one, with none the set is empty."""
@@ -75,6 +98,16 @@ def shingles(text: bytes, words: int) -> np.ndarray:
         return np.unique(mix(acc + _U(n)))
 
 
+def packed(text: bytes) -> bytes:
+    """A text as it travels: a third of what its shingles take."""
+    return zstandard.compress(text, 3)
+
+
+def unpacked(body, like: Likeness) -> np.ndarray:
+    """The shingles of a packed text."""
+    return shingles(zstandard.decompress(body.as_buffer()), like.words)
+
+
 def class_of(s: np.ndarray) -> int:
     """The 64-bit name of a shingle set."""
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
@@ -122,21 +155,106 @@ def _batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def _sets(like: Likeness):
-    schema = pa.schema([("cls", pa.int64()), ("n_shingles", pa.int64())])
+def _sets(like: Likeness, name: str):
+    names = [name, "n_shingles"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cls, sizes = [], []
-            for t in b.column("_t"):
+            for t in b.columns[-1]:
                 s = shingles(t.as_py(), like.words)
                 cls.append(class_of(s))
                 sizes.append(len(s))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(cls, pa.int64()), pa.array(sizes, pa.int64())], names=[*b.schema.names[:-1], *schema.names])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(cls, pa.int64()), pa.array(sizes, pa.int64())], names=[*b.schema.names[:-1], *names])
 
     return run
 
 
+_ASKED = "bucket int, chunk long, names boolean, keys binary, runs binary"
+_FOUND = "chunk long, names boolean, keys binary, runs binary"
+
+
+def _runs(counts: np.ndarray) -> bytes:
+    """Small numbers, one byte each where that does; the first byte tells."""
+    wide = len(counts) and int(counts.max()) > 255
+    return bytes([wide]) + counts.astype(np.uint32 if wide else np.uint8).tobytes()
+
+
+def _counts(runs: bytes) -> np.ndarray:
+    return np.frombuffer(runs, np.uint32 if runs[0] else np.uint8, offset=1).astype(np.int64)
+
+
+def _ask(like: Likeness, n: int):
+    """Of every chunk, 32 bits of the asked shingles of its sets by bucket, and the sets' names once.
+
+    Different shingles of one bucket may agree in 32 bits, which only keeps a set too many.
+    """
+
+    def run(batches):
+        for chunk, table in chunks.tables(batches):
+            sets: dict[int, np.ndarray] = {}
+            for t in table.column("_t"):
+                s = shingles(t.as_py(), like.words)
+                if len(s):
+                    sets.setdefault(class_of(s), s)
+            if not sets:
+                continue
+            sizes = [len(s) for s in sets.values()]
+            asked = [s[: like.asked(m)] for s, m in zip(sets.values(), sizes, strict=True)]
+            yield chunks.rows(_ASKED, [chunk % n], [chunk], [True], [np.fromiter(sets, np.int64, len(sets)).tobytes()], [_runs(np.array([like.needed(m) for m in sizes]))])
+            owner = np.repeat(np.arange(len(asked)), [len(x) for x in asked])
+            key = mix(np.concatenate(asked) ^ _U(0x6A09E667F3BCC909))
+            bucket = ((key >> _U(32)) % _U(n)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            key, owner, bucket = key[order].astype(np.uint32), owner[order], bucket[order]
+            cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
+            rows = [(int(bucket[x]), key[x:y].tobytes(), _runs(np.bincount(owner[x:y], minlength=len(asked)))) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+            for at in range(0, len(rows), 64):
+                b, k, r = zip(*rows[at : at + 64], strict=True)
+                yield chunks.rows(_ASKED, b, [chunk] * len(b), [False] * len(b), k, r)
+
+    return run
+
+
+def _found_again(batches):
+    """Rows of a bucket: of every chunk, how many of the keys of each of its sets are found again; names pass."""
+    for _, got in chunks.grouped(batches):
+        for r in got:
+            if r["names"]:
+                yield chunks.rows(_FOUND, [r["chunk"]], [True], [r["keys"]], [r["runs"]])
+        asks = [r for r in got if not r["names"]]
+        if not asks:
+            continue
+        keys = [np.frombuffer(r["keys"], np.uint32) for r in asks]
+        _, inverse, counts = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+        again = np.split(counts[inverse] > 1, np.cumsum([len(k) for k in keys])[:-1])
+        for r, found in zip(asks, again, strict=True):
+            if found.any():
+                runs = _counts(r["runs"])
+                owner = np.repeat(np.arange(len(runs)), runs)
+                yield chunks.rows(_FOUND, [r["chunk"]], [False], [b""], [_runs(np.bincount(owner[found], minlength=len(runs)))])
+
+
+def _may_link(batches):
+    """Rows of a chunk: the sets of which enough keys were found again."""
+    for _, got in chunks.grouped(batches, "chunk"):
+        (names,) = [r for r in got if r["names"]]
+        need = _counts(names["runs"])
+        total = np.zeros(len(need), np.int64)
+        for r in got:
+            if not r["names"]:
+                total += _counts(r["runs"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(names["keys"], np.int64)[total >= need])], names=["cls"])
+
+
+def may_link(texts: DataFrame, like: Likeness) -> DataFrame:
+    """The classes (cls) of texts in ``_t`` that are not ruled out from linking with another."""
+    spark = texts.sparkSession
+    asked = texts.select("_t").mapInArrow(trimmed(_ask(like, chunks.buckets(spark))), _ASKED)
+    found = chunks.by_bucket(asked, _found_again, _FOUND)
+    return found.repartition(shuffle_width(spark), "chunk").sortWithinPartitions("chunk").mapInArrow(trimmed(_may_link), "cls long").distinct()
+
+
 _SIGNED = "bucket int, sigs binary, who binary, names binary, sparse boolean"
 
 
@@ -161,13 +279,9 @@ def _signed(like: Likeness, n: int):
         for b in batches:
             seen: dict[int, np.ndarray] = {}
             few: list[tuple[int, int]] = []
-            for t in b.column("_t"):
-                s = shingles(t.as_py(), like.words)
-                if len(s) and (c := class_of(s)) not in seen:
-                    seen[c], sparse = signatures(s, like)
-                    few += [(int(x), c) for x in sparse.view(np.int64)]
-            if not seen:
-                continue
+            for c, t in zip(b.column("cls").to_pylist(), b.column("body"), strict=True):
+                seen[c], sparse = signatures(unpacked(t, like), like)
+                few += [(int(x), c) for x in sparse.view(np.int64)]
             cls = np.repeat(np.fromiter(seen, np.int64, len(seen)), [len(v) for v in seen.values()])
             yield from _narrow(np.concatenate(list(seen.values())), cls, n)
             if few:
@@ -279,13 +393,13 @@ def _labels(like: Likeness):
     def run(batches):
         family, cls, sets = None, [], []
         for b in batches:
-            for f, c, s in zip(b.column("family").to_pylist(), b.column("cls").to_pylist(), b.column("items"), strict=True):
+            for f, c, t in zip(b.column("family").to_pylist(), b.column("cls").to_pylist(), b.column("body"), strict=True):
                 if f != family and cls:
                     yield emit(cls, sets)
                     cls, sets = [], []
                 family = f
                 cls.append(c)
-                sets.append(np.frombuffer(s.as_py(), _U))
+                sets.append(unpacked(t, like))
         if cls:
             yield emit(cls, sets)
 
@@ -305,32 +419,39 @@ def _blocks(like: Likeness):
     def run(batches):
         key, rows = None, []
         for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("family", "qb", "mb", "cls", "items", "asked")]
-            for f, q, m, c, s, asked in zip(*cols, strict=True):
+            cols = [b.column(c).to_pylist() for c in ("family", "qb", "mb", "cls", "asked")]
+            for f, q, m, c, asked, t in zip(*cols, b.column("body"), strict=True):
                 if (f, q, m) != key and rows:
                     yield emit(rows)
                     rows = []
                 key = (f, q, m)
-                rows.append((c, np.frombuffer(s, _U), asked))
+                rows.append((c, unpacked(t, like), asked))
         if rows:
             yield emit(rows)
 
     return run
 
 
-def _items(like: Likeness):
-    """The sets of rows whose text is of the class asked for: rows that share an id may hold other texts."""
-    schema = pa.schema([("family", pa.int64()), ("cls", pa.int64()), ("items", pa.binary())])
+_MEMBERS = "family long, cls long, n long, body binary"
+
+
+def _bodies(like: Likeness):
+    """Packed texts of the classes asked for, once a task, since a row may be repeated very often."""
 
     def run(batches):
+        seen = set()
         for b in batches:
             rows = []
-            for f, c, t in zip(b.column("family").to_pylist(), b.column("cls").to_pylist(), b.column("_t"), strict=True):
-                s = shingles(t.as_py(), like.words)
+            for c, t in zip(b.column("cls").to_pylist(), b.column("_t"), strict=True):
+                if c in seen:
+                    continue
+                text = t.as_py()
+                s = shingles(text, like.words)
                 if class_of(s) == c:
-                    rows.append((f, c, s.tobytes()))
+                    seen.add(c)
+                    rows.append((c, len(s), packed(text)))
             if rows:
-                yield _batch(schema, *zip(*rows, strict=True))
+                yield chunks.rows("cls long, n long, body binary", *zip(*rows, strict=True))
 
     return run
 
@@ -339,14 +460,14 @@ def _items(like: Likeness):
 SKETCH, _PARTS = 1 << 20, 64
 
 
-def _sketch(members: DataFrame) -> np.ndarray:
+def _sketch(members: DataFrame, like: Likeness) -> np.ndarray:
     """Counts of shingles by the low bits of their hashes, summed part by part."""
 
     def run(batches):
         total = np.zeros(SKETCH, np.int64)
         for b in batches:
-            for x in b.column("items"):
-                np.add.at(total, (np.frombuffer(x.as_buffer(), _U) & _U(SKETCH - 1)).astype(np.int64), 1)
+            for t in b.column("body"):
+                np.add.at(total, (unpacked(t, like) & _U(SKETCH - 1)).astype(np.int64), 1)
         yield chunks.rows("bucket int, sums binary", range(_PARTS), [p.tobytes() for p in total.reshape(_PARTS, -1)])
 
     def add(batches):
@@ -354,7 +475,7 @@ def _sketch(members: DataFrame) -> np.ndarray:
             yield chunks.rows("bucket int, sums binary", [part], [np.sum([np.frombuffer(r["sums"], np.int64) for r in got], axis=0).tobytes()])
 
     out = np.zeros((_PARTS, SKETCH // _PARTS), np.int64)
-    for r in chunks.by_bucket(members.select("items").mapInArrow(run, "bucket int, sums binary"), add, "bucket int, sums binary").collect():
+    for r in chunks.by_bucket(members.select("body").mapInArrow(trimmed(run), "bucket int, sums binary"), add, "bucket int, sums binary").collect():
         out[r.bucket] = np.frombuffer(r.sums, np.int64)
     return out.ravel()
 
@@ -368,9 +489,9 @@ def _prefixes(like: Likeness, shared, n: int):
     def run(batches):
         for b in batches:
             sig, cls = [], []
-            for f, c, x in zip(b.column("family").to_pylist(), b.column("cls").to_pylist(), b.column("items"), strict=True):
-                s = np.frombuffer(x.as_buffer(), _U)
-                m = len(s) - -(-like.percent * len(s) // 100) + 1
+            for f, c, t in zip(b.column("family").to_pylist(), b.column("cls").to_pylist(), b.column("body"), strict=True):
+                s = unpacked(t, like)
+                m = len(s) - like.least(len(s)) + 1
                 rare = np.lexsort((s, shared.value[(s & _U(SKETCH - 1)).astype(np.int64)]))[:m]
                 sig.append(mix(s[rare] ^ mix(np.array([f], np.int64).view(_U))))
                 cls.append(np.full(len(rare), c))
@@ -380,60 +501,62 @@ def _prefixes(like: Likeness, shared, n: int):
     return run
 
 
-def _refine(members: DataFrame, like: Likeness) -> DataFrame:
+def _refine(members: DataFrame, able: DataFrame, like: Likeness) -> DataFrame:
     """Members regrouped by shared rare shingles: what shares only a common passage falls apart, what links stays together."""
     spark = members.sparkSession
-    shared = spark.sparkContext.broadcast(_sketch(members))
+    shared = spark.sparkContext.broadcast(_sketch(members, like))
     signed = members.mapInArrow(trimmed(_prefixes(like, shared, chunks.buckets(spark))), _SIGNED)
     tied = chunks.by_bucket(signed, _hub_edges, "a long, b long, sparse boolean").select("a", "b").distinct()
     close = connected(tied).select(F.col("node").alias("cls"), F.col("component").alias("family"))
-    return members.drop("family").join(close, "cls").select("family", "cls", "items").mapInArrow(_banded(like), "family long, cls long, items binary")
+    return able.join(close, "cls").select("family", "cls", "n", "body").mapInArrow(_banded(like), _MEMBERS)
 
 
 def _banded(like: Likeness):
     """Members of a family by the size bands they sign for: sets that link share a band, and a large family becomes many."""
-    schema = pa.schema([("family", pa.int64()), ("cls", pa.int64()), ("items", pa.binary())])
 
     def run(batches):
         for b in batches:
-            rows = [(f, c, x, tag) for f, c, x in zip(*(b.column(n).to_pylist() for n in schema.names), strict=True) for tag, _ in bands(like, len(x) // 8)]
+            rows = [(f, c, n, t, tag) for f, c, n, t in zip(*(b.column(x).to_pylist() for x in ("family", "cls", "n", "body")), strict=True) for tag, _ in bands(like, n)]
             if rows:
-                family, cls, items, tag = zip(*rows, strict=True)
-                yield _batch(schema, mix(np.array(family, np.int64).view(_U) ^ mix(np.array(tag, np.int64).view(_U))).view(np.int64), cls, items)
+                family, cls, n, body, tag = zip(*rows, strict=True)
+                yield chunks.rows(_MEMBERS, mix(np.array(family, np.int64).view(_U) ^ mix(np.array(tag, np.int64).view(_U))).view(np.int64), cls, n, body)
 
     return run
 
 
 def _verify(members: DataFrame, like: Likeness, block: int) -> DataFrame:
-    """Exact link edges (a, b) that span the components of every family in (family, cls, items)."""
+    """Exact link edges (a, b) that span the components of every family in (family, cls, n, body)."""
     spark, width = members.sparkSession, shuffle_width(members.sparkSession)
-    sizes = members.groupBy("family").agg((F.sum(F.octet_length("items")) / 8).alias("m"), F.max_by("cls", F.struct(F.octet_length("items"), "cls")).alias("hub"))
-    large = store(sizes.filter(F.col("m") > block), "large")
+    sizes = members.groupBy("family").agg(F.sum("n").alias("m"), F.max(F.struct("n", "cls")).alias("hub"))
+    large = store(sizes.filter(F.col("m") > block).select("family", "m", F.col("hub.cls").alias("hub")), "large")
     small = members.join(large.select("family"), "family", "left_anti")
     edges = small.repartition(width, "family").sortWithinPartitions("family", "cls").mapInArrow(trimmed(_labels(like)), "a long, b long")
     if large.isEmpty():
         return edges
     # A family beyond one task: first all against its hub, then those that miss the hub against all, block by block.
     rows = members.join(large, "family")
-    hubs = rows.filter(F.col("cls") == F.col("hub")).select(F.col("family").alias("_f"), F.col("items").alias("hub_items"))
+    hubs = rows.filter(F.col("cls") == F.col("hub")).select(F.col("family").alias("_f"), F.col("body").alias("hub_body"))
+    kept = ("family", "cls", "hub", "m", "body")
 
     def near(batches):
         for b in batches:
-            flags = []
-            for x, h in zip(b.column("items"), b.column("hub_items"), strict=True):
-                s, t = np.frombuffer(x.as_py(), _U), np.frombuffer(h.as_py(), _U)
+            flags, last, t = [], None, None
+            for x, h in zip(b.column("body"), b.column("hub_body"), strict=True):
+                if last is None or not h.equals(last):
+                    last, t = h, unpacked(h, like)
+                s = unpacked(x, like)
                 flags.append(bool(like.linked(len(np.intersect1d(s, t, assume_unique=True)), len(s), len(t))))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("family", "cls", "hub", "m", "items")), pa.array(flags)], names=["family", "cls", "hub", "m", "items", "near"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(flags)], names=[*kept, "near"])
 
-    judged = store(rows.join(hubs, F.col("family") == F.col("_f")).select("family", "cls", "hub", "m", "items", "hub_items").mapInArrow(near, "family long, cls long, hub long, m double, items binary, near boolean"), "near")
+    judged = store(rows.join(hubs, F.col("family") == F.col("_f")).select(*kept, "hub_body").mapInArrow(trimmed(near), "family long, cls long, hub long, m long, body binary, near boolean"), "near")
     edges = edges.union(judged.filter(F.col("near") & (F.col("cls") != F.col("hub"))).select(F.col("cls").alias("a"), F.col("hub").alias("b")))
     n = F.ceil(F.col("m") / F.lit(block)).cast("int")
     cut = judged.withColumn("nb", n).withColumn("mb", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int"))
     asked = cut.filter(~F.col("near")).withColumn("qb", F.col("mb"))
     asks = asked.select("family", "qb").distinct()
-    against = cut.select("family", "mb", "cls", "items").join(asks, "family").withColumn("asked", F.lit(False))
+    against = cut.select("family", "mb", "cls", "body").join(asks, "family").withColumn("asked", F.lit(False))
     queries = asked.withColumn("mb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("asked", F.lit(True))
-    both = queries.select("family", "qb", "mb", "cls", "items", "asked").union(against.select("family", "qb", "mb", "cls", "items", "asked"))
+    both = queries.select("family", "qb", "mb", "cls", "body", "asked").union(against.select("family", "qb", "mb", "cls", "body", "asked"))
     found = both.repartition(width, "family", "qb", "mb").sortWithinPartitions("family", "qb", "mb").mapInArrow(trimmed(_blocks(like)), "a long, b long")
     return edges.union(found)
 
@@ -448,32 +571,47 @@ def jaccard_components(docs: DataFrame, like: Likeness, *columns: str, block: in
     of sets that may link is compared in one task up to ``block`` shingles, and
     block by block beyond.  ``group`` names a further column, which tells
     components apart where their documents share ids or have none; it is null
-    without shingles.
+    without shingles.  Columns of any name may be kept but those returned.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *columns, id_key().alias("_k"), utf8().alias("_t"))
+    if clash := {"doc_id", "n_shingles", "component_id", group} & set(columns):
+        raise ValueError(f"columns that the result has of its own: {sorted(clash)}")
+    # Helper columns have names that no kept column has.
+    cls, key, body, least_ = fresh(columns, "cls", "key", "body", "least").values()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *columns, text_key().alias(key), utf8().alias(body))
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields if f.name in columns)
-    known = store(texts.select("doc_id", *columns, "_t").mapInArrow(_sets(like), f"doc_id long, {kept}cls long, n_shingles long"), "sets")
-    signed = texts.select("_t").mapInArrow(trimmed(_signed(like, chunks.buckets(spark))), _SIGNED)
+    known = store(texts.mapInArrow(_sets(like, cls), f"doc_id long, {kept}`{key}` long, `{cls}` long, n_shingles long"), "sets")
+    sets = known.select(id_key().alias("_k"), F.col(key).alias("_h"), "doc_id", "n_shingles", F.col(cls).alias("cls")).filter("n_shingles > 0")
+    classes = store(sets.groupBy("cls").agg(F.min(F.struct("_k", "_h")).alias("one"), F.min("doc_id").alias("least")), "classes")
+    bare = texts.select(id_key().alias("_k"), F.col(key).alias("_h"), F.col(body).alias("_t"))
+    wanted = store(may_link(bare, like).join(classes, "cls").select("cls", "one.*"), "wanted")
+    # What is wanted grows with the corpus, so it is never broadcast.
+    able = store(bare.join(wanted.hint("merge"), ["_k", "_h"]).select("cls", "_t").mapInArrow(trimmed(_bodies(like)), "cls long, n long, body binary"), "able", compression="none")
+    drop_stored(wanted)
+    signed = able.mapInArrow(trimmed(_signed(like, chunks.buckets(spark))), _SIGNED)
     tied = store(chunks.by_bucket(signed, _hub_edges, "a long, b long, sparse boolean").distinct(), "hubs")
     families = connected(tied.filter(~F.col("sparse")).select("a", "b")).select(F.col("node").alias("cls"), F.col("component").alias("family"))
     sparse = tied.filter("sparse").select(F.col("a").alias("cls"), F.col("b").alias("family"))
-    one = known.filter("n_shingles > 0").groupBy("cls").agg(F.min(id_key()).alias("_k"))
-    wanted = store(families.union(sparse).join(one, "cls"), "wanted")
+    members = store(families.union(sparse).join(able, "cls").select("family", "cls", "n", "body"), "members", compression="none")
     drop_stored(tied)
-    # What is wanted grows with the corpus, so it is never broadcast.
-    fetched = texts.join(wanted.hint("merge"), "_k").select("family", "cls", "_t").mapInArrow(_items(like), "family long, cls long, items binary")
-    members = store(fetched, "members")
-    close = store(_refine(members, like), "close")
+    close = store(_refine(members, able, like), "close", compression="none")
     drop_stored(members)
+    drop_stored(able)
     links = connected(_verify(close, like, block))
     drop_stored(close)
     release(spark)
-    cls = links.select(F.col("node").alias("cls"), F.col("component"))
-    placed = known.join(cls, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    least = placed.filter("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("_least"))
-    out = placed.join(least, "component", "left")
-    own = F.when(F.col("n_shingles") > 0, F.coalesce("_least", "doc_id")).otherwise(F.col("doc_id"))
-    more = [F.when(F.col("n_shingles") > 0, F.col("component")).alias(group)] if group else []
+    # By class, so that a class or component of very many rows is one row here; each join is of two stored tables,
+    # whose partitions are split where a key is hot.
+    joined = store(links.withColumnRenamed("node", "cls").join(classes, "cls").select("cls", "component", "least"), "linked")
+    lowest = store(joined.groupBy("component").agg(F.min("least").alias("least")), "lowest")
+    linked = store(joined.drop("least").join(lowest, "component"), "linked")
+    alone = classes.join(linked.select("cls"), "cls", "left_anti").select(F.col("cls").alias("component"), "cls", "least")
+    placed = store(linked.select("component", "cls", "least").union(alone).select(F.col("cls").alias(cls), F.col("component").alias(body), F.col("least").alias(least_)), "placed")
+    for used in (joined, lowest, linked, classes):
+        drop_stored(used)
+    out = known.join(placed.hint("merge"), cls, "left")
+    has = F.col("n_shingles") > 0
+    own = F.when(has, F.coalesce(least_, "doc_id")).otherwise(F.col("doc_id"))
+    more = [F.when(has, F.col(body)).alias(group)] if group else []
     return out.select("doc_id", *columns, "n_shingles", own.alias("component_id"), *more)
