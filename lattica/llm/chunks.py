@@ -74,13 +74,13 @@ def _pack(limit: int, most: int):
 
 
 def texts(docs: DataFrame, *columns: str) -> DataFrame:
-    """``columns`` and ``_t``, the UTF-8 text (null: empty), in small batches."""
+    """``columns`` as c0, c1, ... and ``_t``, the UTF-8 text (null: empty), in small batches."""
     small_batches(docs.sparkSession)
-    return docs.select(*columns, utf8().alias("_t"))
+    return docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(columns)), utf8().alias("_t"))
 
 
 def pack(docs: DataFrame, *columns: str, limit: int = 4_000_000, most: int = 2000) -> DataFrame:
-    """(chunk, blob) rows in the shared folder; a blob holds ``columns`` and ``_t``, the UTF-8 text (null: empty).
+    """(chunk, blob) rows in the shared folder; a blob holds ``columns`` as c0, c1, ... and ``_t``, the UTF-8 text (null: empty).
 
     The table is written once, so every later pass sees the same chunks.
     """

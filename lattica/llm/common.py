@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 import tempfile
@@ -91,6 +92,19 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) ->
             spark.conf.set(key, str(most))
 
 
+@contextlib.contextmanager
+def session(spark: SparkSession, settings: dict[str, object]):
+    """Settings that hold for what runs inside, and are as before afterwards."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, str(v))
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def utf8(col: str = "text") -> Column:
     """A text's UTF-8 bytes, empty for null."""
     return F.coalesce(F.col(col).cast("binary"), F.lit(b""))

@@ -205,7 +205,7 @@ def _ask(n: int):
             for chunk, blob in zip(b.column("chunk").to_pylist(), b.column("blob"), strict=True):
                 table = chunks.decode(blob.as_py())
                 w = _words(table, n)
-                learned = np.repeat(~table.column("held_out").to_numpy(), w.lengths)
+                learned = np.repeat(~table.column("c1").to_numpy(), w.lengths)
                 train = np.bincount(w.codes[learned], minlength=len(w.words))
                 for k, s in w.parts():
                     yield chunks.rows(_ASK, [k], [chunk], [chunks.encode(chunks.rows(_WORDS, w.words[s], train[s]))])
@@ -314,6 +314,6 @@ def score(docs: DataFrame, held_out, vocabulary: str, *, steps: int = 2) -> Data
                 gathered = lambda name: np.concatenate([p.column(name).to_numpy() for p in parts]) if parts else np.zeros(0)  # noqa: B023, E731
                 c, lp = gathered("c"), gathered("lp").astype(float)
                 known, base, model = w.sums(c > 0).astype(np.int64), w.sums(np.log10((c + 0.5) / bottom)), w.sums(lp)
-                yield chunks.rows(schema, t.column("doc_id").to_pylist(), t.column("held_out").to_pylist(), w.lengths + 1, known + (ends > 0), np.full(len(known), total), base + end_base, (model + end_lp) / log(10))
+                yield chunks.rows(schema, t.column("c0").to_pylist(), t.column("c1").to_pylist(), w.lengths + 1, known + (ends > 0), np.full(len(known), total), base + end_base, (model + end_lp) / log(10))
 
     return chunks.tell(packed, answers).select("blob", "got").mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -1,15 +1,17 @@
 """SentencePiece encoding by a relational lattice, and decoding.
 
-The distinct words of the corpus are exploded into substrings of bounded length,
-joined to the piece table, grouped again by word, and the best path is folded
-with Spark's higher-order ``aggregate``.  Documents are kept as sequences of
-places in their chunk's list of distinct words, so that a word's ids travel once
-per chunk and no token is ever a row.
+Texts are cut where no piece goes on: between two characters that stand side by
+side in no piece.  The distinct words between the cuts are exploded into
+substrings of bounded length, joined to the piece table, grouped again by word,
+and the best path is folded with Spark's higher-order ``aggregate``.  Documents
+are kept as sequences of places in their chunk's list of distinct words, so that
+a word's ids travel once per chunk and no token is ever a row.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 from hashlib import sha256
 
 import numpy as np
@@ -19,12 +21,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import chunks
-from lattica.llm.common import drop_path, release, store, trimmed, work_path
+from lattica.llm.common import drop_path, drop_stored, release, session, store, trimmed, work_path
 
 _U = np.uint64
 SPACE = "▁"
 #: Words of more characters are folded outside the lattice: an array fold copies its state at each step.
 LONG = 64
+#: Bytes of text in a chunk.
+CHUNK = 8_000_000
+#: Bits of the tables that tell where words may be cut.
+_BITS = 24
 
 
 @dataclass(frozen=True)
@@ -60,27 +66,107 @@ def load_vocabulary(path: str) -> Vocabulary:
     return Vocabulary(names, tuple(plain), tuple(sp.get_score(i) for i in plain), byte_ids, sp.unk_id())
 
 
+@lru_cache(maxsize=2)
+def useful(vocabulary: Vocabulary) -> tuple[int, ...]:
+    """Places of the pieces that can lie on a best path: no other pieces spell them at a clearly better score."""
+    scores = dict(zip(vocabulary.pieces, vocabulary.scores, strict=True))
+    bare, out = vocabulary.unknown_score, []
+    for at, (p, score) in enumerate(zip(vocabulary.pieces, vocabulary.scores, strict=True)):
+        best = [0.0] + [-np.inf] * len(p)
+        for stop in range(1, len(p) + 1):
+            for a in range(stop == len(p), stop):
+                got = scores.get(p[a:stop], bare if a == stop - 1 else None)
+                if got is not None:
+                    best[stop] = max(best[stop], best[a] + got)
+        if len(p) == 1 or best[-1] <= score + 1e-6 * abs(score):
+            out.append(at)
+    return tuple(out)
+
+
 def piece_table(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
-    """(piece, id, score): as many rows as the vocabulary has, whatever the input."""
-    return spark.createDataFrame(pa.table({"piece": list(vocabulary.pieces), "id": pa.array(vocabulary.ids, pa.int32()), "score": list(vocabulary.scores)}))
+    """(piece, id, score) of the useful pieces: no more rows than the vocabulary has, whatever the input."""
+    at = useful(vocabulary)
+    pieces, ids, scores = ([x[i] for i in at] for x in (vocabulary.pieces, vocabulary.ids, vocabulary.scores))
+    return spark.createDataFrame(pa.table({"piece": pieces, "id": pa.array(ids, pa.int32()), "score": scores}))
+
+
+class Joints:
+    """What the vocabulary says about neighbouring characters.
+
+    All tables are indexed by hashes of characters; where two agree, a word is
+    only cut less or reaches further, which changes no best path.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, places: tuple[int, ...]):
+        self.inside = np.zeros(1 << _BITS, bool)
+        self.reach2, self.reach3 = np.ones(1 << _BITS, np.uint8), np.zeros(1 << _BITS, np.uint8)
+        both = np.array([[ord(p[i]), ord(p[i + 1])] for p in vocabulary.pieces for i in range(len(p) - 1)], np.uint32).reshape(-1, 2)
+        self.inside[self._hash(both[:, 0], both[:, 1])] = True
+        for i in places:
+            c = [np.array([ord(x)], np.uint32) for x in vocabulary.pieces[i][:3]]
+            if len(c) == 2:
+                self.reach2[self._hash(*c)] = 2
+            elif len(c) == 3:
+                h = self._hash(self._hash(c[0], c[1]), c[2])
+                self.reach3[h] = max(int(self.reach3[h][0]), min(len(vocabulary.pieces[i]), 255))
+
+    @staticmethod
+    def _hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77)) ^ (a >> np.uint32(7))) >> np.uint32(32 - _BITS)
+
+    def cuts(self, codes: np.ndarray) -> np.ndarray:
+        """Which characters begin a word: the first, and those that no piece has behind the one before."""
+        return np.append(True, ~self.inside[self._hash(codes[:-1], codes[1:])])[: len(codes)]
+
+    def reach(self, words: list[str]) -> pa.ListArray:
+        """For every start in every word, the characters of the longest piece that may begin there."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(codes))
+        out = np.ones(len(codes), np.uint8)
+        if len(codes) > 1:
+            pair = self._hash(codes[:-1], codes[1:])
+            out[:-1] = np.where(left[:-1] >= 2, self.reach2[pair], 1)
+            if len(codes) > 2:
+                far = self.reach3[self._hash(pair[:-1], codes[2:])]
+                out[:-2] = np.where(left[:-2] >= 3, np.maximum(out[:-2], np.minimum(far, left[:-2])), out[:-2])
+        return _lists(out.astype(np.int8), lengths, pa.int8())
+
+
+@lru_cache(maxsize=2)
+def joints(vocabulary: Vocabulary, places: tuple[int, ...]) -> Joints:
+    """One for each worker; ``places`` are those of the useful pieces, which the driver finds."""
+    return Joints(vocabulary, places)
 
 
 def encode_words(words: DataFrame, vocabulary: Vocabulary, *columns: str) -> DataFrame:
-    """(word, ``columns``, ids) of distinct words of up to ``LONG`` characters in (word).
+    """(word, ``columns``, ids) of distinct words of up to ``LONG`` characters in (word); no other column is named ``reach``.
 
     Of paths of one score the one whose last piece begins first wins, piece by
     piece from the end.  A character without a piece costs ``unknown_score`` and
     becomes its bytes' pieces, or the unknown id where the vocabulary has none.
     """
+    shared = words.sparkSession.sparkContext.broadcast((vocabulary, useful(vocabulary)))
+    kept = [f for f in words.schema.fields if f.name in columns]
+
+    def reach(batches):
+        for b in batches:
+            yield b.append_column("reach", joints(*shared.value).reach(b.column("word").to_pylist()))
+
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
+    return best_paths(words.select(*columns, "word").mapInArrow(reach, f"{fields}word string, reach array<tinyint>"), vocabulary, *columns)
+
+
+def best_paths(words: DataFrame, vocabulary: Vocabulary, *columns: str) -> DataFrame:
+    """``encode_words`` of words whose ``reach`` is known."""
     spark = words.sparkSession
     # Joined by a number and then by the piece itself: a table of numbers is probed faster than one of strings.
     pieces = F.broadcast(piece_table(spark, vocabulary).select(F.xxhash64("piece").alias("key"), F.col("piece").alias("known"), "id", "score"))
-    # A partition's words are grouped in memory; past this many the grouping would sort substrings on disk.
-    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(1 << 20))
     # Dealt by word first: neither the join nor the grouping below moves a substring.
-    dealt = words.repartition(4 * chunks.buckets(spark), "word").withColumn("n", F.char_length("word"))
-    starts = dealt.select("word", *columns, "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("start"))
-    spans = starts.select("word", *columns, "n", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(vocabulary.longest), F.col("n") - F.col("start")))).alias("m"))
+    dealt = words.repartition(chunks.buckets(spark), "word")
+    starts = dealt.select("word", *columns, F.size("reach").alias("n"), F.posexplode("reach").alias("start", "most"))
+    spans = starts.select("word", *columns, "n", "start", F.explode(F.sequence(F.lit(1), F.col("most").cast("int"))).alias("m"))
     spans = spans.withColumn("piece", F.expr("substring(word, start + 1, m)")).withColumn("key", F.xxhash64("piece"))
     found = spans.join(pieces, "key", "left").withColumn("id", F.when(F.col("known") == F.col("piece"), F.col("id"))).filter("id is not null or m = 1")
     # An edge is (stop * 256 + start, score, id), id -1 for a character without a piece; words are shorter than 256.
@@ -160,20 +246,33 @@ def _joined(lists: pa.ListArray) -> pa.Array:
     return pc.binary_join(lists, pa.scalar(b"", pa.binary()))
 
 
-def chunk_words(table: pa.Table, n: int) -> chunks.Words:
-    """Words of a chunk, each led by its spaces; every text that isn't empty gets one space in front."""
-    texts = [b" " + t.as_py().replace(SPACE.encode(), b" ") if len(t.as_buffer() or b"") else b"" for t in table.column("_t")]
+def chunk_words(table: pa.Table, n: int, at: Joints) -> chunks.Words:
+    """Words of a chunk, spaces marked; every text that isn't empty gets one in front.  What isn't UTF-8 is replaced."""
+    texts = [(SPACE + t.as_py().decode("utf-8", "replace").replace(" ", SPACE)).encode() if len(t.as_buffer() or b"") else b"" for t in table.column("_t")]
     data = b"".join(texts)
     firsts = np.cumsum([0, *map(len, texts)])
-    space = np.frombuffer(data, np.uint8) == 32
-    starts = np.union1d(np.flatnonzero(space & ~np.append(False, space[:-1])), firsts[:-1][np.diff(firsts) > 0])
+    chars = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
+    begins = np.zeros(len(data), bool)
+    begins[chars[at.cuts(np.frombuffer(data.decode().encode("utf-32-le"), np.uint32))]] = True
+    begins[firsts[:-1][np.diff(firsts) > 0]] = True
+    starts = np.flatnonzero(begins)
     ends = np.append(starts[1:], len(data)) if len(starts) else starts
     return chunks.Words(data, starts, ends, np.diff(np.searchsorted(starts, firsts)), n)
 
 
-def _marked(words: pa.Array) -> pa.Array:
-    """Words as the lattice reads them: text, with marked spaces."""
-    return pa.array([w.decode("utf-8", "replace").replace(" ", SPACE) for w in words.to_pylist()], pa.string())
+def _squeezed(codes: np.ndarray) -> tuple[bytes, bytes]:
+    """Codes as ranks by how often they come, byte by byte, and the codes in order of rank."""
+    counts = np.bincount(codes)
+    order = np.argsort(-counts, kind="stable").astype(np.uint32)
+    rank = np.empty(len(order), np.uint32)
+    rank[order] = np.arange(len(order), dtype=np.uint32)
+    planes = lambda x: np.ascontiguousarray(x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
+    return planes(rank[codes]), planes(order)
+
+
+def _unsqueezed(ranks: bytes, order: bytes) -> np.ndarray:
+    whole = lambda x: np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+    return whole(order)[whole(ranks)] if ranks else np.zeros(0, np.uint32)
 
 
 _DOC = "kind int, chunk long, bucket int, body binary"
@@ -183,25 +282,38 @@ def _lists(values: np.ndarray, lengths: np.ndarray, kind) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), pa.array(values, kind))
 
 
-def _coded(columns: list[str], n: int):
+def _coded(shared, n: int):
     """Per chunk: rows of kind 1 with its distinct words by bucket, and one of kind 0 with its documents."""
 
     def run(batches):
-        for chunk, table in chunks.tables(batches):
-            w = chunk_words(table, n)
+        at = joints(*shared.value)
+        for chunk, table in chunks.tables(batches, CHUNK, 1 << 20):
+            w = chunk_words(table, n, at)
             digests = [sha256(t.as_py()).digest() for t in table.column("_t")]
-            docs = pa.RecordBatch.from_arrays([*(table.column(c).combine_chunks() for c in columns), pa.array(digests, pa.binary()), _lists(w.codes.astype(np.uint32), w.lengths, pa.uint32())], names=[*columns, "_sha", "_codes"])
-            yield chunks.rows(_DOC, [0], [chunk], [-1], [chunks.encode(docs)])
+            kept = [c.combine_chunks() for c in table.columns[:-1]]
+            docs = pa.RecordBatch.from_arrays([*kept, pa.array(digests, pa.binary()), pa.array(w.lengths, pa.int64())], names=[str(i) for i in range(len(kept) + 2)])
+            ranks, order = _squeezed(w.codes)
+            yield chunks.rows(_DOC, [0], [chunk], [-1], [chunks.encode(chunks.rows("docs binary, ranks binary, order binary", [chunks.encode(docs)], [ranks], [order]))])
             for k, s in w.parts():
                 yield chunks.rows(_DOC, [1], [chunk], [k], [chunks.encode(chunks.rows("word binary", w.words[s]))])
 
     return run
 
 
-def _distinct(batches):
-    for bucket, got in chunks.grouped(batches):
-        words = _marked(pa.concat_tables([chunks.decode(r["body"]) for r in got]).column("word").unique()).unique()
-        yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(words), pa.int32()), words], names=["bucket", "word"])
+def _asked(row) -> pa.Array:
+    return chunks.decode(row["body"]).column("word").combine_chunks().cast(pa.string())
+
+
+def _distinct(shared):
+    def run(batches):
+        for bucket, got in chunks.grouped(batches):
+            words = pa.concat_arrays([_asked(r) for r in got]).unique()
+            words = words.filter(pc.less_equal(pc.utf8_length(words), LONG))
+            for a in range(0, len(words), 20_000):
+                part = words.slice(a, 20_000)
+                yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(part), pa.int32()), part, joints(*shared.value).reach(part.to_pylist())], names=["bucket", "word", "reach"])
+
+    return run
 
 
 def _packed(batches):
@@ -216,12 +328,12 @@ def _reply(shared):
     """Rows of a bucket: the encoded words, and what chunks hold; answers ids in the chunk's order."""
 
     def run(batches):
-        v = shared.value
+        v, _ = shared.value
         index = None
         for bucket, got in chunks.grouped(batches):
             asks = [r for r in got if r["chunk"] is not None]
             tables = [chunks.decode(r["body"]) for r in got if r["chunk"] is None]
-            asked = [_marked(chunks.decode(r["body"]).column("word").combine_chunks()) for r in asks]
+            asked = [_asked(r) for r in asks]
             known = pa.concat_tables(tables) if tables else pa.table({"word": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int32()))})
             long = sorted({w for a in asked for w in a.filter(pc.greater(pc.utf8_length(a), LONG)).to_pylist()})
             if long:
@@ -244,44 +356,51 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, *columns: str) -> DataFrame:
     a space there).  Null and empty texts have no pieces.
     """
     spark = docs.sparkSession
+    if clash := {"ids", "n_pieces", "decoded_sha256", "lossless"} & set(columns):
+        raise ValueError(f"columns that the result has of its own: {sorted(clash)}")
     n = chunks.buckets(spark)
+    kept = [f for f in docs.schema.fields if f.name in columns]
     path = work_path(spark, "coded")
-    chunks.texts(docs, *columns).mapInArrow(trimmed(_coded(list(columns), n)), _DOC).write.partitionBy("kind").option("compression", "none").parquet(path)
+    shared = spark.sparkContext.broadcast((vocabulary, useful(vocabulary)))  # as large as the vocabulary, whatever the input
+    chunks.texts(docs, *(f.name for f in kept)).mapInArrow(trimmed(_coded(shared, n)), _DOC).write.partitionBy("kind").option("compression", "none").parquet(path)
     written = spark.read.schema("chunk long, bucket int, body binary, kind int").parquet(path)
     coded, held = (written.filter(F.col("kind") == k).drop("kind") for k in (0, 1))
-    shared = spark.sparkContext.broadcast(vocabulary)
-    distinct = chunks.by_bucket(held, _distinct, "bucket int, word string")
-    short = encode_words(distinct.filter(F.char_length("word") <= LONG), vocabulary, "bucket")
-    words = store(short.mapInArrow(_packed, "bucket int, body binary"), "encoded-words", compression="none")
+    # A partition's words are grouped in memory; past this many the grouping would sort substrings on disk.
+    with session(spark, {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": 1 << 20}):
+        paths = best_paths(chunks.by_bucket(held, _distinct(shared), "bucket int, word string, reach array<tinyint>"), vocabulary, "bucket")
+        words = store(paths.mapInArrow(_packed, "bucket int, body binary"), "encoded-words", compression="none")
+    del paths
     release(spark)
     both = words.select("bucket", F.lit(None).cast("long").alias("chunk"), "body").unionByName(held.select("bucket", "chunk", "body"))
     answers = store(chunks.by_bucket(both, _reply(shared), chunks.ANSWERS), "encoded", compression="none")
-    release(spark)
+    del both
+    drop_stored(words)
     drop_path(spark, f"{path}/kind=1")
-    kept = [f for f in docs.schema.fields if f.name in columns]
+    release(spark)
     out_schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "ids array<int>", "n_pieces long", "decoded_sha256 string", "lossless boolean"])
 
     def finish(batches):
-        spelling = spellings(shared.value)
+        spelling = spellings(shared.value[0])
         for b in batches:
             for body, got in zip(b.column("body"), b.column("got").to_pylist(), strict=True):
-                table = chunks.decode(body.as_py())
+                (whole,) = chunks.decode(body.as_py()).to_pylist()
+                table = chunks.decode(whole["docs"])
+                codes = _unsqueezed(whole["ranks"], whole["order"])
                 told = chunks._by_bucket(got)
                 parts = [chunks.decode(told[k]).column("ids").combine_chunks() for k in sorted(told)]
                 ids = pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
                 offsets, flat = ids.offsets.to_numpy().astype(np.int64), ids.values.to_numpy()
                 sizes = np.diff(offsets)
                 spelled = _joined(pa.ListArray.from_arrays(ids.offsets, spelling.take(ids.values)))
-                listed = table.column("_codes").combine_chunks()
-                codes, cuts = listed.values.to_numpy(), listed.offsets.to_numpy()
+                cuts = np.append(0, np.cumsum(table.column(len(kept) + 1).to_numpy()))
                 per = sizes[codes]
                 at = np.repeat(offsets[:-1][codes] - np.append(0, np.cumsum(per)[:-1])[: len(per)], per) + np.arange(per.sum())
                 total = np.append(0, np.cumsum(per))
                 lengths = total[cuts[1:]] - total[cuts[:-1]]
-                texts = _joined(pa.ListArray.from_arrays(listed.offsets, spelled.take(listed.values)))
-                digests = [sha256(t.as_py()[1:]).digest() for t in texts]
-                same = [a == b for a, b in zip(digests, table.column("_sha").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*(table.column(f.name).combine_chunks() for f in kept), _lists(flat[at], lengths, pa.int32()), pa.array(lengths, pa.int64()), pa.array([d.hex() for d in digests]), pa.array(same)], names=[*(f.name for f in kept), "ids", "n_pieces", "decoded_sha256", "lossless"])
+                texts = _joined(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), spelled.take(pa.array(codes))))
+                digests = [sha256(memoryview(t.as_buffer())[1:]).digest() for t in texts]
+                same = [a == b for a, b in zip(digests, table.column(len(kept)).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(table.column(i).combine_chunks() for i in range(len(kept))), _lists(flat[at], lengths, pa.int32()), pa.array(lengths, pa.int64()), pa.array([d.hex() for d in digests]), pa.array(same)], names=[*(f.name for f in kept), "ids", "n_pieces", "decoded_sha256", "lossless"])
 
     return chunks.tell(coded, answers).select("body", "got").mapInArrow(finish, out_schema)
 

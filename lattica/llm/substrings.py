@@ -222,7 +222,10 @@ def remove_repeated_bytes(docs: DataFrame, *columns: str, length: int = 400, gra
     """
     spark = docs.sparkSession
     n = chunks.buckets(spark)
-    packed = chunks.pack(docs, *columns)
+    kept = [f for f in docs.schema.fields if f.name in columns]
+    if clash := {"n_bytes", "n_removed", "n_spans", "kept"} & set(columns):
+        raise ValueError(f"columns that the result has of its own: {sorted(clash)}")
+    packed = chunks.pack(docs, *(f.name for f in kept))
 
     def anchor_keys(table, got):
         found = [anchors(np.frombuffer(t.as_py(), np.uint8) + _U(1), length, gram)[0] for t in table.column("_t")]
@@ -241,7 +244,6 @@ def remove_repeated_bytes(docs: DataFrame, *columns: str, length: int = 400, gra
     solved = store(chunks.by_bucket(asked, _resolve(length, gram), "bucket int, chunk long, kind int, answer binary"), "repeats")
     release(spark)
     width = _bits(length, gram)
-    kept = [f for f in docs.schema.fields if f.name in columns]
     out_schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "n_bytes long", "n_removed long", "n_spans long", "kept binary"])
 
     def finish(batches):
@@ -264,7 +266,7 @@ def remove_repeated_bytes(docs: DataFrame, *columns: str, length: int = 400, gra
                     raw = t.as_py()
                     found.append((len(raw), *cut(raw, *merge_spans(s, s + length), whole_chars)))
                 body = chunks.rows("n_bytes long, n_removed long, n_spans long, kept binary", *zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([*(table.column(f.name).combine_chunks() for f in kept), *body.columns], names=[*(f.name for f in kept), *body.schema.names])
+                yield pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in table.columns[:-1]), *body.columns], names=[*(f.name for f in kept), *body.schema.names])
 
     both = chunks.tell(told, solved.filter("kind = 0"), "warm")
     both = chunks.tell(both, solved.filter("kind = 1"), "hot")

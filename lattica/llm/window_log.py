@@ -258,7 +258,7 @@ def remove_repeated_windows(docs: DataFrame, *, width: int = 35, gram: int = 18,
                 table = chunks.decode(blob.as_py())
                 spans = repeated_spans(table, chunks._by_bucket(got), chunks._by_bucket(sure), width, gram, n)
                 kept = [kept_words(t.as_py(), *s) for t, s in zip(table.column("_t"), spans, strict=True)]
-                yield chunks.rows("doc_id long, n_words long, n_removed long, kept binary", table.column("doc_id").to_pylist(), *zip(*kept, strict=True))
+                yield chunks.rows("doc_id long, n_words long, n_removed long, kept binary", table.column("c0").to_pylist(), *zip(*kept, strict=True))
 
     both = chunks.tell(told, verified, "sure")
     return both.select("blob", "got", "sure").mapInArrow(digest, "doc_id long, n_words long, n_removed long, kept binary")
