@@ -51,6 +51,21 @@ def store(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return out
 
 
+def store_by(df: DataFrame, name: str, key: str) -> DataFrame:
+    """``store``, dealt into files by ``key``: a join on it moves the other side only.
+
+    The table's entry in the catalogue goes at once; its files stay, as those of any table with a path of its own.
+    """
+    spark = df.sparkSession
+    path, table = work_path(spark, name), f"lattica_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("compression", "none").option("path", path).bucketBy(shuffle_width(spark), key).saveAsTable(table)
+    out = spark.table(table)
+    out.stored_at = path
+    spark.sql(f"DROP TABLE {table}")
+    release(spark)
+    return out
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a written table whose rows nothing needs any more."""
     jvm = spark.sparkContext._jvm

@@ -17,11 +17,12 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import chunks
-from lattica.llm.common import drop_path, drop_stored, release, session, store, trimmed, work_path
+from lattica.llm.common import drop_path, drop_stored, release, session, store, store_by, trimmed, work_path
 
 _U = np.uint64
 SPACE = "▁"
@@ -29,6 +30,8 @@ SPACE = "▁"
 LONG = 64
 #: Bytes of text in a chunk.
 CHUNK = 8_000_000
+#: Words in a part of a bucket's list.
+_PART = 20_000
 #: Bits of the tables that tell where words may be cut.
 _BITS = 24
 
@@ -155,18 +158,22 @@ def encode_words(words: DataFrame, vocabulary: Vocabulary, *columns: str) -> Dat
             yield b.append_column("reach", joints(*shared.value).reach(b.column("word").to_pylist()))
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
-    return best_paths(words.select(*columns, "word").mapInArrow(reach, f"{fields}word string, reach array<tinyint>"), vocabulary, *columns)
+    known = words.select(*columns, "word").mapInArrow(reach, f"{fields}word string, reach array<tinyint>")
+    return best_paths(known.repartition(chunks.buckets(words.sparkSession), "word"), vocabulary, "word", *columns).select("word", *columns, "ids")
 
 
-def best_paths(words: DataFrame, vocabulary: Vocabulary, *columns: str) -> DataFrame:
-    """``encode_words`` of words whose ``reach`` is known."""
-    spark = words.sparkSession
+def best_paths(dealt: DataFrame, vocabulary: Vocabulary, *keys: str) -> DataFrame:
+    """(``keys``, word, ids) of words whose ``reach`` is known.
+
+    ``keys`` tell words apart and rows are dealt by some of them already, so
+    neither the join nor the grouping moves a substring.
+    """
+    spark = dealt.sparkSession
     # Joined by a number and then by the piece itself: a table of numbers is probed faster than one of strings.
     pieces = F.broadcast(piece_table(spark, vocabulary).select(F.xxhash64("piece").alias("key"), F.col("piece").alias("known"), "id", "score"))
-    # Dealt by word first: neither the join nor the grouping below moves a substring.
-    dealt = words.repartition(chunks.buckets(spark), "word")
-    starts = dealt.select("word", *columns, F.size("reach").alias("n"), F.posexplode("reach").alias("start", "most"))
-    spans = starts.select("word", *columns, "n", "start", F.explode(F.sequence(F.lit(1), F.col("most").cast("int"))).alias("m"))
+    carried = list(dict.fromkeys([*keys, "word"]))
+    starts = dealt.select(*carried, F.size("reach").alias("n"), F.posexplode("reach").alias("start", "most"))
+    spans = starts.select(*carried, "n", "start", F.explode(F.sequence(F.lit(1), F.col("most").cast("int"))).alias("m"))
     spans = spans.withColumn("piece", F.expr("substring(word, start + 1, m)")).withColumn("key", F.xxhash64("piece"))
     found = spans.join(pieces, "key", "left").withColumn("id", F.when(F.col("known") == F.col("piece"), F.col("id"))).filter("id is not null or m = 1")
     # An edge is (stop * 256 + start, score, id), id -1 for a character without a piece; words are shorter than 256.
@@ -175,7 +182,7 @@ def best_paths(words: DataFrame, vocabulary: Vocabulary, *columns: str) -> DataF
         F.when(F.col("id").isNull(), F.lit(vocabulary.unknown_score)).otherwise(F.col("score")).alias("s"),
         F.coalesce("id", F.lit(-1)).alias("id"),
     )
-    lattice = found.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"), F.first("n").alias("n"), *(F.first(c).alias(c) for c in columns))
+    lattice = found.groupBy(*keys).agg(F.sort_array(F.collect_list(edge)).alias("edges"), F.first("n").alias("n"), *(F.first(c).alias(c) for c in carried if c not in keys))
     # By place: the best score of a path to it, and where its last piece starts.
     best = F.expr(
         """aggregate(edges, array(struct(0D as score, 0 as start, -1 as id)), (b, e) ->
@@ -189,7 +196,7 @@ def best_paths(words: DataFrame, vocabulary: Vocabulary, *columns: str) -> DataF
              case when r.at = 0 then r else struct(best[r.at].start as at, concat(array(struct(best[r.at].start as start, best[r.at].id as id)), r.path) as path) end, r -> r.path)"""
     )
     ids = F.when(F.exists("path", lambda e: e["id"] < 0), F.flatten(F.transform("path", lambda e: F.when(e["id"] >= 0, F.array(e["id"])).otherwise(_spelled(F.col("word"), e["start"], vocabulary))))).otherwise(F.transform("path", lambda e: e["id"]))
-    return lattice.select("word", *columns, "n", best.alias("best")).select("word", *columns, path.alias("path")).select("word", *columns, ids.alias("ids"))
+    return lattice.select(*carried, "n", best.alias("best")).select(*carried, path.alias("path")).select(*carried, ids.alias("ids"))
 
 
 def _spelled(word: Column, at: Column, vocabulary: Vocabulary) -> Column:
@@ -260,22 +267,38 @@ def chunk_words(table: pa.Table, n: int, at: Joints) -> chunks.Words:
     return chunks.Words(data, starts, ends, np.diff(np.searchsorted(starts, firsts)), n)
 
 
-def _squeezed(codes: np.ndarray) -> tuple[bytes, bytes]:
-    """Codes as ranks by how often they come, byte by byte, and the codes in order of rank."""
+def _planes(*arrays: np.ndarray) -> bytes:
+    """Small numbers byte by byte and compressed: high bytes, mostly zero, take no room."""
+    cut = [np.ascontiguousarray(x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes() for x in arrays]
+    head = np.array([len(arrays), *map(len, arrays)], np.uint32).tobytes()
+    return zstandard.compress(head + b"".join(cut), 3)
+
+
+def _numbers(body: bytes) -> list[np.ndarray]:
+    raw = np.frombuffer(zstandard.decompress(body), np.uint8)
+    count = int(raw[:4].view(np.uint32)[0])
+    sizes = raw[4 : 4 + 4 * count].view(np.uint32).astype(np.int64)
+    ends = 4 + 4 * count + np.cumsum(sizes * 4)
+    return [np.ascontiguousarray(raw[e - 4 * n : e].reshape(4, -1).T).view(np.uint32).ravel() for e, n in zip(ends, sizes, strict=True)]
+
+
+def _ranked(codes: np.ndarray) -> bytes:
+    """Codes as ranks by how often they come, and the codes in order of rank."""
     counts = np.bincount(codes)
-    order = np.argsort(-counts, kind="stable").astype(np.uint32)
-    rank = np.empty(len(order), np.uint32)
-    rank[order] = np.arange(len(order), dtype=np.uint32)
-    planes = lambda x: np.ascontiguousarray(x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
-    return planes(rank[codes]), planes(order)
+    order = np.argsort(-counts, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return _planes(rank[codes], order)
 
 
-def _unsqueezed(ranks: bytes, order: bytes) -> np.ndarray:
-    whole = lambda x: np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
-    return whole(order)[whole(ranks)] if ranks else np.zeros(0, np.uint32)
+def _codes(body: bytes) -> np.ndarray:
+    ranks, order = _numbers(body)
+    return order[ranks] if len(ranks) else ranks
 
 
-_DOC = "kind int, chunk long, bucket int, body binary"
+_DOC = "kind int, chunk long, bucket int, body binary, docs binary"
+_LIST = "kind int, bucket int, chunk long, body binary"
+_PATHS = "bucket int, chunk long, body binary"
 
 
 def _lists(values: np.ndarray, lengths: np.ndarray, kind) -> pa.ListArray:
@@ -292,62 +315,91 @@ def _coded(shared, n: int):
             digests = [sha256(t.as_py()).digest() for t in table.column("_t")]
             kept = [c.combine_chunks() for c in table.columns[:-1]]
             docs = pa.RecordBatch.from_arrays([*kept, pa.array(digests, pa.binary()), pa.array(w.lengths, pa.int64())], names=[str(i) for i in range(len(kept) + 2)])
-            ranks, order = _squeezed(w.codes)
-            yield chunks.rows(_DOC, [0], [chunk], [-1], [chunks.encode(chunks.rows("docs binary, ranks binary, order binary", [chunks.encode(docs)], [ranks], [order]))])
+            yield chunks.rows(_DOC, [0], [chunk], [-1], [_ranked(w.codes)], [chunks.encode(docs)])
             for k, s in w.parts():
-                yield chunks.rows(_DOC, [1], [chunk], [k], [chunks.encode(chunks.rows("word binary", w.words[s]))])
+                yield chunks.rows(_DOC, [1], [chunk], [k], [chunks.encode(chunks.rows("word binary", w.words[s]))], [b""])
 
     return run
 
 
-def _asked(row) -> pa.Array:
-    return chunks.decode(row["body"]).column("word").combine_chunks().cast(pa.string())
+def _listed(batches):
+    """Per bucket: its distinct words in parts (kind 0), and for every chunk the places of its words among them (kind 1)."""
+    for bucket, got in chunks.grouped(batches):
+        asked = [chunks.decode(r["body"]).column("word").combine_chunks() for r in got]
+        words = pa.concat_arrays(asked).unique()
+        for a in range(0, len(words), _PART):
+            yield chunks.rows(_LIST, [0], [bucket], [a], [chunks.encode(pa.RecordBatch.from_arrays([words.slice(a, _PART)], names=["word"]))])
+        for r, a in zip(got, asked, strict=True):
+            yield chunks.rows(_LIST, [1], [bucket], [r["chunk"]], [_planes(pc.index_in(a, value_set=words).to_numpy())])
 
 
-def _distinct(shared):
-    def run(batches):
-        for bucket, got in chunks.grouped(batches):
-            words = pa.concat_arrays([_asked(r) for r in got]).unique()
-            words = words.filter(pc.less_equal(pc.utf8_length(words), LONG))
-            for a in range(0, len(words), 20_000):
-                part = words.slice(a, 20_000)
-                yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(part), pa.int32()), part, joints(*shared.value).reach(part.to_pylist())], names=["bucket", "word", "reach"])
+def _parts(batches):
+    """(bucket, place of the first, words) of lists of words."""
+    for b in batches:
+        for bucket, first, body in zip(b.column("bucket").to_pylist(), b.column("chunk").to_pylist(), b.column("body").to_pylist(), strict=True):
+            yield bucket, first, chunks.decode(body).column("word").combine_chunks().cast(pa.string())
 
-    return run
 
+def _reaching(shared):
+    """Words for the lattice, and how far the pieces at each start may reach."""
 
-def _packed(batches):
-    """Encoded words in blobs by bucket."""
-    for b in batches:
-        for k in pc.unique(b.column("bucket")).to_pylist():
-            part = b.filter(pc.equal(b.column("bucket"), k)).select(["word", "ids"])
-            yield chunks.rows("bucket int, body binary", [k], [chunks.encode(part)])
+    def run(batches):
+        for bucket, first, words in _parts(batches):
+            at = pc.less_equal(pc.utf8_length(words), LONG)
+            places, short = pa.array(np.arange(first, first + len(words)), pa.int64()).filter(at), words.filter(at)
+            yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(short), pa.int32()), places, short, joints(*shared.value).reach(short.to_pylist())], names=["bucket", "place", "word", "reach"])
 
+    return run
 
-def _reply(shared):
-    """Rows of a bucket: the encoded words, and what chunks hold; answers ids in the chunk's order."""
+
+def _long(shared):
+    """Paths of words that are too long for an array fold."""
 
     def run(batches):
-        v, _ = shared.value
-        index = None
-        for bucket, got in chunks.grouped(batches):
-            asks = [r for r in got if r["chunk"] is not None]
-            tables = [chunks.decode(r["body"]) for r in got if r["chunk"] is None]
-            asked = [_asked(r) for r in asks]
-            known = pa.concat_tables(tables) if tables else pa.table({"word": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int32()))})
-            long = sorted({w for a in asked for w in a.filter(pc.greater(pc.utf8_length(a), LONG)).to_pylist()})
-            if long:
+        v, index = shared.value[0], None
+        for bucket, first, words in _parts(batches):
+            at = np.flatnonzero(pc.greater(pc.utf8_length(words), LONG).to_numpy(zero_copy_only=False))
+            if len(at):
                 index = index or {p: (i, s) for p, i, s in zip(v.pieces, v.ids, v.scores, strict=True)}
-                paths = [best_path(w, index, v.longest, v.unknown_score, v.byte_ids, v.unknown) for w in long]
-                known = pa.concat_tables([known, pa.table({"word": pa.array(long, pa.string()), "ids": pa.array(paths, known.schema.field("ids").type)})])
-            words, ids = known.column("word").combine_chunks(), known.column("ids").combine_chunks()
-            for r, a in zip(asks, asked, strict=True):
-                answer = pa.RecordBatch.from_arrays([ids.take(pc.index_in(a, value_set=words))], names=["ids"])
-                yield chunks.rows(chunks.ANSWERS, [bucket], [r["chunk"]], [chunks.encode(answer)])
+                paths = [best_path(words[int(i)].as_py(), index, v.longest, v.unknown_score, v.byte_ids, v.unknown) for i in at]
+                yield chunks.rows(_PATHS, [bucket], [None], [_planes(first + at, np.array(list(map(len, paths))), np.concatenate(paths))])
 
     return run
 
 
+def _packed(batches):
+    """Encoded words by bucket: places, lengths and ids."""
+    for b in batches:
+        bucket, place, ids = (b.column(c) for c in ("bucket", "place", "ids"))
+        for k in pc.unique(bucket).to_pylist():
+            at = pc.equal(bucket, k)
+            part = ids.filter(at)
+            yield chunks.rows(_PATHS, [k], [None], [_planes(place.filter(at).to_numpy(), np.diff(part.offsets.to_numpy()), part.flatten().to_numpy())])
+
+
+def _spread(lengths: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For lists stored end to end: the lengths of those in ``codes``, and where their items are."""
+    firsts = np.append(0, np.cumsum(lengths))[:-1]
+    per = lengths[codes]
+    return per, np.repeat(firsts[codes] - np.append(0, np.cumsum(per))[:-1], per) + np.arange(per.sum())
+
+
+def _reply(batches):
+    """Rows of a bucket, encoded words and places that chunks ask for: lengths and ids in each chunk's order."""
+    for bucket, got in chunks.grouped(batches):
+        known = [_numbers(r["body"]) for r in got if r["chunk"] is None]
+        if not known:
+            continue
+        place, length, ids = (np.concatenate(x).astype(np.int64) for x in zip(*known, strict=True))
+        where = np.empty(len(place), np.int64)
+        where[place] = np.arange(len(place))
+        for r in got:
+            if r["chunk"] is not None:
+                (asked,) = _numbers(r["body"])
+                per, at = _spread(length, where[asked])
+                yield chunks.rows(chunks.ANSWERS, [bucket], [r["chunk"]], [_planes(per, ids[at])])
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary, *columns: str) -> DataFrame:
     """``columns`` with ``ids``, ``n_pieces``, ``decoded_sha256`` and ``lossless`` of every document.
 
@@ -363,38 +415,40 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, *columns: str) -> DataFrame:
     path = work_path(spark, "coded")
     shared = spark.sparkContext.broadcast((vocabulary, useful(vocabulary)))  # as large as the vocabulary, whatever the input
     chunks.texts(docs, *(f.name for f in kept)).mapInArrow(trimmed(_coded(shared, n)), _DOC).write.partitionBy("kind").option("compression", "none").parquet(path)
-    written = spark.read.schema("chunk long, bucket int, body binary, kind int").parquet(path)
+    written = spark.read.schema("chunk long, bucket int, body binary, docs binary, kind int").parquet(path)
     coded, held = (written.filter(F.col("kind") == k).drop("kind") for k in (0, 1))
+    coded = store_by(coded.select("chunk", "body", "docs"), "documents", "chunk")
+    drop_path(spark, f"{path}/kind=0")
+    lists = work_path(spark, "lists")
+    chunks.by_bucket(held.select("bucket", "chunk", "body"), _listed, _LIST).write.partitionBy("kind").option("compression", "none").parquet(lists)
+    release(spark)
+    drop_path(spark, path)
+    words, asked = (spark.read.schema("bucket int, chunk long, body binary, kind int").parquet(lists).filter(F.col("kind") == k).drop("kind") for k in (0, 1))
     # A partition's words are grouped in memory; past this many the grouping would sort substrings on disk.
     with session(spark, {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": 1 << 20}):
-        paths = best_paths(chunks.by_bucket(held, _distinct(shared), "bucket int, word string, reach array<tinyint>"), vocabulary, "bucket")
-        words = store(paths.mapInArrow(_packed, "bucket int, body binary"), "encoded-words", compression="none")
-    del paths
+        dealt = words.mapInArrow(_reaching(shared), "bucket int, place long, word string, reach array<tinyint>").repartition(n, "bucket")
+        paths = best_paths(dealt, vocabulary, "bucket", "place").select("bucket", "place", "ids").mapInArrow(_packed, _PATHS)
+        found = store(paths.union(words.mapInArrow(_long(shared), _PATHS)), "encoded-words", compression="none")
+    del dealt, paths
+    drop_path(spark, f"{lists}/kind=0")
     release(spark)
-    both = words.select("bucket", F.lit(None).cast("long").alias("chunk"), "body").unionByName(held.select("bucket", "chunk", "body"))
-    answers = store(chunks.by_bucket(both, _reply(shared), chunks.ANSWERS), "encoded", compression="none")
-    del both
-    drop_stored(words)
-    drop_path(spark, f"{path}/kind=1")
+    answers = store(chunks.by_bucket(found.unionByName(asked), _reply, chunks.ANSWERS), "encoded", compression="none")
+    drop_stored(found)
+    drop_path(spark, lists)
     release(spark)
     out_schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "ids array<int>", "n_pieces long", "decoded_sha256 string", "lossless boolean"])
 
     def finish(batches):
         spelling = spellings(shared.value[0])
         for b in batches:
-            for body, got in zip(b.column("body"), b.column("got").to_pylist(), strict=True):
-                (whole,) = chunks.decode(body.as_py()).to_pylist()
-                table = chunks.decode(whole["docs"])
-                codes = _unsqueezed(whole["ranks"], whole["order"])
+            for body, listed, got in zip(b.column("body").to_pylist(), b.column("docs").to_pylist(), b.column("got").to_pylist(), strict=True):
+                table, codes = chunks.decode(listed), _codes(body)
                 told = chunks._by_bucket(got)
-                parts = [chunks.decode(told[k]).column("ids").combine_chunks() for k in sorted(told)]
-                ids = pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
-                offsets, flat = ids.offsets.to_numpy().astype(np.int64), ids.values.to_numpy()
-                sizes = np.diff(offsets)
-                spelled = _joined(pa.ListArray.from_arrays(ids.offsets, spelling.take(ids.values)))
+                parts = [_numbers(told[k]) for k in sorted(told)]
+                sizes, flat = (np.concatenate(x).astype(np.int64) for x in zip(*parts, strict=True)) if parts else [np.zeros(0, np.int64)] * 2
+                spelled = _joined(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), spelling.take(pa.array(flat))))
                 cuts = np.append(0, np.cumsum(table.column(len(kept) + 1).to_numpy()))
-                per = sizes[codes]
-                at = np.repeat(offsets[:-1][codes] - np.append(0, np.cumsum(per)[:-1])[: len(per)], per) + np.arange(per.sum())
+                per, at = _spread(sizes, codes)
                 total = np.append(0, np.cumsum(per))
                 lengths = total[cuts[1:]] - total[cuts[:-1]]
                 texts = _joined(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), spelled.take(pa.array(codes))))
@@ -402,7 +456,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, *columns: str) -> DataFrame:
                 same = [a == b for a, b in zip(digests, table.column(len(kept)).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*(table.column(i).combine_chunks() for i in range(len(kept))), _lists(flat[at], lengths, pa.int32()), pa.array(lengths, pa.int64()), pa.array([d.hex() for d in digests]), pa.array(same)], names=[*(f.name for f in kept), "ids", "n_pieces", "decoded_sha256", "lossless"])
 
-    return chunks.tell(coded, answers).select("body", "got").mapInArrow(finish, out_schema)
+    return chunks.tell(coded, answers).select("body", "docs", "got").mapInArrow(trimmed(finish), out_schema)
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids") -> DataFrame:
