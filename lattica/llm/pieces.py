@@ -33,7 +33,7 @@ CHUNK = 8_000_000
 #: Words in a part of a bucket's list.
 _PART = 20_000
 #: Bits of the tables that tell where words may be cut.
-_BITS = 24
+_BITS = 22
 
 
 @dataclass(frozen=True)
@@ -255,16 +255,19 @@ def _joined(lists: pa.ListArray) -> pa.Array:
 
 def chunk_words(table: pa.Table, n: int, at: Joints) -> chunks.Words:
     """Words of a chunk, spaces marked; every text that isn't empty gets one in front.  What isn't UTF-8 is replaced."""
-    texts = [(SPACE + t.as_py().decode("utf-8", "replace").replace(" ", SPACE)).encode() if len(t.as_buffer() or b"") else b"" for t in table.column("_t")]
-    data = b"".join(texts)
-    firsts = np.cumsum([0, *map(len, texts)])
-    chars = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
-    begins = np.zeros(len(data), bool)
-    begins[chars[at.cuts(np.frombuffer(data.decode().encode("utf-32-le"), np.uint32))]] = True
-    begins[firsts[:-1][np.diff(firsts) > 0]] = True
-    starts = np.flatnonzero(begins)
-    ends = np.append(starts[1:], len(data)) if len(starts) else starts
-    return chunks.Words(data, starts, ends, np.diff(np.searchsorted(starts, firsts)), n)
+    texts, starts, ends, lengths, base = [], [], [], [], 0
+    for t in table.column("_t"):
+        text = (SPACE + t.as_py().decode("utf-8", "replace").replace(" ", SPACE)) if len(t.as_buffer() or b"") else ""
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        sizes = 1 + (codes >= 0x80).astype(np.int8) + (codes >= 0x800) + (codes >= 0x10000)
+        at_byte = np.append(0, np.cumsum(sizes, dtype=np.int64))
+        begins = np.append(np.flatnonzero(at.cuts(codes)), len(codes))
+        starts.append(base + at_byte[begins[:-1]])
+        ends.append(base + at_byte[begins[1:]])
+        lengths.append(len(begins) - 1)
+        base += int(at_byte[-1])
+        texts.append(text.encode())
+    return chunks.Words(b"".join(texts), np.concatenate(starts), np.concatenate(ends), np.array(lengths), n)
 
 
 def _planes(*arrays: np.ndarray) -> bytes:
