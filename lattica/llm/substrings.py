@@ -12,6 +12,8 @@ blocks are not shared; the strings at the rims are compared in full.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -77,15 +79,40 @@ def _bits(length: int, gram: int) -> int:
     return (length - gram + 1 + 7) // 8
 
 
-def shared_blocks(first: np.ndarray, names: list[np.ndarray]) -> list[np.ndarray]:
-    """For every context, the blocks it shares with another one from each of its whole blocks on.
+def exact_codes(key: np.ndarray, rows: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Numbers that are equal for equal rows of bytes, and only for these.
 
-    ``names`` has a context's block names in order; names of different groups or
+    ``key`` is equal for equal rows; ``rows`` gives the bytes of some.  Every row
+    is compared with the first of its key, and numbered apart where it differs.
+    """
+    _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+    codes, others = inverse.astype(np.int64), {}
+    at = np.flatnonzero(first[inverse] != np.arange(len(key)))
+    for a in range(0, len(at), 1 << 16):
+        part = at[a : a + (1 << 16)]
+        for i in part[(rows(part) != rows(first[inverse[part]])).any(axis=1)]:  # another row of the same hash
+            codes[i] = len(first) + others.setdefault(rows(np.array([i])).tobytes(), len(others))
+    return codes
+
+
+def _paired(*parts: np.ndarray) -> np.ndarray:
+    """One number for each combination of small numbers."""
+    out = np.zeros(len(parts[0]), np.int64)
+    for p in parts:
+        _, p = np.unique(p, return_inverse=True)
+        _, out = np.unique(out * (p.max(initial=0) + 1) + p, return_inverse=True)
+    return out
+
+
+def shared_blocks(names: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the suffix array over contexts as sequences of block names, each closed by a separator of its own:
+
+    for every symbol the symbols it shares with another suffix from there on and its place in the array,
+    the common prefixes along the array, and which symbols are blocks.  Names of different groups or
     places differ, so only aligned contexts of one anchor ever agree.
     """
     lengths = np.array([len(x) for x in names])
-    flat = np.concatenate(names)
-    _, rank = np.unique(flat, return_inverse=True)
+    _, rank = np.unique(np.concatenate(names), return_inverse=True)
     # Separators 1.. are all different and below every block, 0 ends the text.
     at = np.cumsum(lengths + 1)
     text = np.empty(at[-1] + 1, np.int64)
@@ -97,48 +124,75 @@ def shared_blocks(first: np.ndarray, names: list[np.ndarray]) -> list[np.ndarray
     text[-1] = 0
     s = text.tolist()
     sa = suffix_array(s)
-    lcp = common_prefixes(s, sa)
-    lcp.append(0)
-    both = np.maximum(np.array(lcp[:-1]), np.array(lcp[1:]))
-    run = np.empty(len(s), np.int64)
-    run[np.array(sa)] = both
-    return np.split(run[inside], np.cumsum(lengths)[:-1])
+    lcp = np.array([*common_prefixes(s, sa), 0])
+    place = np.empty(len(s), np.int64)
+    place[np.array(sa)] = np.arange(len(s))
+    return np.maximum(lcp[:-1], lcp[1:])[place], place, lcp, inside
 
 
 def repeated_in_group(group: np.ndarray, lead: np.ndarray, texts: list[bytes], length: int) -> list[np.ndarray]:
-    """Of every context, which of its strings another context of its group holds at the same offset."""
+    """Of every context, which of its strings another context of its group holds at the same offset.
+
+    The suffix array decides wherever the blocks that hold a string are shared
+    (found again) or those inside it are not (found nowhere else).  Strings of
+    one interval of the array, which share all whole blocks but may differ in
+    the rim of less than a block at either end, are told apart by the rim's bytes.
+    """
     sizes = np.array([len(t) for t in texts])
     base = np.append(0, np.cumsum(sizes)[:-1])
-    sums = prefix_sums(np.frombuffer(b"".join(texts), np.uint8) + _U(1))
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    sums = prefix_sums(data + _U(1))
     lo = -(lead // BLOCK)  # first whole block, counted from the anchor
     hi = (sizes - lead) // BLOCK  # one after the last
-    owner = np.repeat(np.arange(len(texts)), np.maximum(hi - lo, 0))
-    block = np.arange(len(owner)) - np.repeat(np.append(0, np.cumsum(np.maximum(hi - lo, 0))[:-1]), np.maximum(hi - lo, 0)) + lo[owner]
+    blocks = np.maximum(hi - lo, 0)
+    owner = np.repeat(np.arange(len(texts)), blocks)
+    block = np.arange(len(owner)) - np.repeat(np.append(0, np.cumsum(blocks)[:-1]), blocks) + lo[owner]
     starts = base[owner] + lead[owner] + block * BLOCK
+    span = np.arange(BLOCK)
     with np.errstate(over="ignore"):
-        tag = mix(group.astype(_U) * _U(0x9E3779B97F4A7C15) + _U(77))
-        name = mix(spans_hash(sums, starts, starts + BLOCK) ^ mix(tag[owner] + block.astype(_U)))
-    runs = shared_blocks(lo, np.split(name, np.cumsum(np.maximum(hi - lo, 0))[:-1]))
+        content = exact_codes(spans_hash(sums, starts, starts + BLOCK), lambda i: data[starts[i][:, None] + span])
+    name = _paired(group[owner], block, content)
+    run, place, lcp, _ = shared_blocks(np.split(name, np.cumsum(blocks)[:-1]))
     number = sizes - length + 1
     who = np.repeat(np.arange(len(texts)), number)
     j = np.arange(len(who)) - np.repeat(np.append(0, np.cumsum(number)[:-1]), number)
     offset = j - lead[who]
     first, stop = -(-offset // BLOCK), (offset + length) // BLOCK  # whole blocks inside the string
-    padded = np.concatenate([np.append(r, 0) for r in runs])
-    origin = np.append(0, np.cumsum(np.maximum(hi - lo, 0) + 1)[:-1])
+    origin = np.append(0, np.cumsum(blocks + 1)[:-1])  # each context is its blocks and a separator
 
-    def shared_from(b):
-        return padded[origin[who] + np.clip(b - lo[who], 0, np.maximum(hi - lo, 0)[who])]
+    def symbol(b):
+        return origin[who] + np.clip(b - lo[who], 0, blocks[who])
 
-    open_ = shared_from(first) >= stop - first
+    open_ = run[symbol(first)] >= stop - first
     outer, past = offset // BLOCK, -(-(offset + length) // BLOCK)  # blocks that hold the string
-    settled = open_ & (outer >= lo[who]) & (past <= hi[who]) & (shared_from(np.maximum(outer, lo[who])) >= past - outer)
-    at = np.flatnonzero(open_)
+    settled = open_ & (outer >= lo[who]) & (past <= hi[who]) & (run[symbol(np.maximum(outer, lo[who]))] >= past - outer)
+    # An interval of suffixes that share all whole blocks of a string is named by where it begins.
+    interval = np.full(len(who), -1)
+    for m in np.unique((stop - first)[open_]):
+        begins = np.maximum.accumulate(np.where(lcp[:-1] < m, np.arange(len(lcp) - 1), 0))
+        of = open_ & (stop - first == m)
+        interval[of] = begins[place[symbol(first)[of]]] * BLOCK + offset[of] % BLOCK
+    unsure = np.unique(interval[open_ & ~settled])
+    at = np.flatnonzero(open_ & np.isin(interval, unsure))
+    if not len(at):
+        return np.split(settled, np.cumsum(number)[:-1])
+    begin = base[who[at]] + j[at]
+    front = (first[at] * BLOCK - offset[at])[:, None]
+    rim = np.arange(2 * BLOCK)[None, :]
+
+    def rims(i):
+        """The bytes before the first and after the last whole block, as many as there are."""
+        tail = (length - (stop[at[i]] - first[at[i]]) * BLOCK)[:, None] - front[i]
+        from_ = begin[i][:, None]
+        here = np.where(rim < front[i], from_ + rim, from_ + length - tail + rim - front[i])
+        real = rim < front[i] + tail
+        return np.where(real, data[np.where(real, here, 0)], 0)
+
     with np.errstate(over="ignore"):
-        key = mix(spans_hash(sums, base[who[at]] + j[at], base[who[at]] + j[at] + length) ^ mix(tag[who[at]] + offset[at].astype(_U) * _U(0xC2B2AE3D27D4EB4F)))
-    _, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
+        key = mix(spans_hash(sums, begin, begin + length) ^ mix(interval[at].astype(_U)))
+    same = _paired(interval[at], exact_codes(key, rims))
     hit = settled
-    hit[at] |= counts[inverse] > 1
+    hit[at] |= np.bincount(same)[same] > 1
     return np.split(hit, np.cumsum(number)[:-1])
 
 
@@ -149,8 +203,9 @@ def _resolve(length: int, gram: int):
         """Distinct contexts of a bucket, whole anchors at a time: (entry numbers, fp, lead, texts)."""
         tables = [chunks.decode(r["keys"]) for r in rows_]
         table = pa.concat_tables(tables)
-        key, fp, many = table.column("key").to_numpy(), table.column("fp").to_numpy(), table.column("many").to_numpy()
-        unique, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        fp, many = table.column("fp").to_numpy(), table.column("many").to_numpy()
+        text = table.column("text").combine_chunks().dictionary_encode().indices.to_numpy()
+        _, first, inverse = np.unique(_paired(fp, table.column("lead").to_numpy(), text), return_index=True, return_inverse=True)
         total = np.bincount(inverse, many)
         order = np.argsort(fp[first], kind="stable")
         return table, inverse, first[order], order, total, [len(t) for t in tables]
