@@ -1,11 +1,13 @@
 """Language-model scores: every segmentation of a text into vocabulary pieces counts.
 
-The scores of an existing vocabulary give a first distribution over its pieces;
-the training documents' word counts re-estimate it by expectation steps over
-whole lattices a few times, so that the piece probabilities fit the corpus.  A text's
-probability is the sum over all its segmentations, by a forward recursion in log
-space.  No piece has a space inside, so the recursion runs once per distinct
-word of the corpus, and a text is the product of its words and of an end.
+The scores of an existing vocabulary weigh its pieces, and the sum over all
+segmentations of a word, by a forward recursion in log space, is its probability
+among pieces.  Words of the training documents are edges of the lattice of their
+own, from the word's start to its end, by how often they came; the pieces share
+what is left, the part of training words that came once (Good and Turing's
+estimate of what is new).  No piece has a space inside, so the recursion runs
+once per distinct word of the corpus, and a text is the product of its words and
+of an end.
 """
 
 from __future__ import annotations
@@ -27,8 +29,6 @@ _U = np.uint64
 SPACE = "▁"
 #: Words of up to this many characters go through the vectorised recursion.
 SHORT = 64
-#: Entries of the vocabulary that one row of sums holds.
-_PART = 1024
 
 
 @dataclass
@@ -150,41 +150,6 @@ def log_probabilities(words: list[bytes], pieces: Pieces) -> np.ndarray:
     return out
 
 
-def expected_counts(words: list[bytes], counts: np.ndarray, pieces: Pieces) -> np.ndarray:
-    """How often each piece is expected in the words, then each byte, over all segmentations."""
-    out = np.zeros(len(pieces.names) + 256)
-    for size, at, texts in _by_length(words):
-        if size > SHORT:  # cut: a long word is expected as the sum of its parts
-            for i, t in zip(at, texts, strict=True):
-                parts = [t[a : a + SHORT] for a in range(0, size, SHORT)]
-                for p in parts:
-                    out += _expected([p], counts[[i]], pieces, len(p))
-            continue
-        out += _expected(texts, counts[at], pieces, size)
-    return out
-
-
-def _expected(texts: list[str], counts: np.ndarray, pieces: Pieces, size: int) -> np.ndarray:
-    out = np.zeros(len(pieces.names) + 256)
-    ids, weights = _edges(texts, pieces)
-    alpha = _forward(weights, size)
-    beta = np.full((len(texts), size + 1), -np.inf)
-    beta[:, size] = 0
-    for j in range(size - 1, -1, -1):
-        for m in range(1, min(len(weights), size - j) + 1):
-            beta[:, j] = np.logaddexp(beta[:, j], beta[:, j + m] + weights[m - 1][:, j])
-    total = alpha[:, size][:, None]
-    for m, (i, w) in enumerate(zip(ids, weights, strict=True), 1):
-        share = np.exp(alpha[:, : size + 1 - m] + w + beta[:, m:] - total) * counts[:, None]
-        known = i >= 0
-        out[: len(pieces.names)] += np.bincount(i[known], share[known], len(pieces.names))
-        if m == 1 and not known.all():
-            for r, c in zip(*np.nonzero(~known), strict=True):
-                for b in texts[r][c].encode("utf-8", "surrogatepass"):
-                    out[len(pieces.names) + b] += share[r, c]
-    return out
-
-
 def _words(table: pa.Table, n: int) -> chunks.Words:
     """A chunk's words, A-Z lower-cased; texts are parted by newlines, which no word holds."""
     texts = [t.as_py() for t in table.column("_t")]
@@ -195,7 +160,7 @@ def _words(table: pa.Table, n: int) -> chunks.Words:
 
 
 _ASK = "bucket int, chunk long, words binary"
-_TABLE = "bucket int, words binary, n long, v long"
+_TABLE = "bucket int, words binary, n long, v long, ones long"
 _WORDS = "word binary, train long"
 
 
@@ -218,10 +183,18 @@ def _count(batches):
     for bucket, got in chunks.grouped(batches):
         table = pa.concat_tables([chunks.decode(r["words"]) for r in got]).group_by("word").aggregate([("train", "sum")])
         words, train = table.column("word").combine_chunks(), table.column("train_sum").to_numpy()
-        yield chunks.rows(_TABLE, [bucket], [chunks.encode(chunks.rows(_WORDS, words, train))], [int(train.sum())], [int((train > 0).sum())])
+        yield chunks.rows(_TABLE, [bucket], [chunks.encode(chunks.rows(_WORDS, words, train))], [int(train.sum())], [int((train > 0).sum())], [int((train == 1).sum())])
+
 
+def with_words(pieces_lp: np.ndarray, train: np.ndarray, total: int, ones: int) -> np.ndarray:
+    """Log probabilities of words by an edge for each training word beside the lattice of pieces."""
+    new = min(max(ones, 1) / (total + 1), 0.99) if total else 1.0
+    with np.errstate(divide="ignore"):
+        whole = np.log(train / max(total, 1)) + np.log1p(-new) if total else np.full(len(train), -np.inf)
+    return np.logaddexp(whole, pieces_lp + log(new))
 
-def _answer(shared):
+
+def _answer(shared, total: int, ones: int):
     def run(batches):
         pieces = shared.value
         for bucket, got in chunks.grouped(batches):
@@ -232,7 +205,7 @@ def _answer(shared):
             table = chunks.decode(row["words"])
             words = table.column("word").combine_chunks()
             train = table.column("train").to_numpy()
-            lp = log_probabilities(words.to_pylist(), pieces).astype(np.float32)
+            lp = with_words(log_probabilities(words.to_pylist(), pieces), train, total, ones)
             for r in asks:
                 at = pc.index_in(chunks.decode(r["words"]).column("word").combine_chunks(), value_set=words).to_numpy()
                 answer = pa.RecordBatch.from_arrays([pa.array(train[at]), pa.array(lp[at])], names=["c", "lp"])
@@ -241,36 +214,7 @@ def _answer(shared):
     return run
 
 
-def _expect(table: DataFrame, model: Pieces) -> np.ndarray:
-    """Expected counts of pieces and bytes in the training words of the word table."""
-    shared = table.sparkSession.sparkContext.broadcast(model)  # one entry per piece of the vocabulary, whatever the input
-
-    size = len(model.names) + 256
-    parts = -(-size // _PART)
-
-    def run(batches):
-        """A task's sums, cut into parts of the vocabulary: as few rows as there are parts."""
-        pieces, total = shared.value, np.zeros(parts * _PART)
-        for b in batches:
-            for blob in b.column("words"):
-                t = chunks.decode(blob.as_py())
-                train = t.column("train").to_numpy()
-                known = np.flatnonzero(train)
-                total[:size] += expected_counts(t.column("word").combine_chunks().take(pa.array(known)).to_pylist(), train[known].astype(float), pieces)
-        yield chunks.rows("bucket int, sums binary", range(parts), [p.tobytes() for p in total.reshape(parts, _PART)])
-
-    def add(batches):
-        for part, got in chunks.grouped(batches):
-            yield chunks.rows("bucket int, sums binary", [part], [np.sum([np.frombuffer(r["sums"]) for r in got], axis=0).tobytes()])
-
-    out = np.zeros(parts * _PART)
-    # As many rows as parts come back, whatever the input.
-    for r in chunks.by_bucket(table.mapInArrow(run, "bucket int, sums binary"), add, "bucket int, sums binary").collect():
-        out[r.bucket * _PART : (r.bucket + 1) * _PART] = np.frombuffer(r.sums)
-    return out[:size]
-
-
-def score(docs: DataFrame, held_out, vocabulary: str, *, steps: int = 2) -> DataFrame:
+def score(docs: DataFrame, held_out, vocabulary: str) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document.
 
     Rows whose ``held_out`` is false are learned from.  Tokens are the words
@@ -285,20 +229,15 @@ def score(docs: DataFrame, held_out, vocabulary: str, *, steps: int = 2) -> Data
     table = store(chunks.by_bucket(asks, _count, _TABLE), "word-table")
     release(spark)
     ends = docs.filter(~F.coalesce(held_out, F.lit(False))).count()
-    found = table.agg(F.sum("n"), F.sum("v")).first()
+    found = table.agg(F.sum("n"), F.sum("v"), F.sum("ones")).first()
     total, distinct = int(found[0] or 0) + ends, int(found[1] or 0) + (ends > 0)
 
-    model = load_pieces(vocabulary)
-    end_lp = 0.0
-    for _ in range(steps):
-        expected = _expect(table, model)
-        mass = expected.sum() + ends + 0.5 * (len(expected) + 1)
-        logs = np.log((expected + 0.5) / mass)
-        end_lp = log((ends + 0.5) / mass)
-        model = Pieces(model.names, logs[: len(model.names)], logs[len(model.names) :])
-
+    # An end comes once a text; words share the rest.
+    end_lp = log((ends + 0.5) / (total + 1))
+    word_lp = log((total - ends + 0.5) / (total + 1))
+    shared = spark.sparkContext.broadcast(load_pieces(vocabulary))  # one entry per piece of the vocabulary, whatever the input
     both = asks.unionByName(table.select("bucket", F.lit(None).cast("long").alias("chunk"), "words"))
-    answers = store(chunks.by_bucket(both, _answer(spark.sparkContext.broadcast(model)), chunks.ANSWERS), "word-scores")
+    answers = store(chunks.by_bucket(both, _answer(shared, total - ends, int(found[2] or 0)), chunks.ANSWERS), "word-scores")
     release(spark)
     bottom = total + 0.5 * (distinct + 1)
     end_base = log10((ends + 0.5) / bottom)
@@ -313,7 +252,7 @@ def score(docs: DataFrame, held_out, vocabulary: str, *, steps: int = 2) -> Data
                 parts = [chunks.decode(told[k]) for k, _ in w.parts()]
                 gathered = lambda name: np.concatenate([p.column(name).to_numpy() for p in parts]) if parts else np.zeros(0)  # noqa: B023, E731
                 c, lp = gathered("c"), gathered("lp").astype(float)
-                known, base, model = w.sums(c > 0).astype(np.int64), w.sums(np.log10((c + 0.5) / bottom)), w.sums(lp)
+                known, base, model = w.sums(c > 0).astype(np.int64), w.sums(np.log10((c + 0.5) / bottom)), w.sums(lp + word_lp)
                 yield chunks.rows(schema, t.column("c0").to_pylist(), t.column("c1").to_pylist(), w.lengths + 1, known + (ends > 0), np.full(len(known), total), base + end_base, (model + end_lp) / log(10))
 
     return chunks.tell(packed, answers).select("blob", "got").mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -168,14 +168,19 @@ class ArchiveReader(DataSourceReader):
         ranges = [ByteRange(name, lo, min(size, lo + self.split)) for name, size, _ in found for lo in range(0, size, self.split)]
         return ranges or [ByteRange("", 0, 0)]
 
-    def fetch(self, fs, path: str, entry: tuple) -> tuple[int | None, bytes, bytes, int]:
-        """One member by its offset, read again by itself if the read or a check fails."""
+    def fetch(self, fs, path: str, entry: tuple, opened: list | None = None) -> tuple[int | None, bytes, bytes, int]:
+        """One member by its offset, read again by itself from a file opened anew if the read or a check fails.
+
+        ``opened`` holds the archive between members.
+        """
         at, start, length, crc = entry
+        opened = [] if opened is None else opened
         for attempt in range(self.retries + 1):
             try:
-                with fs.open_input_file(path) as f:
-                    f.seek(at)
-                    raw = f.read(start - at + length)
+                if not opened:
+                    opened.append(fs.open_input_file(path))
+                opened[0].seek(at)
+                raw = opened[0].read(start - at + length)
                 info = tarfile.TarInfo.frombuf(raw[:512], "utf-8", "strict")
                 media = raw[start - at :]
                 if len(media) != length or zlib.crc32(media) != crc:
@@ -184,6 +189,9 @@ class ArchiveReader(DataSourceReader):
                 stem = info.name.removesuffix(".png")
                 return (None if stem == "None" else int(stem)), media, payload, n
             except (OSError, ValueError, zlib.error, tarfile.TarError) as e:
+                for f in opened:
+                    f.close()
+                opened.clear()
                 if attempt == self.retries:
                     raise OSError(f"{path} at {at}: {e}") from e
                 time.sleep(self.wait * 2**attempt)
@@ -203,22 +211,28 @@ class ArchiveReader(DataSourceReader):
         path = posixpath.join(root, partition.archive)
         with fs.open_input_stream(path + ".idx") as s:
             index = s.read()
-        schema, held, size = DIGEST if self.digest else SCHEMA, [], 0
+        schema, held, size, opened = DIGEST if self.digest else SCHEMA, [], 0, []
         for entry in _ENTRY.iter_unpack(index):
             if not partition.start <= entry[0] < partition.stop:
                 continue
-            doc_id, media, payload, n = self.fetch(fs, path, entry)
+            doc_id, media, payload, n = self.fetch(fs, path, entry, opened)
             held.append(self.row(doc_id, media, payload, n))
             size += len(media) + len(payload)
             if size >= self.batch:
                 yield batch_of(schema, *zip(*held, strict=True))
                 held, size = [], 0
+        for f in opened:
+            f.close()
         if held:
             yield batch_of(schema, *zip(*held, strict=True))
 
 
 class MediaArchive(DataSource):
-    """``spark.read.format("media_archive").load(dir)``; writes rows of (doc_id long, data binary)."""
+    """``spark.read.format("media_archive").load(dir)``; writes rows of (doc_id long, data binary).
+
+    Null data are empty bytes, a null doc_id comes back as null, repeated rows
+    are members each, and a folder without rows gives none.
+    """
 
     @classmethod
     def name(cls):

@@ -8,22 +8,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lattica.llm.common import small_batches, utf8
+from lattica.llm.common import fresh, small_batches, utf8
 
 
 def _count_words(batches):
     import pyarrow as pa
 
     for b in batches:
-        texts = b.column("_t")
+        texts = b.columns[-1]
         n = [len(t.as_py().split()) for t in texts]  # bytes.split() parts at \x20 and \x09-\x0D only
-        yield pa.RecordBatch.from_arrays([b.column(c) for c in b.schema.names[:-1]] + [pa.array(n, pa.int64())], names=[*b.schema.names[:-1], "size"])
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64())], names=[*b.schema.names[:-1], "size"])
 
 
 def with_size(docs: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``columns`` and ``size``, the words `[^\\x20\\x09-\\x0D]+` of ``text`` (null: 0)."""
     small_batches(docs.sparkSession)
-    picked = docs.select(*columns, utf8().alias("_t"))
+    columns = [c for c in columns if c != "size"]
+    picked = docs.select(*columns, utf8().alias(fresh(columns, "t")["t"]))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
     return picked.mapInArrow(_count_words, f"{fields}, size long")
 
@@ -71,20 +72,24 @@ def mix(sized: DataFrame, *, seed: int = 17, key: str = "doc_id", cycle: Sequenc
     into 16^prefix_digits key ranges per source whose sums are added up first,
     so a source that holds most rows is still many groups.  Sources of null are
     one source.  Rows that repeat a key follow one another.  A source of size 0
-    takes nothing.
+    takes nothing, an empty table gives no rows.  Columns of the names added here
+    are replaced, all others stay.
     """
-    rows = sized.withColumn("_k", random_key(seed, key)).withColumn("_p", F.substring("_k", 1, prefix_digits))
-    ranges = rows.groupBy("source", "_p").agg(F.sum("size").alias("_s"))
-    sizes = ranges.groupBy("source").agg(F.sum("_s").alias("source_size"))
-    targets = source_targets(sizes, cycle=cycle, share=share, cap=cap)
-    before = W.partitionBy("source").orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
-    offsets = ranges.withColumn("_o", F.coalesce(F.sum("_s").over(before), F.lit(0))).drop("_s").withColumnRenamed("source", "_src").withColumnRenamed("_p", "_pp")
-    meta = targets.withColumnRenamed("source", "_src2").join(offsets, F.col("_src").eqNullSafe(F.col("_src2"))).drop("_src2")
-    inside = W.partitionBy("source", "_p").orderBy("_k", "size").rowsBetween(W.unboundedPreceding, -1)
-    out = rows.withColumn("_i", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    out = out.join(meta, F.col("source").eqNullSafe(F.col("_src")) & (F.col("_p") == F.col("_pp")))
+    own = ("source_size", "target", "epochs", "cut", "taken")
+    sized = sized.drop(*own)
+    k, p, i, o, source, part = fresh([*sized.columns, *own], "k", "p", "i", "o", "source", "part").values()
+    rows = sized.withColumn(k, random_key(seed, key)).withColumn(p, F.substring(k, 1, prefix_digits))
+    ranges = rows.groupBy("source", F.col(p).alias("part")).agg(F.sum("size").alias("sum"))
+    sizes = ranges.groupBy("source").agg(F.sum("sum").alias("source_size"))
+    targets = source_targets(sizes, cycle=cycle, share=share, cap=cap).select(F.col("source").alias(source), "source_size", "target")
+    before = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = ranges.select("source", F.col("part").alias(part), F.coalesce(F.sum("sum").over(before), F.lit(0)).alias(o))
+    meta = targets.join(offsets, F.col("source").eqNullSafe(F.col(source))).drop("source")
+    inside = W.partitionBy("source", p).orderBy(k, "size").rowsBetween(W.unboundedPreceding, -1)
+    out = rows.withColumn(i, F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    out = out.join(meta, F.col("source").eqNullSafe(F.col(source)) & (F.col(p) == F.col(part)))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.floor("target") / F.col("source_size"))).otherwise(0).cast("long")
     rest = F.floor("target").cast("long") - F.col("epochs") * F.col("source_size")
-    cut = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_o") - F.col("_i"))).cast("long")
+    cut = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col(o) - F.col(i))).cast("long")
     out = out.withColumn("epochs", epochs).withColumn("cut", cut)
-    return out.withColumn("taken", F.col("epochs") * F.col("size") + F.col("cut")).drop("_k", "_p", "_i", "_src", "_pp", "_o", "weight")
+    return out.withColumn("taken", F.col("epochs") * F.col("size") + F.col("cut")).drop(k, p, i, o, source, part)

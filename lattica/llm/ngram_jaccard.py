@@ -571,12 +571,12 @@ def jaccard_components(docs: DataFrame, like: Likeness, *columns: str, block: in
     of sets that may link is compared in one task up to ``block`` shingles, and
     block by block beyond.  ``group`` names a further column, which tells
     components apart where their documents share ids or have none; it is null
-    without shingles.  Columns of any name may be kept but those returned.
+    without shingles.  Columns of the names
+    returned are replaced, others of any name may be kept.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    if clash := {"doc_id", "n_shingles", "component_id", group} & set(columns):
-        raise ValueError(f"columns that the result has of its own: {sorted(clash)}")
+    columns = tuple(c for c in columns if c not in ("doc_id", "n_shingles", "component_id", group))
     # Helper columns have names that no kept column has.
     cls, key, body, least_ = fresh(columns, "cls", "key", "body", "least").values()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *columns, text_key().alias(key), utf8().alias(body))

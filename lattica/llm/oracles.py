@@ -37,5 +37,5 @@ tab AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE W
 d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 crc AS (SELECT doc_id, len(h) // 2 + 16 AS size, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(h, '..'), lambda x: cast(concat('0x', x) AS bigint))), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM d, tab),
 n AS (SELECT a.doc_id, a.shard, md5(coalesce(cast(a.doc_id AS varchar), '')) AS k FROM a)
-SELECT crc.doc_id, cast(size AS bigint) AS size, text_crc32, 'key' AS law, cast(a.shard AS int) AS shard, cast(b.shard AS int) AS grown_shard, row_number() OVER (PARTITION BY a.shard ORDER BY md5(concat('slot', coalesce(cast(crc.doc_id AS varchar), ''))), crc.doc_id) - 1 AS slot FROM crc JOIN a ON a.doc_id = crc.doc_id JOIN b ON b.doc_id = crc.doc_id
+SELECT crc.doc_id, cast(size AS bigint) AS size, text_crc32, 'key' AS law, cast(a.shard AS int) AS shard, cast(b.shard AS int) AS grown_shard, row_number() OVER (PARTITION BY a.shard ORDER BY substr(md5(concat('slot', coalesce(cast(crc.doc_id AS varchar), ''))), 1, 3), crc.doc_id IS NULL, md5(concat('slot', coalesce(cast(crc.doc_id AS varchar), ''))), crc.doc_id) - 1 AS slot FROM crc JOIN a ON a.doc_id = crc.doc_id JOIN b ON b.doc_id = crc.doc_id
 """

@@ -408,13 +408,12 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, *columns: str) -> DataFrame:
 
     ``decoded_sha256`` is of the text that the ids decode to; ``lossless`` tells
     whether that is the text itself (a text that holds the space mark decodes to
-    a space there).  Null and empty texts have no pieces.
+    a space there).  Null and empty texts have no pieces, repeated rows each get
+    a row.  Columns of the names added here are replaced.
     """
     spark = docs.sparkSession
-    if clash := {"ids", "n_pieces", "decoded_sha256", "lossless"} & set(columns):
-        raise ValueError(f"columns that the result has of its own: {sorted(clash)}")
     n = chunks.buckets(spark)
-    kept = [f for f in docs.schema.fields if f.name in columns]
+    kept = [f for f in docs.schema.fields if f.name in columns and f.name not in ("ids", "n_pieces", "decoded_sha256", "lossless")]
     path = work_path(spark, "coded")
     shared = spark.sparkContext.broadcast((vocabulary, useful(vocabulary)))  # as large as the vocabulary, whatever the input
     chunks.texts(docs, *(f.name for f in kept)).mapInArrow(trimmed(_coded(shared, n)), _DOC).write.partitionBy("kind").option("compression", "none").parquet(path)

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lattica.llm.common import fresh
+
+#: Parts that rows without a key are dealt into.
+_DEALT = 1024
 #: Width of the hash that becomes a uniform number: 13 hex digits, exact in a double.
 _HEX, _SPAN = 13, float(2**52)
 
@@ -19,6 +23,16 @@ def _score(key: Column, shard: Column, weight: Column) -> Column:
     return -weight / F.log(u)
 
 
+def _scored(key: Column, shards: Sequence[tuple[int, float]]) -> Column:
+    """The (score, shard) of highest score among some shards for a record key."""
+    k = F.coalesce(key.cast("string"), F.lit(""))
+    return F.array_max(F.array(*(F.struct(_score(k, F.lit(i), F.lit(w)).alias("score"), F.lit(i).alias("shard")) for i, w in shards)))
+
+
+def _alive(weights: Sequence[float], first: int = 0) -> list[tuple[int, float]]:
+    return [(i, float(w)) for i, w in enumerate(weights) if i >= first and w > 0]
+
+
 def rendezvous(key: Column, weights: Sequence[float]) -> Column:
     """The shard of highest weighted score for a record key.
 
@@ -27,31 +41,39 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
     only its own keys.  Ties go to the higher shard number.  A null key counts
     as the empty key, so all null keys share a shard.
     """
-    alive = [(i, float(w)) for i, w in enumerate(weights) if w > 0]
-    if not alive:
+    if not _alive(weights):
         raise ValueError("at least one shard needs a positive weight")
-    k = F.coalesce(key.cast("string"), F.lit(""))
-    scored = [F.struct(_score(k, F.lit(i), F.lit(w)).alias("score"), F.lit(i).alias("shard")) for i, w in alive]
-    return F.array_max(F.array(*scored)).getField("shard")
+    return _scored(key, _alive(weights)).getField("shard")
 
 
 def shard(docs: DataFrame, weights: Sequence[float], *, key: str = "doc_id", grown: Sequence[float] | None = None, prefix_digits: int = 3) -> DataFrame:
-    """Add ``shard``, ``slot`` and ``grown_shard`` to rows keyed by ``key``.
+    """Add ``shard``, ``slot`` and ``grown_shard`` to rows keyed by ``key``; columns of these names are replaced, all others stay.
 
     ``slot`` numbers the rows of a shard from 0 without gaps, by hash of the key
     and the key: each shard is cut into 16^prefix_digits ranges of the hash that
     are numbered apart and offset by the counts before them, so no task ever
-    holds a whole shard.  The offsets are shards x ranges rows at most, whatever
-    the input.
-    Rows that repeat a key share a shard and get slots of their own.
+    holds a whole shard.  Rows without a key come last in their range and are
+    dealt further by a hash of what they hold.  Rows that repeat a key share a
+    shard and get slots of their own; an empty table gives no rows.
     """
-    k = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    out = docs.withColumn("shard", rendezvous(F.col(key), weights))
-    out = out.withColumn("grown_shard", rendezvous(F.col(key), grown) if grown else F.lit(None).cast("int"))
-    out = out.withColumn("_k", F.md5(F.concat(F.lit("slot"), k))).withColumn("_b", F.substring("_k", 1, prefix_digits))
-    counts = out.groupBy("shard", "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy("shard").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select("shard", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
-    inside = W.partitionBy("shard", "_b").orderBy("_k", F.col(key).asc_nulls_first())
-    ranked = out.withColumn("_r", F.row_number().over(inside).cast("long"))
-    return ranked.join(F.broadcast(offsets), ["shard", "_b"]).withColumn("slot", F.col("_o") + F.col("_r") - 1).drop("_k", "_b", "_o", "_r")
+    if not _alive(weights):
+        raise ValueError("at least one shard needs a positive weight")
+    docs = docs.drop("shard", "slot", "grown_shard")
+    best, k, b, o, r = fresh([*docs.columns, "shard", "slot", "grown_shard"], "best", "k", "b", "o", "r").values()
+    own = F.col(key)
+    out = docs.withColumn(best, _scored(own, _alive(weights))).withColumn("shard", F.col(f"{best}.shard"))
+    if grown and list(grown[: len(weights)]) == list(weights):  # the old shards' best is known: only new ones are scored
+        new = _alive(grown, len(weights))
+        moved = F.greatest(F.col(best), _scored(own, new)).getField("shard") if new else F.col("shard")
+    else:
+        moved = rendezvous(own, grown) if grown else F.lit(None).cast("int")
+    out = out.withColumn("grown_shard", moved).drop(best)
+    out = out.withColumn(k, F.md5(F.concat(F.lit("slot"), F.coalesce(own.cast("string"), F.lit("")))))
+    rest = F.pmod(F.xxhash64(*(c for c in docs.columns if c != key), F.lit(0)), F.lit(_DEALT)).cast("string")
+    part = F.when(own.isNull(), F.concat(F.lit("~"), F.lpad(rest, 4, "0"))).otherwise(F.lit(""))
+    out = out.withColumn(b, F.concat(F.substring(k, 1, prefix_digits), part))
+    before = W.partitionBy("shard").orderBy(b).rowsBetween(W.unboundedPreceding, -1)
+    offsets = out.groupBy("shard", b).agg(F.count(F.lit(1)).alias(o)).select("shard", b, F.coalesce(F.sum(o).over(before), F.lit(0)).alias(o))
+    ranked = out.withColumn(r, F.row_number().over(W.partitionBy("shard", b).orderBy(k, own)).cast("long"))
+    # Both sides are dealt by (shard, range) already, so the join moves no row.
+    return ranked.join(offsets, ["shard", b]).withColumn("slot", F.col(o) + F.col(r) - 1).select(*docs.columns, "shard", "slot", "grown_shard")

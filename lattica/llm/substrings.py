@@ -273,13 +273,12 @@ def remove_repeated_bytes(docs: DataFrame, *columns: str, length: int = 400, gra
     and are judged on the input.  Null and empty texts have no bytes, texts
     below ``length`` lose none, repeated rows repeat each other.  Anchors found
     ``hot`` times or more are not gathered: their strings are dealt out and
-    counted one by one, which gives the same result.
+    counted one by one, which gives the same result.  Columns of the names
+    added here are replaced.
     """
     spark = docs.sparkSession
     n = chunks.buckets(spark)
-    kept = [f for f in docs.schema.fields if f.name in columns]
-    if clash := {"n_bytes", "n_removed", "n_spans", "kept"} & set(columns):
-        raise ValueError(f"columns that the result has of its own: {sorted(clash)}")
+    kept = [f for f in docs.schema.fields if f.name in columns and f.name not in ("n_bytes", "n_removed", "n_spans", "kept")]
     packed = chunks.pack(docs, *(f.name for f in kept))
 
     def anchor_keys(table, got):

@@ -63,14 +63,13 @@ def _merge_join(batches):
 
 
 def _flag(batches):
-    """Rows of a bucket, those of the index first, then what chunks ask: 1 for keys that the index has seen twice."""
+    """Rows of a bucket, keys found again first, then what chunks ask: 1 for keys among the former."""
     for bucket, got in chunks.grouped(batches):
-        index = [r for r in got if r["chunk"] is None]
+        found = [np.frombuffer(r["keys"], _U) for r in got if r["chunk"] is None]
         asks = [r for r in got if r["chunk"] is not None]
         if not asks:
             continue
-        keys, many = merge_runs([_pair(r) for r in index])
-        again = keys[many]
+        again = np.unique(np.concatenate(found)) if found else np.zeros(0, _U)
         out = []
         for r in asks:
             k = np.frombuffer(r["keys"], _U)
@@ -150,13 +149,6 @@ class FingerprintLog:
                     drop_stored(r)
             level += 1
 
-    def recurring(self, asks: DataFrame) -> DataFrame:
-        """Answers to asks: which of their keys the whole index has seen twice."""
-        rows = asks.select("bucket", "chunk", "keys", F.col("extra").alias("many"))
-        for r in self.runs:
-            rows = rows.unionByName(r.withColumn("chunk", F.lit(None).cast("long")))
-        return chunks.by_bucket(rows, _flag, chunks.ANSWERS, "chunk")
-
     def verdicts(self, asks: DataFrame) -> DataFrame:
         """Answers to asks that are not in the log: which of their keys are found twice in them or once in an older run."""
         rows = asks.select("bucket", "chunk", "keys", F.col("extra").alias("many"))
@@ -165,6 +157,14 @@ class FingerprintLog:
         return chunks.by_bucket(rows, _verdict, chunks.ANSWERS, "chunk")
 
 
+def flagged(asks: DataFrame, found: list[DataFrame]) -> DataFrame:
+    """Answers to asks: which of their keys the merge-joins of the batches found."""
+    rows = asks.select("bucket", "chunk", "keys")
+    for f in found:
+        rows = rows.unionByName(f.withColumn("chunk", F.lit(None).cast("long")))
+    return chunks.by_bucket(rows, _flag, chunks.ANSWERS, "chunk")
+
+
 def _anchor_keys(width: int, gram: int):
     def keys(table, got):
         found = [anchors(word_hashes(t.as_py()), width, gram)[0] for t in table.column("_t")]
@@ -238,12 +238,15 @@ def remove_repeated_windows(docs: DataFrame, *, width: int = 35, gram: int = 18,
     log.windows = log.windows or FingerprintLog(log.fan_in)
     packed = chunks.pack(docs, "doc_id")
     asks = store(chunks.ask(packed, _anchor_keys(width, gram), n), "asks")
+    found = []
     for b in range(batches):
         new = asks.filter(F.pmod(F.xxhash64("chunk"), F.lit(batches)) == b)
-        log.append(new)
+        found.append(store(log.append(new), "found"))
         log.compact()
-    hints = store(log.recurring(asks), "hints")
-    drop_stored(asks)
+    # A key that comes twice is found by the join of the batch in which it comes again.
+    hints = store(flagged(asks, found), "hints")
+    for used in (asks, *found, *([] if lasting else log.runs)):
+        drop_stored(used)
     told = chunks.tell(packed, hints)
     asked = chunks.ask(told, _window_keys(width, gram, n), n)
     verified = store(log.windows.verdicts(asked), "verified")

@@ -4,6 +4,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 from hashlib import sha256
+from math import exp as math_exp
 from math import log, log10
 
 import pytest
@@ -305,10 +306,22 @@ def test_lm_scores(docs):
         w = [*words(t, True), None]
         base = sum(log10((count[x] + 0.5) / (total + 0.5 * (distinct + 1))) for x in w)
         want[i].append((held(i), len(w), sum(count[x] > 0 for x in w), total, round(base, 6)))
-    have = defaultdict(list)
+    pieces_of = lm_scoring.load_pieces(VOCABULARY)
+    ends = count[None]
+    new = min(max(sum(c == 1 for w, c in count.items() if w is not None), 1) / (total - ends + 1), 0.99)
+    chance = {}
+    for w in {w for _, t in texts(docs) for w in words(t, True)} | {w for w in count if w is not None}:
+        whole = count[w] / (total - ends) * (1 - new)
+        chance[w] = log10((whole + new * math_exp(lm_scoring._long("▁" + w.decode(), pieces_of))) * (total - ends + 0.5) / (total + 1))
+    scores = defaultdict(list)
+    for i, t in texts(docs):
+        scores[i].append(sum(chance[w] for w in words(t, True)) + log10((ends + 0.5) / (total + 1)))
+    have, found = defaultdict(list), defaultdict(list)
     for r in got:
         have[r.doc_id].append((r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)))
-        assert r.score < 0
+        found[r.doc_id].append(r.score)
+    for i, s in scores.items():
+        assert sorted(found[i]) == pytest.approx(sorted(s)), i
     assert {k: sorted(v) for k, v in have.items()} == {k: sorted(v) for k, v in want.items()}
 
 
@@ -329,11 +342,9 @@ def test_lattice_sums_all_segmentations():
     long = ("ab" * 60).encode()
     assert lm_scoring._long("▁" + "ab" * 20, p) == pytest.approx(lm_scoring.log_probabilities([b"ab" * 20], p)[0])
     assert np.isfinite(lm_scoring.log_probabilities([long], p)[0])
-    e = lm_scoring.expected_counts([b"ab"], np.array([2.0]), p)
-    paths = [(("▁", "a", "b"), 0.002), (("▁", "ab"), 0.015), (("▁a", "b"), 0.005), (("▁ab",), 0.2)]
-    whole = sum(x for _, x in paths)
-    for k, n in enumerate(names):
-        assert e[k] == pytest.approx(2 * sum(x * path.count(n) for path, x in paths) / whole)
+    lp = lm_scoring.with_words(np.log(np.array([0.25, 0.5])), np.array([3, 0]), 10, 2)
+    assert np.exp(lp) == pytest.approx([0.3 * (1 - 2 / 11) + 0.25 * 2 / 11, 0.5 * 2 / 11])
+    assert np.exp(lm_scoring.with_words(np.log(np.array([0.25])), np.array([0]), 0, 0)) == pytest.approx([0.25])
 
 
 def test_encoding_is_the_best_path_and_decodes(spark, docs):
@@ -408,3 +419,81 @@ def test_pipeline_stages_filter_and_keep(spark, sf_dir):
 def test_registered_queries():
     assert {q.split("_")[0] for q in QUERIES} == {f"op{i}" for i in range(1, 11)}
     assert set(ORACLES) <= set(QUERIES)
+
+
+def test_columns_of_clashing_names(spark):
+    """Helper columns never meet kept ones; columns that a result has of its own are replaced, all others stay."""
+    names = "doc_id long, text string, source string, size long, weight int, target int, source_size int, taken int, cut int, epochs int, _k int, _b int, _t int, _p int, _i int, _o int, cls int, n_shingles int, ids int, kept int, n_bytes int, shard int, slot int, best int, chunk int, bucket int"
+    rows = [(i, t, "s", 3, *range(22)) for i, t in [(1, "a b c"), (1, "a b c"), (2, None), (None, ""), (None, "d e f"), (3, "é " * 300)]]
+    wide = spark.createDataFrame(rows, names)
+    every = [c for c in wide.columns if c != "text"]
+    mixed = mixing.mix(mixing.with_size(wide, every)).collect()
+    assert len(mixed) == 6 and all(r.weight == 0 and r["_k"] == 6 and r["target"] > 5 for r in mixed)
+    cut = substrings.remove_repeated_bytes(wide, *every)
+    assert set(cut.columns) == set(every) | {"n_bytes", "n_removed", "n_spans", "kept"}
+    assert {(r["_t"], r.bucket) for r in cut.collect()} == {(8, 21)}
+    sharded = sharding.shard(wide, [1.0] * 4, grown=[1.0] * 5).collect()
+    assert all(r["_k"] == 6 and r["_b"] == 7 and r.grown_shard in (r["shard"], 4) for r in sharded)
+    assert Counter((r["shard"], r.slot) for r in sharded).most_common(1)[0][1] == 1
+    joined = ngram_jaccard.jaccard_components(wide, ngram_jaccard.Likeness(), *every)
+    assert sorted(joined.columns) == sorted({*every, "component_id"}) and {(r.cls, r["_k"]) for r in joined.collect()} == {(12, 6)}
+    got = pieces.encode(wide, pieces.load_vocabulary(VOCABULARY), *every).collect()
+    assert len(got) == 6 and all(isinstance(r.ids, list) and r.lossless and r.chunk == 20 for r in got)
+    odd = quality.stats(wide, *[c for c in every if c not in ("n_words",)]).collect()
+    assert len(odd) == 6
+
+
+def test_empty_tables_of_every_query_and_stage(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    schemas = {"documents": "doc_id long, text string, lang string, source string, n_chars long", "labels": "doc_id long, quality int, toxic int", "pages": "page_id long, url string, html string"}
+    for name, schema in schemas.items():
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name in ("op3_quality_rules", "op4_media_columns", "op8_url_filters"):
+        assert QUERIES[name](spark, str(tmp_path)).count() == 0, name
+    assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_url_verdicts_of_the_whole_table(spark, sf_dir):
+    """Host, path and rule of every page by plain string work; where no rule fits, the model's verdict."""
+    rules = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+    got = {r.page_id: r for r in QUERIES["op8_url_filters"](spark, sf_dir).collect()}
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url").collect()
+    assert len(got) == len(pages)
+    for p in pages:
+        host = path = ""
+        if p.url and "://" in p.url:
+            rest = p.url.split("://", 1)[1]
+            end = min([rest.index(c) for c in "/?#" if c in rest], default=len(rest))
+            host, rest = "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:end]), rest[end:]
+            path = rest[: min([rest.index(c) for c in "?#" if c in rest], default=len(rest))]
+        fits = [(len(h + q), h + q, v) for h, q, v in rules if (host == h or host.endswith("." + h)) and path.startswith(q)]
+        r = got[p.page_id]
+        assert (r.host, r.path, r.rule) == (host, path, max(fits)[1] if fits else None)
+        assert r.verdict == (max(fits)[2] if fits else "allow" if r.url_score > 0 else "block")
+
+
+def test_ids_are_the_best_path_of_every_word(spark, sf_dir):
+    v = pieces.load_vocabulary(VOCABULARY)
+    index = {p: (i, s) for p, i, s in zip(v.pieces, v.ids, v.scores, strict=True)}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    known = {}
+    for r in pieces.encode(docs, v, "doc_id").collect():
+        want = []
+        for w in ("▁" + text[r.doc_id].replace(" ", "▁")).replace("▁", "\0▁").split("\0")[1:] if text[r.doc_id] else []:
+            want.append(w)
+        joined, k = [], 0
+        while k < len(want):  # spaces in a row belong to the word they lead
+            word = want[k]
+            while word.strip("▁") == "" and k + 1 < len(want):
+                k += 1
+                word += want[k]
+            joined.append(word)
+            k += 1
+        ids = []
+        for w in joined:
+            if w not in known:
+                known[w] = pieces.best_path(w, index, v.longest, v.unknown_score, v.byte_ids, v.unknown)
+            ids += known[w]
+        assert r.ids == ids
