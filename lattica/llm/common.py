@@ -8,6 +8,7 @@ import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,6 +92,7 @@ def trimmed(run):
 
     def held(batches):
         yield from run(batches)
+        pa.default_memory_pool().release_unused()
         try:
             ctypes.CDLL("libc.so.6").malloc_trim(0)
         except (OSError, AttributeError):  # another C library: nothing to give back by hand

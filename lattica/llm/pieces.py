@@ -29,7 +29,7 @@ SPACE = "▁"
 #: Words of more characters are folded outside the lattice: an array fold copies its state at each step.
 LONG = 64
 #: Bytes of text in a chunk.
-CHUNK = 8_000_000
+CHUNK = 6_000_000
 #: Words in a part of a bucket's list.
 _PART = 20_000
 #: Bits of the tables that tell where words may be cut.
@@ -428,10 +428,12 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, *columns: str) -> DataFrame:
     words, asked = (spark.read.schema("bucket int, chunk long, body binary, kind int").parquet(lists).filter(F.col("kind") == k).drop("kind") for k in (0, 1))
     # A partition's words are grouped in memory; past this many the grouping would sort substrings on disk.
     with session(spark, {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": 1 << 20}):
-        dealt = words.mapInArrow(_reaching(shared), "bucket int, place long, word string, reach array<tinyint>").repartition(n, "bucket")
-        paths = best_paths(dealt, vocabulary, "bucket", "place").select("bucket", "place", "ids").mapInArrow(_packed, _PATHS)
-        found = store(paths.union(words.mapInArrow(_long(shared), _PATHS)), "encoded-words", compression="none")
-    del dealt, paths
+        known = words.mapInArrow(trimmed(_reaching(shared)), "bucket int, place long, word string, reach array<tinyint>")
+        # A bucket's words in four parts, so that few lattices are in memory at once.
+        dealt = known.withColumn("part", F.pmod("place", F.lit(4))).repartition(4 * n, "bucket", "part")
+        paths = best_paths(dealt, vocabulary, "bucket", "part", "place").select("bucket", "place", "ids").mapInArrow(trimmed(_packed), _PATHS)
+        found = store(paths.union(words.mapInArrow(trimmed(_long(shared)), _PATHS)), "encoded-words", compression="none")
+    del known, dealt, paths
     drop_path(spark, f"{lists}/kind=0")
     release(spark)
     answers = store(chunks.by_bucket(found.unionByName(asked), _reply, chunks.ANSWERS), "encoded", compression="none")
