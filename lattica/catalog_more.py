@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from lattica.catalog import ORACLES, QUERIES, A, B, _files, _flat, _table, add, add_plain
+from lattica.catalog import _HIT, _RISKS, _SP, ORACLES, QUERIES, A, B, _calls_with, _files, _flat, _spans_of, _table, add, add_plain
 from lattica.functions import text as X
 from lattica.graph import Graph
 from lattica.operators import aggregates, lookups, patterns, ranges, ranking, resolve, search
@@ -60,12 +60,6 @@ add_service("consumers_of", lambda g: patterns.consumers_of(g, "app.r1"), f"SELE
 add_service("resolve_events", lambda g: resolve.event_calls(g).select("source_qualified", "target_qualified", "confidence"), "SELECT DISTINCT p.source_qualified, h.source_qualified AS target_qualified, 0.95e0 AS confidence FROM SE p JOIN SE h ON p.target_qualified = h.target_qualified WHERE p.kind = 'PUBLISHES' AND h.kind = 'HANDLES'")
 add_service("event_nodes", lambda g: resolve.event_nodes(g).select("qualified_name"), "SELECT DISTINCT target_qualified AS qualified_name FROM SE WHERE kind IN ('PUBLISHES', 'HANDLES') AND target_qualified NOT IN (SELECT qualified_name FROM SN)")
 add_service("resolve_scoped", lambda g: resolve.resolve_scoped(g).filter("kind = 'CALLS'").select("source_qualified", "target_qualified"), "SELECT source_qualified, coalesce(n.qualified_name, target_qualified) AS target_qualified FROM SE LEFT JOIN SN n ON concat(n.parent_name, '::', n.name) = target_qualified WHERE SE.kind = 'CALLS'")
-add_service("resolve_hcl", lambda g: resolve.resolve_hcl(g).groupBy("kind").agg(F.count(F.lit(1)).alias("n")), "SELECT kind, count(*) AS n FROM SE GROUP BY 1")
-add_service("resolve_rescript", lambda g: resolve.resolve_rescript(g).groupBy("kind").agg(F.count(F.lit(1)).alias("n")), "SELECT kind, count(*) AS n FROM SE GROUP BY 1")
-add_service("resolve_cpp_scope", lambda g: resolve.resolve_cpp_scope(g).filter("resolution is null").groupBy("kind").agg(F.count(F.lit(1)).alias("n")), "SELECT kind, count(*) AS n FROM SE GROUP BY 1")
-add_service("resolve_spring_di", lambda g: resolve.resolve_spring_di(g).groupBy("kind", "spring_resolved").agg(F.count(F.lit(1)).alias("n")), "SELECT kind, false AS spring_resolved, count(*) AS n FROM SE GROUP BY 1")
-add_service("resolve_temporal", lambda g: resolve.resolve_temporal(g).groupBy("kind", "temporal_resolved").agg(F.count(F.lit(1)).alias("n")), "SELECT kind, false AS temporal_resolved, count(*) AS n FROM SE GROUP BY 1")
-add_service("resolve_bare_tests", lambda g: resolve.resolve_bare_tests(g).groupBy("kind").agg(F.count(F.lit(1)).alias("n")), "SELECT kind, count(*) AS n FROM SE GROUP BY 1")
 
 
 def _dotted(g: Graph) -> Graph:
@@ -88,12 +82,12 @@ add("edge_to_dict", lambda g: lookups.edge_to_dict(g.edges.withColumn("extra", F
 add("is_test_file", lambda g: g.nodes.withColumn("p", F.concat(F.lit("/x/test_"), "name", F.lit(".py"))).filter(X.is_test_file(F.col("p")) & ~X.is_test_file(F.col("file_path"))).select("qualified_name"), "SELECT qualified_name FROM N WHERE name NOT LIKE '%/%'")
 add("entry_name", lambda g: g.nodes.filter(X.is_entry_name(F.col("name"), F.col("language"))).select("qualified_name"), "SELECT qualified_name FROM N WHERE starts_with(name, 'test_')")
 add("entry_decorator", lambda g: g.nodes.filter(X.is_entry_decorator(F.col("extra"))).select("qualified_name"), "SELECT qualified_name FROM N WHERE extra LIKE '%app.get%'")
-add("is_test_community", lambda g: g.nodes.select(X.is_test_community(F.col("kind")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")), "SELECT kind = 'Test' AS t, count(*) AS n FROM N GROUP BY 1")
+add("is_test_community", lambda g: g.nodes.select("qualified_name", X.is_test_community(F.concat(F.lower("kind"), F.lit("-"), "name")).alias("t")), "SELECT qualified_name, kind = 'Test' AS t FROM N")
 add("java_fqn_shape", lambda g: g.nodes.filter(X.is_java_name(F.concat(F.lit("com.x."), "name"))).select("qualified_name"), "SELECT qualified_name FROM N WHERE kind <> 'File'")
 add("overlap_filter", lambda g: g.nodes.filter("line_start <= 200 and line_end >= 100").select("qualified_name"), "SELECT qualified_name FROM N WHERE line_start <= 200 AND line_end >= 100")
 add("select_minimal", lambda g: lookups.select_minimal(g.nodes, ["qualified_name", "kind"], ["qualified_name"]), "SELECT qualified_name, kind FROM N ORDER BY 1 LIMIT 5")
 add("sanitize", lambda g: g.nodes.select("qualified_name", X.sanitize(F.concat("name", F.lit("\x01\x07"))).alias("clean")), "SELECT qualified_name, name AS clean FROM N")
-add("sentinel_limit", lambda g: ranking.bounded(g.edges.select("source_qualified").distinct(), ["source_qualified"], 5, 10), "SELECT DISTINCT source_qualified, (SELECT count(DISTINCT source_qualified) FROM E) AS total, true AS truncated FROM E ORDER BY 1 LIMIT 5")
+add("sentinel_limit", lambda g: ranking.sentinel_limit(g.edges.select("source_qualified").distinct(), ["source_qualified"], 5), "SELECT source_qualified, (SELECT count(DISTINCT source_qualified) FROM E) > 5 AS truncated FROM (SELECT DISTINCT source_qualified FROM E ORDER BY 1 LIMIT 5) x")
 add("union_files", lambda g: g.nodes.select("file_path").union(g.edges.select("file_path")).distinct(), "SELECT file_path FROM N UNION SELECT file_path FROM E")
 add("union_all_directions", lambda g: g.edges.select("source_qualified", "target_qualified").union(g.edges.select("target_qualified", "source_qualified")), "SELECT source_qualified, target_qualified FROM E UNION ALL SELECT target_qualified, source_qualified FROM E")
 add("set_intersect", lambda g: g.edges.select(F.col("target_qualified").alias("q")).intersect(g.nodes.select(F.col("qualified_name").alias("q"))), "SELECT target_qualified AS q FROM E INTERSECT SELECT qualified_name FROM N")
@@ -107,15 +101,23 @@ add("flow_criticalities", lambda g: flows.flow_counts(flows.flow_tables(g)))
 add("store_flows", lambda g: flows.flow_tables(g).flows.select("entry", "node_count", "file_count", "depth"))
 add("store_communities", lambda g: g.nodes.join(g.communities, "qualified_name", "left").select("qualified_name", "community_id"), "SELECT N.qualified_name, community_id FROM N LEFT JOIN C USING (qualified_name)")
 add("pr_risk_band", lambda g: aggregates.risk_index(g).select("qualified_name", review.risk_band(F.col("risk_score")).alias("band")).groupBy("band").agg(F.count(F.lit(1)).alias("n")))
-add("review_context", lambda g: impact.impact_radius(g, _files(g, A)).groupBy("file_path").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("best")))
-add("minimal_context", lambda g: aggregates.graph_stats(g).filter("metric in ('nodes', 'edges', 'files')").select("metric", "n"), "SELECT 'nodes' AS metric, count(*) AS n FROM N UNION ALL SELECT 'edges', count(*) FROM E UNION ALL SELECT 'files', count(*) FROM N WHERE kind = 'File'")
+add("review_context", lambda g: review.review_context(g, _files(g, A)).select("part", "subject"))
+add("minimal_context", lambda g: review.minimal_context(g, _spans_of(g)), "SELECT 'nodes' AS what, cast(count(*) AS varchar) AS value FROM N UNION ALL SELECT 'edges', cast(count(*) AS varchar) FROM E UNION ALL SELECT 'files', cast(count(*) AS varchar) FROM N WHERE kind = 'File' UNION ALL (SELECT 'changed', h.qualified_name FROM (" + _HIT + ") h JOIN risk USING (qualified_name) JOIN N ON N.qualified_name = h.qualified_name WHERE h.kind IN ('Function', 'Test', 'Class') AND NOT coalesce(N.extra LIKE '%verilog_kind%', false) ORDER BY round(risk_score, 9) DESC, 2 LIMIT 5)", _SP + ", " + _calls_with + ", " + _RISKS)
 add("relevant_lines", lambda g: ranges.merge_windows(g.nodes.filter((F.col("file_path") == A) & (F.col("kind") == "Function")).select("file_path", F.col("line_start").alias("start"), F.col("line_end").alias("end"))),
     f"SELECT file_path, min(s) AS start, max(e) AS \"end\" FROM (SELECT *, sum(fresh) OVER (ORDER BY s, e ROWS UNBOUNDED PRECEDING) g FROM (SELECT file_path, s, e, CASE WHEN s > max(e) OVER (ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 OR max(e) OVER (ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) IS NULL THEN 1 ELSE 0 END fresh FROM (SELECT file_path, greatest(line_start - 2, 1) s, line_end + 2 e FROM N WHERE file_path = '{A}' AND kind = 'Function') a) b) c GROUP BY file_path, g")
 add("forget", lambda g: store.remove_files_permanently(g, _files(g, A)).nodes.select("qualified_name"), f"SELECT qualified_name FROM N WHERE file_path <> '{A}'")
 add("replace_batch", lambda g: store.replace_files(g, _files(g, A, B), g.nodes.limit(0).withColumn("seq", F.lit(1)), g.edges.limit(0).withColumn("seq", F.lit(1))).nodes.select("qualified_name"), f"SELECT qualified_name FROM N WHERE file_path NOT IN ('{A}', '{B}')")
 add("reconcile_stale", lambda g: ranking.stale(g.nodes.select("file_path").distinct(), g.nodes.filter("language = 'python'").select("file_path").distinct(), "file_path"), "SELECT DISTINCT file_path FROM N WHERE file_path NOT IN (SELECT file_path FROM N WHERE language = 'python')")
 add("change_detect", lambda g: store.change_detect(g.with_(nodes=g.nodes.withColumn("file_hash", F.sha2("file_path", 256))), g.nodes.filter("kind = 'File'").select("file_path", F.when(F.col("language") == "java", F.lit("new")).otherwise(F.col("file_path")).cast("binary").alias("content"))), "SELECT file_path, 'changed' AS change FROM N WHERE kind = 'File' AND language = 'java'")
-add("semantic_search", lambda g: search.keyword_search(g, "region", 10), "SELECT qualified_name, CASE WHEN lower(name) = 'region' THEN 3e0 WHEN starts_with(lower(name), 'region') THEN 2e0 ELSE 1e0 END AS score FROM N WHERE name ILIKE '%region%' OR qualified_name ILIKE '%region%' ORDER BY 2 DESC, 1 LIMIT 10")
+def _letters(g: Graph) -> DataFrame:
+    """Vectors of nodes by how often each letter stands in their name: any provider's would do."""
+    low = F.lower("name")
+    return g.nodes.filter("kind = 'Class'").select("qualified_name", F.array(*((F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("double") for c in _ABC)).alias("embedding"))
+
+
+_ABC = "abcdefghijklmnopqrstuvwxyz"
+_letter_vector = lambda w: [float(w.count(c)) for c in _ABC]
+add("semantic_search", lambda g: search.hybrid_search(g, "region", _letters(g), _letter_vector("region"), limit=5).select("qualified_name", F.round("score", 9).alias("score")))
 add("kind_boost", lambda g: g.nodes.select("qualified_name", search.kind_boost("supply_token_1").alias("boost")), "SELECT qualified_name, CASE WHEN kind = 'Function' THEN 1.5e0 ELSE 1e0 END * CASE WHEN contains(lower(qualified_name), 'supply_token_1') THEN 2e0 ELSE 1e0 END AS boost FROM N")
 add("embed_nodes", lambda g: search.stale_vectors(search.node_text(g), search.node_text(g).filter("length(text) % 2 = 0").select("qualified_name", F.sha2("text", 256).alias("text_hash"), F.lit("p").alias("provider")), "p").select("qualified_name"))
 add("export_json", lambda g: g.nodes.select(F.to_json(F.struct(F.lit("node").alias("type"), "qualified_name", "kind")).alias("value")))
@@ -140,7 +142,67 @@ add_plain("bench_aggregate", lambda s, d: aggregates.bench_aggregate(_table(s, d
           "SELECT o_orderpriority AS mode, count(*) FILTER (o_orderstatus = 'F') AS ok, count(*) FILTER (o_orderstatus = 'O') AS errors, count(*) FILTER (o_orderstatus NOT IN ('F', 'O')) AS skipped, round(avg(o_custkey) FILTER (o_orderstatus = 'F'), 6) AS mean FROM orders GROUP BY 1")
 add_plain("measure_savings", lambda s, d: aggregates.token_efficiency(_table(s, d, "documents").select("doc_id", X.estimate_tokens(F.coalesce("text", F.lit(""))).alias("raw_tokens"), F.lit(50).alias("graph_tokens"))).select("doc_id", "ratio"), "SELECT doc_id, CASE WHEN t > 0 THEN t / 50 ELSE 0e0 END AS ratio FROM (SELECT doc_id, cast(ceil(length(coalesce(text, '')) / 4.0) AS bigint) t FROM documents) x")
 add_plain("docs_section", lambda s, d: files.docs_section(_table(s, d, "benchmark").select(F.concat(F.lit('<section name="usage">'), "text", F.lit("</section>")).alias("text")), "usage"), "SELECT text AS section FROM benchmark")
-add_plain("query_identifiers", lambda s, d: _table(s, d, "part").select("p_partkey", F.size(F.regexp_extract_all(F.concat(F.lit("call get_users of Context.Next for "), "p_name"), F.lit(r"\b[a-z][a-z0-9]*(?:_[a-z0-9]+)+\b"), 0)).alias("n")), "SELECT p_partkey, cast(len(regexp_extract_all(concat('call get_users of Context.Next for ', p_name), '\\b[a-z][a-z0-9]*(?:_[a-z0-9]+)+\\b')) AS int) AS n FROM part")
+add_plain("query_identifiers", lambda s, d: _table(s, d, "part").select("p_partkey", F.array_join(search.identifiers(F.concat(F.lit("call get_users of Context.Next for Part"), "p_partkey", F.lit("Item "), "p_name")), ",").alias("found")), "SELECT p_partkey, concat('context.next,get_users,part', p_partkey, 'item') AS found FROM part")
 add_plain("select_repos", lambda s, d: _table(s, d, "nation").filter(F.lower("n_name").isin("china", "france")).select("n_nationkey", "n_name"), "SELECT n_nationkey, n_name FROM nation WHERE lower(n_name) IN ('china', 'france')")
 add_plain("read_snapshot", lambda s, d: _table(s, d, "region").select("r_regionkey", "r_name"), "SELECT r_regionkey, r_name FROM region")
 
+
+# -- sites: references by part that resolvers rewrite, with ambiguous ones and ones out of reach ------
+_K = "cast(p_partkey as string)"
+_DIR = "concat('/infra/d', cast(p_partkey % 40 as string))"
+_HNAME = f"CASE WHEN p_partkey % 5 = 0 THEN concat('aws.s', cast(p_partkey % 3 as string)) ELSE concat('aws.r', {_K}) END"
+_MOD = "cast(p_partkey % 30 as string)"
+_SYM = "concat('a', cast(p_partkey % 9 as string), '::f', cast(p_partkey as string))"
+_node = lambda name, qn, path, language="'x'", parent="cast(null as string)", where="true": f"SELECT 'Function' AS kind, {name} AS name, {qn} AS qualified_name, {path} AS file_path, {language} AS language, {parent} AS parent_name, false AS is_test, '{{{{}}}}' AS extra FROM {{part}} WHERE {where}"
+_edge = lambda kind, source, target, path, extra="'{{}}'": f"SELECT '{kind}' AS kind, {source} AS source_qualified, {target} AS target_qualified, {path} AS file_path, cast(p_partkey as int) AS line, {extra} AS extra FROM {{part}}"
+SITE_NODES = " UNION ALL ".join([
+    _node(_HNAME, f"concat({_DIR}, '/main.tf::h', {_K})", f"concat({_DIR}, '/main.tf')"),
+    _node(f"concat('g', {_K})", f"concat('/r/Mod', {_MOD}, '.res::g', {_K})", f"concat('/r/Mod', {_MOD}, '.res')"),
+    _node(f"concat('g', {_K})", f"concat('/r/Mod', {_MOD}, '.resi::g', {_K})", f"concat('/r/Mod', {_MOD}, '.resi')", where="p_partkey % 4 = 0"),
+    _node(f"concat('f', {_K})", f"concat('/c/x.cpp::', {_SYM})", "'/c/x.cpp'", "'cpp'"),
+    _node(f"concat('f', {_K})", f"concat('/c/y.cpp::', {_SYM})", "'/c/y.cpp'", "'cpp'", where="p_partkey % 5 = 0"),
+    _node(f"concat('go', {_K})", f"concat('/s/I', {_K}, '.java::Impl', {_K}, '.go', {_K})", f"concat('/s/I', {_K}, '.java')", "'java'", f"concat('Impl', {_K})"),
+    _node(f"concat('fn', {_K})", f"concat('/m/mod', cast((p_partkey + CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END) % 20 as string), '.py::fn', {_K})", "concat('/m/mod', cast((p_partkey + CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END) % 20 as string), '.py')", "'python'"),
+    _node(f"concat('fn', {_K})", f"concat('/t/test_', {_K}, '.py::fn', {_K})", f"concat('/t/test_', {_K}, '.py')", "'python'", where="p_partkey % 10 = 1"),
+])
+_inject = lambda kind: [
+    _edge(kind, f"concat('/s/C', {_K}, '.java::Ctl', {_K})", f"concat('Port', {_K})", f"concat('/s/C', {_K}, '.java')", "'{{\"field_name\": \"p\"}}'"),
+    _edge("IMPLEMENTS", f"concat('/s/I', {_K}, '.java::Impl', {_K})", f"concat('Port', {_K})", f"concat('/s/I', {_K}, '.java')"),
+    _edge("IMPLEMENTS", f"concat('/s/I', {_K}, '.java::Alt', {_K})", f"concat('Port', {_K})", f"concat('/s/I', {_K}, '.java')") + " WHERE p_partkey % 4 = 0",
+    _edge("CALLS", f"concat('/s/C', {_K}, '.java::Ctl', {_K}, '.run')", f"concat('go', {_K})", f"concat('/s/C', {_K}, '.java')", "'{{\"receiver\": \"p\"}}'"),
+]
+SITE_EDGES = {
+    "resolve_hcl": [_edge("REFERENCES", f"concat('/infra/v', {_K})", _HNAME, "concat('/infra/d', cast((p_partkey + CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE 0 END) % 40 as string), '/vars.tf')")],
+    "resolve_rescript": [_edge("CALLS", f"concat('/r/u', {_K})", f"concat(CASE WHEN p_partkey % 6 = 0 THEN 'Nope' ELSE concat('Mod', {_MOD}) END, '.g', {_K})", "'/r/Use.res'")],
+    "resolve_cpp_scope": [_edge("CALLS", f"concat('/c/u', {_K})", f"concat('f', {_K})", "'/c/u.cpp'", "concat('{{\"receiver_scope\": \"', CASE WHEN p_partkey % 7 = 0 THEN 'zz' ELSE concat('a', cast(p_partkey % 9 as string)) END, '::inner\"}}')")],
+    "resolve_spring_di": _inject("INJECTS"),
+    "resolve_temporal": _inject("TEMPORAL_STUB"),
+    "resolve_bare_tests": [
+        _edge("TESTED_BY", f"concat('fn', {_K})", f"concat('/t/test_', {_K}, '.py::test_', {_K})", f"concat('/t/test_', {_K}, '.py')"),
+        _edge("IMPORTS_FROM", f"concat('/t/test_', {_K}, '.py')", "concat('/m/mod', cast(p_partkey % 20 as string), '.py')", f"concat('/t/test_', {_K}, '.py')"),
+    ],
+}
+
+
+def add_site(name: str, run, sql: str) -> None:
+    """Register a resolver on the sites; ``sql`` sees RN and RE, their nodes and the edges of this resolver."""
+    edges = " UNION ALL ".join(SITE_EDGES[name])
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        part = _table(spark, sf_dir, "part")
+        return run(Graph(spark.sql(SITE_NODES, part=part), spark.sql(edges, part=part)))
+
+    QUERIES[name] = query
+    ORACLES[name] = f"WITH RN AS ({_flat(SITE_NODES.format(part='part'))}), RE AS ({_flat(edges.format(part='part'))}) {_flat(sql)}"
+
+
+_sole = lambda cond: f"(SELECT CASE WHEN count(DISTINCT qualified_name) = 1 THEN max(qualified_name) END FROM RN WHERE {cond})"
+_WHERE = "regexp_extract({}.file_path, '^(.*)/[^/]*$', 1)"
+add_site("resolve_hcl", lambda g: resolve.resolve_hcl(g).select("source_qualified", "target_qualified"), f"SELECT source_qualified, coalesce(q, t) AS target_qualified FROM (SELECT source_qualified, target_qualified AS t, {_sole('RN.name = RE.target_qualified AND ' + _WHERE.format('RN') + ' = ' + _WHERE.format('RE'))} AS q FROM RE) x")
+add_site("resolve_rescript", lambda g: resolve.resolve_rescript(g).select("source_qualified", "target_qualified"), "SELECT source_qualified, CASE WHEN starts_with(target_qualified, 'Mod') THEN concat('/r/', split_part(target_qualified, '.', 1), '.res::', split_part(target_qualified, '.', 2)) ELSE target_qualified END AS target_qualified FROM RE")
+add_site("resolve_cpp_scope", lambda g: resolve.resolve_cpp_scope(g).select("source_qualified", "target_qualified", "resolution"), """SELECT source_qualified, CASE WHEN n = 1 THEN q ELSE t END AS target_qualified, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'ambiguous' END AS resolution FROM (SELECT source_qualified, target_qualified AS t, (SELECT count(*) FROM RN WHERE ends_with(qualified_name, concat('.cpp::', s, '::', target_qualified))) AS n, (SELECT max(qualified_name) FROM RN WHERE ends_with(qualified_name, concat('.cpp::', s, '::', target_qualified))) AS q FROM (SELECT *, regexp_extract(extra, '"([^":]*)::inner"', 1) AS s FROM RE) e) x""")
+for _name, _mark in (("resolve_spring_di", "spring_resolved"), ("resolve_temporal", "temporal_resolved")):
+    add_site(_name, lambda g, f=getattr(resolve, _name), m=_mark: f(g).filter("kind = 'CALLS'").select("source_qualified", "target_qualified", m),
+             f"SELECT source_qualified, CASE WHEN line % 4 = 0 THEN target_qualified ELSE concat('/s/I', line, '.java::Impl', line, '.go', line) END AS target_qualified, line % 4 <> 0 AS {_mark} FROM RE WHERE kind = 'CALLS'")
+add_site("resolve_bare_tests", lambda g: resolve.resolve_bare_tests(g).filter("kind = 'TESTED_BY'").select("source_qualified", "target_qualified", "resolution", F.coalesce(F.size("candidates"), F.lit(0)).alias("listed")),
+         """SELECT CASE WHEN n = 1 THEN q ELSE s END AS source_qualified, target_qualified, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'ambiguous' ELSE 'unresolved' END AS resolution, cast(CASE WHEN n > 1 THEN n ELSE 0 END AS int) AS listed FROM (SELECT e.source_qualified AS s, e.target_qualified, count(DISTINCT RN.qualified_name) AS n, max(RN.qualified_name) AS q FROM (SELECT * FROM RE WHERE kind = 'TESTED_BY') e LEFT JOIN (SELECT file_path, target_qualified AS other FROM RE WHERE kind = 'IMPORTS_FROM' UNION SELECT file_path, file_path FROM RE) i ON i.file_path = e.file_path LEFT JOIN RN ON RN.name = e.source_qualified AND RN.file_path = i.other GROUP BY 1, 2) x""")

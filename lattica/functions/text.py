@@ -63,7 +63,7 @@ def is_test_file(path: Column) -> Column:
 
 def is_test_community(name: Column) -> Column:
     """Names of communities that hold tests."""
-    return F.lower(name).rlike(r"(^|[-/])(tests?|specs?)([-/:]|$)|^test|\btest")
+    return name.rlike(f"(?i){schemas.TEST_COMMUNITY}")
 
 
 def is_entry_name(name: Column, language: Column) -> Column:
@@ -113,8 +113,22 @@ def slug(name: Column, most: int = 30) -> Column:
 
 
 def config_key(key: Column) -> Column:
-    """A configuration key in one spelling: lower case, no dashes or underscores."""
-    return F.regexp_replace(F.lower(F.trim(key)), r"[-_]", "")
+    """A configuration key in one spelling: each dotted part in camel case, an index at its end kept.
+
+    A part of one word keeps its spelling unless it is all capitals.
+    """
+    capital = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 20)))
+
+    def one(part):
+        index = F.regexp_extract(part, r"(\[[0-9]+\])$", 1)
+        base = F.regexp_replace(part, r"\[[0-9]+\]$", "")
+        words = F.filter(F.split(base, "[-_]+"), lambda w: w != "")
+        shout = (F.upper(base) == base) & (F.lower(base) != base)
+        head = F.when(shout | (F.size(words) > 1), F.lower(F.get(words, F.lit(0)))).otherwise(F.get(words, F.lit(0)))
+        rest = F.array_join(F.transform(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), capital), "")
+        return F.when(F.size(words) == 0, index).otherwise(F.concat(head, rest, index))
+
+    return F.array_join(F.transform(F.split(F.trim(key), r"\."), one), ".")
 
 
 def key_patterns(key: Column) -> Column:

@@ -116,11 +116,20 @@ def community_cohesion(g: Graph) -> DataFrame:
     return every.withColumn("cohesion", F.when(whole > 0, F.col("internal") / whole).otherwise(F.lit(0.0)))
 
 
-def cross_community(g: Graph, warn_above: int = 10) -> DataFrame:
-    """Edges, but for tests, between two communities, with a flag where they are many."""
+def cross_community(g: Graph, warn_above: int = 10, names: DataFrame | None = None) -> DataFrame:
+    """Edges, but for tests, between two communities, with a flag where they are many.
+
+    With ``names`` (community_id, name) pairs with a community of tests are never flagged.
+    """
     e = _edge_communities(g).filter((F.col("kind") != "TESTED_BY") & (F.col("source_community") != F.col("target_community")))
     pair = e.groupBy(F.least("source_community", "target_community").alias("community_a"), F.greatest("source_community", "target_community").alias("community_b")).agg(F.count(F.lit(1)).alias("edges"))
-    return pair.withColumn("coupled", F.col("edges") > warn_above)
+    if names is None:
+        return pair.withColumn("coupled", F.col("edges") > warn_above)
+    tests = names.filter(X.is_test_community(F.col("name"))).select("community_id").distinct()
+    side = lambda end: tests.select(F.col("community_id").alias(f"community_{end}"), F.lit(True).alias(f"_{end}"))
+    marked = pair.join(side("a"), "community_a", "left").join(side("b"), "community_b", "left")
+    real = F.col("_a").isNull() & F.col("_b").isNull()
+    return marked.select("community_a", "community_b", "edges", ((F.col("edges") > warn_above) & real).alias("coupled"))
 
 
 def cross_community_kinds(g: Graph, top: int = 3) -> DataFrame:

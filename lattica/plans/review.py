@@ -10,9 +10,21 @@ from lattica.functions import text as X
 from lattica.graph import Graph
 from lattica.operators import aggregates, patterns, ranges, ranking
 from lattica.plans import flows as flow_plans
+from lattica.plans.materialise import settle
 
 #: Names that need no test of their own.
-EXEMPT = ("__init__", "__repr__", "__str__", "__eq__", "__hash__", "__len__", "__enter__", "__exit__", "__post_init__", "main", "setup")
+EXEMPT = (
+    "setUp", "tearDown", "setUpBeforeClass", "tearDownAfterClass", "setup_method", "teardown_method", "setUpClass", "tearDownClass",
+    "__construct", "__init__", "__destruct",
+)
+#: Bases whose heirs a framework calls, and ends of class names that stand for such a base.
+FRAMEWORK_BASES = ("Base", "DeclarativeBase", "Model", "BaseModel", "BaseSettings", "db.Model", "TableBase", "Stack", "NestedStack", "Construct", "Resource")
+FRAMEWORK_SUFFIXES = ("Stack", "Construct", "Pipeline", "Resources", "Layer")
+#: Decorators of functions that are not called by name, and directories that name no package.
+IMPLICIT = ("property", "abstractmethod", "classmethod", "staticmethod")
+PLAIN_DIRS, LEAST_DIR = ("home", "src", "lib", "app"), 4
+#: Fixed value: further paths of test code.
+TEST_HELP = r"[\\/]e2e[_-]?tests?[\\/]|[\\/]test[_-]utils?[\\/]"
 
 
 def risk_score(g: Graph, nodes: DataFrame, churn: DataFrame | None = None) -> DataFrame:
@@ -72,29 +84,97 @@ def risk_band(score: Column) -> Column:
     return F.when(score > 0.7, "high").when(score > 0.4, "medium").otherwise("low")
 
 
+def _imports_near(g: Graph) -> DataFrame:
+    """(_from, _path, _target): what each file imports, itself and through one file that it imports."""
+    one = g.edges.filter(F.col("kind") == "IMPORTS_FROM").select(F.col("file_path").alias("_from"), F.col("target_qualified").alias("_target")).distinct()
+    two = one.join(one.select(F.col("_from").alias("_target"), F.col("_target").alias("_far")), "_target").select("_from", F.col("_far").alias("_target"), F.lit(2).alias("_hop"))
+    return one.withColumn("_hop", F.lit(1)).union(two).distinct().withColumn("_path", F.substring_index("_target", "::", 1))
+
+
+def _plausible(g: Graph, pairs: DataFrame) -> DataFrame:
+    """(qualified_name) of pairs (qualified_name, name, file_path, _from) where code in _from may mean the node by its bare name:
+
+    it is the same file, the name is the only one, or the file imports the node's file, its directory, a file that
+    does, or a package that a directory of the node's path names.
+    """
+    only = g.nodes.filter(F.col("kind").isin("Function", "Class") & ~F.col("is_test")).groupBy("name").agg(F.count(F.lit(1)).alias("_n")).filter("_n = 1").select("name", F.lit(True).alias("_only"))
+    rows = pairs.join(only, "name", "left")
+    sure = rows.filter((F.col("file_path") == F.col("_from")) | F.col("_only"))
+    package = F.when(F.col("_path").endswith("/__init__.py"), F.regexp_replace("_path", "__init__[.]py$", ""))
+    holds = F.startswith("_path", F.col("file_path")) | F.startswith("file_path", F.concat("_path", F.lit("/"))) | F.coalesce(F.startswith("file_path", package), F.lit(False))
+    dirs = F.filter(F.slice(F.split(F.translate("file_path", "\\", "/"), "/"), 1, F.size(F.split(F.translate("file_path", "\\", "/"), "/")) - 1), lambda d: (F.length(d) >= LEAST_DIR) & ~d.isin(*PLAIN_DIRS))
+    alias = (F.col("_hop") == 1) & ~F.col("_target").startswith("/") & F.exists(dirs, lambda d: F.contains(F.col("_target"), d))
+    near = rows.join(_imports_near(g), "_from").filter(holds | alias)
+    return sure.select("qualified_name").union(near.select("qualified_name")).distinct()
+
+
 def dead_code(g: Graph, kind: str | None = None, file_pattern: str | None = None) -> DataFrame:
     """Functions and classes without any sign of use.
 
-    Entry points, tests, hardware declarations and dunder names are in use, and
-    so is what has a caller, test, importer, referrer or heir by full name; or
-    by bare name from a file that imports its file; or whose class has an heir
-    with a method of its name.
+    Not considered: tests, test files and helpers, ambient declarations, dunder
+    names, constructors, hardware declarations, entry points, classes that a
+    signature names, heirs of framework bases and their methods, functions and
+    classes whose decorator uses them, and methods that override an abstract one.
+    In use is what has a caller, importer, referrer or heir by its full name or
+    as ``Parent::name``, a test, a plausible caller or test by its bare name; a
+    class whose member is called; a method whose base's method is called.
     """
-    n = g.nodes.filter(F.col("kind").isin("Function", "Class") & ~F.col("is_test") & ~X.is_test_file(F.col("file_path")) & ~X.is_hdl(F.col("extra")))
+    nodes = g.nodes.withColumns({c: F.lit(None).cast("string") for c in ("params", "return_type", "extra", "parent_name") if c not in g.nodes.columns})
+    path, name = F.col("file_path"), F.col("name")
+    n = nodes.filter(F.col("kind").isin("Function", "Class") & ~F.col("is_test") & ~X.is_test_file(path) & ~path.rlike(TEST_HELP) & ~path.endswith(".d.ts") & ~X.is_hdl(F.col("extra")))
     n = n.filter(F.col("kind") == kind) if kind else n
-    n = n.filter(F.col("file_path").ilike(f"%{file_pattern}%")) if file_pattern else n
-    n = n.filter(~F.col("name").rlike("^__.*__$") & ~X.is_entry_name(F.col("name"), F.col("language")) & ~X.is_entry_decorator(F.col("extra")))
-    uses = g.edges.filter(F.col("kind").isin("CALLS", "IMPORTS_FROM", "REFERENCES", "INHERITS", "IMPLEMENTS")).select(F.col("target_qualified").alias("qualified_name"))
-    tested = g.edges.filter(F.col("kind") == "TESTED_BY").select(F.col("source_qualified").alias("qualified_name"))
-    n = n.join(uses.union(tested).distinct(), "qualified_name", "left_anti")
-    bare = g.edges.filter(F.col("kind").isin("CALLS", "REFERENCES") & ~F.col("target_qualified").contains("::")).select(F.col("target_qualified").alias("name"), F.col("file_path").alias("_from")).distinct()
-    imports = g.edges.filter(F.col("kind") == "IMPORTS_FROM").select(F.col("file_path").alias("_from"), F.substring_index("target_qualified", "::", 1).alias("file_path")).distinct()
-    near = bare.select("name", "_from", F.col("_from").alias("file_path")).union(bare.join(imports, "_from").select("name", "_from", "file_path")).select("name", "file_path").distinct()
-    n = n.join(near, ["name", "file_path"], "left_anti")
-    heirs = g.edges.filter(F.col("kind").isin("INHERITS", "IMPLEMENTS")).select(F.col("source_qualified").alias("_heir"), X.last_segment(F.col("target_qualified")).alias("parent_name"))
-    methods = g.edges.filter(F.col("kind") == "CONTAINS").join(g.nodes.select(F.col("qualified_name").alias("target_qualified"), "name"), "target_qualified").select(F.col("source_qualified").alias("_heir"), "name")
-    overridden = heirs.join(methods, "_heir").select("parent_name", "name").distinct()
-    return n.join(overridden, ["parent_name", "name"], "left_anti").select("qualified_name", "kind", "name", "file_path", "line_start")
+    n = n.filter(path.ilike(f"%{file_pattern}%")) if file_pattern else n
+    parent = F.when(F.col("parent_name") != "", F.col("parent_name"))
+    n = n.filter(~(name.startswith("__") & name.endswith("__")) & ~((name == "constructor") & parent.isNotNull()) & ~X.is_entry_name(name, F.col("language")) & ~X.is_entry_decorator(F.col("extra")))
+    named = F.when(F.col("kind") == "Class", name).otherwise(parent)
+    n = n.filter(~F.coalesce(named.rlike(f"({'|'.join(FRAMEWORK_SUFFIXES)})$"), F.lit(False)))
+    implicit = F.exists(X.decorators(F.col("extra")), lambda d: d.isin(*IMPLICIT) | d.endswith(".abstractmethod") | d.startswith("HostListener"))
+    typed = F.exists(X.decorators(F.col("extra")), lambda d: F.contains(d, F.lit("dataclass")))
+    n = n.filter(~F.when(F.col("kind") == "Function", implicit).otherwise(typed))
+    is_class = F.col("kind") == "Class"
+    owner = F.when(is_class, F.col("qualified_name")).when(parent.isNotNull(), F.regexp_replace("qualified_name", r"\.[^.]*$", ""))
+    n = n.select("qualified_name", "kind", "name", "file_path", "line_start", "language", parent.alias("parent_name"), owner.alias("_owner"))
+
+    without = lambda rows, gone, on: rows.join(gone.distinct(), on, "left_anti")
+    # Classes that signatures name.
+    texts = nodes.filter(F.col("kind").isin("Function", "Test")).select(F.explode(F.array("params", "return_type")).alias("_t")).filter("_t is not null")
+    types = texts.select(F.explode(F.regexp_extract_all("_t", F.lit("[A-Z][A-Za-z0-9_]*"), F.lit(0))).alias("name"), F.lit("Class").alias("kind"))
+    n = without(n, types, ["name", "kind"])
+    # Framework heirs and overridden abstract methods.
+    edges = lambda *kinds: g.edges.filter(F.col("kind").isin(*kinds))
+    bases = edges("INHERITS").select(F.col("source_qualified").alias("_owner"), F.col("target_qualified").alias("_base")).distinct()
+    n = without(n, bases.filter(X.last_segment(F.col("_base")).isin(*FRAMEWORK_BASES)).select("_owner"), ["_owner"])
+    abstract = nodes.filter(F.exists(X.decorators(F.col("extra")), lambda d: F.contains(d, F.lit("abstractmethod")))).select(F.col("qualified_name").alias("_full"))
+    methods = n.filter((F.col("kind") == "Function") & F.col("parent_name").isNotNull()).join(bases, "_owner")
+    tries = methods.select("qualified_name", F.explode(F.array(F.concat("_base", F.lit("."), "name"), F.concat("file_path", F.lit("::"), "_base", F.lit("."), "name"))).alias("_full"))
+    n = without(n, tries.join(abstract, "_full", "left_semi").select("qualified_name"), ["qualified_name"])
+    # Uses by full name.
+    uses = edges("CALLS", "IMPORTS_FROM", "REFERENCES", "INHERITS").select(F.col("target_qualified").alias("qualified_name"))
+    tested = edges("TESTED_BY").select(F.col("source_qualified").alias("qualified_name"))
+    n = without(n, uses.union(tested), ["qualified_name"])
+    short = F.concat("parent_name", F.lit("::"), "name")
+    n = n.withColumn("_short", F.coalesce(short, F.lit("")))
+    n = without(n, uses.union(tested).select(F.col("qualified_name").alias("_short")), ["_short"])
+    # Uses by bare name from where it is plausible.
+    sources = g.nodes.select(F.col("qualified_name").alias("source_qualified"), F.col("language").alias("_lang"))
+    calls = edges("CALLS").select("source_qualified", "target_qualified", F.col("file_path").alias("_from")).distinct()
+    bare = calls.filter(~F.col("target_qualified").contains("::")).join(sources, "source_qualified").select(F.col("target_qualified").alias("name"), "_from", "_lang")
+    tails = calls.filter(F.col("target_qualified").contains("::")).select(X.last_segment(F.col("target_qualified")).alias("name"), "_from", F.lit(None).cast("string").alias("_lang"))
+    tests = edges("TESTED_BY").filter(~F.col("source_qualified").contains("::")).select(F.col("source_qualified").alias("name"), F.col("file_path").alias("_from"), F.lit(None).cast("string").alias("_lang"))
+    spoken = F.col("_lang").isNull() | F.col("language").isNull() | X.same_family(F.col("language"), F.col("_lang"))
+    pairs = n.select("qualified_name", "name", "file_path", "language").join(bare.union(tails).union(tests).distinct(), "name").filter(spoken)
+    n = without(n, _plausible(g, pairs), ["qualified_name"])
+    heirs = edges("INHERITS").filter(~F.col("target_qualified").contains("::")).join(sources, "source_qualified").select(F.col("target_qualified").alias("name"), "_lang", F.lit("Class").alias("kind"))
+    n = without(n, n.join(heirs, ["name", "kind"]).filter(spoken).select("qualified_name"), ["qualified_name"])
+    # Classes one of whose members is called: a target with the class's name, or an end of a longer one, before a dot.
+    before = calls.select(F.explode(F.regexp_extract_all("target_qualified", F.lit(r"([\w$]+)\."), F.lit(1))).alias("_w")).distinct()
+    ends = before.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("_w")), lambda i: F.substring("_w", i, F.length("_w")))).alias("name"), F.lit("Class").alias("kind"))
+    n = without(n, ends, ["name", "kind"])
+    # Methods whose base's method is called.
+    based = bases.select("_owner", X.last_segment(F.col("_base")).alias("_parent"))
+    called = g.nodes.filter(F.col("kind").isin("Function", "Test")).join(calls.select(F.col("target_qualified").alias("qualified_name")), "qualified_name", "left_semi").select(F.col("parent_name").alias("_parent"), "name")
+    alive = n.filter(F.col("kind") == "Function").join(based, "_owner").join(called, ["_parent", "name"], "left_semi").select("qualified_name")
+    return without(n, alive, ["qualified_name"]).select("qualified_name", "kind", "name", "file_path", "line_start")
 
 
 def suggest_moves(g: Graph) -> DataFrame:
@@ -146,3 +226,31 @@ def enrich_context(g: Graph, names: DataFrame, callers: int = 5, callees: int =
         e.filter(F.col("kind") == kind).join(n, F.col(mine) == F.col("qualified_name")).select("qualified_name", F.lit(rel).alias("relation"), F.col(other).alias("other")).distinct(), ["qualified_name"], ["other"], k
     )
     return part("CALLS", "target_qualified", "source_qualified", "caller", callers).union(part("CALLS", "source_qualified", "target_qualified", "callee", callees)).union(part("TESTED_BY", "source_qualified", "target_qualified", "test", tests))
+
+
+def minimal_context(g: Graph, spans: DataFrame, top: int = 5) -> DataFrame:
+    """(what, value): the size of the graph and the riskiest changed nodes, what a first look at a change needs."""
+    total = lambda rows, what: rows.agg(F.count(F.lit(1)).cast("string").alias("value")).select(F.lit(what).alias("what"), "value")
+    sizes = total(g.nodes, "nodes").union(total(g.edges, "edges")).union(total(g.nodes.filter(F.col("kind") == "File"), "files"))
+    risky = analyze_changes(g, spans).withColumn("risk_score", F.round("risk_score", 9)).orderBy(F.desc("risk_score"), "qualified_name").limit(top)
+    return sizes.union(risky.select(F.lit("changed"), "qualified_name"))
+
+
+def review_context(g: Graph, files: DataFrame, depth: int = 2) -> DataFrame:
+    """(part, subject, detail) of what a reviewer of changed files needs: the changed nodes, the impacted ones with their
+    scores, the edges among all of these, the impacted files, and the guidance that holds."""
+    from lattica.plans import impact
+
+    changed = g.nodes.join(files.select("file_path").distinct(), "file_path", "left_semi").filter(F.col("kind") != "File")
+    hit = settle(impact.impact_radius(g, files, depth).select("qualified_name", "kind", "file_path", "score"))
+    every = changed.select("qualified_name").union(hit.select("qualified_name")).distinct()
+    edges = patterns.edges_among(g, every).select(F.lit("edge"), F.concat_ws(" -> ", "source_qualified", "target_qualified"), "kind")
+    flags = review_guidance(g, changed, hit)
+    told = flags.select(F.explode(F.array(*(F.struct(F.lit(c).alias("flag"), F.col(c).alias("holds")) for c in flags.columns))).alias("f")).filter("f.holds")
+    return (
+        changed.select(F.lit("changed").alias("part"), F.col("qualified_name").alias("subject"), F.col("kind").alias("detail"))
+        .union(hit.select(F.lit("impacted"), "qualified_name", F.round("score", 9).cast("string")))
+        .union(edges)
+        .union(hit.select("file_path").distinct().select(F.lit("impacted_file"), "file_path", F.lit("")))
+        .union(told.select(F.lit("guidance"), "f.flag", F.lit("")))
+    )

@@ -107,6 +107,16 @@ ENTRY_DECORATORS = (r"pytest\.(fixture|mark)", r"(app|router)\.(get|post|put|del
 # Fixed value: paths of test files.
 TEST_FILE = r"([\\/]__tests__[\\/]|\.spec\.[jt]sx?$|\.test\.[jt]sx?$|[\\/]test_[^/\\]*\.py$)"
 
+# Fixed value: names of communities that hold tests, in any letter case.
+TEST_COMMUNITY = r"(^test[-/]|[-/]test([:/]|$)|it:should|describe:|spec[-/]|[-/]spec$)"
+
+# Shapes of identifiers inside a query: dotted, snake_case, CamelCase.
+QUERY_IDENTIFIERS = (
+    r"\b[A-Za-z_][\w]*(?:\.[A-Za-z_][\w]*)+\b",
+    r"\b[a-z][a-z0-9]*(?:_[a-z0-9]+)+\b",
+    r"\b[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]+)+\b",
+)
+
 # Affinity of edge kinds for clustering.
 AFFINITY = {"CALLS": 1.0, "IMPORTS_FROM": 0.5, "INHERITS": 0.8, "IMPLEMENTS": 0.7, "CONTAINS": 0.3, "TESTED_BY": 0.4, "DEPENDS_ON": 0.6}
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lattica.graph import Graph
+from lattica.plans.materialise import shared_dir
 
 _PART_PATH = "concat('/src/', lower(replace(p_brand, '#', '')), '.py')"
 _PART = f"concat({_PART_PATH}, '::part_', cast(p_partkey as string))"
@@ -59,6 +63,31 @@ def supply_graph(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(spark.sql(NODES_SQL, **used(NODES_SQL)), spark.sql(EDGES_SQL, **used(EDGES_SQL)))
 
 
+#: Where this application has stored the graph of a folder of tables.
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The derived graph with one community per file, written once an application and folder: edges parted by kind.
+
+    A query that names a kind reads that part only, and none repeats the joins
+    that make the edges.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        g = supply_graph(spark, sf_dir)
+        path = f"{shared_dir(spark)}/lattica/graph-{uuid.uuid4().hex}"
+        g.nodes.write.parquet(f"{path}/nodes")
+        g.edges.write.partitionBy("kind").parquet(f"{path}/edges")
+        own = spark.read.parquet(f"{path}/nodes").filter(F.col("kind") != "File").select("qualified_name", "file_path")
+        ids = own.select("file_path").distinct().select("file_path", F.row_number().over(by_path()).cast("long").alias("community_id"))
+        own.join(ids, "file_path").select("qualified_name", "community_id").write.parquet(f"{path}/communities")
+        _STORED[key] = path
+    path = _STORED[key]
+    edges = spark.read.schema("source_qualified string, target_qualified string, file_path string, line int, confidence double, kind string").parquet(f"{path}/edges")
+    return Graph(spark.read.parquet(f"{path}/nodes"), edges.select("kind", "source_qualified", "target_qualified", "file_path", "line", "confidence"), spark.read.parquet(f"{path}/communities"))
+
+
 def by_path():
     """Order of files; there is one row per file, not per node."""
     from pyspark.sql import Window

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Directories and files that are never source.
-IGNORED = ("**/node_modules/**", "**/.git/**", "**/__pycache__/**", "**/dist/**", "**/build/**", "**/*.min.js", "**/vendor/**", "**/.venv/**")
+#: Directories and files that are never source; a leading slash means the root's own.
+IGNORED = (
+    "**/node_modules/**", "**/.git/**", "**/.svn/**", "**/__pycache__/**", "*.pyc", "**/.venv/**", "**/venv/**",
+    "/dist/**", "/build/**", "/.next/**", "/.nuxt/**", "/target/**", "/bin/**", "/obj/**",
+    "**/vendor/**", "/storage/**", "/bootstrap/cache/**", "/public/build/**", "**/.bundle/**", "**/.gradle/**", "*.jar",
+    "**/.dart_tool/**", "**/.pub-cache/**", "**/cdk.out/**", "/coverage/**", "**/.cache/**", "/.tmp/**", "/tmp/**",
+    "*.min.js", "*.min.css", "*.map", "*.lock", "package-lock.json", "yarn.lock", "*.db", "*.sqlite", "*.db-journal", "*.db-wal",
+)
 
 
 def glob_regex(pattern: str) -> str:
@@ -29,7 +36,9 @@ def glob_regex(pattern: str) -> str:
 
 
 def is_ignored(path: Column, patterns: Sequence[str] = IGNORED) -> Column:
-    return path.rlike("|".join(glob_regex(p) for p in patterns))
+    """Whether a path below the root (without a leading slash) is ignored; a pattern without a slash fits a file's name anywhere."""
+    anywhere = [p if "/" in p else f"**/{p}" for p in patterns]
+    return path.rlike("|".join(glob_regex(p.removeprefix("/")) for p in anywhere))
 
 
 def collect_files(spark: SparkSession, root: str, languages: dict[str, str], ignored: Sequence[str] = IGNORED) -> DataFrame:
@@ -39,7 +48,9 @@ def collect_files(spark: SparkSession, root: str, languages: dict[str, str], ign
     table = F.create_map(*(x for k, v in languages.items() for x in (F.lit(k), F.lit(v))))
     rows = files.select(F.col("path").alias("file_path"), table[ext].alias("language"), "content")
     head = F.hex(F.substring("content", 1, 8192))
-    return rows.filter(F.col("language").isNotNull() & ~is_ignored(F.col("file_path"), ignored) & ~head.rlike("^(..)*00"))
+    base = root.split(":", 1)[-1].strip("/")
+    below = F.regexp_replace(F.regexp_replace("file_path", r"^[a-z]+:/*", ""), "^" + re.escape(base) + "/", "")
+    return rows.filter(F.col("language").isNotNull() & ~is_ignored(below, ignored) & ~head.rlike("^(..)*00"))
 
 
 def read_savings_log(spark: SparkSession, path: str) -> DataFrame:
