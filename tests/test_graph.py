@@ -202,9 +202,43 @@ def test_cohesion_in_one_pass(spark):
 
 
 def test_dead_code(spark):
-    ns = [node("/a.py::used"), node("/a.py::dead"), node("/a.py::main"), node("/a.py::__repr__"), node("/a.py::near"), node("/b.py::far"), node("/a.py::tested")]
-    es = [edge("CALLS", "/b.py::x", "/a.py::used"), edge("CALLS", "/c.py::y", "near", "/c.py"), edge("IMPORTS_FROM", "/c.py", "/a.py", "/c.py"), edge("CALLS", "/d.py::z", "far", "/d.py"), edge("TESTED_BY", "/a.py::tested", "/t.py::t")]
-    assert names(review.dead_code(build(spark, ns, es))) == ["/a.py::dead", "/b.py::far"]
+    ns = [node("/a.py::used"), node("/a.py::dead"), node("/a.py::main"), node("/a.py::__repr__"), node("/a.py::near"), node("/b.py::only"), node("/b.py::twin"), node("/e.py::twin"), node("/a.py::tested"), node("/c.py::y"), node("/d.py::z")]
+    es = [edge("CALLS", "/b.py::x", "/a.py::used"), edge("CALLS", "/c.py::y", "near", "/c.py"), edge("IMPORTS_FROM", "/c.py", "/a.py", "/c.py"), edge("CALLS", "/d.py::z", "only", "/d.py"), edge("CALLS", "/d.py::z", "twin", "/d.py"), edge("TESTED_BY", "/a.py::tested", "/t.py::t")]
+    es += [edge("CALLS", "/m.py", "/c.py::y"), edge("CALLS", "/m.py", "/d.py::z")]
+    assert names(review.dead_code(build(spark, ns, es))) == ["/a.py::dead", "/b.py::twin", "/e.py::twin"]
+
+
+def test_dead_code_leaves_what_frameworks_and_types_use(spark):
+    deco = lambda *d: '{"decorators": [' + ", ".join(f'"{x}"' for x in d) + "]}"
+    cls = lambda qn, **k: node(qn, "Class", **k)
+    ns = [
+        node("/x/api.d.ts::ambient"), node("/a.ts::C.constructor", parent="C"), node("/a.py::P.size", parent="P", extra=deco("property")),
+        cls("/a.py::Row", extra=deco("dataclass")), cls("/a.py::User"), node("/a.py::User.save", parent="User"), cls("/a.py::AppStack"),
+        node("/a.py::AppStack.wire", parent="AppStack"), node("/a.py::Shape.area", parent="Shape", extra=deco("abstractmethod")),
+        node("/a.py::Disc.area", parent="Disc"), node("/a.py::Root.run", parent="Root"), node("/a.py::Leaf.run", parent="Leaf"),
+        cls("/a.py::Owner"), node("/a.py::K.go", parent="K"), cls("/a.py::Lost"), node("/a.py::K.lost", parent="K"),
+    ]
+    es = [
+        edge("INHERITS", "/a.py::User", "BaseModel"), edge("INHERITS", "/a.py::Disc", "/a.py::Shape"), edge("INHERITS", "/a.py::Leaf", "Root"),
+        edge("CALLS", "/m.py::m", "/a.py::Root.run"), edge("CALLS", "/m.py::m", "Owner.build"), edge("CALLS", "/m.py::m", "K::go"),
+    ]
+    assert names(review.dead_code(build(spark, ns, es))) == ["/a.py::K.lost", "/a.py::Lost"]
+
+
+def test_fixed_names_and_keys(spark):
+    from lattica.functions import text as X
+
+    keys = {"server.port-name": "server.portName", "APP.max_size[2]": "app.maxSize[2]", "plain.Key": "plain.Key", " a.--.b ": "a..b", "A-B": "aB"}
+    got = spark.createDataFrame([(k,) for k in keys], "k string").select("k", X.config_key(F.col("k")).alias("c")).collect()
+    assert {r.k: r.c for r in got} == keys
+    tests = {"test-api": True, "api/test": True, "it:should do": True, "Testing": False, "latest": False, "a-spec": True, "spec-a": True}
+    got = spark.createDataFrame([(k,) for k in tests], "k string").select("k", X.is_test_community(F.col("k")).alias("c")).collect()
+    assert {r.k: r.c for r in got} == tests
+    ns = [node("/a.py::setUp"), node("/a.py::main"), node("/a.py::__construct")]
+    assert names(review.test_gaps(build(spark, ns, []), build(spark, ns, []).nodes)) == ["/a.py::main"]
+    ig = {"dist/a.js": True, "x/dist/a.js": False, "x/node_modules/b.js": True, "x/a.min.js": True, "yarn.lock": True, "src/a.py": False}
+    got = spark.createDataFrame([(k,) for k in ig], "k string").select("k", files.is_ignored(F.col("k")).alias("c")).collect()
+    assert {r.k: r.c for r in got} == ig
 
 
 def test_phrase_and_term_search(spark):
