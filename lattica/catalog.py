@@ -20,8 +20,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-_N = f"N AS ({plain_sql(NODES_SQL)})"
-_E = f"E AS ({plain_sql(EDGES_SQL)})"
+_N = f"N AS MATERIALIZED ({plain_sql(NODES_SQL)})"
+_E = f"E AS MATERIALIZED ({plain_sql(EDGES_SQL)})"
 _C = "C AS (SELECT qualified_name, dense_rank() OVER (ORDER BY file_path) AS community_id FROM N WHERE kind <> 'File')"
 _HDL = "coalesce(extra LIKE '%\"verilog_kind\"%', false)"
 
@@ -153,7 +153,7 @@ add("cross_community", lambda g: aggregates.cross_community(g, names=g.communiti
 add("cross_community_minimal", aggregates.cross_community_kinds, "SELECT community_a, community_b, cast(edges AS bigint) AS edges, kind, n FROM (SELECT *, row_number() OVER (PARTITION BY community_a, community_b ORDER BY n DESC, kind) r, sum(n) OVER (PARTITION BY community_a, community_b) edges FROM (SELECT least(a, b) AS community_a, greatest(a, b) AS community_b, kind, count(*) AS n FROM EC WHERE kind <> 'TESTED_BY' AND a <> b GROUP BY 1, 2, 3) p) q WHERE r <= 3", _EE)
 add("community_sizes", aggregates.community_sizes, "SELECT community_id, count(*) AS size, count(DISTINCT file_path) AS files, min(language) AS dominant_language FROM C JOIN N USING (qualified_name) GROUP BY 1")
 add("file_aggregate", aggregates.file_symbols, "SELECT file_path, count(*) AS symbols FROM N WHERE kind <> 'File' GROUP BY 1")
-add("file_edges", aggregates.file_edges, "SELECT s.file_path AS source_file, t.file_path AS target_file, count(*) AS weight FROM E JOIN N s ON s.qualified_name = source_qualified JOIN N t ON t.qualified_name = target_qualified WHERE s.file_path <> t.file_path GROUP BY 1, 2")
+add("file_edges", aggregates.file_edges, "SELECT source_file, N.file_path AS target_file, count(*) AS weight FROM S JOIN N ON qualified_name = target_qualified WHERE source_file <> N.file_path GROUP BY 1, 2", "S AS MATERIALIZED (SELECT N.file_path AS source_file, target_qualified FROM E JOIN N ON qualified_name = source_qualified)")
 add("community_aggregate", aggregates.community_graph, "SELECT least(a, b) AS community_a, greatest(a, b) AS community_b, count(*) AS weight FROM (SELECT coalesce(cs.community_id, -1) a, coalesce(ct.community_id, -1) b FROM E JOIN N s ON s.qualified_name = source_qualified AND s.kind <> 'File' JOIN N t ON t.qualified_name = target_qualified AND t.kind <> 'File' LEFT JOIN C cs ON cs.qualified_name = s.qualified_name LEFT JOIN C ct ON ct.qualified_name = t.qualified_name) x WHERE a <> b GROUP BY 1, 2")
 add("community_summaries", lambda g: aggregates.community_summaries(g).select("community_id", F.array_join("key_symbols", ",").alias("symbols")), "SELECT community_id, string_agg(name, ',' ORDER BY r) AS symbols FROM (SELECT community_id, name, row_number() OVER (PARTITION BY community_id ORDER BY coalesce(degree, 0) DESC, qualified_name) r FROM C JOIN N USING (qualified_name) LEFT JOIN D USING (qualified_name)) x WHERE r <= 5 GROUP BY 1", _DEG)
 _RISK = f"""SELECT qualified_name, least(CASE WHEN cc > 10 THEN 0.3e0 WHEN cc > 3 THEN 0.15e0 ELSE 0e0 END + CASE WHEN t = 0 THEN 0.3e0 ELSE 0e0 END + CASE WHEN {_RSEC} THEN 0.4e0 ELSE 0e0 END, 1e0) AS risk_score, cc AS caller_count, CASE WHEN t = 0 THEN 'untested' ELSE 'tested' END AS test_coverage, CASE WHEN {_RSEC} THEN 1 ELSE 0 END AS security_relevant
