@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,8 @@ from lattica.functions import text as X
 from lattica.graph import Graph
 from lattica.operators import aggregates, lookups, patterns, ranges, ranking, resolve, search
 from lattica.plans import flows, impact, review, store
-from lattica.sources import files
+from lattica.plans.materialise import shared_dir
+from lattica.sources import files, history
 
 # -- a service graph over nations and regions ------------------------------------------------------
 _SVC = "concat('/svc/n', cast(n_nationkey as string), '.java::Svc', cast(n_nationkey as string), '.serve_', cast(n_nationkey as string))"
@@ -144,7 +147,6 @@ add_plain("measure_savings", lambda s, d: aggregates.token_efficiency(_table(s,
 add_plain("docs_section", lambda s, d: files.docs_section(_table(s, d, "benchmark").select(F.concat(F.lit('<section name="usage">'), "text", F.lit("</section>")).alias("text")), "usage"), "SELECT text AS section FROM benchmark")
 add_plain("query_identifiers", lambda s, d: _table(s, d, "part").select("p_partkey", F.array_join(search.identifiers(F.concat(F.lit("call get_users of Context.Next for Part"), "p_partkey", F.lit("Item "), "p_name")), ",").alias("found")), "SELECT p_partkey, concat('context.next,get_users,part', p_partkey, 'item') AS found FROM part")
 add_plain("select_repos", lambda s, d: _table(s, d, "nation").filter(F.lower("n_name").isin("china", "france")).select("n_nationkey", "n_name"), "SELECT n_nationkey, n_name FROM nation WHERE lower(n_name) IN ('china', 'france')")
-add_plain("read_snapshot", lambda s, d: _table(s, d, "region").select("r_regionkey", "r_name"), "SELECT r_regionkey, r_name FROM region")
 
 
 # -- sites: references by part that resolvers rewrite, with ambiguous ones and ones out of reach ------
@@ -206,3 +208,62 @@ for _name, _mark in (("resolve_spring_di", "spring_resolved"), ("resolve_tempora
              f"SELECT source_qualified, CASE WHEN line % 4 = 0 THEN target_qualified ELSE concat('/s/I', line, '.java::Impl', line, '.go', line) END AS target_qualified, line % 4 <> 0 AS {_mark} FROM RE WHERE kind = 'CALLS'")
 add_site("resolve_bare_tests", lambda g: resolve.resolve_bare_tests(g).filter("kind = 'TESTED_BY'").select("source_qualified", "target_qualified", "resolution", F.coalesce(F.size("candidates"), F.lit(0)).alias("listed")),
          """SELECT CASE WHEN n = 1 THEN q ELSE s END AS source_qualified, target_qualified, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'ambiguous' ELSE 'unresolved' END AS resolution, cast(CASE WHEN n > 1 THEN n ELSE 0 END AS int) AS listed FROM (SELECT e.source_qualified AS s, e.target_qualified, count(DISTINCT RN.qualified_name) AS n, max(RN.qualified_name) AS q FROM (SELECT * FROM RE WHERE kind = 'TESTED_BY') e LEFT JOIN (SELECT file_path, target_qualified AS other FROM RE WHERE kind = 'IMPORTS_FROM' UNION SELECT file_path, file_path FROM RE) i ON i.file_path = e.file_path LEFT JOIN RN ON RN.name = e.source_qualified AND RN.file_path = i.other GROUP BY 1, 2) x""")
+
+
+def _snapshot(g: Graph) -> Graph:
+    """The graph as a store gives it back that has just been given it."""
+    kept = store.GraphStore(g.nodes.sparkSession, f"{shared_dir(g.nodes.sparkSession)}/lattica/store-{uuid.uuid4().hex}")
+    return kept.read(kept.write(g))
+
+
+add("read_snapshot", lambda g: _snapshot(g).nodes.select("qualified_name", "kind", "file_path"), "SELECT qualified_name, kind, file_path FROM N")
+add("save_snapshot", lambda g: _snapshot(g).edges.groupBy("kind").agg(F.count(F.lit(1)).alias("n")), "SELECT kind, count(*) AS n FROM E GROUP BY 1")
+
+# -- versions, the registry and the savings log ----------------------------------------------------
+_DIFF = "concat('M', chr(0), '/src/', o_custkey % 50, '.py', chr(0), 'R087', chr(0), '/old/', o_orderkey, '.py', chr(0), '/new/', o_orderkey, '.py', chr(0), 'D', chr(0), '/src/', o_custkey % 50, '.py', chr(0))"
+add_plain("git_diff_files", lambda s, d: history.parse_name_status(_table(s, d, "orders").select("o_orderkey", F.expr(_DIFF).alias("raw")), "raw"),
+    "SELECT o_orderkey, 0 AS position, concat('/src/', o_custkey % 50, '.py') AS file_path FROM orders UNION ALL SELECT o_orderkey, 1, concat('/old/', o_orderkey, '.py') FROM orders UNION ALL SELECT o_orderkey, 2, concat('/new/', o_orderkey, '.py') FROM orders")
+_BUILT, _HEAD, _BASE = "concat('c', o_custkey % 4)", "concat('c', o_orderkey % 4)", "CASE WHEN o_orderkey % 5 > 0 THEN concat('c', o_custkey % 3) END"
+
+
+def _freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _table(spark, sf_dir, "orders").withColumn("repo", F.col("o_orderkey"))
+    day = F.when(F.col("o_orderkey") % 11 == 0, "none").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    put = F.map_from_arrays(F.array(F.lit("last_updated"), F.lit("git_head_sha"), F.lit("git_branch")), F.array(day, F.expr(f"CASE WHEN o_orderkey % 7 > 0 THEN {_BUILT} END"), F.lit("main")))
+    heads = o.select("repo", F.expr(_HEAD).alias("head_sha"), F.expr(_BASE).alias("merge_base"), F.lit("1997-01-01").cast("timestamp").alias("now"))
+    return history.freshness(o.select("repo", F.explode(put).alias("key", "value")), heads).drop("built_on_branch")
+
+
+add_plain("freshness", _freshness, f"""SELECT repo, updated_at, CASE WHEN updated_at <> 'none' THEN greatest(0, 86400 * date_diff('day', try_cast(updated_at AS date), DATE '1997-01-01')) END AS age_seconds, built_at_sha, head_sha,
+  CASE WHEN built_at_sha IS NULL THEN NULL WHEN built_at_sha = head_sha THEN 'same' WHEN merge_base IS NULL THEN 'unknown' WHEN merge_base = built_at_sha THEN 'ancestor' WHEN merge_base = head_sha THEN 'descendant' ELSE 'diverged' END AS build_relation
+  FROM (SELECT o_orderkey AS repo, CASE WHEN o_orderkey % 11 = 0 THEN 'none' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS updated_at, CASE WHEN o_orderkey % 7 > 0 THEN {_BUILT} END AS built_at_sha, {_HEAD} AS head_sha, {_BASE} AS merge_base FROM orders) o""")
+_KNOWN = "SELECT cast(r_regionkey AS bigint) AS seq, concat('/r/', r_regionkey) AS path, lower(r_name) AS alias, cast(null AS varchar(9)) AS data_dir FROM {region}"
+_ENTRIES = "SELECT cast(100 + s_suppkey AS bigint) AS seq, concat('/r/', s_suppkey % 50) AS path, CASE WHEN s_suppkey % 3 > 0 THEN concat('s', s_suppkey) ELSE '' END AS alias, CASE WHEN s_suppkey % 7 = 0 THEN concat('/d/', s_suppkey) END AS data_dir FROM {supplier}"
+
+
+def _registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known, entries = spark.sql(_KNOWN, region=_table(spark, sf_dir, "region")), spark.sql(_ENTRIES, supplier=_table(spark, sf_dir, "supplier"))
+    return history.unregister(history.unregister(history.register(known, entries), "/r/7"), "africa")
+
+
+add_plain("registry", _registry, f"""SELECT * FROM (SELECT min(seq) AS seq, path, arg_max(alias, seq) FILTER (WHERE alias <> '') AS alias, arg_max(data_dir, seq) FILTER (WHERE data_dir <> '') AS data_dir
+  FROM ({_KNOWN.format(region="region")} UNION ALL {_ENTRIES.format(supplier="supplier")}) x GROUP BY path) y WHERE path <> '/r/7' AND alias IS DISTINCT FROM 'africa'""")
+
+
+def _logged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/lattica/savings-{uuid.uuid4().hex}"
+    o = _table(spark, sf_dir, "orders").select(F.concat(F.lit("/r/"), F.col("o_custkey") % 9).alias("repo"), F.lit("measure").alias("kind"), F.col("o_orderpriority").alias("tool"), F.lit(500).alias("baseline_tokens"), (F.col("o_orderkey") % 500).alias("returned_tokens"))
+    half = lambda odd: o.filter(F.col("returned_tokens") % 2 == odd)
+    for rows in (half(0), half(1)):  # the second is appended to the first
+        history.log_savings(rows.withColumns({"saved_tokens": F.col("baseline_tokens") - F.col("returned_tokens"), "saved_percent": F.lit(0)}), path)
+    return files.read_savings_log(spark, path).select("repo", "tool", "saved_tokens")
+
+
+add_plain("log_savings", _logged, "SELECT concat('/r/', o_custkey % 9) AS repo, o_orderpriority AS tool, cast(500 - o_orderkey % 500 AS bigint) AS saved_tokens FROM orders")
+_NOTES = r"""plain AS (SELECT N.*, regexp_replace(regexp_replace(regexp_replace(lower(name), '[^\w\s-]', '', 'g'), '[\s_]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM N),
+  pages AS MATERIALIZED (SELECT plain.*, CASE WHEN qualified_name = min(qualified_name) OVER (PARTITION BY slug) THEN slug ELSE concat(slug, '-', substr(sha256(qualified_name), 1, 8)) END AS page, community_id FROM plain LEFT JOIN C USING (qualified_name)),
+  ends AS (SELECT source_qualified q, target_qualified o, kind FROM E UNION ALL SELECT target_qualified, source_qualified, kind FROM E), near AS MATERIALIZED (SELECT q, o, min(kind) AS kind FROM ends GROUP BY 1, 2),
+  one AS MATERIALIZED (SELECT page, o, near.kind FROM near JOIN pages ON qualified_name = q), links AS MATERIALIZED (SELECT one.page, one.kind, p.page AS dest FROM one JOIN pages p ON p.qualified_name = o)"""
+add("export_obsidian", store.obsidian_lines)
+add("obsidian_links", lambda g: store.obsidian_lines(g).filter("section = 1 and line like '- %: [[%'").select("page", F.substring_index("line", "|", 1).alias("link")), "SELECT page, concat('- ', kind, ': [[', dest) AS link FROM links", _NOTES)
+add("obsidian_index", lambda g: store.obsidian_lines(g).filter("page = '_INDEX'").select("line"), "SELECT concat('- [[', page, ']] (', kind, ')') AS line FROM pages UNION ALL SELECT concat('**Nodes:** ', count(*)) FROM N UNION ALL SELECT concat('**Edges:** ', count(*)) FROM E UNION ALL SELECT concat('**Communities:** ', count(DISTINCT community_id)) FROM C", _NOTES)

@@ -159,3 +159,57 @@ def metadata_put(table: DataFrame, key: str, value: str) -> DataFrame:
 
 def with_symbols(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("symbol", X.symbol(F.col("qualified_name")))
+
+
+def note_names(nodes: DataFrame) -> DataFrame:
+    """(qualified_name, page): a page name each. Of nodes whose names give one page the first by qualified name has it plain,
+    the others end in eight digits of a hash of theirs."""
+    kept = F.regexp_replace(F.lower(F.coalesce("name", "qualified_name")), r"(?U)[^\w\s-]", "")
+    plain = F.substring(F.regexp_replace(F.regexp_replace(kept, r"(?U)[\s_]+", "-"), "^-+|-+$", ""), 1, 100)
+    own = nodes.select("qualified_name", F.when(plain != "", plain).otherwise("unnamed").alias("_plain"))
+    first = own.groupBy("_plain").agg(F.min("qualified_name").alias("_first"))
+    page = F.when(F.col("qualified_name") == F.col("_first"), F.col("_plain")).otherwise(F.concat("_plain", F.lit("-"), F.substring(F.sha2("qualified_name", 256), 1, 8)))
+    return own.join(first, "_plain").select("qualified_name", page.alias("page"))
+
+
+def obsidian_lines(g: Graph, members: int = 50) -> DataFrame:
+    """(page, section, item, line): the notes of a vault by lines, to be read in the order of the first three columns.
+
+    A page per node (front matter, title, a link to each neighbour once), one
+    per community with its first members, and ``_INDEX``. No page is gathered
+    in one row, so a hub's links and the index may be of any length.
+    """
+    from lattica.operators import ranking
+
+    pages = note_names(g.nodes)
+    n = g.nodes.join(pages, "qualified_name").join(g.communities.select("qualified_name", "community_id"), "qualified_name", "left")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    head = F.filter(F.array(
+        F.lit("---"), F.concat(F.lit("kind: "), text("kind")), F.concat(F.lit("file: "), text("file_path")), F.concat(F.lit("language: "), text("language")),
+        F.concat(F.lit("community: "), F.col("community_id").cast("string")), F.lit("tags:"), F.concat(F.lit("  - "), F.lower(text("kind"))), F.lit("---"),
+        F.concat(F.lit("# "), X.sanitize(F.coalesce("name", "qualified_name"))), F.lit(""), F.concat(F.lit("**Kind:** "), text("kind")), F.concat(F.lit("**File:** `"), text("file_path"), F.lit("`")),
+    ), lambda x: x.isNotNull())
+    heads = n.select("page", F.lit(0).alias("section"), F.posexplode(head).alias("_i", "line")).select("page", "section", F.format_string("%02d", "_i").alias("item"), "line")
+    ends = lambda a, b: g.edges.select(F.col(a).alias("qualified_name"), F.col(b).alias("_other"), "kind")
+    both = ends("source_qualified", "target_qualified").union(ends("target_qualified", "source_qualified"))
+    near = both.groupBy("qualified_name", "_other").agg(F.min("kind").alias("kind")).join(pages, "qualified_name").join(pages.select(F.col("qualified_name").alias("_other"), F.col("page").alias("to")), "_other")
+    links = near.select("page", F.lit(1).alias("section"), F.col("to").alias("item"), F.concat(F.lit("- "), "kind", F.lit(": [["), "to", F.lit("|"), F.initcap(F.replace("to", F.lit("-"), F.lit(" "))), F.lit("]]")).alias("line"))
+    title = links.select("page", "section").distinct().select("page", "section", F.lit("").alias("item"), F.lit("## Connections").alias("line"))
+    of = n.filter("community_id is not null")
+    note = F.concat(F.lit("_COMMUNITY_"), F.col("community_id").cast("string"))
+    sizes = of.groupBy("community_id").agg(F.count(F.lit(1)).alias("n")).select(note.alias("page"), F.lit(0).alias("section"), F.posexplode(F.array(F.concat(F.lit("# Community: community-"), F.col("community_id").cast("string")), F.concat(F.lit("**Size:** "), F.col("n").cast("string")), F.lit("## Members"))).alias("_i", "line")).select("page", "section", F.format_string("%02d", "_i").alias("item"), "line")
+    top = ranking.top_k_per_group(of.select("community_id", "qualified_name", F.col("page").alias("to")), ["community_id"], ["qualified_name"], members)
+    inside = top.select(note.alias("page"), F.lit(1).alias("section"), F.col("qualified_name").alias("item"), F.concat(F.lit("- [["), "to", F.lit("]]")).alias("line"))
+    index = n.select(F.lit("_INDEX").alias("page"), F.lit(1).alias("section"), F.concat(text("name"), F.lit("\x01"), F.col("page")).alias("item"), F.concat(F.lit("- [["), "page", F.lit("]] ("), text("kind"), F.lit(")")).alias("line"))
+    count = lambda rows, what, at: rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit("_INDEX").alias("page"), F.lit(0).alias("section"), F.lit(at).alias("item"), F.concat(F.lit(f"**{what}:** "), F.col("n").cast("string")).alias("line"))
+    parts = [heads, title, links, sizes, inside, count(g.nodes, "Nodes", "00"), count(g.edges, "Edges", "01"), count(of.select("community_id").distinct(), "Communities", "02"), index]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def export_obsidian(g: Graph, path: str) -> None:
+    """Write the notes below ``path``, a folder of text for each page."""
+    lines = obsidian_lines(g).repartition("page").sortWithinPartitions("page", "section", "item")
+    lines.select("page", "line").write.partitionBy("page").text(path)

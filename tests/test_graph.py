@@ -1,5 +1,8 @@
 """Seeded graphs with hand-written expectations."""
 
+import hashlib
+import subprocess
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +10,7 @@ from lattica.graph import Graph
 from lattica.operators import aggregates, lookups, patterns, ranges, ranking, resolve, search
 from lattica.plans import centrality, communities, flows, impact, review, store
 from lattica.plans.store import GraphStore
-from lattica.sources import files
+from lattica.sources import files, history
 from lattica.streaming import watch
 
 N = "kind string, name string, qualified_name string, file_path string, line_start int, line_end int, language string, parent_name string, is_test boolean, extra string"
@@ -327,3 +330,63 @@ def test_lookups_of_empty_graphs(spark):
     assert communities.by_directory(g).count() == 0 and communities.by_modularity(g).count() == 0
     assert flows.trace(g, flows.entry_points(g)).count() == 0
     assert aggregates.graph_stats(g).count() == 3
+
+
+def test_name_status_of_a_checkout(spark, tmp_path):
+    raw = "M\0a.py\0R087\0old name.py\0new.py\0C100\0a.py\0D.py\0D\0gone.py\0"
+    rows = spark.createDataFrame([(1, raw), (2, None), (3, "")], "id int, raw string")
+    got = [(r.id, r.position, r.file_path) for r in history.parse_name_status(rows, "raw").orderBy("id", "position").collect()]
+    assert got == [(1, 0, "a.py"), (1, 1, "old name.py"), (1, 2, "new.py"), (1, 3, "D.py"), (1, 4, "gone.py")]
+
+    def git(*args):
+        subprocess.run(["git", "-c", "user.name=t", "-c", "user.email=t@t", *args], cwd=tmp_path, check=True, capture_output=True)
+
+    git("init", "-q")
+    (tmp_path / "x.py").write_text("x = 1\n" * 20)
+    (tmp_path / "y.py").write_text("y\n")
+    git("add", "."), git("commit", "-qm", "one")
+    git("mv", "x.py", "z.py")
+    (tmp_path / "y.py").write_text("yy\n")
+    git("add", "."), git("commit", "-qm", "two")
+    assert names(history.changed_files(spark, str(tmp_path)), "file_path") == ["x.py", "y.py", "z.py"]
+    for ref in ("--output=x", "a b", ""):
+        with pytest.raises(ValueError):
+            history.changed_files(spark, str(tmp_path), ref)
+    head = history.head_of(spark, "r", str(tmp_path), None)
+    built = subprocess.run(["git", "rev-parse", "HEAD~1"], cwd=tmp_path, capture_output=True, text=True).stdout.strip()
+    at = spark.createDataFrame([("r", "git_head_sha", built), ("r", "last_updated", "not a time")], "repo string, key string, value string")
+    assert history.freshness(at, head).first().build_relation == "unknown"
+    row = history.freshness(at, history.head_of(spark, "r", str(tmp_path), built)).first()
+    assert (row.build_relation, row.age_seconds) == ("ancestor", None)
+
+
+def test_registry_keeps_places(spark):
+    shape = "seq long, path string, alias string, data_dir string"
+    known = spark.createDataFrame([(1, "/a", "one", None), (2, "/b", None, "/d")], shape)
+    got = history.register(known, spark.createDataFrame([(3, "/b", "two", ""), (4, "/c", "one", None)], shape))
+    assert [tuple(r) for r in got.orderBy("seq").collect()] == [(1, "/a", "one", None), (2, "/b", "two", "/d"), (4, "/c", "one", None)]
+    assert names(history.find(got, alias="one"), "path") == ["/a"] and names(history.find(got, path="/c"), "path") == ["/c"] and not history.find(got, alias="none").count()
+    assert names(history.unregister(got, "one"), "path") == ["/b"] and names(history.unregister(got, "/b"), "path") == ["/a", "/c"]
+
+
+def test_vault_pages(spark, tmp_path):
+    g = build(spark, [node("/a.py::My Thing"), node("/b.py::my_thing", "Class"), node("/c.py::!!")], [edge("CALLS", "/a.py::My Thing", "/b.py::my_thing"), edge("CALLS", "/a.py::My Thing", "nowhere"), edge("REFERENCES", "/b.py::my_thing", "/a.py::My Thing")])
+    g = g.with_(communities=spark.createDataFrame([("/a.py::My Thing", 7)], "qualified_name string, community_id long"))
+    second = "my-thing-" + hashlib.sha256(b"/b.py::my_thing").hexdigest()[:8]
+    lines = {}
+    for r in store.obsidian_lines(g).orderBy("page", "section", "item").collect():
+        lines.setdefault(r.page, []).append(r.line)
+    assert sorted(lines) == sorted(["my-thing", second, "unnamed", "_INDEX", "_COMMUNITY_7"])
+    assert lines["my-thing"][:6] == ["---", "kind: Function", "file: /a.py", "language: python", "community: 7", "tags:"]
+    assert lines["my-thing"][-2:] == ["## Connections", f"- CALLS: [[{second}|My Thing {second[-8:].capitalize()}]]"]
+    assert "community: " not in "\n".join(lines["unnamed"]) and "## Connections" not in lines["unnamed"]
+    assert lines["_COMMUNITY_7"][-1] == "- [[my-thing]]" and lines["_INDEX"][:3] == ["**Nodes:** 3", "**Edges:** 3", "**Communities:** 1"] and len(lines["_INDEX"]) == 6
+    store.export_obsidian(g, str(tmp_path / "vault"))
+    assert spark.read.text(str(tmp_path / "vault")).filter("page = 'my-thing'").count() == len(lines["my-thing"])
+
+
+def test_savings_log_is_appended(spark, tmp_path):
+    one = spark.createDataFrame([("/r", "measure", 10, 4, 6, 60)], "repo string, kind string, baseline_tokens int, returned_tokens int, saved_tokens int, saved_percent int")
+    for _ in range(2):
+        history.log_savings(one, str(tmp_path / "a"), str(tmp_path / "b"))
+    assert [files.read_savings_log(spark, str(tmp_path / p)).agg(F.sum("saved_tokens")).first()[0] for p in "ab"] == [12, 12]
