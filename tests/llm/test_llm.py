@@ -185,6 +185,16 @@ def test_forest_rejects_odd_rows():
     assert len(quality.anomaly(quality.grow([]), usual[:3])) == 3
 
 
+@pytest.mark.parametrize("limit", [1, 7, 40, 1000])
+def test_least_hashed_rows_are_those_of_a_plain_sort(spark, limit):
+    features = [(F.hash(F.col("id") + i) % 5).cast("double").alias(f) for i, f in enumerate(quality.FEATURES)]
+    rows = spark.range(300, numPartitions=5).select((F.col("id") % 90).alias("doc_id"), (F.col("id") % 90 % 2).alias("_good"), *features)
+    rows = rows.union(rows.filter("doc_id = 3"))
+    got = [tuple(r)[: len(rows.columns)] for r in quality._least_hashed(rows, limit)]
+    assert got == [tuple(r) for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", *quality.FEATURES).limit(limit).collect()]
+    assert quality._least_hashed(rows.limit(0), limit) == []
+
+
 def test_quality_query_keeps_most_good_documents(spark, sf_dir):
     got = QUERIES["op3_quality_rules"](spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").join(got.filter("not base_failed"), "doc_id")
