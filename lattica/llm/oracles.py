@@ -30,6 +30,26 @@ def _place(shards: int, name: str) -> str:
     return f"""{name} AS (SELECT doc_id, arg_max(i, -1e0 / ln((cast(concat('0x', substr(md5(concat(coalesce(cast(doc_id AS varchar), ''), ':', i)), 1, 13)) AS bigint) + 0.5e0) / 4503599627370496e0)) AS shard FROM documents, range({shards}) r(i) GROUP BY doc_id)"""
 
 
+
+def _round(i: int, last: bool) -> str:
+    """Assignment to the centroids of round i, and the centroids after it."""
+    assigned = f"""a{i} AS MATERIALIZED (SELECT rid, min(d * 8 + j) % 8 AS j, min(d * 8 + j) // 8 AS d FROM (SELECT rid, j, list_sum(list_transform(range(1, 65), lambda x: (q[x] - c[x]) * (q[x] - c[x])))::bigint AS d FROM v, c{i}) GROUP BY rid)"""
+    if last:
+        return assigned
+    return f"""{assigned},
+m{i} AS MATERIALIZED (SELECT j, list(cast((s - ((s % n) + n) % n) // n AS bigint) ORDER BY pos) AS c FROM (SELECT j, pos, sum(x)::bigint AS s, count(*) AS n FROM (SELECT j, unnest(q) AS x, unnest(range(1, 65)) AS pos FROM a{i} JOIN v USING (rid)) GROUP BY j, pos) GROUP BY j),
+c{i + 1} AS MATERIALIZED (SELECT c{i}.j, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} ON m{i}.j = c{i}.j)"""
+
+
+OP11 = f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x AS double)) AS bigint)) AS q FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, q) - 1 AS j, q AS c FROM (SELECT sha256(concat('3:', cast(vec_id AS varchar))) AS h, q FROM v ORDER BY h, q LIMIT 8)),
+{", ".join(_round(i, i == 10) for i in range(11))},
+t AS MATERIALIZED (SELECT j, cast(sum(d) AS bigint) AS s FROM a10 GROUP BY j)
+SELECT v.vec_id, cast(a10.j AS int) AS cluster, a10.d AS distance, t.s AS cluster_inertia, (SELECT cast(sum(s) AS bigint) FROM t) AS inertia, sha256(array_to_string(c10.c, ',')) AS centroid_sha256
+FROM v JOIN a10 USING (rid) JOIN t ON t.j = a10.j JOIN c10 ON c10.j = a10.j
+"""
+
 # The CRC goes over the bytes by a table of 256 remainders, which is itself eight steps of the polynomial.
 OP9 = f"""
 WITH {_place(40, 'a')}, {_place(41, 'b')},
@@ -39,3 +59,13 @@ crc AS (SELECT doc_id, len(h) // 2 + 16 AS size, xor(list_reduce(list_prepend(42
 n AS (SELECT a.doc_id, a.shard, md5(coalesce(cast(a.doc_id AS varchar), '')) AS k FROM a)
 SELECT crc.doc_id, cast(size AS bigint) AS size, text_crc32, 'key' AS law, cast(a.shard AS int) AS shard, cast(b.shard AS int) AS grown_shard, row_number() OVER (PARTITION BY a.shard ORDER BY substr(md5(concat('slot', coalesce(cast(crc.doc_id AS varchar), ''))), 1, 3), crc.doc_id IS NULL, md5(concat('slot', coalesce(cast(crc.doc_id AS varchar), ''))), crc.doc_id) - 1 AS slot FROM crc JOIN a ON a.doc_id = crc.doc_id JOIN b ON b.doc_id = crc.doc_id
 """
+
+OP13 = """
+WITH tab AS MATERIALIZED (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+h AS (SELECT doc_id, source, lang, length(text) AS len, doc_id + xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(cast(doc_id AS varchar))), '..'), lambda x: cast(concat('0x', x) AS bigint))), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS place FROM documents, tab),
+e AS MATERIALIZED (SELECT row_number() OVER () AS rid, *, 60 * ((place - ((place % 6) + 6) % 6) // 6) AS event_s FROM h),
+w AS (SELECT rid, doc_id, source, event_s, unnest([600, 43200]) AS width FROM e),
+g AS (SELECT w.rid, w.width, count(*) AS n, sum(o.len) AS s, count(DISTINCT o.lang) AS langs, list_sort(list(o.len) FILTER (o.len IS NOT NULL)) AS l FROM w JOIN e o ON o.source IS NOT DISTINCT FROM w.source AND o.event_s < w.event_s AND o.event_s >= w.event_s - w.width GROUP BY w.rid, w.width)
+SELECT w.doc_id, cast(w.width AS bigint) AS window_s, w.event_s, coalesce(n, 0) AS n_events, cast(coalesce(s, 0) AS bigint) AS sum_chars, coalesce(langs, 0) AS n_langs, l[(len(l) + 1) // 2] AS median_chars, l[(90 * len(l) + 99) // 100] AS high_chars
+FROM w LEFT JOIN g ON g.rid = w.rid AND g.width = w.width
+"""

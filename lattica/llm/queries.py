@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import lm_scoring, media, mixing, ngram_jaccard, oracles, pieces, quality, sharding, substrings, url_filters, window_log
+from lattica.llm import ball_kmeans, lm_scoring, media, mixing, ngram_jaccard, oracles, pieces, quality, rolling_ranks, sharding, substrings, url_filters, window_log
 from lattica.llm.common import small_batches, store, table, utf8, work_path
 
 RULES = (
@@ -92,6 +92,19 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.jaccard_components(table(spark, sf_dir, "documents"), ngram_jaccard.Likeness(words=3, percent=90))
 
 
+def op11_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight clusters of all usable vectors after ten rounds."""
+    return ball_kmeans.centroid_clusters(table(spark, sf_dir, "embeddings"), k=8, rounds=10, dims=64, scale=1024, seed=3)
+
+
+def op13_rolling_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, sums, languages and ranks of lengths over the ten minutes and the half day before each document, within its source."""
+    h = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10_000))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.length("text").cast("long").alias("length"), (F.col("doc_id") + h).alias("place"))
+    docs = docs.withColumn("event_s", F.expr("60 * ((place - pmod(place, 6)) div 6)"))
+    return rolling_ranks.rolling_features(docs, (600, 43_200))
+
+
 QUERIES = {
     "op1_suffix_array": op1_suffix_array,
     "op2_sentencepiece": op2_sentencepiece,
@@ -103,7 +116,9 @@ QUERIES = {
     "op8_url_filters": op8_url_filters,
     "op9_sharding": op9_sharding,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_ball_kmeans": op11_ball_kmeans,
+    "op13_rolling_ranks": op13_rolling_ranks,
 }
 
 #: The other operators gather by fitted models, components or best paths, or go over bytes; tests hold them against brute force.
-ORACLES = {"op5_mixing": oracles.OP5, "op6_window_log": oracles.OP6, "op9_sharding": oracles.OP9}
+ORACLES = {"op5_mixing": oracles.OP5, "op6_window_log": oracles.OP6, "op9_sharding": oracles.OP9, "op11_ball_kmeans": oracles.OP11, "op13_rolling_ranks": oracles.OP13}
