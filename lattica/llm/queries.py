@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import ball_kmeans, lm_scoring, media, mixing, ngram_jaccard, oracles, pieces, quality, rolling_ranks, sharding, substrings, url_filters, window_log
+from lattica.llm import ball_kmeans, clause_grammar, lm_scoring, media, mixing, ngram_jaccard, oracles, pieces, quality, rolling_ranks, sharding, substrings, url_filters, window_log
 from lattica.llm.common import small_batches, store, table, utf8, work_path
 
 RULES = (
@@ -97,6 +97,14 @@ def op11_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_kmeans.centroid_clusters(table(spark, sf_dir, "embeddings"), k=8, rounds=10, dims=64, scale=1024, seed=3)
 
 
+def op12_clause_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text by the clause grammar, learned from labelled documents that are not held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
+    model = clause_grammar.fit(clause_grammar.labelled(docs, labels, ~held_out))
+    return clause_grammar.scored(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted", "clauses")
+
+
 def op13_rolling_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, sums, languages and ranks of lengths over the ten minutes and the half day before each document, within its source."""
     h = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10_000))
@@ -117,6 +125,7 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_ngram_jaccard": op10_ngram_jaccard,
     "op11_ball_kmeans": op11_ball_kmeans,
+    "op12_clause_grammar": op12_clause_grammar,
     "op13_rolling_ranks": op13_rolling_ranks,
 }
 
