@@ -1,56 +1,15 @@
-"""A versioned store of graph tables: new versions are written beside old ones and a pointer is moved."""
+"""Changes of graph tables as plain functions, and exports; ``ledger`` keeps what they return."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica import schemas
 from lattica.functions import text as X
 from lattica.graph import Graph
 from lattica.operators.resolve import last_wins
-
-TABLES = ("nodes", "edges")
-
-
-class GraphStore:
-    """Parquet versions below ``root``; a reader sees the version that was whole when it opened."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _fs(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
-
-    def version(self) -> str | None:
-        """The version that the newest pointer names."""
-        fs, p = self._fs(f"{self.root}/pointers")
-        if not fs.exists(p):
-            return None
-        names = sorted(s.getPath().getName() for s in fs.listStatus(p))
-        return names[-1].split("-", 1)[1] if names else None
-
-    def write(self, g: Graph) -> str:
-        """Write all tables of a new version, then name it; a failure on the way leaves the old one in place."""
-        old, name = self.version(), uuid.uuid4().hex
-        for t in TABLES:
-            getattr(g, t).write.parquet(f"{self.root}/versions/{name}/{t}")
-        fs, p = self._fs(f"{self.root}/pointers")
-        count = len(fs.listStatus(p)) if old is not None else 0
-        _, pointer = self._fs(f"{self.root}/pointers/{count:012d}-{name}")
-        fs.create(pointer, False).close()
-        return name
-
-    def read(self, version: str | None = None) -> Graph:
-        name = version or self.version()
-        if name is None:
-            return Graph(self.spark.createDataFrame([], schemas.NODES), self.spark.createDataFrame([], schemas.EDGES))
-        return Graph(*(self.spark.read.parquet(f"{self.root}/versions/{name}/{t}") for t in TABLES))
-
+from lattica.plans.ledger import GraphStore  # noqa: F401
 
 def upsert_nodes(nodes: DataFrame, new: DataFrame, seq: str = "seq") -> DataFrame:
     """Nodes with new rows over old ones of the same name; of several new rows the greatest ``seq`` stays."""
@@ -152,20 +111,19 @@ def referrers(g: Graph, files: DataFrame) -> DataFrame:
     return g.edges.join(gone, "target_qualified", "left_semi").select("file_path").distinct().join(files.select("file_path"), "file_path", "left_anti")
 
 
-def metadata_put(table: DataFrame, key: str, value: str) -> DataFrame:
-    row = table.sparkSession.createDataFrame([(key, value)], "key string, value string")
-    return table.filter(F.col("key") != key).unionByName(row)
-
-
 def with_symbols(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("symbol", X.symbol(F.col("qualified_name")))
 
 
+#: What a page name leaves out, what becomes a hyphen in it, and how long it may be.
+NOTE_DROPS, NOTE_GAPS, NOTE_LENGTH = r"(?U)[^\w\s-]", r"(?U)[\s_]+", 100
+
+
 def note_names(nodes: DataFrame) -> DataFrame:
     """(qualified_name, page): a page name each. Of nodes whose names give one page the first by qualified name has it plain,
     the others end in eight digits of a hash of theirs."""
-    kept = F.regexp_replace(F.lower(F.coalesce("name", "qualified_name")), r"(?U)[^\w\s-]", "")
-    plain = F.substring(F.regexp_replace(F.regexp_replace(kept, r"(?U)[\s_]+", "-"), "^-+|-+$", ""), 1, 100)
+    kept = F.regexp_replace(F.lower(F.coalesce("name", "qualified_name")), NOTE_DROPS, "")
+    plain = F.substring(F.regexp_replace(F.regexp_replace(kept, NOTE_GAPS, "-"), "^-+|-+$", ""), 1, NOTE_LENGTH)
     own = nodes.select("qualified_name", F.when(plain != "", plain).otherwise("unnamed").alias("_plain"))
     first = own.groupBy("_plain").agg(F.min("qualified_name").alias("_first"))
     page = F.when(F.col("qualified_name") == F.col("_first"), F.col("_plain")).otherwise(F.concat("_plain", F.lit("-"), F.substring(F.sha2("qualified_name", 256), 1, 8)))

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 #: Status letters whose record names two paths, the old one and the new one.
 TWO_PATHS = ("R", "C")
 _RECORD = rf"(?s)[{''.join(TWO_PATHS)}]\d*\x00[^\x00]*\x00[^\x00]*\x00|[A-Z]\d*\x00[^\x00]*\x00"
-_REF = r"[A-Za-z0-9_./~^@{}\-]+"
+#: Fixed value: the characters of a reference that git is asked about.
+SAFE_REF = r"^[A-Za-z0-9_.~^/@{}\-]+$"
 
 
 def name_status_paths(raw: Column) -> Column:
@@ -32,7 +33,7 @@ def _git(root: str, *args: str) -> str:
 
 
 def _safe(ref: str) -> str:
-    if ref.startswith("-") or not re.fullmatch(_REF, ref):
+    if ref.startswith("-") or not re.fullmatch(SAFE_REF, ref):
         raise ValueError(f"not a git reference: {ref!r}")
     return ref
 
