@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica import schemas
@@ -22,7 +22,9 @@ ORACLES: dict[str, str] = {}
 
 _N = f"N AS MATERIALIZED ({plain_sql(NODES_SQL)})"
 _E = f"E AS MATERIALIZED ({plain_sql(EDGES_SQL)})"
-_C = "C AS (SELECT qualified_name, dense_rank() OVER (ORDER BY file_path) AS community_id FROM N WHERE kind <> 'File')"
+_C = "C AS MATERIALIZED (SELECT qualified_name, dense_rank() OVER (ORDER BY file_path) AS community_id FROM N WHERE kind <> 'File')"
+#: The name that most queries on one node ask for: of those called, the last.
+_T = "TT AS MATERIALIZED (SELECT max(target_qualified) AS q FROM E WHERE kind = 'CALLS' AND target_qualified LIKE '%::%')"
 _HDL = "coalesce(extra LIKE '%\"verilog_kind\"%', false)"
 
 
@@ -34,7 +36,8 @@ def add(name: str, run: Callable[[Graph], DataFrame], sql: str | None = None, wi
     """Register a query on the derived graph; ``sql`` sees N, E and C (nodes, edges, communities)."""
     QUERIES[name] = lambda spark, sf_dir: run(graph(spark, sf_dir))
     if sql:
-        ORACLES[name] = f"WITH {'RECURSIVE ' if recursive else ''}{_N}, {_E}, {_C}{', ' + _flat(with_) if with_ else ''} {_flat(sql)}"
+        used = f"{', ' + _T if T in sql + with_ else ''}{', ' + _flat(with_) if with_ else ''}"
+        ORACLES[name] = f"WITH {'RECURSIVE ' if recursive else ''}{_N}, {_E}, {_C}{used} {_flat(sql)}"
 
 
 def add_plain(name: str, run: Query, sql: str | None = None) -> None:
@@ -57,11 +60,17 @@ def _most_called(g: Graph) -> str:
     return g.edges.filter((F.col("kind") == "CALLS") & F.col("target_qualified").contains("::")).agg(F.max("target_qualified")).first()[0] or ""
 
 
+def _imported(g: Graph) -> str:
+    return g.edges.filter("kind = 'IMPORTS_FROM'").agg(F.max("target_qualified")).first()[0] or ""
+
+
 def _tested(g: Graph) -> str:
     return g.edges.filter(F.col("kind") == "TESTED_BY").agg(F.max("source_qualified")).first()[0] or ""
 
 
-T = "(SELECT max(target_qualified) FROM E WHERE kind = 'CALLS' AND target_qualified LIKE '%::%')"
+T = "(SELECT q FROM TT)"
+#: The file that is imported last by name.
+I = "(SELECT max(target_qualified) FROM E WHERE kind = 'IMPORTS_FROM')"
 P = "(SELECT max(source_qualified) FROM E WHERE kind = 'TESTED_BY')"
 SHOW = "N.qualified_name, N.kind, N.name, N.file_path"
 A, B = "/src/brand11.py", "/src/brand22.py"
@@ -105,7 +114,7 @@ add("callees_of", lambda g: patterns.callees_of(g, g.edges.filter("target_qualif
 _REF = "(SELECT max(target_qualified) FROM E WHERE kind = 'REFERENCES')"
 add("references_to", lambda g: patterns.references_to(g, g.edges.filter("kind = 'REFERENCES'").agg(F.max("target_qualified")).first()[0] or ""), f"SELECT {SHOW} FROM N WHERE qualified_name IN (SELECT source_qualified FROM E WHERE kind = 'REFERENCES' AND target_qualified = {_REF})")
 add("imports_of", lambda g: patterns.imports_of(g, A), f"SELECT source_qualified, target_qualified, file_path, line FROM E WHERE kind = 'IMPORTS_FROM' AND source_qualified = '{A}'")
-add("importers_of", lambda g: patterns.importers_of(g, "/geo/asia/china.java"), "SELECT DISTINCT source_qualified AS qualified_name FROM E WHERE kind = 'IMPORTS_FROM' AND target_qualified = '/geo/asia/china.java'")
+add("importers_of", lambda g: patterns.importers_of(g, _imported(g)), f"SELECT DISTINCT source_qualified AS qualified_name FROM E WHERE kind = 'IMPORTS_FROM' AND target_qualified = {I}")
 add("children_of", lambda g: patterns.children_of(g, A), f"SELECT {SHOW} FROM N WHERE qualified_name IN (SELECT target_qualified FROM E WHERE kind = 'CONTAINS' AND source_qualified = '{A}')")
 _R1 = "(SELECT max(qualified_name) FROM N WHERE name = 'Region1')"
 add("inheritors_of", lambda g: patterns.inheritors_of(g, g.nodes.filter("name = 'Region1'").agg(F.max("qualified_name")).first()[0] or ""), f"SELECT {SHOW} FROM N WHERE qualified_name IN (SELECT source_qualified FROM E WHERE kind IN ('INHERITS', 'IMPLEMENTS') AND target_qualified = {_R1})")
@@ -192,16 +201,16 @@ def _reach_sql(steps: str, seeds: str, depth: int) -> str:
 
 _BOTH = "SELECT source_qualified src, target_qualified dst FROM E UNION SELECT target_qualified, source_qualified FROM E"
 add("impact_bidirectional", lambda g: impact.impact_bidirectional(g, _files(g, A)), "SELECT N.qualified_name, N.kind, N.file_path, hop FROM N JOIN reach ON node = N.qualified_name WHERE hop > 0", _reach_sql(_BOTH, f"SELECT qualified_name node FROM N WHERE file_path = '{A}'", 2))
-add("find_dependents", lambda g: impact.find_dependents(g, "/geo/asia/china.java"), "SELECT node AS file_path, hop, count(*) OVER () AS total, count(*) OVER () > 500 AS truncated FROM reach WHERE hop > 0 ORDER BY hop, 1 LIMIT 500",
-    _reach_sql("SELECT DISTINCT N.file_path src, E.file_path dst FROM E JOIN N ON target_qualified = N.qualified_name WHERE E.kind NOT IN ('CONTAINS', 'TESTED_BY') AND N.file_path <> E.file_path", "SELECT '/geo/asia/china.java' node", 2))
+add("find_dependents", lambda g: impact.find_dependents(g, _imported(g)), "SELECT node AS file_path, hop, count(*) OVER () AS total, count(*) OVER () > 500 AS truncated FROM reach WHERE hop > 0 ORDER BY hop, 1 LIMIT 500",
+    _reach_sql("SELECT DISTINCT N.file_path src, E.file_path dst FROM E JOIN N ON target_qualified = N.qualified_name WHERE E.kind NOT IN ('CONTAINS', 'TESTED_BY') AND N.file_path <> E.file_path", f"SELECT {I} node", 2))
 add("traverse", lambda g: impact.traverse(g, A, 2, 3000), "SELECT * FROM (SELECT qualified_name, kind, file_path, hop, cast(sum(cast(ceil((length(qualified_name) + length(kind) + length(file_path)) / 4.0) AS bigint)) OVER (ORDER BY hop, qualified_name ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bigint) AS used FROM N JOIN reach ON node = qualified_name) x WHERE used <= 3000", _reach_sql(_BOTH, f"SELECT '{A}' node", 2))
-_ENTRY = f"""ep AS (SELECT qualified_name FROM N WHERE kind IN ('Function', 'Test') AND NOT is_test AND NOT {_HDL} AND (qualified_name NOT IN (SELECT target_qualified FROM E WHERE kind = 'CALLS' AND source_qualified NOT IN (SELECT qualified_name FROM N WHERE kind = 'File')) OR extra LIKE '%app.get%'))"""
+_ENTRY = f"""ep AS MATERIALIZED (SELECT qualified_name FROM N WHERE kind IN ('Function', 'Test') AND NOT is_test AND NOT {_HDL} AND (qualified_name NOT IN (SELECT target_qualified FROM E WHERE kind = 'CALLS' AND source_qualified NOT IN (SELECT qualified_name FROM N WHERE kind = 'File')) OR extra LIKE '%app.get%'))"""
 add("entry_points", lambda g: flows.entry_points(g).select("qualified_name"), "SELECT qualified_name FROM ep", _ENTRY)
-_TRACE = _ENTRY + f""", cs AS (SELECT DISTINCT source_qualified src, target_qualified dst FROM E WHERE kind = 'CALLS' AND target_qualified IN (SELECT qualified_name FROM N)), tr(entry, qualified_name, hop) AS (SELECT qualified_name, qualified_name, 0 FROM ep UNION SELECT entry, dst, hop + 1 FROM tr JOIN cs ON tr.qualified_name = src WHERE hop < {schemas.MAX_FLOW_DEPTH}),
-  fl AS (SELECT entry, qualified_name, min(hop) AS hop FROM tr GROUP BY 1, 2), flow AS (SELECT * FROM fl WHERE entry IN (SELECT entry FROM fl GROUP BY 1 HAVING count(*) > 1))"""
+_TRACE = _ENTRY + f""", cs AS MATERIALIZED (SELECT DISTINCT source_qualified src, target_qualified dst FROM E WHERE kind = 'CALLS' AND target_qualified IN (SELECT qualified_name FROM N)), tr(entry, qualified_name, hop) AS (SELECT qualified_name, qualified_name, 0 FROM ep UNION SELECT entry, dst, hop + 1 FROM tr JOIN cs ON tr.qualified_name = src WHERE hop < {schemas.MAX_FLOW_DEPTH}),
+  fl AS MATERIALIZED (SELECT entry, qualified_name, min(hop) AS hop FROM tr GROUP BY 1, 2), flow AS MATERIALIZED (SELECT * FROM fl WHERE entry IN (SELECT entry FROM fl GROUP BY 1 HAVING count(*) > 1))"""
 add("trace_flows", lambda g: flows.trace(g, flows.entry_points(g)).select("entry", "qualified_name", "hop"), "SELECT * FROM flow", _TRACE, True)
 _CRIT = _TRACE + f""", cr AS (SELECT entry, count(*) AS node_count, count(DISTINCT file_path) AS file_count, max(hop) AS depth, sum(ext) ext, sum(sec) sec, sum(tested) tested FROM (SELECT flow.entry, hop, N.file_path, coalesce(x.n, 0) ext, CASE WHEN {_SEC} THEN 1 ELSE 0 END sec, CASE WHEN t.q IS NULL THEN 0 ELSE 1 END tested FROM flow JOIN N USING (qualified_name) LEFT JOIN (SELECT source_qualified q, count(*) n FROM E WHERE kind = 'CALLS' AND target_qualified NOT IN (SELECT qualified_name FROM N) GROUP BY 1) x ON x.q = qualified_name LEFT JOIN (SELECT DISTINCT source_qualified q FROM E WHERE kind = 'TESTED_BY') t ON t.q = qualified_name) y GROUP BY 1),
-  critic AS (SELECT entry, node_count, file_count, depth, least(greatest(least((file_count - 1) / 4e0, 1e0) * 0.30e0 + least(ext / 5e0, 1e0) * 0.20e0 + least(sec / node_count, 1e0) * 0.25e0 + (1e0 - tested / node_count) * 0.15e0 + least(depth / 10e0, 1e0) * 0.10e0, 0e0), 1e0) AS criticality FROM cr)"""
+  critic AS MATERIALIZED (SELECT entry, node_count, file_count, depth, least(greatest(least((file_count - 1) / 4e0, 1e0) * 0.30e0 + least(ext / 5e0, 1e0) * 0.20e0 + least(sec / node_count, 1e0) * 0.25e0 + (1e0 - tested / node_count) * 0.15e0 + least(depth / 10e0, 1e0) * 0.10e0, 0e0), 1e0) AS criticality FROM cr)"""
 add("flow_criticality", lambda g: flows.criticality(g, flows.trace(g, flows.entry_points(g))).withColumn("criticality", F.round("criticality", 9)), "SELECT entry, node_count, file_count, depth, round(criticality, 9) AS criticality FROM critic", _CRIT, True)
 add("affected_flows", lambda g: flows.affected_flows(flows.flow_tables(g), _files(g, A)).select("entry", "node_count"), f"SELECT entry, node_count FROM critic WHERE entry IN (SELECT entry FROM flow JOIN N USING (qualified_name) WHERE file_path = '{A}')", _CRIT, True)
 add("list_flows", lambda g: flows.list_flows(flows.flow_tables(g), "node_count", 20).select("entry", "node_count"), "SELECT entry, node_count FROM critic ORDER BY node_count DESC, entry LIMIT 20", _CRIT, True)
@@ -231,11 +240,27 @@ _HIT = "SELECT DISTINCT N.qualified_name, N.kind, N.name, N.file_path, line_star
 add("range_join", lambda g: ranges.range_join(g, _spans_of(g)), _HIT, _SP)
 add("analyze_changes", lambda g: review.analyze_changes(g, _spans_of(g)).select("qualified_name", F.round("risk_score", 9).alias("risk_score"), "test_gap"),
     f"SELECT h.qualified_name, round(risk_score, 9) AS risk_score, NOT is_test AND h.qualified_name NOT IN (SELECT source_qualified FROM E WHERE kind = 'TESTED_BY') AS test_gap FROM ({_HIT}) h JOIN risk USING (qualified_name) JOIN N ON N.qualified_name = h.qualified_name WHERE h.kind IN ('Function', 'Test', 'Class') AND NOT coalesce(N.extra LIKE '%\"verilog_kind\"%', false)", _SP + ", " + _calls_with + ", " + _RISKS)
+_CHANGED = f"CH AS MATERIALIZED (SELECT h.qualified_name, h.file_path, risk_score, NOT is_test AND h.qualified_name NOT IN (SELECT source_qualified FROM E WHERE kind = 'TESTED_BY') AS test_gap, row_number() OVER (ORDER BY h.file_path, h.line_start, h.qualified_name) AS place FROM ({_HIT}) h JOIN risk USING (qualified_name) JOIN N ON N.qualified_name = h.qualified_name WHERE h.kind IN ('Function', 'Test', 'Class') AND NOT coalesce(N.extra LIKE '%\"verilog_kind\"%', false))"
+add("change_summary", lambda g: review.change_summary(g, _spans_of(g), 100).withColumn("overall_risk", F.round("overall_risk", 9)),
+    "SELECT round(max(risk_score), 9) AS overall_risk, count(*) AS changed, (SELECT count(*) FROM CH) AS total, (SELECT count(*) FROM CH) > 100 AS functions_truncated, cast(sum(CASE WHEN test_gap THEN 1 ELSE 0 END) AS bigint) AS test_gaps, cast(0 AS bigint) AS affected_flows FROM CH WHERE place <= 100", _SP + ", " + _calls_with + ", " + _RISKS + ", " + _CHANGED)
 add("test_gaps", lambda g: review.test_gaps(g, g.nodes.filter("kind = 'Function'")).select("qualified_name"), "SELECT qualified_name FROM N WHERE kind = 'Function' AND NOT is_test AND qualified_name NOT IN (SELECT source_qualified FROM E WHERE kind = 'TESTED_BY')")
 add("enclosing_function", lambda g: ranges.enclosing_function(g, g.nodes.filter("kind = 'Function'").select("file_path", (F.col("line_start") + 3).alias("line"))),
     "SELECT s.file_path, line, arg_min(qualified_name, (line_end - line_start, qualified_name)) AS qualified_name FROM (SELECT DISTINCT file_path, line_start + 3 AS line FROM N WHERE kind = 'Function') s JOIN N ON N.file_path = s.file_path WHERE N.kind IN ('Function', 'Test') AND line BETWEEN line_start AND line_end GROUP BY 1, 2")
 add("dead_code", lambda g: review.dead_code(g).select("qualified_name"), f"SELECT qualified_name FROM N WHERE kind IN ('Function', 'Class') AND NOT is_test AND NOT {_HDL} AND extra NOT LIKE '%app.get%' AND qualified_name NOT IN (SELECT target_qualified FROM E WHERE kind IN ('CALLS', 'IMPORTS_FROM', 'REFERENCES', 'INHERITS')) AND qualified_name NOT IN (SELECT source_qualified FROM E WHERE kind = 'TESTED_BY')")
-add("suggest_refactor", review.suggest_moves, "SELECT o.qualified_name, o.community_id, m.move_to, m.callers FROM (SELECT target_qualified q, min(c.community_id) move_to, count(*) callers FROM (SELECT DISTINCT source_qualified, target_qualified FROM E WHERE kind = 'CALLS') d JOIN C c ON c.qualified_name = source_qualified GROUP BY 1 HAVING count(DISTINCT c.community_id) = 1) m JOIN C o ON o.qualified_name = m.q JOIN N ON N.qualified_name = o.qualified_name AND N.kind = 'Function' WHERE o.community_id <> m.move_to")
+
+
+def _by_top_directory(g: Graph) -> Graph:
+    """References as calls, and a community for each first directory, so that what only one of them uses shows."""
+    top = F.dense_rank().over(Window.orderBy("d")).cast("long")
+    dirs = g.nodes.select(F.element_at(F.split("file_path", "/"), 2).alias("d")).distinct().select("d", top.alias("community_id"))
+    own = g.nodes.filter("kind <> 'File'").select("qualified_name", F.element_at(F.split("file_path", "/"), 2).alias("d"))
+    calls = g.edges.withColumn("kind", F.when(F.col("kind") == "REFERENCES", "CALLS").otherwise(F.col("kind")))
+    return g.with_(edges=calls, communities=own.join(dirs, "d").select("qualified_name", "community_id"))
+
+
+_DEAD = f"SELECT qualified_name FROM N WHERE kind IN ('Function', 'Class') AND NOT is_test AND NOT {_HDL} AND extra NOT LIKE '%app.get%' AND qualified_name NOT IN (SELECT target_qualified FROM E WHERE kind IN ('CALLS', 'IMPORTS_FROM', 'REFERENCES', 'INHERITS')) AND qualified_name NOT IN (SELECT source_qualified FROM E WHERE kind = 'TESTED_BY')"
+_TOP = "D AS MATERIALIZED (SELECT qualified_name, dense_rank() OVER (ORDER BY split_part(file_path, '/', 2)) AS community_id, kind FROM N), CE AS MATERIALIZED (SELECT DISTINCT source_qualified, target_qualified FROM E WHERE kind IN ('CALLS', 'REFERENCES'))"
+add("suggest_refactor", lambda g: review.suggest_refactor(_by_top_directory(g)), f"""SELECT 'move' AS action, m.q AS qualified_name, m.move_to AS to_community FROM (SELECT target_qualified q, min(d.community_id) move_to FROM CE JOIN D d ON d.qualified_name = source_qualified AND d.kind <> 'File' GROUP BY 1 HAVING count(DISTINCT d.community_id) = 1) m JOIN D o ON o.qualified_name = m.q AND o.kind = 'Function' WHERE o.community_id <> m.move_to UNION ALL SELECT 'remove', qualified_name, NULL FROM ({_DEAD}) d WHERE qualified_name NOT IN (SELECT qualified_name FROM N WHERE kind = 'Class' AND name IN (SELECT regexp_extract(target_qualified, '::([^.]*)[.]', 1) FROM CE))""", _TOP)
 _NAME = f"(SELECT name FROM N WHERE qualified_name = {T})"
 add("rename_preview", lambda g: review.rename_preview(g, g.nodes.filter(F.col("qualified_name") == _most_called(g)).first()["name"]), f"SELECT 'definition' AS what, file_path, line_start AS line FROM N WHERE name = {_NAME} UNION ALL SELECT 'call', file_path, line FROM E WHERE kind = 'CALLS' AND target_qualified IN (SELECT qualified_name FROM N WHERE name = {_NAME})")
 add("suggested_questions", review.suggested_questions)
@@ -258,7 +283,7 @@ add("resolve_for_display", lambda g: resolve.resolve_for_display(_bared(g)).grou
 
 # -- search --------------------------------------------------------------------------------------
 add("keyword_search", lambda g: search.keyword_search(g, "supply token"), "SELECT qualified_name, CASE WHEN lower(name) = 'supply token' THEN 3e0 WHEN starts_with(lower(name), 'supply token') THEN 2e0 ELSE 1e0 END AS score FROM N WHERE (name ILIKE '%supply%' OR qualified_name ILIKE '%supply%') AND (name ILIKE '%token%' OR qualified_name ILIKE '%token%') ORDER BY 2 DESC, 1 LIMIT 50")
-add("search_nodes", lambda g: search.search_nodes(g, "china supply").select("qualified_name"), "SELECT qualified_name FROM N WHERE qualified_name ILIKE '%china%' AND qualified_name ILIKE '%supply%' ORDER BY 1 LIMIT 20")
+add("search_nodes", lambda g: search.search_nodes(g, "asia supply").select("qualified_name"), "SELECT qualified_name FROM N WHERE qualified_name ILIKE '%asia%' AND qualified_name ILIKE '%supply%' ORDER BY 1 LIMIT 20")
 add("fts_index", search.node_index)
 add("fts_search", lambda g: search.phrase_search(search.node_index(g), "qualified_name", "supply token"))
 add("hybrid_search", lambda g: search.hybrid_search(g, "supply_token_1", kind="Function"))
@@ -282,7 +307,7 @@ add("delete_directories", lambda g: store.delete_directories(g, g.nodes.sparkSes
 add("export_graphml", store.graphml_lines)
 add("export_cypher", store.cypher_lines)
 add("wiki", store.wiki_pages)
-add("forget_referrers", lambda g: store.referrers(g, _files(g, "/geo/asia/china.java")), "SELECT DISTINCT file_path FROM E WHERE target_qualified IN (SELECT qualified_name FROM N WHERE file_path = '/geo/asia/china.java') AND file_path <> '/geo/asia/china.java'")
+add("forget_referrers", lambda g: store.referrers(g, _files(g, _imported(g))), f"SELECT DISTINCT file_path FROM E WHERE target_qualified IN (SELECT qualified_name FROM N WHERE file_path = {I}) AND file_path <> {I}")
 
 
 # -- plain tables --------------------------------------------------------------------------------

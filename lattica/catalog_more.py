@@ -12,9 +12,10 @@ from lattica.catalog import _HIT, _RISKS, _SP, ORACLES, QUERIES, A, B, _calls_wi
 from lattica.functions import text as X
 from lattica.graph import Graph
 from lattica.operators import aggregates, lookups, patterns, ranges, ranking, resolve, search
-from lattica.plans import flows, impact, review, store
+from lattica.plans import flows, impact, maintenance, review, store
 from lattica.plans.materialise import shared_dir
 from lattica.sources import files, history
+from lattica.streaming import watch
 
 # -- a service graph over nations and regions ------------------------------------------------------
 _SVC = "concat('/svc/n', cast(n_nationkey as string), '.java::Svc', cast(n_nationkey as string), '.serve_', cast(n_nationkey as string))"
@@ -102,13 +103,71 @@ add("flow_qns", lambda g: (lambda h: h.memberships.join(h.flows.orderBy("entry")
 add("flow_position", lambda g: flows.flow_tables(g).memberships.select("entry", "qualified_name", "position"))
 add("flow_criticalities", lambda g: flows.flow_counts(flows.flow_tables(g)))
 add("store_flows", lambda g: flows.flow_tables(g).flows.select("entry", "node_count", "file_count", "depth"))
-add("store_communities", lambda g: g.nodes.join(g.communities, "qualified_name", "left").select("qualified_name", "community_id"), "SELECT N.qualified_name, community_id FROM N LEFT JOIN C USING (qualified_name)")
+add("store_communities", lambda g: _snapshot(g).communities.select("qualified_name", "community_id"), "SELECT qualified_name, community_id FROM C")
 add("pr_risk_band", lambda g: aggregates.risk_index(g).select("qualified_name", review.risk_band(F.col("risk_score")).alias("band")).groupBy("band").agg(F.count(F.lit(1)).alias("n")))
 add("review_context", lambda g: review.review_context(g, _files(g, A)).select("part", "subject"))
 add("minimal_context", lambda g: review.minimal_context(g, _spans_of(g)), "SELECT 'nodes' AS what, cast(count(*) AS varchar) AS value FROM N UNION ALL SELECT 'edges', cast(count(*) AS varchar) FROM E UNION ALL SELECT 'files', cast(count(*) AS varchar) FROM N WHERE kind = 'File' UNION ALL (SELECT 'changed', h.qualified_name FROM (" + _HIT + ") h JOIN risk USING (qualified_name) JOIN N ON N.qualified_name = h.qualified_name WHERE h.kind IN ('Function', 'Test', 'Class') AND NOT coalesce(N.extra LIKE '%verilog_kind%', false) ORDER BY round(risk_score, 9) DESC, 2 LIMIT 5)", _SP + ", " + _calls_with + ", " + _RISKS)
 add("relevant_lines", lambda g: ranges.merge_windows(g.nodes.filter((F.col("file_path") == A) & (F.col("kind") == "Function")).select("file_path", F.col("line_start").alias("start"), F.col("line_end").alias("end"))),
     f"SELECT file_path, min(s) AS start, max(e) AS \"end\" FROM (SELECT *, sum(fresh) OVER (ORDER BY s, e ROWS UNBOUNDED PRECEDING) g FROM (SELECT file_path, s, e, CASE WHEN s > max(e) OVER (ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 OR max(e) OVER (ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) IS NULL THEN 1 ELSE 0 END fresh FROM (SELECT file_path, greatest(line_start - 2, 1) s, line_end + 2 e FROM N WHERE file_path = '{A}' AND kind = 'Function') a) b) c GROUP BY file_path, g")
-add("forget", lambda g: store.remove_files_permanently(g, _files(g, A)).nodes.select("qualified_name"), f"SELECT qualified_name FROM N WHERE file_path <> '{A}'")
+
+
+def _kept(g: Graph) -> store.GraphStore:
+    """A new store that holds the graph, files with the hash of their path as content."""
+    kept = store.GraphStore(g.nodes.sparkSession, f"{shared_dir(g.nodes.sparkSession)}/lattica/store-{uuid.uuid4().hex}", 16)
+    kept.write(g.with_(nodes=g.nodes.withColumn("file_hash", F.when(F.col("kind") == "File", F.sha2("file_path", 256)))))
+    return kept
+
+
+def _forgotten(g: Graph) -> Graph:
+    kept = _kept(g)
+    maintenance.forget(kept, _files(g, A), passes=(maintenance.Pass(resolve.resolve_bare_calls),))
+    return kept.read()
+
+
+_GONE = f"G AS MATERIALIZED (SELECT qualified_name FROM N WHERE file_path = '{A}')"
+_bare = lambda end: f"CASE WHEN {end} IN (SELECT qualified_name FROM G) AND {end} LIKE '%::%' THEN regexp_extract({end}, '[^.:]*$') ELSE {end} END"
+add("forget", lambda g: _forgotten(g).nodes.select("qualified_name"), f"SELECT qualified_name FROM N WHERE file_path <> '{A}'")
+add("forget_edges", lambda g: _forgotten(g).edges.select("kind", "source_qualified", "target_qualified", "line"), f"SELECT kind, {_bare('source_qualified')} AS source_qualified, {_bare('target_qualified')} AS target_qualified, line FROM E WHERE file_path <> '{A}'", _GONE)
+add("forget_communities", lambda g: _forgotten(g).communities, f"SELECT * FROM C WHERE qualified_name NOT IN (SELECT qualified_name FROM G)", _GONE)
+
+
+def _new_version(files: DataFrame) -> Graph:
+    """What a parser finds in the new version of a file: itself and one function."""
+    row = lambda kind, name, qn: (F.lit(kind).alias("kind"), name.alias("name"), qn.alias("qualified_name"), "file_path", F.lit(1).alias("line_start"), F.lit(9).alias("line_end"), F.lit("python").alias("language"), F.lit(None).cast("string").alias("parent_name"), F.lit(False).alias("is_test"), F.lit("{}").alias("extra"), F.lit(1).alias("seq"))
+    nodes = files.select(*row("File", F.col("file_path"), F.col("file_path"))).union(files.select(*row("Function", F.lit("fresh"), F.concat("file_path", F.lit("::fresh")))))
+    edges = files.select(F.lit("CONTAINS").alias("kind"), F.col("file_path").alias("source_qualified"), F.concat("file_path", F.lit("::fresh")).alias("target_qualified"), "file_path", F.lit(1).alias("line"), F.lit(1.0).alias("confidence"), F.lit(1).alias("seq"))
+    return Graph(nodes, edges)
+
+
+def _updated(g: Graph) -> Graph:
+    """The stored graph after a listing without one region's files, with one file changed and some that have no file node yet."""
+    kept = _kept(g)
+    listing = g.nodes.select("file_path").distinct().filter("file_path NOT LIKE '/geo/asia/%'")
+    now = listing.withColumn("content", F.when(F.col("file_path") == A, "second version").otherwise(F.col("file_path")))
+    maintenance.incremental_update(kept, now, _new_version, passes=())
+    return kept.read()
+
+
+_NOW = f"CUR AS MATERIALIZED (SELECT DISTINCT file_path FROM N WHERE file_path NOT LIKE '/geo/asia/%'), RE AS MATERIALIZED (SELECT file_path FROM CUR WHERE file_path = '{A}' OR file_path NOT IN (SELECT file_path FROM N WHERE kind = 'File')), LOST AS MATERIALIZED (SELECT qualified_name FROM N WHERE file_path LIKE '/geo/asia/%')"
+add("incremental_update", lambda g: _updated(g).nodes.select("qualified_name", "file_hash"), """SELECT qualified_name, CASE WHEN kind = 'File' THEN sha256(file_path) END AS file_hash FROM N WHERE file_path IN (SELECT file_path FROM CUR) AND file_path NOT IN (SELECT file_path FROM RE)
+  UNION ALL SELECT file_path, sha256(CASE WHEN file_path = '""" + A + """' THEN 'second version' ELSE file_path END) FROM RE UNION ALL SELECT concat(file_path, '::fresh'), NULL FROM RE""", _NOW)
+add("incremental_edges", lambda g: _updated(g).edges.select("kind", "source_qualified", "target_qualified", "file_path"), """SELECT kind, source_qualified, target_qualified, file_path FROM E WHERE file_path NOT IN (SELECT file_path FROM RE) AND file_path NOT LIKE '/geo/asia/%' AND source_qualified NOT IN (SELECT qualified_name FROM LOST) AND target_qualified NOT IN (SELECT qualified_name FROM LOST)
+  UNION ALL SELECT 'CONTAINS', file_path, concat(file_path, '::fresh'), file_path FROM RE""", _NOW)
+
+
+def _watched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions after a stream of file events: the last event of a path counts, a purchase deletes it."""
+    kept = store.GraphStore(spark, f"{shared_dir(spark)}/lattica/store-{uuid.uuid4().hex}", 8)
+    path = f"{sf_dir}/events.parquet"
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")  # a pattern may name a file as well as a folder
+    changes = events.select(F.concat(F.lit("/u/"), F.col("user_id").cast("string"), F.lit(".py")).alias("file_path"), (F.col("event_type") == "purchase").alias("deleted"), F.col("event_type").alias("content"), F.col("event_id").alias("seq"))
+    one = lambda files: (lambda g: g.with_(nodes=g.nodes.join(files.select("file_path", "content"), "file_path").withColumn("name", F.when(F.col("kind") == "Function", F.col("content")).otherwise(F.col("name"))).drop("content")))(_new_version(files))
+    q = watch.watch(changes, kept, one, f"{shared_dir(spark)}/lattica/watch-{uuid.uuid4().hex}", None, passes=())
+    q.awaitTermination()
+    return kept.read().nodes.filter("kind = 'Function'").select("file_path", "name")
+
+
+add_plain("watch_updates", _watched, "SELECT concat('/u/', user_id, '.py') AS file_path, t AS name FROM (SELECT user_id, arg_max(event_type, event_id) AS t FROM events GROUP BY 1) x WHERE t <> 'purchase'")
 add("replace_batch", lambda g: store.replace_files(g, _files(g, A, B), g.nodes.limit(0).withColumn("seq", F.lit(1)), g.edges.limit(0).withColumn("seq", F.lit(1))).nodes.select("qualified_name"), f"SELECT qualified_name FROM N WHERE file_path NOT IN ('{A}', '{B}')")
 add("reconcile_stale", lambda g: ranking.stale(g.nodes.select("file_path").distinct(), g.nodes.filter("language = 'python'").select("file_path").distinct(), "file_path"), "SELECT DISTINCT file_path FROM N WHERE file_path NOT IN (SELECT file_path FROM N WHERE language = 'python')")
 add("change_detect", lambda g: store.change_detect(g.with_(nodes=g.nodes.withColumn("file_hash", F.sha2("file_path", 256))), g.nodes.filter("kind = 'File'").select("file_path", F.when(F.col("language") == "java", F.lit("new")).otherwise(F.col("file_path")).cast("binary").alias("content"))), "SELECT file_path, 'changed' AS change FROM N WHERE kind = 'File' AND language = 'java'")
@@ -146,7 +205,6 @@ add_plain("bench_aggregate", lambda s, d: aggregates.bench_aggregate(_table(s, d
 add_plain("measure_savings", lambda s, d: aggregates.token_efficiency(_table(s, d, "documents").select("doc_id", X.estimate_tokens(F.coalesce("text", F.lit(""))).alias("raw_tokens"), F.lit(50).alias("graph_tokens"))).select("doc_id", "ratio"), "SELECT doc_id, CASE WHEN t > 0 THEN t / 50 ELSE 0e0 END AS ratio FROM (SELECT doc_id, cast(ceil(length(coalesce(text, '')) / 4.0) AS bigint) t FROM documents) x")
 add_plain("docs_section", lambda s, d: files.docs_section(_table(s, d, "benchmark").select(F.concat(F.lit('<section name="usage">'), "text", F.lit("</section>")).alias("text")), "usage"), "SELECT text AS section FROM benchmark")
 add_plain("query_identifiers", lambda s, d: _table(s, d, "part").select("p_partkey", F.array_join(search.identifiers(F.concat(F.lit("call get_users of Context.Next for Part"), "p_partkey", F.lit("Item "), "p_name")), ",").alias("found")), "SELECT p_partkey, concat('context.next,get_users,part', p_partkey, 'item') AS found FROM part")
-add_plain("select_repos", lambda s, d: _table(s, d, "nation").filter(F.lower("n_name").isin("china", "france")).select("n_nationkey", "n_name"), "SELECT n_nationkey, n_name FROM nation WHERE lower(n_name) IN ('china', 'france')")
 
 
 # -- sites: references by part that resolvers rewrite, with ambiguous ones and ones out of reach ------
@@ -250,6 +308,13 @@ add_plain("registry", _registry, f"""SELECT * FROM (SELECT min(seq) AS seq, path
   FROM ({_KNOWN.format(region="region")} UNION ALL {_ENTRIES.format(supplier="supplier")}) x GROUP BY path) y WHERE path <> '/r/7' AND alias IS DISTINCT FROM 'africa'""")
 
 
+_CHOSEN = ("s12", "africa", "7", "31", "none")
+_choose = lambda s, d: history.select_repos(_registry(s, d), list(_CHOSEN))
+_REG = lambda: ORACLES["registry"]
+add_plain("select_repos", lambda s, d: _choose(s, d).select("name", "state", "path"), f"""WITH R AS MATERIALIZED ({_flat(_REG())}), W AS (SELECT unnest({list(_CHOSEN)}) AS name), M AS (SELECT name, path, 0 AS way FROM W JOIN R ON alias = name UNION ALL SELECT name, path, 1 FROM W JOIN R ON regexp_extract(path, '[^/]*$') = name),
+  B AS (SELECT * FROM (SELECT *, min(way) OVER (PARTITION BY name) AS first_way FROM M) x WHERE way = first_way) SELECT W.name, CASE WHEN n IS NULL THEN 'unknown' WHEN n > 1 THEN 'ambiguous' ELSE 'selected' END AS state, path FROM W LEFT JOIN (SELECT *, count(*) OVER (PARTITION BY name) AS n FROM B) b ON b.name = W.name""")
+
+
 def _logged(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/lattica/savings-{uuid.uuid4().hex}"
     o = _table(spark, sf_dir, "orders").select(F.concat(F.lit("/r/"), F.col("o_custkey") % 9).alias("repo"), F.lit("measure").alias("kind"), F.col("o_orderpriority").alias("tool"), F.lit(500).alias("baseline_tokens"), (F.col("o_orderkey") % 500).alias("returned_tokens"))

@@ -36,13 +36,16 @@ def _resolve_end(g: Graph, kind: str, end: str, kinds: tuple[str, ...]) -> DataF
     bare = e.filter((F.col("kind") == kind) & ~F.col(end).contains("::") & (F.col(end) != "")).select("_e", "file_path", F.col(end).alias("name")).distinct()
     nodes = g.nodes.filter(F.col("kind").isin(*kinds)).select("name", "qualified_name", F.col("file_path").alias("other"))
     near = bare.join(imported_files(g), "file_path").join(nodes, ["name", "other"])
-    found = near.groupBy("_e").agg(F.collect_set("qualified_name").alias("_c"))
-    sure = found.withColumn("_n", F.size("_c"))
-    out = e.join(sure, "_e", "left")
-    new = F.when(F.col("_n") == 1, F.element_at("_c", 1)).otherwise(F.col(end))
-    several = F.when(F.col("_n") > 1, F.slice(F.array_sort("_c"), 1, LISTED))
+    found = near.select("_e", "qualified_name").distinct()
+    counts = found.groupBy("_e").agg(F.count(F.lit(1)).alias("_n"), F.min("qualified_name").alias("_q"))
+    # the first few of each edge, cut in every task before they meet
+    first = found.withColumn("_p", F.row_number().over(W.partitionBy("_e").orderBy("qualified_name"))).filter(F.col("_p") <= LISTED)
+    listed = first.groupBy("_e").agg(F.array_sort(F.collect_list("qualified_name")).alias("_c"))
+    out = e.join(counts.join(listed, "_e"), "_e", "left")
+    new = F.when(F.col("_n") == 1, F.col("_q")).otherwise(F.col(end))
+    several = F.when(F.col("_n") > 1, F.col("_c"))
     state = F.when(F.col("_n") == 1, "resolved").when(F.col("_n") > 1, "ambiguous").when((F.col("kind") == kind) & ~F.col(end).contains("::"), "unresolved")
-    return out.withColumn("resolution", state).withColumn("candidates", several).withColumn(end, new).drop("_e", "_c", "_n")
+    return out.withColumn("resolution", state).withColumn("candidates", several).withColumn(end, new).drop("_e", "_c", "_n", "_q")
 
 
 def resolve_bare_calls(g: Graph) -> DataFrame:

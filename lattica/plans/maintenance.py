@@ -233,7 +233,7 @@ def forget(
         left = edges.join(replaced, "file_path", "left_anti")
         for end in ("source_qualified", "target_qualified"):
             gone = lost.select(F.col("qualified_name").alias(end), F.lit(True).alias("_gone"))
-            bare = X.last_segment(X.last_segment(F.col(end)), ".")
+            bare = F.when(F.col(end).contains("::"), X.last_segment(X.last_segment(F.col(end)), ".")).otherwise(F.col(end))  # a file's path stays what it is
             left = left.join(gone, end, "left").withColumn(end, F.when(F.col("_gone"), bare).otherwise(F.col(end))).drop("_gone")
         after = Graph(nodes.join(replaced, "file_path", "left_anti").select(*nodes.columns).unionByName(new.nodes, allowMissingColumns=True), left.select(*edges.columns).unionByName(new.edges, allowMissingColumns=True))
         done = keep(resolved(after, passes), "edges")

@@ -64,20 +64,41 @@ def test_gaps(g: Graph, nodes: DataFrame) -> DataFrame:
     return own.join(tested, "qualified_name", "left_anti").select("qualified_name", "name", "file_path", "line_start", "line_end")
 
 
-def changed_nodes(g: Graph, spans: DataFrame, limit: int = 500) -> DataFrame:
+def changed_nodes(g: Graph, spans: DataFrame) -> DataFrame:
+    """Functions, tests and classes, hardware declarations apart, that overlap a changed range."""
     hit = ranges.range_join(g, spans).filter(F.col("kind").isin("Function", "Test", "Class"))
     plain = g.nodes.filter(~X.is_hdl(F.col("extra"))).select("qualified_name")
-    return hit.join(plain, "qualified_name", "left_semi").orderBy("file_path", "line_start", "qualified_name").limit(limit)
+    return hit.join(plain, "qualified_name", "left_semi")
 
 
-def analyze_changes(g: Graph, spans: DataFrame, limit: int = 500) -> DataFrame:
-    """Changed nodes with their risk, whether they lack tests, and their place among the ten to review first."""
-    n = changed_nodes(g, spans, limit)
+def analyze_changes(g: Graph, spans: DataFrame, limit: int | None = None) -> DataFrame:
+    """Changed nodes with their risk, whether they lack tests, and their place among the ten to review first.
+
+    All of them; with a ``limit`` the first by file, line and name, and then
+    ``total`` and ``truncated`` tell what there is beside them.
+    """
+    n = changed_nodes(g, spans)
+    if limit is not None:
+        n = ranking.bounded(n, ["file_path", "line_start", "qualified_name"], limit, limit)
+    n = settle(n)
+    told = [c for c in ("total", "truncated") if c in n.columns]
     risk = risk_score(g, n)
     gaps = test_gaps(g, n).select("qualified_name", F.lit(True).alias("test_gap"))
-    out = n.select("qualified_name", "kind", "file_path").join(risk, "qualified_name").join(gaps, "qualified_name", "left").withColumn("test_gap", F.coalesce("test_gap", F.lit(False)))
-    place = F.row_number().over(W.orderBy(F.desc("risk_score"), "qualified_name"))
-    return out.withColumn("_p", place).withColumn("priority", F.when(F.col("_p") <= 10, F.col("_p"))).drop("_p")
+    out = settle(n.select("qualified_name", "kind", "file_path", *told).join(risk, "qualified_name").join(gaps, "qualified_name", "left").withColumn("test_gap", F.coalesce("test_gap", F.lit(False))))
+    first = ranking.ranked(out.orderBy(F.desc("risk_score"), "qualified_name").limit(10), [F.desc("risk_score"), "qualified_name"], "qualified_name").select(F.col("item").alias("qualified_name"), (F.col("rank") + 1).alias("priority"))
+    return out.join(F.broadcast(first), "qualified_name", "left")  # ten rows
+
+
+def change_summary(g: Graph, spans: DataFrame, limit: int | None = None) -> DataFrame:
+    """One row on a change: overall risk (the highest of a node, 0 without any), how many nodes, gaps and flows it has, and whether some were left out."""
+    rows = analyze_changes(g, spans, limit)
+    total = F.max("total") if "total" in rows.columns else F.count(F.lit(1))
+    cut = F.max("truncated") if "truncated" in rows.columns else F.lit(False)
+    row = rows.agg(F.coalesce(F.max("risk_score"), F.lit(0.0)).alias("overall_risk"), F.count(F.lit(1)).alias("changed"), F.coalesce(total, F.lit(0)).cast("long").alias("total"), F.coalesce(cut, F.lit(False)).alias("functions_truncated"), F.coalesce(F.sum(F.col("test_gap").cast("long")), F.lit(0)).cast("long").alias("test_gaps"))
+    if g.flows is None:
+        return row.withColumn("affected_flows", F.lit(0).cast("long"))
+    hit = flow_plans.affected_flows(g, ranges.range_join(g, spans).select("file_path").distinct())
+    return row.crossJoin(hit.agg(F.count(F.lit(1)).alias("affected_flows")))  # one row with one row
 
 
 def risk_band(score: Column) -> Column:
@@ -187,6 +208,13 @@ def suggest_moves(g: Graph) -> DataFrame:
     return one.join(own, "qualified_name").filter(F.col("community_id") != F.col("move_to")).select("qualified_name", "community_id", "move_to", "callers")
 
 
+def suggest_refactor(g: Graph) -> DataFrame:
+    """(action, qualified_name, to_community): moves of functions to the one community that calls them, removals of dead code."""
+    moves = suggest_moves(g).select(F.lit("move").alias("action"), "qualified_name", F.col("move_to").alias("to_community"))
+    gone = dead_code(g).select(F.lit("remove").alias("action"), "qualified_name", F.lit(None).cast("long").alias("to_community"))
+    return moves.unionByName(gone)
+
+
 def rename_preview(g: Graph, old: str) -> DataFrame:
     """(what, file_path, line) of the sites that a rename touches; call and import sites of one line once."""
     found = g.nodes.filter(F.col("name") == old)

@@ -98,6 +98,26 @@ def find(registry: DataFrame, alias: str | None = None, path: str | None = None)
     return registry.filter(asked).orderBy("seq").limit(1)
 
 
+def select_repos(registry: DataFrame, names: list[str]) -> DataFrame:
+    """(name, state, seq, path): the registry entries each name stands for.
+
+    A name is an alias first, and only if no entry has that alias the folder a
+    path ends in.  One that several entries answer to takes them all and is
+    "ambiguous", one that none does is "unknown" with no path; a name given
+    twice counts once.  ``seq`` keeps the registry's order.
+    """
+    asked = registry.sparkSession.createDataFrame([(n,) for n in sorted(set(names))], "name string")
+    entries = registry.withColumn("folder", F.regexp_extract(F.regexp_replace("path", "/+$", ""), "[^/]*$", 0))
+    either = F.explode(F.array(F.struct(F.lit(0).alias("by"), F.col("alias").alias("name")), F.struct(F.lit(1).alias("by"), F.col("folder").alias("name"))))
+    named = entries.select("seq", "path", either.alias("k")).select("seq", "path", "k.by", "k.name").filter("name <> ''")
+    hits = asked.join(named, "name", "left")
+    told = hits.groupBy("name").agg(F.min("by").alias("_by"))
+    best = hits.join(told, "name").filter(F.col("by").eqNullSafe(F.col("_by")))
+    counts = best.groupBy("name").agg(F.count("path").alias("_n"))
+    state = F.when(F.col("_n") == 0, "unknown").when(F.col("_n") > 1, "ambiguous").otherwise("selected")
+    return best.join(counts, "name").select("name", state.alias("state"), "seq", "path")
+
+
 def log_savings(entries: DataFrame, *paths: str) -> DataFrame:
     """Append entries (repo, kind, tool, baseline_tokens, returned_tokens, saved_tokens, saved_percent) to logs of JSON lines,
     stamped with the time of writing; what was written is returned."""
