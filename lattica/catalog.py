@@ -218,7 +218,7 @@ add("flow_memberships_count", lambda g: flows.flow_counts(flows.flow_tables(g)).
 add("flow_snapshots", lambda g: flows.flow_snapshots(flows.flow_tables(g)))
 add("get_flow", lambda g: flows.get_flow(flows.flow_tables(g), "part_"))
 add("incremental_flows", lambda g: flows.incremental_flows(flows.flow_tables(g), _files(g, A)).flows.select("entry", "node_count", "file_count", "depth"), "SELECT entry, node_count, file_count, depth FROM critic", _CRIT, True)
-add("bridge_nodes", centrality.bridge_nodes)
+add("bridge_nodes", lambda g: centrality.bridge_nodes(g, sources=100))
 add("communities_by_dir", communities.by_directory, "SELECT qualified_name, community FROM (SELECT *, count(*) OVER (PARTITION BY community) n FROM (SELECT qualified_name, regexp_extract(file_path, '^/(.*)/[^/]*$', 1) AS community FROM N WHERE kind <> 'File') x) y WHERE n >= 2")
 add("communities_modularity", communities.by_modularity)
 add("split_oversized", lambda g: communities.split_oversized(g, communities.by_directory(g)))

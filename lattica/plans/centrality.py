@@ -1,83 +1,68 @@
-"""Betweenness of nodes by Brandes' accumulation, one source at a time in Arrow tasks."""
+"""Betweenness of nodes by Brandes' accumulation as rounds of joins: forward by level, backward by level."""
 
 from __future__ import annotations
 
-from collections import deque
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.graph import Graph
-
-#: Above this many nodes, betweenness is estimated from sampled sources.
-EXACT_NODES = 5000
-SAMPLED_SOURCES = 500
-#: Edges that one task may hold; a larger graph is refused, not cut.
-MOST_EDGES = 20_000_000
+from lattica.plans.materialise import discard, keep
 
 
-def _accumulate(adjacency: list[list[int]], s: int, out: dict[int, float]) -> None:
-    n_paths, dist, parents, order = {s: 1.0}, {s: 0}, {s: []}, []
-    queue = deque([s])
-    while queue:
-        v = queue.popleft()
-        order.append(v)
-        for w in adjacency[v]:
-            if w not in dist:
-                dist[w], n_paths[w], parents[w] = dist[v] + 1, 0.0, []
-                queue.append(w)
-            if dist[w] == dist[v] + 1:
-                n_paths[w] += n_paths[v]
-                parents[w].append(v)
-    share = dict.fromkeys(order, 0.0)
-    for w in reversed(order):
-        for v in parents[w]:
-            share[v] += n_paths[v] / n_paths[w] * (1 + share[w])
-        if w != s:
-            out[w] = out.get(w, 0.0) + share[w]
+def shortest_paths(steps: DataFrame, sources: DataFrame) -> list[DataFrame]:
+    """For each level its stored rows (s, v, paths): nodes at that distance from s, and how many shortest paths lead there."""
+    front = keep(sources.select(F.col("node").alias("s"), F.col("node").alias("v"), F.lit(1.0).alias("paths")), "level")
+    levels = [front]
+    while True:
+        found = front.join(steps, F.col("v") == F.col("src")).groupBy("s", F.col("dst").alias("v")).agg(F.sum("paths").alias("paths"))
+        seen = levels[0].select("s", "v")
+        for level in levels[1:]:
+            seen = seen.union(level.select("s", "v"))
+        front = keep(found.join(seen, ["s", "v"], "left_anti"), "level")
+        if front.isEmpty():
+            discard(front)
+            return levels
+        levels.append(front)
 
 
-def bridge_nodes(g: Graph, top: int = 10, seed: int = 42) -> DataFrame:
-    """Nodes by normalised betweenness on the merged directed graph, names without a node included on paths.
+def betweenness(steps: DataFrame, sources: DataFrame) -> DataFrame:
+    """(node, share): over the sources, the summed share of shortest paths from each that pass through a node.
 
-    Up to EXACT_NODES nodes every node is a source; beyond, SAMPLED_SOURCES
-    chosen by hash.  The adjacency goes to every task as one broadcast whose
-    edges are counted first.
+    ``steps`` is (src, dst), ``sources`` (node).  A row is a source and a node
+    it reaches; no task holds an adjacency, and a level is written once.
+    Backward, the nodes of a level hand (1 + share) / paths to those before
+    them that a step leads from.
     """
-    spark = g.edges.sparkSession
-    pairs = g.edges.select("source_qualified", "target_qualified").distinct()
-    count = pairs.count()
-    if count > MOST_EDGES:
-        raise ValueError(f"{count} edges; betweenness holds at most {MOST_EDGES} in a task")
-    rows = pairs.collect()
-    names = sorted({x for r in rows for x in r})
-    at = {n: i for i, n in enumerate(names)}
-    adjacency: list[list[int]] = [[] for _ in names]
-    for a, b in rows:
-        if a != b:
-            adjacency[at[a]].append(at[b])
-    for a in adjacency:
-        a.sort()
-    n = len(names)
-    shared = spark.sparkContext.broadcast(adjacency)
-    sources = spark.createDataFrame(pa.table({"s": pa.array(range(n), pa.int64())}))
-    if n > EXACT_NODES:
-        sources = sources.orderBy(F.xxhash64("s", F.lit(seed)), "s").limit(SAMPLED_SOURCES)
-    used = min(n, SAMPLED_SOURCES) if n > EXACT_NODES else n
+    steps = keep(steps.select("src", "dst").filter("src <> dst").distinct(), "steps")
+    levels = shortest_paths(steps, sources.select("node").distinct())
+    out, last = None, None
+    for level in reversed(range(1, len(levels))):
+        here = levels[level] if last is None else levels[level].join(last, ["s", "v"], "left")
+        share = F.lit(0.0) if last is None else F.coalesce("got", F.lit(0.0)) * F.col("paths")
+        here = keep(here.select("s", "v", ((F.lit(1.0) + share) / F.col("paths")).alias("each"), share.alias("share")), "shares")
+        rows = here.filter("share > 0").groupBy(F.col("v").alias("node")).agg(F.sum("share").alias("share"))
+        out = rows if out is None else out.union(rows)
+        last = here.join(steps, F.col("v") == F.col("dst")).groupBy("s", F.col("src").alias("v")).agg(F.sum("each").alias("got"))
+    for level in levels:
+        discard(level)
+    if out is None:
+        return sources.select("node", F.lit(0.0).alias("share")).limit(0)
+    return out.groupBy("node").agg(F.sum("share").alias("share"))
 
-    def run(batches):
-        out: dict[int, float] = {}
-        for b in batches:
-            for s in b.column("s").to_pylist():
-                _accumulate(shared.value, s, out)
-        if out:
-            keys = sorted(out)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([out[k] for k in keys])], names=["i", "share"])
 
-    sums = sources.repartition(32, "s").mapInArrow(run, "i long, share double").groupBy("i").agg(F.sum("share").alias("share"))
+def bridge_nodes(g: Graph, top: int = 10, sources: int | None = None, seed: int = 42) -> DataFrame:
+    """Nodes by normalised betweenness on the merged directed graph, names without a node included on paths.
+
+    Every name is a source; with ``sources`` so many, by least hash, stand for
+    all and the shares are scaled up.  Values are rounded to twelve digits
+    before they order, so that the order of addition decides nothing.
+    """
+    steps = g.edges.select(F.col("source_qualified").alias("src"), F.col("target_qualified").alias("dst"))
+    every = keep(steps.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "names")
+    n = every.count()
+    picked = every if sources is None or sources >= n else every.orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(sources)
+    used = n if sources is None else min(n, sources)
     scale = (n / used if used else 0.0) / ((n - 1) * (n - 2)) if n > 2 else 0.0
-    named = spark.createDataFrame(pa.table({"i": pa.array(range(n), pa.int64()), "qualified_name": pa.array(names, pa.string())}))
-    scored = sums.join(named, "i").select("qualified_name", (F.col("share") * scale).alias("betweenness"))
+    scored = betweenness(steps, picked).select(F.col("node").alias("qualified_name"), F.round(F.col("share") * scale, 12).alias("betweenness"))
     nodes = g.nodes.filter(F.col("kind") != "File").select("qualified_name", "kind", "file_path")
     return scored.filter("betweenness > 0").join(nodes, "qualified_name").orderBy(F.desc("betweenness"), "qualified_name").limit(top)
