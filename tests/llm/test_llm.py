@@ -427,7 +427,7 @@ def test_pipeline_stages_filter_and_keep(spark, sf_dir):
 
 
 def test_registered_queries():
-    assert {q.split("_")[0] for q in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {q.split("_")[0] for q in QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(ORACLES) <= set(QUERIES)
 
 
