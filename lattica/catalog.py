@@ -52,6 +52,18 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
     return derived.stored_graph(spark, sf_dir)
 
 
+#: Where this application has flows of a stored graph, with and without positions.
+_TRACED: dict[tuple, Graph] = {}
+
+
+def traced(g: Graph, positions: bool = False) -> Graph:
+    """The graph with its flows, traced once an application and graph."""
+    key = (g.nodes.sparkSession.sparkContext.applicationId, min(g.nodes.inputFiles(), default=""), positions)
+    if key not in _TRACED:
+        _TRACED[key] = flows.flow_tables(g, positions=positions)
+    return g.with_(flows=_TRACED[key].flows, memberships=_TRACED[key].memberships)
+
+
 def _files(g: Graph, *paths: str) -> DataFrame:
     return g.nodes.sparkSession.createDataFrame([(p,) for p in paths], "file_path string")
 
@@ -208,16 +220,16 @@ _ENTRY = f"""ep AS MATERIALIZED (SELECT qualified_name FROM N WHERE kind IN ('Fu
 add("entry_points", lambda g: flows.entry_points(g).select("qualified_name"), "SELECT qualified_name FROM ep", _ENTRY)
 _TRACE = _ENTRY + f""", cs AS MATERIALIZED (SELECT DISTINCT source_qualified src, target_qualified dst FROM E WHERE kind = 'CALLS' AND target_qualified IN (SELECT qualified_name FROM N)), tr(entry, qualified_name, hop) AS (SELECT qualified_name, qualified_name, 0 FROM ep UNION SELECT entry, dst, hop + 1 FROM tr JOIN cs ON tr.qualified_name = src WHERE hop < {schemas.MAX_FLOW_DEPTH}),
   fl AS MATERIALIZED (SELECT entry, qualified_name, min(hop) AS hop FROM tr GROUP BY 1, 2), flow AS MATERIALIZED (SELECT * FROM fl WHERE entry IN (SELECT entry FROM fl GROUP BY 1 HAVING count(*) > 1))"""
-add("trace_flows", lambda g: flows.trace(g, flows.entry_points(g)).select("entry", "qualified_name", "hop"), "SELECT * FROM flow", _TRACE, True)
+add("trace_flows", lambda g: flows.reach(g, flows.entry_points(g)).flows(), "SELECT * FROM flow", _TRACE, True)
 _CRIT = _TRACE + f""", cr AS (SELECT entry, count(*) AS node_count, count(DISTINCT file_path) AS file_count, max(hop) AS depth, sum(ext) ext, sum(sec) sec, sum(tested) tested FROM (SELECT flow.entry, hop, N.file_path, coalesce(x.n, 0) ext, CASE WHEN {_SEC} THEN 1 ELSE 0 END sec, CASE WHEN t.q IS NULL THEN 0 ELSE 1 END tested FROM flow JOIN N USING (qualified_name) LEFT JOIN (SELECT source_qualified q, count(*) n FROM E WHERE kind = 'CALLS' AND target_qualified NOT IN (SELECT qualified_name FROM N) GROUP BY 1) x ON x.q = qualified_name LEFT JOIN (SELECT DISTINCT source_qualified q FROM E WHERE kind = 'TESTED_BY') t ON t.q = qualified_name) y GROUP BY 1),
   critic AS MATERIALIZED (SELECT entry, node_count, file_count, depth, least(greatest(least((file_count - 1) / 4e0, 1e0) * 0.30e0 + least(ext / 5e0, 1e0) * 0.20e0 + least(sec / node_count, 1e0) * 0.25e0 + (1e0 - tested / node_count) * 0.15e0 + least(depth / 10e0, 1e0) * 0.10e0, 0e0), 1e0) AS criticality FROM cr)"""
-add("flow_criticality", lambda g: flows.criticality(g, flows.trace(g, flows.entry_points(g))).withColumn("criticality", F.round("criticality", 9)), "SELECT entry, node_count, file_count, depth, round(criticality, 9) AS criticality FROM critic", _CRIT, True)
-add("affected_flows", lambda g: flows.affected_flows(flows.flow_tables(g), _files(g, A)).select("entry", "node_count"), f"SELECT entry, node_count FROM critic WHERE entry IN (SELECT entry FROM flow JOIN N USING (qualified_name) WHERE file_path = '{A}')", _CRIT, True)
-add("list_flows", lambda g: flows.list_flows(flows.flow_tables(g), "node_count", 20).select("entry", "node_count"), "SELECT entry, node_count FROM critic ORDER BY node_count DESC, entry LIMIT 20", _CRIT, True)
-add("flow_memberships_count", lambda g: flows.flow_counts(flows.flow_tables(g)).select("qualified_name", "flows"), "SELECT qualified_name, count(*) AS flows FROM flow GROUP BY 1", _CRIT, True)
-add("flow_snapshots", lambda g: flows.flow_snapshots(flows.flow_tables(g)))
-add("get_flow", lambda g: flows.get_flow(flows.flow_tables(g), "part_"))
-add("incremental_flows", lambda g: flows.incremental_flows(flows.flow_tables(g), _files(g, A)).flows.select("entry", "node_count", "file_count", "depth"), "SELECT entry, node_count, file_count, depth FROM critic", _CRIT, True)
+add("flow_criticality", lambda g: flows.criticality(g, flows.reach(g, flows.entry_points(g))).withColumn("criticality", F.round("criticality", 9)), "SELECT entry, node_count, file_count, depth, round(criticality, 9) AS criticality FROM critic", _CRIT, True)
+add("affected_flows", lambda g: flows.affected_flows(traced(g), _files(g, A)).select("entry", "node_count"), f"SELECT entry, node_count FROM critic WHERE entry IN (SELECT entry FROM flow JOIN N USING (qualified_name) WHERE file_path = '{A}')", _CRIT, True)
+add("list_flows", lambda g: flows.list_flows(traced(g), "node_count", 20).select("entry", "node_count"), "SELECT entry, node_count FROM critic ORDER BY node_count DESC, entry LIMIT 20", _CRIT, True)
+add("flow_memberships_count", lambda g: flows.flow_counts(traced(g)).select("qualified_name", "flows"), "SELECT qualified_name, count(*) AS flows FROM flow GROUP BY 1", _CRIT, True)
+add("flow_snapshots", lambda g: flows.flow_snapshots(traced(g, True)))
+add("get_flow", lambda g: flows.get_flow(traced(g, True), "part_"))
+add("incremental_flows", lambda g: flows.incremental_flows(traced(g), _files(g, A)).flows.select("entry", "node_count", "file_count", "depth"), "SELECT entry, node_count, file_count, depth FROM critic", _CRIT, True)
 add("bridge_nodes", lambda g: centrality.bridge_nodes(g, sources=100))
 add("communities_by_dir", communities.by_directory, "SELECT qualified_name, community FROM (SELECT *, count(*) OVER (PARTITION BY community) n FROM (SELECT qualified_name, regexp_extract(file_path, '^/(.*)/[^/]*$', 1) AS community FROM N WHERE kind <> 'File') x) y WHERE n >= 2")
 add("communities_modularity", communities.by_modularity)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from lattica.catalog import _HIT, _RISKS, _SP, ORACLES, QUERIES, A, B, _calls_with, _files, _flat, _spans_of, _table, add, add_plain
+from lattica.catalog import _CRIT, _HIT, _RISKS, _SP, ORACLES, QUERIES, A, B, _calls_with, _files, _flat, _spans_of, _table, add, add_plain, traced
 from lattica.functions import text as X
 from lattica.graph import Graph
 from lattica.operators import aggregates, lookups, patterns, ranges, ranking, resolve, search
@@ -99,10 +99,11 @@ add("token_budget_prefix", lambda g: ranking.token_budget_prefix(g.nodes.select(
 add("community_ids_for", lambda g: g.nodes.filter(F.col("file_path") == A).select("qualified_name").join(g.communities, "qualified_name"), f"SELECT qualified_name, community_id FROM C JOIN N USING (qualified_name) WHERE file_path = '{A}'")
 add("get_community", lambda g: g.communities.filter("community_id = 3").join(g.nodes.select("qualified_name", "kind"), "qualified_name"), "SELECT qualified_name, community_id, kind FROM C JOIN N USING (qualified_name) WHERE community_id = 3")
 add("knowledge_gaps", lambda g: aggregates.isolated_nodes(g).select(F.lit("isolated").alias("gap"), F.col("qualified_name").alias("subject")).union(aggregates.thin_communities(g).select(F.lit("thin"), F.col("community_id").cast("string"))).union(aggregates.untested_hotspots(g).select(F.lit("hotspot"), "qualified_name")).union(aggregates.single_file_communities(g).select(F.lit("single_file"), F.col("community_id").cast("string"))))
-add("flow_qns", lambda g: (lambda h: h.memberships.join(h.flows.orderBy("entry").limit(1).select("flow_id"), "flow_id", "left_semi").select("qualified_name").distinct())(flows.flow_tables(g)))
-add("flow_position", lambda g: flows.flow_tables(g).memberships.select("entry", "qualified_name", "position"))
-add("flow_criticalities", lambda g: flows.flow_counts(flows.flow_tables(g)))
-add("store_flows", lambda g: flows.flow_tables(g).flows.select("entry", "node_count", "file_count", "depth"))
+add("flow_qns", lambda g: (lambda h: h.memberships.join(h.flows.orderBy("entry").limit(1).select("flow_id"), "flow_id", "left_semi").select("qualified_name").distinct())(traced(g)), "SELECT DISTINCT qualified_name FROM flow WHERE entry = (SELECT min(entry) FROM critic)", _CRIT, True)
+add("flow_position", lambda g: traced(g, True).memberships.select("entry", "qualified_name", "position"))
+add("flow_order", lambda g: traced(g, True).memberships.groupBy("entry").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("position").alias("places"), F.max("position").alias("last")), "SELECT entry, count(*) AS n, count(*) AS places, count(*) - 1 AS last FROM flow GROUP BY 1", _CRIT, True)
+add("flow_criticalities", lambda g: flows.flow_counts(traced(g)).withColumn("criticality", F.round("criticality", 6)), "SELECT qualified_name, count(*) AS flows, round(sum(criticality), 6) AS criticality FROM flow JOIN critic USING (entry) GROUP BY 1", _CRIT, True)
+add("store_flows", lambda g: _snapshot(traced(g)).flows.select("entry", "node_count", "file_count", "depth"), "SELECT entry, node_count, file_count, depth FROM critic", _CRIT, True)
 add("store_communities", lambda g: _snapshot(g).communities.select("qualified_name", "community_id"), "SELECT qualified_name, community_id FROM C")
 add("pr_risk_band", lambda g: aggregates.risk_index(g).select("qualified_name", review.risk_band(F.col("risk_score")).alias("band")).groupBy("band").agg(F.count(F.lit(1)).alias("n")))
 add("review_context", lambda g: review.review_context(g, _files(g, A)).select("part", "subject"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -10,7 +12,7 @@ from lattica import schemas
 from lattica.functions import text as X
 from lattica.graph import Graph
 from lattica.operators import patterns
-from lattica.plans.materialise import settle
+from lattica.plans.materialise import discard, keep
 
 
 def entry_points(g: Graph, include_tests: bool = False) -> DataFrame:
@@ -30,38 +32,92 @@ def _call_steps(g: Graph) -> DataFrame:
     return g.edges.filter(F.col("kind") == "CALLS").join(known, "target_qualified", "left_semi").select(F.col("source_qualified").alias("src"), F.col("target_qualified").alias("dst")).distinct()
 
 
-def trace(g: Graph, entries: DataFrame, depth: int = schemas.MAX_FLOW_DEPTH) -> DataFrame:
-    """(entry, qualified_name, hop, position) of flows of two nodes or more.
+def _set_bits() -> Column:
+    return F.expr("filter(sequence(0, 63), i -> (shiftright(bits, i) & 1L) = 1L)")
+
 
-    Breadth first from every entry at once, as rows of (entry, node): a node
-    comes by its least number of calls.  Positions follow hop, the caller's
-    position, and the name.
+@dataclass(frozen=True)
+class Reach:
+    """What entries reach, 64 of them to a row.
+
+    ``entries`` is (entry, word, bit); ``rows`` is (qualified_name, word, bits,
+    hop): the entries of that word that first come to the node with that many
+    calls.  A node that all entries reach is a row per word, not one per entry.
     """
-    steps = settle(_call_steps(g))
-    start = entries.select(F.col("qualified_name").alias("entry")).distinct()
-    seen = settle(start.select("entry", F.col("entry").alias("qualified_name"), F.lit(0).alias("hop"), F.lit(0).cast("long").alias("position")))
-    front = seen
+
+    entries: DataFrame
+    rows: DataFrame
+
+    def flows(self) -> DataFrame:
+        """(entry, qualified_name, hop) of entries that reach another node."""
+        more = self.rows.filter("hop > 0").groupBy("word").agg(F.bit_or("bits").alias("_more"))
+        rows = self.rows.join(more, "word").withColumn("bits", F.col("bits").bitwiseAND(F.col("_more"))).filter("bits <> 0")
+        return rows.withColumn("bit", F.explode(_set_bits())).join(self.entries, ["word", "bit"]).select("entry", "qualified_name", "hop")
+
+
+def reach(g: Graph, entries: DataFrame, depth: int = schemas.MAX_FLOW_DEPTH) -> Reach:
+    """Breadth first from all entries at once: a hop joins the nodes just reached with their calls and ors the bits that meet.
+
+    Bits that a node already has are masked out, so a hop carries and writes
+    what is new only; the numbers of entries come from their stored partitions.
+    """
+    steps = keep(_call_steps(g), "steps")
+    start = keep(entries.select(F.col("qualified_name").alias("entry")).distinct(), "entries")
+    numbered = keep(start.withColumn("_id", F.monotonically_increasing_id()).selectExpr("entry", "_id div 64 AS word", "cast(_id % 64 AS int) AS bit"), "entries")
+    front = keep(numbered.groupBy(F.col("entry").alias("qualified_name"), "word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")), "hop")
+    seen, rows = front, front.withColumn("hop", F.lit(0))
     for hop in range(1, depth + 1):
-        found = front.join(steps, F.col("qualified_name") == F.col("src")).groupBy("entry", F.col("dst").alias("qualified_name")).agg(F.min("position").alias("_from"))
-        fresh = found.join(seen.select("entry", "qualified_name"), ["entry", "qualified_name"], "left_anti")
-        reached = seen.groupBy("entry").agg(F.count(F.lit(1)).alias("_n"))
-        order = W.partitionBy("entry").orderBy("_from", "qualified_name")
-        front = settle(fresh.join(reached, "entry").select("entry", "qualified_name", F.lit(hop).alias("hop"), (F.col("_n") + F.row_number().over(order) - 1).alias("position")))
+        found = front.join(steps, F.col("qualified_name") == F.col("src")).groupBy(F.col("dst").alias("qualified_name"), "word").agg(F.bit_or("bits").alias("bits"))
+        old = seen.withColumnRenamed("bits", "_old")
+        new = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("_old", F.lit(0).cast("long"))))
+        front = keep(found.join(old, ["qualified_name", "word"], "left").select("qualified_name", "word", new.alias("bits")).filter("bits <> 0"), "hop")
         if front.isEmpty():
             break
-        seen = settle(seen.union(front))
-    sizes = seen.groupBy("entry").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("entry")
-    return seen.join(sizes, "entry", "left_semi")
+        rows = rows.union(front.withColumn("hop", F.lit(hop)))
+        last, seen = seen, keep(seen.union(front).groupBy("qualified_name", "word").agg(F.bit_or("bits").alias("bits")), "seen")
+        if hop > 1:
+            discard(last)
+    return Reach(numbered, rows)
+
+
+def placed(g: Graph, members: DataFrame) -> DataFrame:
+    """Flow members (entry, qualified_name, hop) with their position: by hop, then the least position of a caller, then name."""
+    steps = keep(_call_steps(g), "steps")
+    members = keep(members, "members")
+    sizes = members.groupBy("entry", "hop").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("entry").orderBy("hop").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = keep(sizes.select("entry", "hop", before.alias("_before")), "offsets")
+    front = keep(members.filter("hop = 0").withColumn("position", F.lit(0).cast("long")), "placed")
+    out = front
+    for hop in range(1, (members.agg(F.max("hop")).first()[0] or 0) + 1):
+        called = front.join(steps, F.col("qualified_name") == F.col("src")).groupBy("entry", F.col("dst").alias("qualified_name")).agg(F.min("position").alias("_from"))
+        here = members.filter(F.col("hop") == hop).join(called, ["entry", "qualified_name"]).join(offsets.filter(F.col("hop") == hop).drop("hop"), "entry")
+        order = W.partitionBy("entry").orderBy("_from", "qualified_name")
+        front = keep(here.select("entry", "qualified_name", "hop", (F.col("_before") + F.row_number().over(order) - 1).alias("position")), "placed")
+        out = out.union(front)
+    return out
+
+
+def trace(g: Graph, entries: DataFrame, depth: int = schemas.MAX_FLOW_DEPTH) -> DataFrame:
+    """(entry, qualified_name, hop, position) of flows of two nodes or more: a node comes by its least number of calls."""
+    return placed(g, reach(g, entries, depth).flows())
 
 
-def criticality(g: Graph, traced: DataFrame) -> DataFrame:
-    """(entry, node_count, file_count, depth, criticality) of every traced flow, the score unrounded."""
+def criticality(g: Graph, reached: Reach) -> DataFrame:
+    """(entry, node_count, file_count, depth, criticality) of every traced flow, the score unrounded.
+
+    Facts of nodes join the rows of 64 entries; single entries meet only sums.
+    """
     known = g.nodes.select(F.col("qualified_name").alias("target_qualified"), F.lit(True).alias("_known"))
     external = g.edges.filter(F.col("kind") == "CALLS").join(known, "target_qualified", "left").filter("_known is null").groupBy(F.col("source_qualified").alias("qualified_name")).agg(F.count(F.lit(1)).alias("_ext"))
     tested = g.edges.filter(F.col("kind") == "TESTED_BY").select(F.col("source_qualified").alias("qualified_name")).distinct().withColumn("_tested", F.lit(1))
     nodes = g.nodes.select("qualified_name", "file_path", X.is_security_name(F.col("name"), F.col("qualified_name")).cast("int").alias("_sec"))
-    rows = traced.join(nodes, "qualified_name").join(external, "qualified_name", "left").join(tested, "qualified_name", "left").na.fill(0, ["_ext", "_tested"])
-    f = rows.groupBy("entry").agg(F.count(F.lit(1)).alias("node_count"), F.countDistinct("file_path").alias("file_count"), F.max("hop").alias("depth"), F.sum("_ext").alias("_ext"), F.sum("_sec").alias("_sec"), F.sum("_tested").alias("_tested"))
+    rows = reached.rows.join(nodes, "qualified_name").join(external, "qualified_name", "left").join(tested, "qualified_name", "left").na.fill(0, ["_ext", "_tested"])
+    rows = keep(rows.select("word", "bits", "hop", "file_path", "_ext", "_sec", "_tested"), "facts")
+    facts = rows.groupBy("word", "bits", "hop").agg(F.count(F.lit(1)).alias("_n"), *(F.sum(c).alias(c) for c in ("_ext", "_sec", "_tested"))).withColumn("bit", F.explode(_set_bits()))
+    f = facts.groupBy("word", "bit").agg(F.sum("_n").alias("node_count"), F.max("hop").alias("depth"), *(F.sum(c).alias(c) for c in ("_ext", "_sec", "_tested")))
+    files = rows.groupBy("word", "file_path").agg(F.bit_or("bits").alias("bits")).withColumn("bit", F.explode(_set_bits())).groupBy("word", "bit").agg(F.count(F.lit(1)).alias("file_count"))
+    f = f.filter("node_count > 1").join(files, ["word", "bit"]).join(reached.entries, ["word", "bit"])
     one = F.lit(1.0)
     score = (
         F.least((F.col("file_count") - 1) / 4.0, one) * 0.30
@@ -73,11 +129,13 @@ def criticality(g: Graph, traced: DataFrame) -> DataFrame:
     return f.select("entry", "node_count", "file_count", "depth", F.least(F.greatest(score, F.lit(0.0)), one).alias("criticality"))
 
 
-def flow_tables(g: Graph, entries: DataFrame | None = None, depth: int = schemas.MAX_FLOW_DEPTH) -> Graph:
-    """The graph with ``flows`` (flow_id by entry name) and ``memberships``."""
-    traced = settle(trace(g, entry_points(g) if entries is None else entries, depth))
-    flows = criticality(g, traced).withColumn("flow_id", F.xxhash64("entry"))
-    return g.with_(flows=flows, memberships=traced.select(F.xxhash64("entry").alias("flow_id"), "entry", "qualified_name", "position"))
+def flow_tables(g: Graph, entries: DataFrame | None = None, depth: int = schemas.MAX_FLOW_DEPTH, positions: bool = True) -> Graph:
+    """The graph with ``flows`` (flow_id by entry name) and ``memberships``; positions, which need every entry's own order, only where asked."""
+    reached = reach(g, entry_points(g) if entries is None else entries, depth)
+    flows = keep(criticality(g, reached).withColumn("flow_id", F.xxhash64("entry")), "flows")
+    members = placed(g, reached.flows()) if positions else reached.flows().withColumn("position", F.lit(None).cast("long"))
+    kept = keep(members.select(F.xxhash64("entry").alias("flow_id"), "entry", "qualified_name", "position"), "memberships")
+    return g.with_(flows=flows, memberships=kept)
 
 
 def affected_flows(g: Graph, files: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattica.graph import Graph
-from lattica.plans import centrality, communities
+from lattica.plans import centrality, communities, flows
 
 NODE = "kind string, name string, qualified_name string, file_path string, line_start int, line_end int, language string, parent_name string, is_test boolean, extra string"
 EDGE = "kind string, source_qualified string, target_qualified string, file_path string, line int, extra string, confidence double"
@@ -135,3 +135,37 @@ def test_oversized_communities_fall_apart(spark):
     got = {r.qualified_name: (r.community, r.parent) for r in communities.split_oversized(g, one).collect()}
     assert got["/o.py::o1"] == ("small", None) and len(got) == 22
     assert all(p == "big" for q, (_, p) in got.items() if q in names) and len({c for q, (c, _) in got.items() if q in names}) > 1
+
+
+def plain_flows(edges, entries, depth):
+    adj = defaultdict(set)
+    for _, a, b in edges:
+        adj[a].add(b)
+    out = {}
+    for s in entries:
+        place, front = {s: (0, 0)}, [s]
+        for hop in range(1, depth + 1):
+            found = {}
+            for v in front:
+                for w in adj[v]:
+                    if w not in place:
+                        found[w] = min(found.get(w, 10**9), place[v][1])
+            front = sorted(found, key=lambda w: (found[w], w))
+            for w in front:
+                place[w] = (hop, len(place))
+        if len(place) > 1:
+            out |= {(s, w): p for w, p in place.items()}
+    return out
+
+
+@pytest.mark.parametrize("depth", [15, 2])
+def test_flows_of_many_entries_by_bits(spark, depth):
+    rng = random.Random(7)
+    names = [f"/m{i % 5}.py::f{i:03d}" for i in range(150)]
+    edges = [("CALLS", rng.choice(names), rng.choice(names)) for _ in range(220)]
+    g = graph(spark, names, edges)
+    entries = spark.createDataFrame([(x,) for x in names[:140]], "qualified_name string").repartition(3)
+    got = {(r.entry, r.qualified_name): (r.hop, r.position) for r in flows.trace(g, entries, depth).collect()}
+    assert got == plain_flows(edges, names[:140], depth)
+    sizes = Counter(e for e, _ in got)
+    assert {r.entry: r.node_count for r in flows.criticality(g, flows.reach(g, entries, depth)).collect()} == sizes
