@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +12,9 @@ from lattica import schemas
 from lattica.functions import text as X
 from lattica.graph import Graph
 from lattica.operators import aggregates, lookups, patterns, ranges, ranking, resolve, search
-from lattica.plans import centrality, communities, flows, impact, review, store
+from lattica.plans import centrality, communities, flows, impact, review, store, text_index
+from lattica.plans.ledger import GraphStore
+from lattica.plans.materialise import shared_dir
 from lattica.sources import derived
 from lattica.sources.derived import EDGES_SQL, NODES_SQL, plain_sql
 from lattica.streaming import watch
@@ -295,10 +298,45 @@ add("resolve_for_display", lambda g: resolve.resolve_for_display(_bared(g)).grou
 
 # -- search --------------------------------------------------------------------------------------
 add("keyword_search", lambda g: search.keyword_search(g, "supply token"), "SELECT qualified_name, CASE WHEN lower(name) = 'supply token' THEN 3e0 WHEN starts_with(lower(name), 'supply token') THEN 2e0 ELSE 1e0 END AS score FROM N WHERE (name ILIKE '%supply%' OR qualified_name ILIKE '%supply%') AND (name ILIKE '%token%' OR qualified_name ILIKE '%token%') ORDER BY 2 DESC, 1 LIMIT 50")
-add("search_nodes", lambda g: search.search_nodes(g, "asia supply").select("qualified_name"), "SELECT qualified_name FROM N WHERE qualified_name ILIKE '%asia%' AND qualified_name ILIKE '%supply%' ORDER BY 1 LIMIT 20")
-add("fts_index", search.node_index)
-add("fts_search", lambda g: search.phrase_search(search.node_index(g), "qualified_name", "supply token"))
-add("hybrid_search", lambda g: search.hybrid_search(g, "supply_token_1", kind="Function"))
+add("search_nodes", lambda g: search.search_nodes(g, "asia supply", postings=text_index.lookup(indexed(g), "asia supply")[0]).select("qualified_name"), "SELECT qualified_name FROM N WHERE qualified_name ILIKE '%asia%' AND qualified_name ILIKE '%supply%' ORDER BY 1 LIMIT 20")
+_STEMS = "CASE w WHEN 'supply' THEN 'suppli' WHEN 'tests' THEN 'test' WHEN 'europe' THEN 'europ' WHEN 'middle' THEN 'middl' ELSE w END"  # what these names hold that is no stem
+_POSTED = f"""raw AS MATERIALIZED (SELECT qualified_name, field, list_filter(string_split_regex(lower(v), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS ws FROM (SELECT qualified_name, unnest(['name', 'qualified_name', 'file_path']) AS field, unnest([name, qualified_name, file_path]) AS v FROM N) x),
+  posted AS MATERIALIZED (SELECT qualified_name, field, pos, {_STEMS} AS term FROM (SELECT qualified_name, field, unnest(ws) AS w, unnest(range(len(ws))) AS pos FROM raw) y)"""
+_BM25 = "phrase AS MATERIALIZED (SELECT a.qualified_name, count(*) AS tf FROM posted a JOIN posted b ON a.qualified_name = b.qualified_name AND a.field = b.field AND b.pos = a.pos + 1 WHERE a.term = 'suppli' AND b.term = 'token' GROUP BY 1), ln AS MATERIALIZED (SELECT qualified_name, count(*) AS n FROM posted GROUP BY 1), st AS MATERIALIZED (SELECT count(*) AS docs, avg(n) AS mean FROM ln), pf AS MATERIALIZED (SELECT count(*) AS df FROM phrase)"
+add("fts_index", lambda g: search.node_index(g), "SELECT qualified_name, field, cast(pos AS int) AS pos, term FROM posted", _POSTED)
+
+
+def indexed(g: Graph) -> GraphStore:
+    """A store of the graph's nodes with their index, built once an application and graph."""
+    key = (g.nodes.sparkSession.sparkContext.applicationId, min(g.nodes.inputFiles(), default=""))
+    if key not in _INDEXED:
+        kept = GraphStore(g.nodes.sparkSession, f"{shared_dir(g.nodes.sparkSession)}/lattica/index-{uuid.uuid4().hex}")
+        kept.write(Graph(g.nodes, g.edges.limit(0)))
+        text_index.build(kept)
+        _INDEXED[key] = kept
+    return _INDEXED[key]
+
+
+_INDEXED: dict[tuple, GraphStore] = {}
+add("fts_search", lambda g: text_index.fts_search(indexed(g), "supply tokens").withColumn("score", F.round("score", 9)),
+    "SELECT qualified_name, round(greatest(ln((docs - df + 0.5e0) / (df + 0.5e0)), 1e-6) * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * n / mean)), 9) AS score FROM phrase JOIN ln USING (qualified_name), st, pf ORDER BY 2 DESC, 1 LIMIT 50", _POSTED + ", " + _BM25)
+
+
+def _refreshed(g: Graph) -> DataFrame:
+    """Postings of an index after one file went and another was read again."""
+    kept = GraphStore(g.nodes.sparkSession, f"{shared_dir(g.nodes.sparkSession)}/lattica/index-{uuid.uuid4().hex}", 16)
+    kept.write(Graph(g.nodes, g.edges.limit(0)))
+    text_index.build(kept)
+    at = kept.state()
+    kept.commit(at, {"nodes": kept.replaced("nodes", at, _files(g, A), None)})
+    text_index.refresh(kept, _files(g, A, B))
+    return kept.table("postings").select("qualified_name", "field", "pos", "term", "len")
+
+
+add("fts_refresh", _refreshed, f"SELECT posted.qualified_name, field, cast(pos AS int) AS pos, term, n AS len FROM posted JOIN N USING (qualified_name) JOIN (SELECT qualified_name, count(*) AS n FROM posted GROUP BY 1) l ON l.qualified_name = posted.qualified_name WHERE file_path <> '{A}'", _POSTED)
+_letter = lambda c: (F.length(F.lower("name")) - F.length(F.replace(F.lower("name"), F.lit(c), F.lit("")))).cast("double")
+_letters = lambda g: g.nodes.select("qualified_name", F.array(*(_letter(c) for c in "abcdefghijklmnopqrstuvwxyz")).alias("embedding"))
+add("hybrid_search", lambda g: search.hybrid_search(g, "supply_token_1", _letters(g), [float("supply_token_1".count(c)) for c in "abcdefghijklmnopqrstuvwxyz"], kind="Function", index=text_index.lookup(indexed(g), "supply_token_1")))
 add("node_text", search.node_text)
 add("federated_rank", lambda g: ranking.federated_rank(g.nodes.filter("kind = 'Function'").select("qualified_name", F.when(F.col("language") == "java", 0).otherwise(1).alias("repo_index")), ["qualified_name"]).select("qualified_name", "repo_index", "local_rank"), "SELECT qualified_name, CASE WHEN language = 'java' THEN 0 ELSE 1 END AS repo_index, cast(row_number() OVER (PARTITION BY CASE WHEN language = 'java' THEN 0 ELSE 1 END ORDER BY qualified_name) AS int) AS local_rank FROM N WHERE kind = 'Function' ORDER BY 3, 2 LIMIT 100")
 add("rrf_merge", lambda g: ranking.rrf_merge([ranking.ranked(search.keyword_search(g, w), [F.desc("score"), "qualified_name"], "qualified_name") for w in ("part_1", "brand1")]).withColumn("score", F.round("score", 12)),
