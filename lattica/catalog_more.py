@@ -235,6 +235,15 @@ _inject = lambda kind: [
 SITE_EDGES = {
     "resolve_hcl": [_edge("REFERENCES", f"concat('/infra/v', {_K})", _HNAME, "concat('/infra/d', cast((p_partkey + CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE 0 END) % 40 as string), '/vars.tf')")],
     "resolve_rescript": [_edge("CALLS", f"concat('/r/u', {_K})", f"concat(CASE WHEN p_partkey % 6 = 0 THEN 'Nope' ELSE concat('Mod', {_MOD}) END, '.g', {_K})", "'/r/Use.res'")],
+    "resolve_rescript_peel": [_edge("CALLS", f"concat('/r/u', {_K})", f"concat('Mod', {_MOD}, '.g', {_K}, '.resp.code')", "'/r/Use.res'")],
+    "resolve_rescript_opens": [
+        _edge("CALLS", f"concat('/r/o', {_K})", f"concat('g', {_K})", f"concat('/r/Open', {_K}, '.res')"),
+        _edge("IMPORTS_FROM", f"concat('/r/Open', {_K}, '.res')", "concat('Mod', cast((p_partkey + CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END) % 30 as string), '.Sub')", f"concat('/r/Open', {_K}, '.res')", "CASE WHEN p_partkey % 5 = 0 THEN '{{}}' ELSE '{{\"rescript_import_kind\": \"open\"}}' END"),
+    ],
+    "resolve_hcl_modules": [
+        _edge("IMPORTS_FROM", f"concat('/infra/live/x', {_K}, '/main.tf::m')", "CASE WHEN p_partkey % 7 = 0 THEN './none' WHEN p_partkey % 2 = 0 THEN concat('../.././d', cast(p_partkey % 40 as string), '/main.tf') ELSE concat('../../d', cast(p_partkey % 40 as string), '/') END", f"concat('/infra/live/x', {_K}, '/main.tf')"),
+        _edge("REFERENCES", f"concat('/infra/v', {_K})", f"concat('/infra/d', cast(p_partkey % 40 as string), '/vars.tf::', {_HNAME})", "concat('/infra/d', cast(p_partkey % 40 as string), '/vars.tf')"),
+    ],
     "resolve_cpp_scope": [_edge("CALLS", f"concat('/c/u', {_K})", f"concat('f', {_K})", "'/c/u.cpp'", "concat('{{\"receiver_scope\": \"', CASE WHEN p_partkey % 7 = 0 THEN 'zz' ELSE concat('a', cast(p_partkey % 9 as string)) END, '::inner\"}}')")],
     "resolve_spring_di": _inject("INJECTS"),
     "resolve_temporal": _inject("TEMPORAL_STUB"),
@@ -269,6 +278,12 @@ add_site("resolve_bare_tests", lambda g: resolve.resolve_bare_tests(g).filter("k
          """SELECT CASE WHEN n = 1 THEN q ELSE s END AS source_qualified, target_qualified, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'ambiguous' ELSE 'unresolved' END AS resolution, cast(CASE WHEN n > 1 THEN n ELSE 0 END AS int) AS listed FROM (SELECT e.source_qualified AS s, e.target_qualified, count(DISTINCT RN.qualified_name) AS n, max(RN.qualified_name) AS q FROM (SELECT * FROM RE WHERE kind = 'TESTED_BY') e LEFT JOIN (SELECT file_path, target_qualified AS other FROM RE WHERE kind = 'IMPORTS_FROM' UNION SELECT file_path, file_path FROM RE) i ON i.file_path = e.file_path LEFT JOIN RN ON RN.name = e.source_qualified AND RN.file_path = i.other GROUP BY 1, 2) x""")
 
 
+add_site("resolve_rescript_peel", lambda g: resolve.resolve_rescript(g).select("source_qualified", "target_qualified"), "SELECT source_qualified, concat('/r/Mod', line % 30, '.res::g', line) AS target_qualified FROM RE")
+add_site("resolve_rescript_opens", lambda g: resolve.resolve_rescript(g).select("kind", "source_qualified", "target_qualified"), "SELECT kind, source_qualified, CASE WHEN kind = 'IMPORTS_FROM' THEN concat('/r/', split_part(target_qualified, '.', 1), '.res') WHEN line % 3 = 0 OR line % 5 = 0 THEN target_qualified ELSE concat('/r/Mod', line % 30, '.res::g', line) END AS target_qualified FROM RE")
+add_site("resolve_hcl_modules", lambda g: resolve.resolve_hcl(g).select("kind", "source_qualified", "target_qualified"), """SELECT kind, source_qualified, CASE WHEN kind = 'IMPORTS_FROM' AND line % 7 > 0 THEN concat('/infra/d', line % 40, '/main.tf') WHEN kind = 'REFERENCES' AND n = 1 THEN q ELSE target_qualified END AS target_qualified
+  FROM (SELECT RE.*, (SELECT count(*) FROM RN WHERE name = split_part(target_qualified, '::', 2) AND RN.file_path = concat('/infra/d', line % 40, '/main.tf')) AS n, (SELECT max(qualified_name) FROM RN WHERE name = split_part(target_qualified, '::', 2) AND RN.file_path = concat('/infra/d', line % 40, '/main.tf')) AS q FROM RE) x""")
+
+
 def _snapshot(g: Graph) -> Graph:
     """The graph as a store gives it back that has just been given it."""
     kept = store.GraphStore(g.nodes.sparkSession, f"{shared_dir(g.nodes.sparkSession)}/lattica/store-{uuid.uuid4().hex}")

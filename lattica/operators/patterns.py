@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from lattica.functions import text as X
 from lattica.graph import Graph
+from lattica.operators import resolve
 
 _SHOW = ("qualified_name", "kind", "name", "file_path")
 
@@ -119,18 +120,39 @@ def tests_for(g: Graph, qn: str, named: int = 10) -> DataFrame:
     return edge.union(parts[0]).union(parts[1]).distinct()
 
 
+def _sure(edges: DataFrame) -> DataFrame:
+    """Edges whose ends are not a choice left open."""
+    if "extra" not in edges.columns:
+        return edges
+    return edges.filter(~F.coalesce(F.col("extra").rlike('"(ambiguous|unresolved)_targets"'), F.lit(False)))
+
+
 def transitive_tests(g: Graph, starts: DataFrame, depth: int = 1, frontier: int | None = 50) -> DataFrame:
     """(qualified_name, test, indirect): tests of each start, direct ones first, then through callees.
 
-    A start that is a class stands for its methods too.  At most ``frontier``
-    resolved callees per start and hop are followed, in name order.
+    A start that is a class stands for its methods too, one that is a file for
+    its classes and functions.  Tests tied to a start's bare name count where
+    the test's file and its imports leave that start as the only choice.  At
+    most ``frontier`` resolved callees per start and hop are followed, in name
+    order; a bare callee, or an edge whose ends are a choice left open, leads nowhere.
     """
-    calls = g.edges.filter((F.col("kind") == "CALLS") & F.col("target_qualified").contains("::")).select(F.col("source_qualified").alias("_s"), F.col("target_qualified").alias("_t")).distinct()
-    tested = g.edges.filter(F.col("kind") == "TESTED_BY").select(F.col("source_qualified").alias("_s"), F.col("target_qualified").alias("test")).distinct()
+    sure = _sure(g.edges)
+    calls = sure.filter((F.col("kind") == "CALLS") & F.col("target_qualified").contains("::")).select(F.col("source_qualified").alias("_s"), F.col("target_qualified").alias("_t")).distinct()
+    every = sure.filter(F.col("kind") == "TESTED_BY").join(g.nodes.select(F.col("qualified_name").alias("target_qualified")), "target_qualified", "left_semi")
+    tested = every.select(F.col("source_qualified").alias("_s"), F.col("target_qualified").alias("test")).distinct()
     inside = g.edges.filter(F.col("kind") == "CONTAINS").select(F.col("source_qualified").alias("_s"), F.col("target_qualified").alias("_t"))
+    of_file = g.nodes.filter(F.col("kind").isin("Class", "Function", "Method")).select("file_path", F.col("qualified_name").alias("_t"))
     roots = starts.select("qualified_name").distinct()
-    at = roots.select("qualified_name", F.col("qualified_name").alias("_n")).union(roots.join(inside, F.col("qualified_name") == F.col("_s")).select("qualified_name", "_t")).distinct()
+    kinds = roots.join(g.nodes.select("qualified_name", "kind", "file_path"), "qualified_name", "left")
+    members = kinds.filter("kind = 'Class'").join(inside, F.col("qualified_name") == F.col("_s")).select("qualified_name", "_t")
+    whole = kinds.filter("kind = 'File'").select("qualified_name", "file_path").join(of_file, "file_path").select("qualified_name", "_t")
+    at = roots.select("qualified_name", F.col("qualified_name").alias("_n")).union(members).union(whole).distinct()
     found = at.join(tested, F.col("_n") == F.col("_s")).select("qualified_name", "test", F.lit(0).alias("hop"))
+    bare = every.filter(~F.col("source_qualified").contains("::"))
+    imports = g.edges.filter(F.col("kind") == "IMPORTS_FROM")
+    gated = g.with_(edges=resolve.resolve_python_imports(g.with_(edges=imports)).select(*g.edges.columns).unionByName(bare.select(*g.edges.columns)))
+    named = resolve.resolve_bare_tests(gated).filter("kind = 'TESTED_BY' AND resolution = 'resolved'").select(F.col("source_qualified").alias("qualified_name"), F.col("target_qualified").alias("test"))
+    found = found.union(named.join(roots, "qualified_name", "left_semi").select("qualified_name", "test", F.lit(0)))
     for hop in range(1, depth + 1):
         at = at.join(calls, F.col("_n") == F.col("_s")).select("qualified_name", F.col("_t").alias("_n")).distinct()
         if frontier is not None:

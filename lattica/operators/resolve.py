@@ -145,24 +145,68 @@ def resolve_cpp_scope(g: Graph) -> DataFrame:
     return out.withColumn("resolution", F.when(F.col("_b._n") == 1, "resolved").when(F.col("_b._n") > 1, "ambiguous")).withColumn("target_qualified", F.when(F.col("_b._n") == 1, F.col("_b._q")).otherwise(F.col("target_qualified"))).select(*g.edges.columns, "resolution")
 
 
+def _rescript_modules(g: Graph) -> DataFrame:
+    """(module, module_file): files by the name they give their module, an implementation before an interface."""
+    files = g.nodes.filter(F.col("file_path").rlike(r"(?i)\.resi?$")).select("file_path").distinct()
+    named = files.select(X.stem(F.col("file_path")).alias("module"), "file_path", F.lower("file_path").endswith(".resi").alias("_i"))
+    return named.groupBy("module").agg(F.min_by("file_path", F.struct("_i", "file_path")).alias("module_file"))
+
+
 def resolve_rescript(g: Graph) -> DataFrame:
-    """Dotted calls ``Module.name`` by module file; an implementation file beats an interface."""
-    files = g.nodes.filter(F.col("file_path").rlike(r"\.resi?$"))
-    defs = files.select(F.initcap(X.stem(F.col("file_path"))).alias("_mod"), "name", "qualified_name", F.col("file_path").endswith(".resi").cast("int").alias("_i"))
-    best = defs.groupBy("_mod", "name").agg(F.min_by("qualified_name", F.struct("_i", "qualified_name")).alias("_q"))
+    """Calls and imports across modules.
+
+    ``Module.a.b.c`` means the longest of a.b.c, a.b and a that the module's
+    file defines, as what follows may be fields of a result.  A bare name means
+    the first module that the file opens or includes, in the order of lines,
+    whose file defines it.  Imports by module become the module's file.
+    """
+    modules = _rescript_modules(g)
+    e = _keyed(g.edges)
+    known = g.nodes.select(F.col("qualified_name").alias("_q")).distinct()
+    calls = e.filter((F.col("kind") == "CALLS") & ~F.col("target_qualified").contains("::")).select("_e", "file_path", "target_qualified").distinct()
     parts = F.split("target_qualified", r"\.")
-    e = g.edges.withColumn("_mod", F.when(F.size(parts) >= 2, F.element_at(parts, -2))).withColumn("name", F.element_at(parts, -1)).join(best, ["_mod", "name"], "left")
-    hit = (F.col("kind") == "CALLS") & F.col("_q").isNotNull() & ~F.col("target_qualified").contains("::")
-    return e.withColumn("target_qualified", F.when(hit, F.col("_q")).otherwise(F.col("target_qualified"))).select(*g.edges.columns)
+    dotted = calls.filter(F.col("target_qualified").contains(".")).select("_e", F.element_at(parts, 1).alias("module"), F.slice(parts, 2, F.size(parts)).alias("_rest"))
+    tails = dotted.join(modules, "module").select("_e", "module_file", "_rest", F.explode(F.sequence(F.lit(1), F.size("_rest"))).alias("_n"))
+    tries = tails.select("_e", (-F.col("_n")).alias("_rank"), F.concat("module_file", F.lit("::"), F.array_join(F.slice(F.col("_rest"), F.lit(1), F.col("_n")), ".")).alias("_q"))
+    opening = F.get_json_object("extra", "$.rescript_import_kind").isin("open", "include") if "extra" in g.edges.columns else F.lit(False)
+    opens = g.edges.filter((F.col("kind") == "IMPORTS_FROM") & F.col("file_path").rlike(r"(?i)\.resi?$")).filter(opening).select("file_path", F.substring_index("target_qualified", ".", 1).alias("module"), F.coalesce("line", F.lit(0)).alias("_rank"))
+    bare = calls.filter(~F.col("target_qualified").contains(".")).join(opens, "file_path").join(modules, "module").select("_e", "_rank", F.concat("module_file", F.lit("::"), "target_qualified").alias("_q"))
+    best = tries.union(bare).join(known, "_q", "left_semi").groupBy("_e").agg(F.min_by("_q", F.struct("_rank", "_q")).alias("_q"))
+    roots = modules.select(F.col("module").alias("_root"), "module_file")
+    importing = (F.col("kind") == "IMPORTS_FROM") & ~F.col("target_qualified").rlike(r"[/\\]")
+    out = e.join(best, "_e", "left").withColumn("_root", F.when(importing, F.substring_index("target_qualified", ".", 1))).join(roots, "_root", "left")
+    return out.withColumn("target_qualified", F.coalesce("_q", "module_file", "target_qualified")).select(*g.edges.columns)
+
+
+def _folder(path: Column) -> Column:
+    return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
+
+
+def normal_path(path: Column) -> Column:
+    """A path without empty steps, ``.`` and ``..``; it stays absolute if it was."""
+    steps = F.filter(F.split(path, "/"), lambda s: ~s.isin("", "."))
+    walked = F.aggregate(steps, F.array().cast("array<string>"), lambda a, s: F.when(s == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.array_append(a, s)))
+    return F.concat(F.when(F.startswith(path, F.lit("/")), "/").otherwise(""), F.array_join(walked, "/"))
 
 
 def resolve_hcl(g: Graph) -> DataFrame:
-    """References by the only node of that name in the directory of the referring file."""
-    where = lambda p: F.regexp_extract(p, r"^(.*)/[^/]*$", 1)
-    defs = unique_by_key(g.nodes.filter(F.col("file_path").rlike(r"\.(tf|hcl)$")).select(where("file_path").alias("_dir"), F.col("name").alias("target_qualified"), F.col("qualified_name").alias("_q")), ["_dir", "target_qualified"], "_q")
-    e = g.edges.withColumn("_dir", where("file_path")).join(defs, ["_dir", "target_qualified"], "left")
-    hit = F.col("kind").isin("REFERENCES", "DEPENDS_ON") & F.col("_q").isNotNull()
-    return e.withColumn("target_qualified", F.when(hit, F.col("_q")).otherwise(F.col("target_qualified"))).select(*g.edges.columns)
+    """References to the only node of that name in the referring file's directory, which is one module; local module sources to their file.
+
+    A source that names a directory means its main.tf, or else its first file.
+    """
+    own = g.nodes.filter(F.col("file_path").rlike(r"\.(tf|hcl)$"))
+    defs = unique_by_key(own.filter(F.col("kind") != "File").select(_folder(F.col("file_path")).alias("_dir"), F.col("name").alias("_name"), F.col("qualified_name").alias("_q")), ["_dir", "_name"], "_q")
+    known = own.select(F.col("qualified_name").alias("target_qualified"), F.lit(True).alias("_known")).distinct()
+    files = own.select("file_path").distinct().select(F.col("file_path").alias("_file"))
+    exact = files.select(F.col("_file").alias("_at"), F.lit(0).alias("_rank"), "_file")
+    inside = files.select(_folder(F.col("_file")).alias("_at"), F.when(F.col("_file").endswith("/main.tf"), 1).otherwise(2).alias("_rank"), "_file")
+    places = exact.union(inside).groupBy("_at").agg(F.min_by("_file", F.struct("_rank", "_file")).alias("_file"))
+    local = (F.col("kind") == "IMPORTS_FROM") & F.col("file_path").rlike(r"\.(tf|hcl)$") & F.col("target_qualified").rlike(r"^\.\.?/")
+    at = F.when(local, normal_path(F.concat(_folder(F.col("file_path")), F.lit("/"), "target_qualified")))
+    name = F.regexp_replace("target_qualified", "^.*?::", "")
+    e = g.edges.join(known, "target_qualified", "left").withColumns({"_dir": _folder(F.col("file_path")), "_name": name, "_at": at}).join(defs, ["_dir", "_name"], "left").join(places, "_at", "left")
+    hit = F.col("kind").isin("REFERENCES", "DEPENDS_ON") & F.col("_q").isNotNull() & F.col("_known").isNull()
+    return e.withColumn("target_qualified", F.when(hit, F.col("_q")).otherwise(F.coalesce("_file", "target_qualified"))).select(*g.edges.columns)
 
 
 def resolve_for_display(g: Graph) -> DataFrame:
