@@ -134,7 +134,8 @@ add("children_of", lambda g: patterns.children_of(g, A), f"SELECT {SHOW} FROM N
 _R1 = "(SELECT max(qualified_name) FROM N WHERE name = 'Region1')"
 add("inheritors_of", lambda g: patterns.inheritors_of(g, g.nodes.filter("name = 'Region1'").agg(F.max("qualified_name")).first()[0] or ""), f"SELECT {SHOW} FROM N WHERE qualified_name IN (SELECT source_qualified FROM E WHERE kind IN ('INHERITS', 'IMPLEMENTS') AND target_qualified = {_R1})")
 add("file_summary", lambda g: patterns.file_summary(g, A), f"SELECT {SHOW}, line_start, line_end FROM N WHERE file_path = '{A}'")
-add("tests_for", lambda g: patterns.tests_for(g, _tested(g)), f"SELECT {SHOW} FROM N WHERE qualified_name IN (SELECT target_qualified FROM E WHERE kind = 'TESTED_BY' AND source_qualified = {P})")
+# a name convention adds tests whose name holds that of the node: test_1 holds none of part_1
+add("tests_for", lambda g: patterns.tests_for(g, _tested(g)), f"SELECT {SHOW} FROM N WHERE qualified_name IN (SELECT target_qualified FROM E WHERE kind = 'TESTED_BY' AND (source_qualified = {P} OR source_qualified IN (SELECT t FROM (SELECT DISTINCT target_qualified AS t FROM E WHERE kind = 'CALLS' AND target_qualified LIKE '%::%' AND source_qualified = {P}) c ORDER BY t LIMIT 50)))")
 _tt_with = """calls AS (SELECT DISTINCT source_qualified s, target_qualified t FROM E WHERE kind = 'CALLS' AND target_qualified LIKE '%::%'),
   tested AS (SELECT DISTINCT source_qualified s, target_qualified test FROM E WHERE kind = 'TESTED_BY'),
   roots AS (SELECT qualified_name, qualified_name n FROM N WHERE kind = 'Function' UNION SELECT N.qualified_name, E.target_qualified FROM N JOIN E ON E.source_qualified = N.qualified_name AND E.kind = 'CONTAINS' WHERE N.kind = 'Function'),
@@ -278,9 +279,10 @@ _TOP = "D AS MATERIALIZED (SELECT qualified_name, dense_rank() OVER (ORDER BY sp
 add("suggest_refactor", lambda g: review.suggest_refactor(_by_top_directory(g)), f"""SELECT 'move' AS action, m.q AS qualified_name, m.move_to AS to_community FROM (SELECT target_qualified q, min(d.community_id) move_to FROM CE JOIN D d ON d.qualified_name = source_qualified AND d.kind <> 'File' GROUP BY 1 HAVING count(DISTINCT d.community_id) = 1) m JOIN D o ON o.qualified_name = m.q AND o.kind = 'Function' WHERE o.community_id <> m.move_to UNION ALL SELECT 'remove', qualified_name, NULL FROM ({_DEAD}) d WHERE qualified_name NOT IN (SELECT qualified_name FROM N WHERE kind = 'Class' AND name IN (SELECT regexp_extract(target_qualified, '::([^.]*)[.]', 1) FROM CE))""", _TOP)
 _NAME = f"(SELECT name FROM N WHERE qualified_name = {T})"
 add("rename_preview", lambda g: review.rename_preview(g, g.nodes.filter(F.col("qualified_name") == _most_called(g)).first()["name"]), f"SELECT 'definition' AS what, file_path, line_start AS line FROM N WHERE name = {_NAME} UNION ALL SELECT 'call', file_path, line FROM E WHERE kind = 'CALLS' AND target_qualified IN (SELECT qualified_name FROM N WHERE name = {_NAME})")
-add("suggested_questions", review.suggested_questions)
+add("suggested_questions", lambda g: review.suggested_questions(g, sources=100))
 add("review_guidance", lambda g: review.review_guidance(g, g.nodes.filter(F.col("file_path") == A), impact.impact_radius(g, _files(g, A))))
-add("enrich_context", lambda g: review.enrich_context(g, g.nodes.filter(F.col("file_path") == A)), f"""SELECT qualified_name, relation, other, cast(position AS int) AS position FROM (SELECT *, row_number() OVER (PARTITION BY qualified_name, relation ORDER BY other) AS position FROM (SELECT DISTINCT target_qualified AS qualified_name, 'caller' AS relation, source_qualified AS other FROM E WHERE kind = 'CALLS' UNION SELECT source_qualified, 'callee', target_qualified FROM E WHERE kind = 'CALLS' UNION SELECT source_qualified, 'test', target_qualified FROM E WHERE kind = 'TESTED_BY') x) y WHERE position <= CASE WHEN relation = 'test' THEN 3 ELSE 5 END AND qualified_name IN (SELECT qualified_name FROM N WHERE file_path = '{A}')""")
+add("enrich_context", lambda g: review.enrich_context(traced(g), g.nodes.filter(F.col("file_path") == A)), f"""SELECT qualified_name, relation, other, cast(position AS int) AS position FROM (SELECT *, row_number() OVER (PARTITION BY qualified_name, relation ORDER BY other) AS position FROM (SELECT DISTINCT target_qualified AS qualified_name, 'caller' AS relation, source_qualified AS other FROM E WHERE kind = 'CALLS' UNION SELECT source_qualified, 'callee', target_qualified FROM E WHERE kind = 'CALLS' UNION SELECT source_qualified, 'test', target_qualified FROM E WHERE kind = 'TESTED_BY') x) y WHERE position <= CASE WHEN relation = 'test' THEN 3 ELSE 5 END AND qualified_name IN (SELECT qualified_name FROM N WHERE file_path = '{A}') UNION ALL SELECT qualified_name, 'community', cast(community_id AS varchar), 1 FROM C WHERE qualified_name IN (SELECT qualified_name FROM N WHERE file_path = '{A}')
+  UNION ALL SELECT qualified_name, 'flow', entry, cast(r AS int) FROM (SELECT flow.qualified_name, entry, row_number() OVER (PARTITION BY flow.qualified_name ORDER BY criticality DESC, entry) AS r FROM flow JOIN critic USING (entry) JOIN N USING (qualified_name) WHERE N.file_path = '{A}') z WHERE r <= 3""", _CRIT, True)
 
 # -- resolution ----------------------------------------------------------------------------------
 def _bared(g: Graph) -> Graph:

@@ -26,11 +26,23 @@ def _nodes(g: Graph, names: DataFrame, how: str = "inner") -> DataFrame:
     return names.join(g.nodes.select(*_SHOW), "qualified_name", how).select(*_SHOW)
 
 
+def overloads(g: Graph, target: DataFrame) -> DataFrame:
+    """One row per row of ``target`` (_name, _lang): it, and ``_overloads``, the C++ functions and tests of its name (0 for other languages)."""
+    same = g.nodes.filter((F.col("language") == "cpp") & F.col("kind").isin("Function", "Test")).join(F.broadcast(target.select(F.col("_name").alias("name"))), "name", "left_semi").agg(F.count(F.lit(1)).alias("_n"))
+    return target.crossJoin(same).select("_name", "_lang", F.when(F.col("_lang") == "cpp", F.col("_n")).otherwise(0).alias("_overloads"))
+
+
 def callers_of(g: Graph, qn: str) -> DataFrame:
-    """Nodes that call a node; calls of its bare name from its language family come as unresolved."""
+    """Nodes that call a node; calls of its bare name from its language family come as unresolved.
+
+    A bare call proves nothing where it is marked as a choice left open, where
+    a C++ call has a receiver, or where several C++ functions have the name.
+    """
     direct = _nodes(g, _hop(g, ["CALLS"], "target", qn)).withColumn("target_resolution", F.lit("resolved"))
-    target = g.nodes.filter(F.col("qualified_name") == qn).select(F.col("name").alias("_name"), F.col("language").alias("_lang"))
-    bare = g.edges.filter(F.col("kind") == "CALLS").join(F.broadcast(target.limit(1)), F.col("target_qualified") == F.col("_name"))
+    target = g.nodes.filter(F.col("qualified_name") == qn).select(F.col("name").alias("_name"), F.col("language").alias("_lang")).limit(1)
+    bare = _sure(g.edges).filter(F.col("kind") == "CALLS").join(F.broadcast(overloads(g, target)), F.col("target_qualified") == F.col("_name")).filter("_overloads <= 1")
+    if "extra" in g.edges.columns:
+        bare = bare.filter(~F.coalesce((F.col("_lang") == "cpp") & F.get_json_object("extra", "$.receiver").isNotNull(), F.lit(False)))
     loose = g.nodes.join(bare.select(F.col("source_qualified").alias("qualified_name"), "_lang").distinct(), "qualified_name").filter(X.same_family(F.col("language"), F.col("_lang")))
     fallback = loose.select(*_SHOW).join(direct, "qualified_name", "left_anti").withColumn("target_resolution", F.lit("unresolved"))
     return direct.unionByName(fallback)
@@ -111,13 +123,16 @@ def file_summary(g: Graph, path: str) -> DataFrame:
 
 
 def tests_for(g: Graph, qn: str, named: int = 10) -> DataFrame:
-    """Tests of a node by edges, and up to ``named`` of each naming convention."""
-    edge = _nodes(g, _hop(g, ["TESTED_BY"], "source", qn))
+    """Tests of a node, direct or through its callees, and up to ``named`` of each naming convention, unless its name is a C++ overload set."""
+    edge = _nodes(g, transitive_tests(g, g.nodes.filter(F.col("qualified_name") == qn)).select(F.col("test").alias("qualified_name")))
     name = X.last_segment(X.last_segment(F.lit(qn)), ".")
+    target = g.nodes.filter(F.col("qualified_name") == qn).select(F.col("name").alias("_name"), F.col("language").alias("_lang")).limit(1)
+    several = overloads(g, target).filter("_overloads > 1")
     parts = []
     for form in (F.concat(F.lit("test_"), name), F.concat(F.lit("Test"), name)):
         parts.append(g.nodes.filter(F.col("is_test") & (F.instr(F.lower("name"), F.lower(form)) > 0)).orderBy("qualified_name").limit(named).select(*_SHOW))
-    return edge.union(parts[0]).union(parts[1]).distinct()
+    conventional = parts[0].union(parts[1]).join(F.broadcast(several), F.lit(True), "left_anti")  # one row or none
+    return edge.union(conventional).distinct()
 
 
 def _sure(edges: DataFrame) -> DataFrame:

@@ -227,14 +227,20 @@ def rename_preview(g: Graph, old: str) -> DataFrame:
     return define.union(calls).union(bare.distinct()).union(imports.distinct())
 
 
-def suggested_questions(g: Graph) -> DataFrame:
-    """(category, subject): prompts from hubs without tests, odd edges, small communities and hotspots."""
+def suggested_questions(g: Graph, bridges: int = 3, sources: int | None = None) -> DataFrame:
+    """(category, subject): prompts from bridges, hubs without tests, odd edges, small communities and hotspots.
+
+    ``sources`` is handed to the betweenness behind the bridges.
+    """
+    from lattica.plans import centrality
+
+    between = centrality.bridge_nodes(g, bridges, sources).select(F.lit("bridge_node").alias("category"), F.col("qualified_name").alias("subject"))
     tested = g.edges.filter(F.col("kind") == "TESTED_BY").select(F.col("source_qualified").alias("qualified_name"))
     hubs = aggregates.hub_nodes(g, 3).join(tested, "qualified_name", "left_anti").select(F.lit("hub_untested").alias("category"), F.col("qualified_name").alias("subject"))
     odd = aggregates.surprising_edges(g, 3).select(F.lit("surprise"), F.concat_ws(" -> ", "source_qualified", "target_qualified"))
     thin = aggregates.thin_communities(g).orderBy("size", "community_id").limit(2).select(F.lit("thin_community"), F.col("community_id").cast("string"))
     hot = aggregates.untested_hotspots(g, limit=2).select(F.lit("hotspot"), "qualified_name")
-    return hubs.union(odd).union(thin).union(hot)
+    return between.union(hubs).union(odd).union(thin).union(hot)
 
 
 def review_guidance(g: Graph, changed: DataFrame, impacted: DataFrame) -> DataFrame:
@@ -246,14 +252,21 @@ def review_guidance(g: Graph, changed: DataFrame, impacted: DataFrame) -> DataFr
     return row.select((F.col("untested") > 0).alias("has_untested"), (F.col("nodes") > 20).alias("wide_impact"), (F.col("heirs") > 0).alias("touches_inheritance"), (F.col("files") > 3).alias("many_files"))
 
 
-def enrich_context(g: Graph, names: DataFrame, callers: int = 5, callees: int = 5, tests: int = 3) -> DataFrame:
-    """(qualified_name, relation, other, position): nearest relations of each name."""
+def enrich_context(g: Graph, names: DataFrame, callers: int = 5, callees: int = 5, tests: int = 3, flows: int = 3) -> DataFrame:
+    """(qualified_name, relation, other, position): nearest relations of each name, its community, and the most critical flows it is part of where the graph has them."""
     n = names.select("qualified_name").distinct()
     e = g.edges.select("kind", "source_qualified", "target_qualified").distinct()
     part = lambda kind, mine, other, rel, k: ranking.top_k_per_group(
         e.filter(F.col("kind") == kind).join(n, F.col(mine) == F.col("qualified_name")).select("qualified_name", F.lit(rel).alias("relation"), F.col(other).alias("other")).distinct(), ["qualified_name"], ["other"], k
     )
-    return part("CALLS", "target_qualified", "source_qualified", "caller", callers).union(part("CALLS", "source_qualified", "target_qualified", "callee", callees)).union(part("TESTED_BY", "source_qualified", "target_qualified", "test", tests))
+    out = part("CALLS", "target_qualified", "source_qualified", "caller", callers).union(part("CALLS", "source_qualified", "target_qualified", "callee", callees)).union(part("TESTED_BY", "source_qualified", "target_qualified", "test", tests))
+    if g.memberships is not None:
+        steps = n.join(g.memberships.select("qualified_name", "flow_id").distinct(), "qualified_name").join(g.flows.select("flow_id", "entry", "criticality"), "flow_id")
+        best = ranking.top_k_per_group(steps.select("qualified_name", F.lit("flow").alias("relation"), F.col("entry").alias("other"), "criticality"), ["qualified_name"], [F.desc("criticality"), "other"], flows)
+        out = out.union(best.select("qualified_name", "relation", "other", "position"))
+    if g.communities is not None:
+        out = out.union(n.join(g.communities, "qualified_name").select("qualified_name", F.lit("community"), F.col("community_id").cast("string"), F.lit(1)))
+    return out
 
 
 def minimal_context(g: Graph, spans: DataFrame, top: int = 5) -> DataFrame:

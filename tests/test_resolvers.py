@@ -66,3 +66,15 @@ def test_tests_by_evidence(spark):
     starts = spark.createDataFrame([("/a.py",), ("/a.py::C",), ("/a.py::run",), ("/b.py::run",)], "qualified_name string")
     got = {tuple(r) for r in patterns.transitive_tests(g, starts).collect()}
     assert got == {("/a.py", "/t.py::t1", False), ("/a.py", "/t.py::t3", False), ("/a.py::C", "/t.py::t1", False), ("/a.py::run", "/t.py::t2", False), ("/a.py::run", "/t.py::t3", True)}
+
+
+def test_callers_of_overloads(spark):
+    """A bare C++ call tells nothing of two functions of a name, one with a receiver nothing at all."""
+    cpp = lambda names: [("Function", q.rsplit("::", 1)[1].split("(")[0], q, q.split("::")[0], "cpp", None, False, "{}") for q in names]
+    nodes = cpp(["/w.cpp::mark()", "/w.cpp::del(File*,bool)", "/w.cpp::del(File*)", "/w.cpp::one(int)", "/u.cpp::user()", "/u.cpp::other()"])
+    edges = [("CALLS", "/w.cpp::del(File*,bool)", "/w.cpp::mark()", "/w.cpp", 1, "{}"), ("CALLS", "/u.cpp::user()", "del", "/u.cpp", 2, "{}"), ("CALLS", "/u.cpp::user()", "one", "/u.cpp", 3, "{}"), ("CALLS", "/u.cpp::other()", "one", "/u.cpp", 4, '{"receiver": "w"}'), ("CALLS", "/u.cpp::other()", "mark", "/u.cpp", 5, '{"unresolved_targets": ["x"]}')]
+    g = Graph(spark.createDataFrame(nodes, NODE), spark.createDataFrame(edges, EDGE))
+    got = lambda q: {(r.qualified_name, r.target_resolution) for r in patterns.callers_of(g, q).collect()}
+    assert got("/w.cpp::mark()") == {("/w.cpp::del(File*,bool)", "resolved")}
+    assert got("/w.cpp::del(File*)") == got("/w.cpp::del(File*,bool)") == set()
+    assert got("/w.cpp::one(int)") == {("/u.cpp::user()", "unresolved")}
