@@ -356,8 +356,8 @@ add("upsert_node", lambda g: store.upsert_nodes(g.nodes, g.nodes.filter(F.col("f
 add("upsert_edge", lambda g: store.upsert_edges(g.edges, g.edges.filter("kind = 'INHERITS'").withColumn("confidence", F.lit(0.25)).withColumn("seq", F.lit(1))).groupBy("kind", "confidence").agg(F.count(F.lit(1)).alias("n")), "SELECT kind, CASE WHEN kind = 'INHERITS' THEN 0.25e0 ELSE confidence END AS confidence, count(*) AS n FROM E GROUP BY 1, 2")
 add("replace_file", lambda g: store.replace_files(g, _files(g, A), g.nodes.filter((F.col("file_path") == A) & (F.col("kind") == "File")).withColumn("seq", F.lit(1)), g.edges.limit(0).withColumn("seq", F.lit(1))).nodes.select("qualified_name"), f"SELECT qualified_name FROM N WHERE file_path <> '{A}' OR kind = 'File'")
 add("delete_directories", lambda g: store.delete_directories(g, g.nodes.sparkSession.createDataFrame([("/geo/asia",)], "path string")), "SELECT DISTINCT file_path FROM N WHERE starts_with(file_path, '/geo/asia/')")
-add("export_graphml", store.graphml_lines)
-add("export_cypher", store.cypher_lines)
+add("export_graphml", store.graphml_lines, """SELECT concat('<node id="', qualified_name, '"><data key="kind">', kind, '</data><data key="name">', name, '</data></node>') AS value FROM N UNION ALL SELECT concat('<edge source="', source_qualified, '" target="', target_qualified, '"><data key="kind">', kind, '</data></edge>') FROM E""")
+add("export_cypher", store.cypher_lines, """SELECT concat('CREATE (:', kind, ' {qualified_name: ', chr(39), qualified_name, chr(39), ', name: ', chr(39), name, chr(39), '});') AS value FROM N UNION ALL SELECT concat('MATCH (a {qualified_name: ', chr(39), source_qualified, chr(39), '}), (b {qualified_name: ', chr(39), target_qualified, chr(39), '}) CREATE (a)-[:', kind, ']->(b);') FROM E""")
 add("wiki", store.wiki_pages)
 add("forget_referrers", lambda g: store.referrers(g, _files(g, _imported(g))), f"SELECT DISTINCT file_path FROM E WHERE target_qualified IN (SELECT qualified_name FROM N WHERE file_path = {I}) AND file_path <> {I}")
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from lattica.catalog import _CRIT, _HIT, _RISKS, _SP, ORACLES, QUERIES, A, B, _calls_with, _files, _flat, _spans_of, _table, add, add_plain, traced
+from lattica.catalog import _CRIT, _DEG, _ENTRY, _HIT, _RISK, _RISKS, _SP, ORACLES, QUERIES, A, B, _calls_with, _files, _flat, _spans_of, _table, add, add_plain, traced
 from lattica.functions import text as X
 from lattica.graph import Graph
 from lattica.operators import aggregates, lookups, patterns, ranges, ranking, resolve, search
@@ -98,14 +98,16 @@ add("set_intersect", lambda g: g.edges.select(F.col("target_qualified").alias("q
 add("token_budget_prefix", lambda g: ranking.token_budget_prefix(g.nodes.select("qualified_name"), ["qualified_name"], X.estimate_tokens(F.col("qualified_name")), 300), "SELECT * FROM (SELECT qualified_name, cast(sum(cast(ceil(length(qualified_name) / 4.0) AS bigint)) OVER (ORDER BY qualified_name ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bigint) AS used FROM N) x WHERE used <= 300")
 add("community_ids_for", lambda g: g.nodes.filter(F.col("file_path") == A).select("qualified_name").join(g.communities, "qualified_name"), f"SELECT qualified_name, community_id FROM C JOIN N USING (qualified_name) WHERE file_path = '{A}'")
 add("get_community", lambda g: g.communities.filter("community_id = 3").join(g.nodes.select("qualified_name", "kind"), "qualified_name"), "SELECT qualified_name, community_id, kind FROM C JOIN N USING (qualified_name) WHERE community_id = 3")
-add("knowledge_gaps", lambda g: aggregates.isolated_nodes(g).select(F.lit("isolated").alias("gap"), F.col("qualified_name").alias("subject")).union(aggregates.thin_communities(g).select(F.lit("thin"), F.col("community_id").cast("string"))).union(aggregates.untested_hotspots(g).select(F.lit("hotspot"), "qualified_name")).union(aggregates.single_file_communities(g).select(F.lit("single_file"), F.col("community_id").cast("string"))))
+add("knowledge_gaps", lambda g: aggregates.isolated_nodes(g).select(F.lit("isolated").alias("gap"), F.col("qualified_name").alias("subject")).union(aggregates.thin_communities(g).select(F.lit("thin"), F.col("community_id").cast("string"))).union(aggregates.untested_hotspots(g).select(F.lit("hotspot"), "qualified_name")).union(aggregates.single_file_communities(g).select(F.lit("single_file"), F.col("community_id").cast("string"))), """SELECT 'isolated' AS gap, subject FROM (SELECT N.qualified_name AS subject FROM N LEFT JOIN D USING (qualified_name) WHERE N.kind <> 'File' AND coalesce(degree, 0) <= 1 ORDER BY 1 LIMIT 50) a UNION ALL SELECT 'thin', cast(community_id AS varchar) FROM C GROUP BY community_id HAVING count(*) < 3
+  UNION ALL SELECT 'hotspot', subject FROM (SELECT N.qualified_name AS subject FROM N JOIN D USING (qualified_name) WHERE N.kind <> 'File' AND NOT is_test AND degree >= 5 AND qualified_name NOT IN (SELECT source_qualified FROM E WHERE kind = 'TESTED_BY') ORDER BY degree DESC, 1 LIMIT 20) b
+  UNION ALL SELECT 'single_file', cast(community_id AS varchar) FROM C JOIN N USING (qualified_name) GROUP BY community_id HAVING count(DISTINCT file_path) = 1 AND count(*) >= 3""", _DEG)
 add("flow_qns", lambda g: (lambda h: h.memberships.join(h.flows.orderBy("entry").limit(1).select("flow_id"), "flow_id", "left_semi").select("qualified_name").distinct())(traced(g)), "SELECT DISTINCT qualified_name FROM flow WHERE entry = (SELECT min(entry) FROM critic)", _CRIT, True)
 add("flow_position", lambda g: traced(g, True).memberships.select("entry", "qualified_name", "position"))
 add("flow_order", lambda g: traced(g, True).memberships.groupBy("entry").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("position").alias("places"), F.max("position").alias("last")), "SELECT entry, count(*) AS n, count(*) AS places, count(*) - 1 AS last FROM flow GROUP BY 1", _CRIT, True)
 add("flow_criticalities", lambda g: flows.flow_counts(traced(g)).withColumn("criticality", F.round("criticality", 6)), "SELECT qualified_name, count(*) AS flows, round(sum(criticality), 6) AS criticality FROM flow JOIN critic USING (entry) GROUP BY 1", _CRIT, True)
 add("store_flows", lambda g: _snapshot(traced(g)).flows.select("entry", "node_count", "file_count", "depth"), "SELECT entry, node_count, file_count, depth FROM critic", _CRIT, True)
 add("store_communities", lambda g: _snapshot(g).communities.select("qualified_name", "community_id"), "SELECT qualified_name, community_id FROM C")
-add("pr_risk_band", lambda g: aggregates.risk_index(g).select("qualified_name", review.risk_band(F.col("risk_score")).alias("band")).groupBy("band").agg(F.count(F.lit(1)).alias("n")))
+add("pr_risk_band", lambda g: aggregates.risk_index(g).select("qualified_name", review.risk_band(F.col("risk_score")).alias("band")).groupBy("band").agg(F.count(F.lit(1)).alias("n")), f"SELECT CASE WHEN risk_score > 0.7e0 THEN 'high' WHEN risk_score > 0.4e0 THEN 'medium' ELSE 'low' END AS band, count(*) AS n FROM ({_RISK}) r GROUP BY 1")
 add("review_context", lambda g: review.review_context(g, _files(g, A)).select("part", "subject"))
 add("minimal_context", lambda g: review.minimal_context(g, _spans_of(g)), "SELECT 'nodes' AS what, cast(count(*) AS varchar) AS value FROM N UNION ALL SELECT 'edges', cast(count(*) AS varchar) FROM E UNION ALL SELECT 'files', cast(count(*) AS varchar) FROM N WHERE kind = 'File' UNION ALL (SELECT 'changed', h.qualified_name FROM (" + _HIT + ") h JOIN risk USING (qualified_name) JOIN N ON N.qualified_name = h.qualified_name WHERE h.kind IN ('Function', 'Test', 'Class') AND NOT coalesce(N.extra LIKE '%verilog_kind%', false) ORDER BY round(risk_score, 9) DESC, 2 LIMIT 5)", _SP + ", " + _calls_with + ", " + _RISKS)
 add("relevant_lines", lambda g: ranges.merge_windows(g.nodes.filter((F.col("file_path") == A) & (F.col("kind") == "Function")).select("file_path", F.col("line_start").alias("start"), F.col("line_end").alias("end"))),
@@ -183,10 +185,11 @@ _letter_vector = lambda w: [float(w.count(c)) for c in _ABC]
 add("semantic_search", lambda g: search.hybrid_search(g, "region", _letters(g), _letter_vector("region"), limit=5).select("qualified_name", F.round("score", 9).alias("score")))
 add("kind_boost", lambda g: g.nodes.select("qualified_name", search.kind_boost("supply_token_1").alias("boost")), "SELECT qualified_name, CASE WHEN kind = 'Function' THEN 1.5e0 ELSE 1e0 END * CASE WHEN contains(lower(qualified_name), 'supply_token_1') THEN 2e0 ELSE 1e0 END AS boost FROM N")
 add("embed_nodes", lambda g: search.stale_vectors(search.node_text(g), search.node_text(g).filter("length(text) % 2 = 0").select("qualified_name", F.sha2("text", 256).alias("text_hash"), F.lit("p").alias("provider")), "p").select("qualified_name"))
-add("export_json", lambda g: g.nodes.select(F.to_json(F.struct(F.lit("node").alias("type"), "qualified_name", "kind")).alias("value")))
+add("export_json", lambda g: store.json_lines(Graph(g.nodes.select("qualified_name", "kind", "is_test"), g.edges.select("kind", "source_qualified", "target_qualified", "line"))),
+    """SELECT concat('{"type":"node","qualified_name":"', qualified_name, '","kind":"', kind, '","is_test":', is_test, '}') AS value FROM N UNION ALL SELECT concat('{"type":"edge","kind":"', kind, '","source_qualified":"', source_qualified, '","target_qualified":"', target_qualified, '","line":', line, '}') FROM E""")
 add("multi_hop", lambda g: patterns.outgoing_targets(g, lookups.qualified_tail(g, "Nation1")), "SELECT DISTINCT target_qualified AS qualified_name FROM E WHERE source_qualified IN (SELECT qualified_name FROM N WHERE split_part(qualified_name, '::', 2) = 'Nation1')")
 add("token_reduction", lambda g: g.nodes.agg(F.sum(X.estimate_tokens(F.col("qualified_name"))).alias("tokens")), "SELECT cast(sum(cast(ceil(length(qualified_name) / 4.0) AS bigint)) AS bigint) AS tokens FROM N")
-add("flow_completeness", lambda g: flows.entry_points(g).agg(F.avg(F.col("qualified_name").contains("part_").cast("double")).alias("found")))
+add("flow_completeness", lambda g: flows.entry_points(g).agg(F.avg(F.col("qualified_name").contains("part_").cast("double")).alias("found")), "SELECT avg(CASE WHEN qualified_name LIKE '%part\\_%' ESCAPE '\\' THEN 1e0 ELSE 0e0 END) AS found FROM ep", _ENTRY)
 add("search_quality", lambda g: search.search_quality(g.nodes.filter("kind = 'Class'").select(F.lit("q").alias("query"), "qualified_name", F.length("name").alias("rank")), g.nodes.sparkSession.createDataFrame([("q", "Region1")], "query string, name string")), "SELECT 'q' AS query, 1e0 / 7 AS reciprocal FROM N LIMIT 1")
 add("builtin_call_filter", lambda g: g.edges.filter((F.col("kind") == "CALLS") & ~F.col("target_qualified").isin("print", "len", "ext_1")).select("target_qualified"), "SELECT target_qualified FROM E WHERE kind = 'CALLS' AND target_qualified NOT IN ('print', 'len', 'ext_1')")
 

@@ -64,10 +64,19 @@ def delete_directories(g: Graph, directories: DataFrame) -> DataFrame:
     return above.join(directories.select("path").distinct(), "path", "left_semi").select("file_path").distinct()
 
 
+def json_lines(g: Graph) -> DataFrame:
+    """A JSON line per row of every table that the graph has, with all its columns and the part it belongs to."""
+    parts = {"node": g.nodes, "edge": g.edges, "flow": g.flows, "membership": g.memberships, "community": g.communities}
+    lines = [rows.select(F.to_json(F.struct(F.lit(what).alias("type"), *rows.columns)).alias("value")) for what, rows in parts.items() if rows is not None]
+    out = lines[0]
+    for more in lines[1:]:
+        out = out.union(more)
+    return out
+
+
 def export_json(g: Graph, path: str) -> None:
-    """One JSON line per node and edge."""
-    line = lambda rows, what: rows.select(F.to_json(F.struct(F.lit(what).alias("type"), *rows.columns)).alias("value"))
-    line(g.nodes, "node").union(line(g.edges, "edge")).write.text(path)
+    """Write ``json_lines``."""
+    json_lines(g).write.text(path)
 
 
 def _xml(c):
@@ -167,7 +176,11 @@ def obsidian_lines(g: Graph, members: int = 50) -> DataFrame:
     return out
 
 
-def export_obsidian(g: Graph, path: str) -> None:
-    """Write the notes below ``path``, a folder of text for each page."""
-    lines = obsidian_lines(g).repartition("page").sortWithinPartitions("page", "section", "item")
-    lines.select("page", "line").write.partitionBy("page").text(path)
+def export_obsidian(g: Graph, path: str, files: int = 64) -> None:
+    """Write the notes below ``path`` as rows (page, line), a page's rows in order and together in one of ``files`` files.
+
+    A folder a page would be as many folders as nodes; who lays out a vault
+    reads a file and splits it by page.
+    """
+    lines = obsidian_lines(g).repartition(files, "page").sortWithinPartitions("page", "section", "item")
+    lines.select("page", "line").write.parquet(path)

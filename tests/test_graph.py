@@ -382,7 +382,7 @@ def test_vault_pages(spark, tmp_path):
     assert "community: " not in "\n".join(lines["unnamed"]) and "## Connections" not in lines["unnamed"]
     assert lines["_COMMUNITY_7"][-1] == "- [[my-thing]]" and lines["_INDEX"][:3] == ["**Nodes:** 3", "**Edges:** 3", "**Communities:** 1"] and len(lines["_INDEX"]) == 6
     store.export_obsidian(g, str(tmp_path / "vault"))
-    assert spark.read.text(str(tmp_path / "vault")).filter("page = 'my-thing'").count() == len(lines["my-thing"])
+    assert spark.read.parquet(str(tmp_path / "vault")).filter("page = 'my-thing'").count() == len(lines["my-thing"])
 
 
 def test_savings_log_is_appended(spark, tmp_path):
