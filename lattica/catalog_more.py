@@ -248,6 +248,10 @@ SITE_EDGES = {
         _edge("REFERENCES", f"concat('/infra/v', {_K})", f"concat('/infra/d', cast(p_partkey % 40 as string), '/vars.tf::', {_HNAME})", "concat('/infra/d', cast(p_partkey % 40 as string), '/vars.tf')"),
     ],
     "resolve_cpp_scope": [_edge("CALLS", f"concat('/c/u', {_K})", f"concat('f', {_K})", "'/c/u.cpp'", "concat('{{\"receiver_scope\": \"', CASE WHEN p_partkey % 7 = 0 THEN 'zz' ELSE concat('a', cast(p_partkey % 9 as string)) END, '::inner\"}}')")],
+    "resolve_cpp_tests": [
+        _edge("CALLS", f"concat('/c/u', {_K})", f"concat('f', {_K})", "'/c/u.cpp'", "concat('{{\"receiver_scope\": \"', CASE WHEN p_partkey % 7 = 0 THEN 'zz' ELSE concat('a', cast(p_partkey % 9 as string)) END, '::inner\"}}')"),
+        _edge("TESTED_BY", f"concat('f', {_K})", f"concat('/c/u', {_K})", "CASE WHEN p_partkey % 11 = 0 THEN '/c/other.cpp' ELSE '/c/u.cpp' END"),
+    ],
     "resolve_spring_di": _inject("INJECTS"),
     "resolve_temporal": _inject("TEMPORAL_STUB"),
     "resolve_bare_tests": [
@@ -287,6 +291,10 @@ add_site("resolve_hcl_modules", lambda g: resolve.resolve_hcl(g).select("kind",
   FROM (SELECT RE.*, (SELECT count(*) FROM RN WHERE name = split_part(target_qualified, '::', 2) AND RN.file_path = concat('/infra/d', line % 40, '/main.tf')) AS n, (SELECT max(qualified_name) FROM RN WHERE name = split_part(target_qualified, '::', 2) AND RN.file_path = concat('/infra/d', line % 40, '/main.tf')) AS q FROM RE) x""")
 
 
+_FOUND = "line % 7 > 0 AND line % 5 > 0"
+add_site("resolve_cpp_tests", lambda g: resolve.resolve_cpp_scope(g).select("kind", "source_qualified", "target_qualified"), f"SELECT kind, CASE WHEN kind = 'TESTED_BY' AND {_FOUND} AND line % 11 > 0 THEN concat('/c/x.cpp::a', line % 9, '::f', line) ELSE source_qualified END AS source_qualified, CASE WHEN kind = 'CALLS' AND {_FOUND} THEN concat('/c/x.cpp::a', line % 9, '::f', line) ELSE target_qualified END AS target_qualified FROM RE")
+
+
 def _snapshot(g: Graph) -> Graph:
     """The graph as a store gives it back that has just been given it."""
     kept = store.GraphStore(g.nodes.sparkSession, f"{shared_dir(g.nodes.sparkSession)}/lattica/store-{uuid.uuid4().hex}")

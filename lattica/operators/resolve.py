@@ -115,8 +115,19 @@ def event_nodes(g: Graph) -> DataFrame:
     return names.join(g.nodes.select("qualified_name"), "qualified_name", "left_anti").select(F.lit("Event").alias("kind"), X.last_segment(F.col("qualified_name")).alias("name"), "qualified_name", F.lit('{"virtual": true}').alias("extra"))
 
 
+def _mirrored(edges: DataFrame, new: Column) -> DataFrame:
+    """Calls with their ``new`` target, and with it the tests that mirror them: TESTED_BY edges of the same file and line from the old target to the caller."""
+    rows = edges.withColumn("_new", new)
+    at = F.coalesce("line", F.lit(-1))
+    moved = rows.filter((F.col("kind") == "CALLS") & (F.col("_new") != F.col("target_qualified")))
+    moved = moved.groupBy(F.col("target_qualified").alias("_old"), F.col("source_qualified").alias("_test"), F.col("file_path").alias("_f"), at.alias("_l")).agg(F.min("_new").alias("_subject"))
+    mirror = rows.withColumn("_k", F.when(F.col("kind") == "TESTED_BY", F.col("source_qualified")))
+    out = mirror.join(moved, (F.col("_k") == F.col("_old")) & (F.col("target_qualified") == F.col("_test")) & (F.col("file_path") == F.col("_f")) & (at == F.col("_l")), "left")
+    return out.withColumns({"source_qualified": F.coalesce("_subject", "source_qualified"), "target_qualified": F.when(F.col("kind") == "CALLS", F.col("_new")).otherwise(F.col("target_qualified"))})
+
+
 def resolve_scoped(g: Graph) -> DataFrame:
-    """``Class::method`` calls of languages with scopes: the only such member, or the only one in reach of the file."""
+    """``Class::method`` calls of languages with scopes: the only such member, or the only one in reach of the file; mirrored tests follow."""
     e = _keyed(g.edges)
     parts = F.split("target_qualified", "::")
     scoped = e.filter((F.col("kind") == "CALLS") & (F.size(parts) >= 2) & ~F.col("target_qualified").contains("/")).select("_e", "file_path", F.element_at(parts, -2).alias("owner"), F.element_at(parts, -1).alias("method")).distinct()
@@ -125,13 +136,14 @@ def resolve_scoped(g: Graph) -> DataFrame:
     every = unique_by_key(cand, ["_e"], "qualified_name")
     near = unique_by_key(cand.join(imported_files(g), ["file_path", "other"], "left_semi"), ["_e"], "qualified_name").withColumnRenamed("qualified_name", "_near")
     out = e.join(every, "_e", "left").join(near, "_e", "left")
-    return out.withColumn("target_qualified", F.coalesce("qualified_name", "_near", "target_qualified")).select(*g.edges.columns)
+    return _mirrored(out, F.coalesce("qualified_name", "_near", "target_qualified")).select(*g.edges.columns)
 
 
 def resolve_cpp_scope(g: Graph) -> DataFrame:
     """Calls with a namespace path: the innermost enclosing scope of the caller in which the path names one node.
 
     (edge columns, resolution): resolved, ambiguous (several in that scope) or null.
+    Tests that mirror a call follow it.
     """
     e = _keyed(g.edges)
     scope = F.get_json_object("extra", "$.receiver_scope")
@@ -142,7 +154,8 @@ def resolve_cpp_scope(g: Graph) -> DataFrame:
     hits = tries.join(named, "_sym").groupBy("_e", "_p").agg(F.countDistinct("qualified_name").alias("_n"), F.min("qualified_name").alias("_q"))
     first = hits.groupBy("_e").agg(F.min_by(F.struct("_n", "_q"), "_p").alias("_b"))
     out = e.join(first, "_e", "left")
-    return out.withColumn("resolution", F.when(F.col("_b._n") == 1, "resolved").when(F.col("_b._n") > 1, "ambiguous")).withColumn("target_qualified", F.when(F.col("_b._n") == 1, F.col("_b._q")).otherwise(F.col("target_qualified"))).select(*g.edges.columns, "resolution")
+    told = out.withColumn("resolution", F.when(F.col("_b._n") == 1, "resolved").when(F.col("_b._n") > 1, "ambiguous"))
+    return _mirrored(told, F.when(F.col("_b._n") == 1, F.col("_b._q")).otherwise(F.col("target_qualified"))).select(*g.edges.columns, "resolution")
 
 
 def _rescript_modules(g: Graph) -> DataFrame:

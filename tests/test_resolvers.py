@@ -78,3 +78,11 @@ def test_callers_of_overloads(spark):
     assert got("/w.cpp::mark()") == {("/w.cpp::del(File*,bool)", "resolved")}
     assert got("/w.cpp::del(File*)") == got("/w.cpp::del(File*,bool)") == set()
     assert got("/w.cpp::one(int)") == {("/u.cpp::user()", "unresolved")}
+
+
+def test_mirrored_tests_follow_scoped_calls(spark):
+    nodes = [("Function", "go", "/a.php::Car.go", "/a.php", "php", "Car", False, "{}"), ("Test", "t", "/t.php::t", "/t.php", "php", None, True, "{}")]
+    edges = [("CALLS", "/t.php::t", "Car::go", "/t.php", 3, "{}"), ("TESTED_BY", "Car::go", "/t.php::t", "/t.php", 3, "{}"), ("TESTED_BY", "Car::go", "/t.php::t", "/t.php", 4, "{}"), ("TESTED_BY", "Car::stop", "/t.php::t", "/t.php", 3, "{}")]
+    g = Graph(spark.createDataFrame(nodes, NODE), spark.createDataFrame(edges, EDGE))
+    got = {(r.kind, r.source_qualified, r.target_qualified, r.line) for r in resolve.resolve_scoped(g).collect()}
+    assert got == {("CALLS", "/t.php::t", "/a.php::Car.go", 3), ("TESTED_BY", "/a.php::Car.go", "/t.php::t", 3), ("TESTED_BY", "Car::go", "/t.php::t", 4), ("TESTED_BY", "Car::stop", "/t.php::t", 3)}
