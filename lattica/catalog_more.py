@@ -187,7 +187,23 @@ add("kind_boost", lambda g: g.nodes.select("qualified_name", search.kind_boost("
 add("embed_nodes", lambda g: search.stale_vectors(search.node_text(g), search.node_text(g).filter("length(text) % 2 = 0").select("qualified_name", F.sha2("text", 256).alias("text_hash"), F.lit("p").alias("provider")), "p").select("qualified_name"))
 add("export_json", lambda g: store.json_lines(Graph(g.nodes.select("qualified_name", "kind", "is_test"), g.edges.select("kind", "source_qualified", "target_qualified", "line"))),
     """SELECT concat('{"type":"node","qualified_name":"', qualified_name, '","kind":"', kind, '","is_test":', is_test, '}') AS value FROM N UNION ALL SELECT concat('{"type":"edge","kind":"', kind, '","source_qualified":"', source_qualified, '","target_qualified":"', target_qualified, '","line":', line, '}') FROM E""")
-add("multi_hop", lambda g: patterns.outgoing_targets(g, lookups.qualified_tail(g, "Nation1")), "SELECT DISTINCT target_qualified AS qualified_name FROM E WHERE source_qualified IN (SELECT qualified_name FROM N WHERE split_part(qualified_name, '::', 2) = 'Nation1')")
+
+
+def _tasks(g: Graph) -> DataFrame:
+    """From each method its class's base (two edges away), and another region's base, which is farther."""
+    own = g.nodes.filter("kind = 'Function' AND language = 'java'").select(F.col("qualified_name").alias("task"), F.element_at(F.split("file_path", "/"), 3).alias("region"))
+    bases = g.nodes.filter("kind = 'Class' AND name LIKE 'Region%'").select(F.col("qualified_name").alias("expected"), F.element_at(F.split("file_path", "/"), 3).alias("of"))
+    last = bases.agg(F.max("of").alias("last"))
+    return own.join(bases, F.col("region") == F.col("of")).select("task", F.col("task").alias("start"), "expected").union(own.join(bases.join(last, F.col("of") == F.col("last")), F.col("region") != F.col("of")).select("task", "task", "expected"))
+
+
+_TASKS = f"""B AS MATERIALIZED (SELECT qualified_name AS expected, split_part(file_path, '/', 3) AS region FROM N WHERE kind = 'Class' AND name LIKE 'Region%'),
+  TK AS MATERIALIZED (SELECT N.qualified_name AS task, expected FROM N JOIN B ON B.region = split_part(file_path, '/', 3) OR B.region = (SELECT max(region) FROM B) WHERE N.kind = 'Function' AND language = 'java'),
+  ST AS MATERIALIZED (SELECT source_qualified s, target_qualified t FROM E UNION SELECT target_qualified, source_qualified FROM E),
+  H1 AS MATERIALIZED (SELECT DISTINCT task, t AS node FROM (SELECT DISTINCT task FROM TK) x JOIN ST ON s = task), H2 AS MATERIALIZED (SELECT DISTINCT task, t AS node FROM H1 JOIN ST ON s = node WHERE t IN (SELECT expected FROM B)),
+  R AS MATERIALIZED (SELECT task, node, min(hop) AS hop FROM (SELECT task, node, 1 AS hop FROM H1 UNION ALL SELECT task, node, 2 FROM H2) y GROUP BY 1, 2)"""
+add("multi_hop", lambda g: impact.multi_hop(g, _tasks(g)), "SELECT TK.task, expected, hop FROM TK LEFT JOIN R ON R.task = TK.task AND node = expected", _TASKS)
+add("multi_hop_recall", lambda g: impact.multi_hop_recall(g, _tasks(g)), "SELECT count(DISTINCT TK.task) AS tasks, count(*) AS expected, count(hop) AS reached, count(hop) / count(*) AS recall FROM TK LEFT JOIN R ON R.task = TK.task AND node = expected", _TASKS)
 add("token_reduction", lambda g: g.nodes.agg(F.sum(X.estimate_tokens(F.col("qualified_name"))).alias("tokens")), "SELECT cast(sum(cast(ceil(length(qualified_name) / 4.0) AS bigint)) AS bigint) AS tokens FROM N")
 add("flow_completeness", lambda g: flows.entry_points(g).agg(F.avg(F.col("qualified_name").contains("part_").cast("double")).alias("found")), "SELECT avg(CASE WHEN qualified_name LIKE '%part\\_%' ESCAPE '\\' THEN 1e0 ELSE 0e0 END) AS found FROM ep", _ENTRY)
 add("search_quality", lambda g: search.search_quality(g.nodes.filter("kind = 'Class'").select(F.lit("q").alias("query"), "qualified_name", F.length("name").alias("rank")), g.nodes.sparkSession.createDataFrame([("q", "Region1")], "query string, name string")), "SELECT 'q' AS query, 1e0 / 7 AS reciprocal FROM N LIMIT 1")

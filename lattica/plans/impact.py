@@ -9,7 +9,7 @@ from lattica import schemas
 from lattica.functions import text as X
 from lattica.graph import Graph
 from lattica.operators import ranking
-from lattica.plans.materialise import settle
+from lattica.plans.materialise import keep, settle
 
 
 def impact_edges(g: Graph) -> DataFrame:
@@ -107,3 +107,26 @@ def traverse(g: Graph, start: str, depth: int = 3, token_budget: int = 2000) ->
     rows = g.nodes.select("qualified_name", "kind", "file_path").join(found, "qualified_name")
     tokens = X.estimate_tokens(F.concat("qualified_name", "kind", "file_path"))
     return ranking.token_budget_prefix(rows, ["hop", "qualified_name"], tokens, token_budget)
+
+
+def multi_hop(g: Graph, tasks: DataFrame, hops: int = 2) -> DataFrame:
+    """(task, expected, hop): for each expected node the least number of edges, either way, from its task's start; null beyond ``hops``.
+
+    ``tasks`` is (task, start, expected).  All tasks walk at once as rows
+    (task, node); a hop carries the nodes that it has just reached.
+    """
+    steps = keep(_both_ways(g.edges).distinct(), "steps")
+    front = keep(tasks.select("task", F.col("start").alias("node"), F.lit(0).alias("hop")).distinct(), "walk")
+    seen = front
+    for hop in range(1, hops + 1):
+        found = front.join(steps, F.col("node") == F.col("src")).select("task", F.col("dst").alias("node")).distinct()
+        front = keep(found.join(seen.select("task", "node"), ["task", "node"], "left_anti").withColumn("hop", F.lit(hop)), "walk")
+        seen = seen.union(front)
+    wanted = tasks.select("task", "expected").distinct()
+    return wanted.join(seen.withColumnRenamed("node", "expected"), ["task", "expected"], "left").select("task", "expected", "hop")
+
+
+def multi_hop_recall(g: Graph, tasks: DataFrame, hops: int = 2) -> DataFrame:
+    """One row: how many tasks there are, how many of the expected nodes are reached, and that share."""
+    found = multi_hop(g, tasks, hops)
+    return found.agg(F.countDistinct("task").alias("tasks"), F.count(F.lit(1)).alias("expected"), F.count("hop").alias("reached")).withColumn("recall", F.when(F.col("expected") > 0, F.col("reached") / F.col("expected")).otherwise(0.0))
