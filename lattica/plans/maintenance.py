@@ -137,6 +137,7 @@ def incremental_update(
         spark = graph.spark
         nodes = spark.createDataFrame([], schemas.NODES) if nodes is None else nodes
         edges = spark.createDataFrame([], schemas.EDGES) if edges is None else edges
+        nodes = nodes if "file_hash" in nodes.columns else nodes.withColumn("file_hash", F.lit(None).cast("string"))
         g = Graph(nodes, edges)
         stored = nodes.filter(F.col("kind") == "File").groupBy("file_path").agg(F.max("file_hash").alias("_old"))
         known = nodes.select("file_path").distinct()
