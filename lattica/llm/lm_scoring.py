@@ -219,7 +219,9 @@ def score(docs: DataFrame, held_out, vocabulary: str) -> DataFrame:
 
     Rows whose ``held_out`` is false are learned from.  Tokens are the words
     `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased, and one end.  Null and empty texts are
-    an end alone.  Repeated rows count each time.  ``vocabulary`` is the path of a
+    an end alone.  Repeated rows count each time and each get their scores, an
+    empty table gives none; of the columns of ``docs`` only doc_id is kept, so
+    clashing names cannot matter.  ``vocabulary`` is the path of a
     sentencepiece model, read on the driver.
     """
     spark = docs.sparkSession

@@ -119,7 +119,9 @@ def judge(pages: DataFrame, rules: Sequence[Rule], model: UrlModel, *, url: str
 
     The longest rule that fits decides, else the sign of the model's score
     (0 or more: allow).  Urls without ``://`` and null urls are judged by the
-    model on empty host and path.
+    model on empty host and path.  Repeated rows each get their verdict, an
+    empty table gives none.  Columns that have one of the added names are
+    replaced, all others stay.
     """
     host, path = url_parts(F.col(url))
     parts = pages.withColumn("host", host).withColumn("path", path)

@@ -229,7 +229,8 @@ def remove_repeated_windows(docs: DataFrame, *, width: int = 35, gram: int = 18,
     earlier call with the same ``log``.  Chunks enter the index in ``batches``,
     and a given log also takes the hashes of all windows; without one no later
     call can ask for them.  Null and empty texts have no words; texts shorter than a window lose none; repeated rows repeat
-    each other and so lose what a window covers.
+    each other and so lose what a window covers.  An empty table gives no rows; of the columns of ``docs`` only doc_id is
+    kept, so clashing names cannot matter.
     """
     spark = docs.sparkSession
     lasting = log is not None
