@@ -37,14 +37,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document without the whole characters under repeated 400-byte strings; what is left empty goes."""
+    """Every document without the whole characters under repeated 400-byte strings; what is left empty goes.
+
+    So null and empty texts go; repeated rows repeat each other and lose what a string of that length covers.
+    """
     kept = substrings.remove_repeated_bytes(docs, "doc_id", "lang", "source", whole_chars=True)
     text = F.decode(F.col("kept"), "UTF-8")
     return kept.filter("octet_length(kept) > 0").select("doc_id", text.alias("text"), "lang", "source", F.char_length(text).cast("long").alias("n_chars"))
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; where a source's budget ends, the last one is cut to its first words."""
+    """Documents as often as the mix takes them; where a source's budget ends, the last one is cut to its first words.
+
+    Null and empty texts have no words, so the mix takes none of them; rows of one id and text share one decision.
+    """
     keyed = docs.withColumn("_id", id_key()).withColumn("_text", text_key())
     sized = store(mixing.with_size(keyed, ("doc_id", "source", "_id", "_text")), "sizes")
     plan = mixing.mix(sized).filter("taken > 0").select("_id", "_text", "size", "epochs", "cut").dropDuplicates(["_id", "_text"])
@@ -57,7 +63,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encoded_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every text, with the digest of what they decode to."""
+    """The ids of every text, with the digest of what they decode to; null and empty texts have no ids, repeated rows each get theirs."""
     return pieces.encode(docs, pieces.load_vocabulary(VOCABULARY), "doc_id", "lang", "source")
 
 
