@@ -43,6 +43,12 @@ def add(name: str, run: Callable[[Graph], DataFrame], sql: str | None = None, wi
         ORACLES[name] = f"WITH {'RECURSIVE ' if recursive else ''}{_N}, {_E}, {_C}{used} {_flat(sql)}"
 
 
+def add_sf(name: str, run: Callable[[Graph, SparkSession, str], DataFrame], sql: str, with_: str = "") -> None:
+    """Register a query on the derived graph and the plain tables; ``sql`` sees both."""
+    add(name, lambda g: g.nodes, sql, with_)
+    QUERIES[name] = lambda spark, sf_dir: run(graph(spark, sf_dir), spark, sf_dir)
+
+
 def add_plain(name: str, run: Query, sql: str | None = None) -> None:
     """Register a query on the plain tables."""
     QUERIES[name] = run

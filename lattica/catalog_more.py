@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from lattica.catalog import _CRIT, _DEG, _ENTRY, _HIT, _RISK, _RISKS, _SP, ORACLES, QUERIES, A, B, _calls_with, _files, _flat, _spans_of, _table, add, add_plain, traced
+from lattica.catalog import _CRIT, _DEG, _ENTRY, _HIT, _RISK, _RISKS, _SP, ORACLES, QUERIES, A, B, _calls_with, _files, _flat, _impact_sql, _spans_of, _table, add, add_plain, add_sf, traced
 from lattica.functions import text as X
 from lattica.graph import Graph
 from lattica.operators import aggregates, lookups, patterns, ranges, ranking, resolve, search
-from lattica.plans import flows, impact, maintenance, review, store
+from lattica.plans import flows, impact, maintenance, review, savings, store
 from lattica.plans.materialise import shared_dir
 from lattica.sources import files, history
 from lattica.streaming import watch
@@ -204,9 +205,39 @@ _TASKS = f"""B AS MATERIALIZED (SELECT qualified_name AS expected, split_part(fi
   R AS MATERIALIZED (SELECT task, node, min(hop) AS hop FROM (SELECT task, node, 1 AS hop FROM H1 UNION ALL SELECT task, node, 2 FROM H2) y GROUP BY 1, 2)"""
 add("multi_hop", lambda g: impact.multi_hop(g, _tasks(g)), "SELECT TK.task, expected, hop FROM TK LEFT JOIN R ON R.task = TK.task AND node = expected", _TASKS)
 add("multi_hop_recall", lambda g: impact.multi_hop_recall(g, _tasks(g)), "SELECT count(DISTINCT TK.task) AS tasks, count(*) AS expected, count(hop) AS reached, count(hop) / count(*) AS recall FROM TK LEFT JOIN R ON R.task = TK.task AND node = expected", _TASKS)
-add("token_reduction", lambda g: g.nodes.agg(F.sum(X.estimate_tokens(F.col("qualified_name"))).alias("tokens")), "SELECT cast(sum(cast(ceil(length(qualified_name) / 4.0) AS bigint)) AS bigint) AS tokens FROM N")
+#: Questions that find nodes by name, and one that finds none.
+_QUESTIONS = ("supply token", "part_1", "nation1", "region", "no such thing")
+
+
+def _question_hits(g: Graph, limit: int) -> DataFrame:
+    """(question, qualified_name, rank from 1) of a keyword search for each question."""
+    found = [ranking.ranked(search.keyword_search(g, q, limit), [F.desc("score"), "qualified_name"], "qualified_name").select(F.lit(q).alias("question"), F.col("item").alias("qualified_name"), (F.col("rank") + 1).alias("rank")) for q in _QUESTIONS]
+    return functools.reduce(DataFrame.union, found)
+
+
+def _question_list(g: Graph) -> DataFrame:
+    return g.nodes.sparkSession.createDataFrame([(q,) for q in _QUESTIONS], "question string")
+
+
+def _hits_sql(limit: int) -> str:
+    score = lambda q: f"CASE WHEN lower(name) = '{q}' THEN 3 WHEN starts_with(lower(name), '{q}') THEN 2 ELSE 1 END"
+    holds = lambda q: " AND ".join(f"(name ILIKE '%{w}%' OR qualified_name ILIKE '%{w}%')" for w in q.split())
+    return "QH AS MATERIALIZED (SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{q}' AS question, qualified_name, row_number() OVER (ORDER BY {score(q)} DESC, qualified_name) AS rank FROM N WHERE {holds(q)}" for q in _QUESTIONS) + f") x WHERE rank <= {limit})"
+
+
+_quarter = lambda text: f"greatest(1, length({text}) // 4)"
+add_sf("token_reduction", lambda g, s, d: savings.token_reduction(g, _question_list(g), _question_hits(g, 5), _table(s, d, "documents")).withColumn("average_ratio", F.round("average_ratio", 9)),
+    """SELECT question, naive AS naive_tokens, cast(t AS bigint) AS graph_tokens, ratio AS reduction_ratio, round(avg(ratio) OVER (), 9) AS average_ratio FROM (SELECT question, naive, t, CASE WHEN t > 0 THEN naive / t ELSE 0e0 END AS ratio FROM QC CROSS JOIN NAIVE) x""",
+    _hits_sql(5) + f""", QL AS (SELECT * FROM (VALUES {", ".join(f"('{q}')" for q in _QUESTIONS)}) v(question)),
+  NAIVE AS MATERIALIZED (SELECT cast(sum({_quarter('text')}) AS bigint) AS naive FROM documents WHERE text IS NOT NULL),
+  QE AS MATERIALIZED (SELECT source_qualified AS q, sum({_quarter("to_json({'kind': kind, 'source_qualified': source_qualified, 'target_qualified': target_qualified, 'file_path': file_path, 'line': line})")}) AS more FROM (SELECT *, row_number() OVER (PARTITION BY source_qualified ORDER BY line, kind, target_qualified, file_path) AS r FROM E WHERE source_qualified IN (SELECT qualified_name FROM QH)) e WHERE r <= 5 GROUP BY 1),
+  QC AS MATERIALIZED (SELECT QL.question, coalesce(sum({_quarter("to_json({'kind': N.kind, 'name': N.name, 'qualified_name': N.qualified_name, 'file_path': N.file_path})")} + coalesce(more, 0)) FILTER (N.kind IS NOT NULL), 0) AS t FROM QL LEFT JOIN QH ON QH.question = QL.question LEFT JOIN N ON N.qualified_name = QH.qualified_name LEFT JOIN QE ON q = QH.qualified_name GROUP BY 1)""")
 add("flow_completeness", lambda g: flows.entry_points(g).agg(F.avg(F.col("qualified_name").contains("part_").cast("double")).alias("found")), "SELECT avg(CASE WHEN qualified_name LIKE '%part\\_%' ESCAPE '\\' THEN 1e0 ELSE 0e0 END) AS found FROM ep", _ENTRY)
-add("search_quality", lambda g: search.search_quality(g.nodes.filter("kind = 'Class'").select(F.lit("q").alias("query"), "qualified_name", F.length("name").alias("rank")), g.nodes.sparkSession.createDataFrame([("q", "Region1")], "query string, name string")), "SELECT 'q' AS query, 1e0 / 7 AS reciprocal FROM N LIMIT 1")
+#: What each question should find: a part of a qualified name.
+_WANTED = (("supply token", "Nation1.supply"), ("part_1", "part_10"), ("nation1", "Nation1"), ("region", "Region2"), ("no such thing", "part_1"))
+add("search_quality", lambda g: search.search_quality(_question_hits(g, 20).withColumnRenamed("question", "query"), g.nodes.sparkSession.createDataFrame(_WANTED, "query string, name string")),
+    "SELECT w.q AS query, coalesce(1e0 / min(rank), 0e0) AS reciprocal FROM QW w LEFT JOIN QH ON question = w.q AND contains(lower(qualified_name), lower(w.name)) GROUP BY 1",
+    _hits_sql(20) + f", QW AS (SELECT * FROM (VALUES {', '.join(f'({q!r}, {n!r})' for q, n in _WANTED)}) v(q, name))")
 add("builtin_call_filter", lambda g: g.edges.filter((F.col("kind") == "CALLS") & ~F.col("target_qualified").isin("print", "len", "ext_1")).select("target_qualified"), "SELECT target_qualified FROM E WHERE kind = 'CALLS' AND target_qualified NOT IN ('print', 'len', 'ext_1')")
 
 # -- readers and logs ------------------------------------------------------------------------------
@@ -222,7 +253,23 @@ add_plain("parse_unified_diff", lambda s, d: ranges.parse_unified_diff(_diffs(s,
 add_plain("parse_numstat", lambda s, d: ranges.parse_numstat(_table(s, d, "orders").select(F.concat(F.lit("1\t2\t/f"), F.col("o_custkey") % 50, F.lit(".py\x00-\t-\t/g.bin\x00")).alias("text"))), "SELECT concat('/f', o_custkey % 50, '.py') AS file_path, count(*) AS commits FROM orders GROUP BY 1 UNION ALL SELECT '/g.bin', count(*) FROM orders")
 add_plain("bench_aggregate", lambda s, d: aggregates.bench_aggregate(_table(s, d, "orders").select(F.col("o_orderpriority").alias("mode"), F.when(F.col("o_orderstatus") == "F", "ok").when(F.col("o_orderstatus") == "O", "error").otherwise("skipped").alias("status"), F.col("o_custkey").cast("double").alias("value"))).withColumn("mean", F.round("mean", 6)),
           "SELECT o_orderpriority AS mode, count(*) FILTER (o_orderstatus = 'F') AS ok, count(*) FILTER (o_orderstatus = 'O') AS errors, count(*) FILTER (o_orderstatus NOT IN ('F', 'O')) AS skipped, round(avg(o_custkey) FILTER (o_orderstatus = 'F'), 6) AS mean FROM orders GROUP BY 1")
-add_plain("measure_savings", lambda s, d: aggregates.token_efficiency(_table(s, d, "documents").select("doc_id", X.estimate_tokens(F.coalesce("text", F.lit(""))).alias("raw_tokens"), F.lit(50).alias("graph_tokens"))).select("doc_id", "ratio"), "SELECT doc_id, CASE WHEN t > 0 THEN t / 50 ELSE 0e0 END AS ratio FROM (SELECT doc_id, cast(ceil(length(coalesce(text, '')) / 4.0) AS bigint) t FROM documents) x")
+#: Documents as the texts of source files; the two digits of a brand's file come from the key.
+_FILE_OF = "concat('/src/brand', cast(doc_id % 5 + 1 as string), cast(cast(floor(doc_id / 5) as bigint) % 5 + 1 as string), '.py')"
+_MEASURE = """CHG AS (SELECT '{A}' AS p UNION SELECT '{B}'), FT AS MATERIALIZED (SELECT {file} AS p, cast(ceil(length(text) / 4.0) AS bigint) AS t FROM documents),
+  IMP AS MATERIALIZED ({impact}), NEAR AS MATERIALIZED (SELECT DISTINCT file_path AS p FROM IMP WHERE file_path NOT IN (SELECT p FROM CHG)),
+  K AS MATERIALIZED (SELECT list(name ORDER BY score DESC, qualified_name) AS names FROM (SELECT IMP.*, N.name FROM IMP JOIN N USING (qualified_name) ORDER BY score DESC, qualified_name LIMIT 5) x),
+  M AS MATERIALIZED (SELECT (SELECT count(*) FROM CHG) AS changed_files, (SELECT count(*) FROM N WHERE file_path IN (SELECT p FROM CHG)) AS changed_nodes, (SELECT count(*) FROM IMP) AS impacted_nodes, (SELECT count(*) FROM NEAR) AS impacted_files,
+    (SELECT greatest(0, coalesce(max(total_impacted), 0) - count(*)) FROM IMP) AS nodes_omitted, (SELECT coalesce(names, []) FROM K) AS names,
+    cast((SELECT coalesce(sum(t), 0) FROM FT WHERE p IN (SELECT p FROM CHG)) AS bigint) AS changed_tokens, cast((SELECT coalesce(sum(t), 0) FROM FT WHERE p IN (SELECT p FROM NEAR)) AS bigint) AS impacted_tokens),
+  G AS MATERIALIZED (SELECT *, changed_tokens + impacted_tokens AS baseline_tokens, cast(ceil(length(to_json({{'changed_files': changed_files, 'changed_nodes': changed_nodes, 'impacted_nodes': impacted_nodes, 'impacted_files': impacted_files, 'risk': CASE WHEN impacted_nodes > 20 THEN 'high' WHEN impacted_nodes > 5 THEN 'medium' ELSE 'low' END, 'key_entities': names, 'nodes_omitted': nodes_omitted}})) / 4.0) AS bigint) AS graph_tokens FROM M),
+  W AS MATERIALIZED (SELECT *, changed_tokens + graph_tokens AS returned_tokens, changed_nodes * 400 + impacted_nodes * 1000 AS search_trace_tokens, changed_nodes * 100 AS analysis_tokens, impacted_files * 800 AS precision_tokens FROM G),
+  V AS MATERIALIZED (SELECT *, search_trace_tokens + analysis_tokens + precision_tokens + baseline_tokens AS total_counterfactual, greatest(0, baseline_tokens - returned_tokens) AS saved_tokens FROM W)"""
+_percent = lambda part, whole: f"CASE WHEN {whole} > 0 THEN cast(floor({part} * 100e0 / {whole} + 0.5e0) AS bigint) ELSE 0 END"
+_imp_body, _imp_with = _impact_sql(2, f"SELECT qualified_name AS q, 1e0 AS score FROM N WHERE file_path IN ('{A}', '{B}')")
+add_sf("measure_savings", lambda g, s, d: savings.measure_savings(g, _files(g, A, B), _table(s, d, "documents").select(F.expr(_FILE_OF).alias("file_path"), "text")),
+    f"""SELECT changed_files, impacted_files, changed_nodes, impacted_nodes, nodes_omitted, changed_tokens, impacted_tokens, baseline_tokens, graph_tokens, returned_tokens, saved_tokens, {_percent('saved_tokens', 'baseline_tokens')} AS saved_percent, search_trace_tokens, analysis_tokens, precision_tokens, total_counterfactual,
+    greatest(0, total_counterfactual - returned_tokens) AS counterfactual_saved, {_percent('greatest(0, total_counterfactual - returned_tokens)', 'total_counterfactual')} AS counterfactual_saved_percent FROM V""",
+    _imp_with + ", " + _MEASURE.format(A=A, B=B, file=_FILE_OF, impact=_imp_body))
 add_plain("docs_section", lambda s, d: files.docs_section(_table(s, d, "benchmark").select(F.concat(F.lit('<section name="usage">'), "text", F.lit("</section>")).alias("text")), "usage"), "SELECT text AS section FROM benchmark")
 add_plain("query_identifiers", lambda s, d: _table(s, d, "part").select("p_partkey", F.array_join(search.identifiers(F.concat(F.lit("call get_users of Context.Next for Part"), "p_partkey", F.lit("Item "), "p_name")), ",").alias("found")), "SELECT p_partkey, concat('context.next,get_users,part', p_partkey, 'item') AS found FROM part")
 
