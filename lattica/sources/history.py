@@ -48,6 +48,15 @@ def changed_files(spark: SparkSession, root: str, base: str = "HEAD~1") -> DataF
     return parse_name_status(spark.createDataFrame([(raw,)], "raw string"), "raw")
 
 
+def tracked_files(spark: SparkSession, root: str, submodules: bool = False) -> DataFrame:
+    """(file_path): paths below ``root`` that git tracks; no rows outside a checkout."""
+    args = ["git", "ls-files", "-z", *(["--recurse-submodules"] if submodules else [])]
+    found = subprocess.run(args, cwd=root, capture_output=True, timeout=120, stdin=subprocess.DEVNULL)
+    raw = found.stdout.decode("utf-8", "replace") if found.returncode == 0 else ""
+    paths = spark.createDataFrame([(raw,)], "raw string").select(F.explode(F.split("raw", "\x00")).alias("file_path"))
+    return paths.filter("file_path <> ''")
+
+
 def build_relation(built: Column, head: Column, base: Column) -> Column:
     """Where the commit of a build stands to the one checked out, by their merge base; unknown if they share none."""
     return F.when(built == head, "same").when(base.isNull(), "unknown").when(base == built, "ancestor").when(base == head, "descendant").otherwise("diverged")
