@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.common import shuffle_width, small_batches, store, trimmed, utf8
-from lattica.llm.sequences import mix, prefix_sums, spans_hash
+from lattica.llm.sequences import distinct, mix, prefix_sums, spans_hash
 
 _U = np.uint64
 ASKS = "bucket int, chunk long, keys binary, extra binary"
@@ -98,14 +98,15 @@ def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
 class Question:
     """The distinct keys of a chunk in bucket order, and where each asked key is among them.
 
+    A key is a value of 64 bits, or a row of two of them, of which the first deals it.
     ``route``, one value per key and equal for equal keys, deals keys to buckets
     in place of the keys themselves.  ``first`` is where a distinct key came first.
     """
 
     def __init__(self, keys: np.ndarray, n: int, route: np.ndarray | None = None):
         keys = keys.astype(_U, copy=False)
-        unique, first, inverse, counts = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
-        bucket = bucket_of(unique if route is None else route[first], n)
+        unique, first, inverse, counts = distinct(keys)
+        bucket = bucket_of((unique if unique.ndim == 1 else unique[:, 0]) if route is None else route[first], n)
         order = np.argsort(bucket, kind="stable")
         self.keys, self.counts, self.bucket, self.first = unique[order], np.minimum(counts[order], 255).astype(np.uint8), bucket[order], first[order]
         place = np.empty(len(order), np.int64)

@@ -5,9 +5,10 @@ from __future__ import annotations
 import numpy as np
 
 _U = np.uint64
-#: An odd multiplier, and its inverse modulo 2^64.
+#: An odd multiplier, its inverse modulo 2^64, and another multiplier for a second hash of the same content.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
+SECOND = 0xD1342543DE82EF95
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -41,28 +42,32 @@ def powers(n: int, base: int) -> np.ndarray:
     return have[:n]
 
 
-def prefix_sums(units: np.ndarray) -> np.ndarray:
-    """P[i] = sum of units[j] * BASE^j over j < i."""
+def prefix_sums(units: np.ndarray, base: int = BASE) -> np.ndarray:
+    """P[i] = sum of units[j] * base^j over j < i."""
     out = np.zeros(len(units) + 1, _U)
     with np.errstate(over="ignore"):
-        np.cumsum(units.astype(_U) * powers(len(units), BASE), out=out[1:])
+        np.cumsum(units.astype(_U) * powers(len(units), base), out=out[1:])
     return out
 
 
-def spans_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def _inverse(base: int) -> int:
+    return INVERSE if base == BASE else pow(base, -1, 1 << 64)
+
+
+def spans_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASE) -> np.ndarray:
     """A 64-bit hash of units[start:end] for every span, equal for equal content."""
     with np.errstate(over="ignore"):
-        raw = (sums[ends] - sums[starts]) * powers(len(sums), INVERSE)[starts]
+        raw = (sums[ends] - sums[starts]) * powers(len(sums), _inverse(base))[starts]
         return mix(raw + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
 
 
-def windows_hash(sums: np.ndarray, width: int) -> np.ndarray:
+def windows_hash(sums: np.ndarray, width: int, base: int = BASE) -> np.ndarray:
     """The hash of every window of ``width`` units."""
     n = len(sums) - width
     if n <= 0:
         return np.zeros(0, _U)
     with np.errstate(over="ignore"):
-        return mix((sums[width:] - sums[:n]) * powers(n, INVERSE))
+        return mix((sums[width:] - sums[:n]) * powers(n, _inverse(base)))
 
 
 def word_spans(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -73,14 +78,32 @@ def word_spans(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def word_hashes(text: bytes, lower: bool = False) -> np.ndarray:
+def word_hashes(text: bytes, lower: bool = False, base: int = BASE) -> np.ndarray:
     """A 64-bit hash of every word, in order; ``lower`` folds A-Z first."""
     if not text:
         return np.zeros(0, _U)
     starts, ends = word_spans(text)
     data = np.frombuffer(text, np.uint8)
-    sums = prefix_sums((LOWER[data] if lower else data).astype(_U) + _U(1))
-    return spans_hash(sums, starts, ends)
+    sums = prefix_sums((LOWER[data] if lower else data).astype(_U) + _U(1), base)
+    return spans_hash(sums, starts, ends, base)
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys in order, each once; where each came first; which of them every key is; how often each came.
+
+    A row of two values is one key of 128 bits.
+    """
+    if keys.ndim == 1:
+        return np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+    order = np.argsort(keys[:, 0], kind="stable")
+    s = keys[order]
+    if ((s[1:, 0] == s[:-1, 0]) & (s[1:, 1] != s[:-1, 1])).any():
+        order = np.lexsort((keys[:, 1], keys[:, 0]))
+        s = keys[order]
+    new = np.append(True, (s[1:] != s[:-1]).any(axis=1))[: len(s)]
+    inverse = np.empty(len(s), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return s[new], order[new], inverse, np.diff(np.append(np.flatnonzero(new), len(s)))
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:

@@ -50,3 +50,38 @@ def test_one_document_of_every_group_stays(spark):
     group = Counter((t or "").split("0")[0] for _, t in kept)
     assert group == {"a": 1, "b": 1, "c": 1, "d": 1, "too short": 1, "": 1, "short": 1}
     assert {i for i, t in kept if t and t[0] in "abd"} == {1, 3} and len(kept) == 7
+
+
+def test_windows_that_share_one_hash_stay_apart():
+    """Keys are two hashes: of windows whose first ones meet, only those whose second ones do are the same."""
+    import numpy as np
+    import pyarrow as pa
+
+    from lattica.llm import chunks
+
+    keys = np.array([[7, 1], [3, 9], [7, 2], [7, 1], [3, 9]], np.uint64)
+    q = chunks.Question(keys, 4)
+    assert len(q.keys) == 3 and (q.keys[q.place] == keys).all()
+    assert sorted(zip(q.keys.tolist(), q.counts.tolist())) == [([3, 9], 2), ([7, 1], 2), ([7, 2], 1)]
+    assert (q.first[q.place] == [0, 1, 2, 0, 1]).all()
+
+    def verdict(rows):
+        found = [r for b in window_log._verdict(True)(iter([pa.RecordBatch.from_pylist(rows)])) for r in b.to_pylist()]
+        return {r["chunk"]: list(r["answer"]) for r in found}
+
+    row = lambda chunk, *k: {"bucket": 0, "chunk": chunk, "keys": np.array(k, np.uint64).tobytes(), "many": bytes([1] * len(k))}
+    assert verdict([row(1, (7, 1), (8, 1)), row(2, (7, 2), (8, 1))]) == {1: [0, 1], 2: [0, 1]}
+    assert verdict([row(None, (7, 2), (9, 9)), row(1, (7, 1), (7, 2))]) == {1: [0, 1]}
+
+
+def test_both_hashes_of_a_window_follow_its_words():
+    import numpy as np
+
+    from lattica.llm.sequences import word_hashes
+
+    a, b = b"x y  the same five words here z", b"the\tsame five words here\nand more"
+    ka, kb = (window_log.window_keys(t, word_hashes(t), 5) for t in (a, b))
+    same = {tuple(k) for k in ka.tolist()} & {tuple(k) for k in kb.tolist()}
+    assert same == {tuple(ka[2].tolist())} == {tuple(kb[0].tolist())}
+    assert len(np.unique(np.concatenate([ka, kb])[:, 0])) == len(np.unique(np.concatenate([ka, kb])[:, 1])) == len(ka) + len(kb) - 1
+    assert window_log.window_keys(b"", word_hashes(b""), 5).shape == (0, 2)
