@@ -1,10 +1,12 @@
 """Whole jobs against brute force on small tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from lattica.catalog_more import QUERIES
+from lattica.graph import Graph
 from lattica.operators import ranges
-from lattica.sources.derived import supply_graph
+from lattica.sources.derived import EDGES_SQL, NODES_SQL, supply_graph
 
 LINES = [(o, (o * 5 + k * 3) % 9 + 1, (o + k) % 2 + 1, k, 1.0, "R" if (o + k) % 3 == 0 else "N") for o in range(1, 60) for k in (1, 2, 3)]
 
@@ -45,6 +47,17 @@ def test_every_line_item_gives_its_edges(spark, small):
     assert sorted(r.qualified_name for r in g.nodes.filter("kind = 'Test'").collect()) == sorted({test(o) for o, *_, flag in LINES if flag == "R"})
 
 
+def test_graph_equals_its_sql_and_moves_no_names(spark, small):
+    g = supply_graph(spark, small)
+    tables = {n: spark.read.parquet(f"{small}/{n}.parquet") for n in ("part", "lineitem", "nation", "region", "supplier")}
+    for sql, rows in ((EDGES_SQL, g.edges), (NODES_SQL, g.nodes)):
+        want = spark.sql(sql, **{n: t for n, t in tables.items() if "{" + n + "}" in sql})
+        assert rows.schema == want.schema and rows.exceptAll(want).isEmpty() and want.exceptAll(rows).isEmpty()
+    plan = g.edges._jdf.queryExecution().optimizedPlan().toString()
+    grouped = [line.split("Aggregate [", 1)[1].split("], [")[0] for line in plan.splitlines() if "Aggregate [" in line]
+    assert grouped and not [line for line in grouped if "_qualified" in line or "::part_" in line]
+
+
 def test_line_budget_takes_every_part(spark, tmp_path):
     sizes = {k: k % 3 + 1 for k in range(30, 400)}
     spark.createDataFrame(list(sizes.items()), "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
