@@ -58,6 +58,18 @@ def test_graph_equals_its_sql_and_moves_no_names(spark, small):
     assert grouped and not [line for line in grouped if "_qualified" in line or "::part_" in line]
 
 
+def test_enclosing_function_by_blocks_of_lines(spark):
+    spans = [(a, a + (a * 13) % 9 * (a * 7) % 41 - 1) for a in range(-3, 90)]
+    nodes = spark.createDataFrame([("Function", "/f.py", f"q{i}", a, b) for i, (a, b) in enumerate(spans)] + [("Test", "/f.py", "all", -3, 200), ("Function", "/f.py", "none", None, 7)], "kind string, file_path string, qualified_name string, line_start int, line_end int")
+    sites = spark.createDataFrame([("/f.py", x) for x in range(-6, 125)] * 2 + [("/g.py", 1)], "file_path string, line int")
+    want = {x: min([(b - a, f"q{i}") for i, (a, b) in enumerate(spans) if a <= x <= b] + [(203, "all")])[1] for x in range(-3, 125)}
+    assert {r.line: r.qualified_name for r in ranges.enclosing_function(Graph(nodes, None), sites).collect()} == want
+    cut = nodes.filter("line_start <= line_end").withColumn("at", ranges._blocks(F.col("line_start"), F.col("line_end"))).collect()
+    for r in cut:
+        lines = [x for at in r["at"] for x in range(at["block"] << at["level"], (at["block"] + 1) << at["level"])]
+        assert sorted(lines) == list(range(r.line_start, r.line_end + 1)) and len(r["at"]) <= 16
+
+
 def test_line_budget_takes_every_part(spark, tmp_path):
     sizes = {k: k % 3 + 1 for k in range(30, 400)}
     spark.createDataFrame(list(sizes.items()), "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
