@@ -169,3 +169,18 @@ def test_flows_of_many_entries_by_bits(spark, depth):
     assert got == plain_flows(edges, names[:140], depth)
     sizes = Counter(e for e, _ in got)
     assert {r.entry: r.node_count for r in flows.criticality(g, flows.reach(g, entries, depth)).collect()} == sizes
+
+
+def test_entries_of_one_part_share_words(spark):
+    edges = [("CALLS", f"/m.py::e{i}", f"/m.py::p{i % 4}a") for i in range(256)] + [("CALLS", f"/m.py::p{k}a", f"/m.py::p{k}b") for k in range(4)]
+    g = graph(spark, sorted({x for e in edges for x in e[1:]}), edges)
+    found = flows.reach(g, flows.entry_points(g))
+    assert found.entries.count() == 256 and found.flows().count() == 256 * 3
+    words = {r.qualified_name: r.n for r in found.rows.groupBy("qualified_name").agg(F.countDistinct("word").alias("n")).collect()}
+    assert max(words.values()) <= 2
+    whole, bare = flows.flow_tables(g), flows.flow_tables(g, positions=False)
+    assert flows.flow_counts(bare).exceptAll(flows.flow_counts(whole)).isEmpty() and bare.memberships.count() == 256 * 3
+    assert sorted(flows.get_flow(bare, "::e1", positions=False).collect()) == sorted(flows.get_flow(whole, "::e1").collect()) != []
+    files = spark.createDataFrame([("/m.py",)], "file_path string")
+    again = flows.incremental_flows(bare, files, positions=False)
+    assert again.flows.select("entry", "node_count").exceptAll(whole.flows.select("entry", "node_count")).isEmpty() and again.flows.count() == 256
