@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattica.graph import Graph
-from lattica.plans import centrality, communities, flows
+from lattica.plans import centrality, communities, flows, impact
 
 NODE = "kind string, name string, qualified_name string, file_path string, line_start int, line_end int, language string, parent_name string, is_test boolean, extra string"
 EDGE = "kind string, source_qualified string, target_qualified string, file_path string, line int, extra string, confidence double"
@@ -184,3 +184,25 @@ def test_entries_of_one_part_share_words(spark):
     files = spark.createDataFrame([("/m.py",)], "file_path string")
     again = flows.incremental_flows(bare, files, positions=False)
     assert again.flows.select("entry", "node_count").exceptAll(whole.flows.select("entry", "node_count")).isEmpty() and again.flows.count() == 256
+
+
+
+@pytest.mark.parametrize("hops", [0, 1, 2, 3])
+def test_multi_hop_meets_in_the_middle(spark, monkeypatch, hops):
+    rng = random.Random(hops)
+    names = [f"v{i}" for i in range(14)]
+    pairs = [(rng.choice(names), rng.choice(names)) for _ in range(16)] + [("hub", f"leaf{i}") for i in range(60)] + [("s", "hub")]
+    near = defaultdict(set)
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+    dist = lambda a, b: next((k for k in range(hops + 1) if b in within(a, k)), None)
+    within = lambda a, k: {a} if k == 0 else (w := within(a, k - 1)) | {y for x in w for y in near[x]}
+    tasks = [(f"t{a}", a, b) for a in names for b in rng.sample(names, 3)] + [("ts", "s", "leaf0"), ("ts", "s", "gone")]
+    written, real = [], impact.keep
+    monkeypatch.setattr(impact, "keep", lambda df, name: written.append(real(df, name)) or written[-1])
+    g = graph(spark, names, [("CALLS", a, b) for a, b in pairs])
+    got = {(r.task, r.expected): r.hop for r in impact.multi_hop(g, spark.createDataFrame(tasks, "task string, start string, expected string"), hops).collect()}
+    assert got == {(t, b): dist(a, b) for t, a, b in tasks}
+    if hops == 2:
+        assert sum(df.filter("node like 'leaf%'").count() for df in written if "node" in df.columns) == 1
