@@ -206,3 +206,13 @@ def test_multi_hop_meets_in_the_middle(spark, monkeypatch, hops):
     assert got == {(t, b): dist(a, b) for t, a, b in tasks}
     if hops == 2:
         assert sum(df.filter("node like 'leaf%'").count() for df in written if "node" in df.columns) == 1
+
+
+
+def test_betweenness_walks_numbers(spark, monkeypatch):
+    stored, real = {}, centrality.keep
+    monkeypatch.setattr(centrality, "keep", lambda df, name: stored.setdefault(name, df) and real(df, name))
+    steps = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y")], "src string, dst string")
+    got = centrality.betweenness(steps, spark.createDataFrame([("a",)], "node string")).collect()
+    assert [tuple(r) for r in got] == [("b", 1.0)]
+    assert dict(stored["level"].dtypes)["v"] == dict(stored["shares"].dtypes)["v"] == "bigint"
