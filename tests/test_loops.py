@@ -171,6 +171,21 @@ def test_flows_of_many_entries_by_bits(spark, depth):
     assert {r.entry: r.node_count for r in flows.criticality(g, flows.reach(g, entries, depth)).collect()} == sizes
 
 
+def test_positions_walk_numbers_and_useful_calls(spark, monkeypatch):
+    stored, real = {}, flows.keep
+    names = [f"/m.py::{x}" for x in "abcde"]
+    e = dict(zip("abcde", names, strict=True))
+    calls = [("a", "c"), ("a", "b"), ("b", "e"), ("c", "d"), ("d", "a"), ("e", "b"), ("e", "d")]
+    g = graph(spark, names, [("CALLS", e[x], e[y]) for x, y in calls])
+    reached = flows.reach(g, spark.createDataFrame([(e["a"],)], "qualified_name string"))
+    monkeypatch.setattr(flows, "keep", lambda df, name: stored.setdefault(name, df) and real(df, name))
+    got = {r.qualified_name[-1]: r.position for r in flows.placed(g, reached).collect()}
+    assert got == {"a": 0, "b": 1, "c": 2, "e": 3, "d": 4}
+    assert stored["links"].count() == 4 and dict(stored["placed"].dtypes)["s"] == "bigint"  # calls back and within a hop are gone
+    whole = flows.flow_tables(g, spark.createDataFrame([(e["a"],)], "qualified_name string"))
+    assert [tuple(r) for r in flows.flow_snapshots(whole).collect()] == [(e["a"], [e[x] for x in "abced"])]
+
+
 def test_entries_of_one_part_share_words(spark):
     edges = [("CALLS", f"/m.py::e{i}", f"/m.py::p{i % 4}a") for i in range(256)] + [("CALLS", f"/m.py::p{k}a", f"/m.py::p{k}b") for k in range(4)]
     g = graph(spark, sorted({x for e in edges for x in e[1:]}), edges)
