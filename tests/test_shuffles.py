@@ -35,3 +35,11 @@ def test_queries_on_nodes_make_no_edges(spark, sf_dir, tmp_path):
     root = derived._STORED[spark.sparkContext.applicationId, at].removeprefix("file://")
     assert os.path.exists(f"{root}/nodes") and not os.path.exists(f"{root}/edges")
     assert QUERIES["scan_edges"](spark, at).count() > 0 and os.path.exists(f"{root}/edges")
+
+
+def test_postings_carry_their_length(spark):
+    g = graph(spark, ["/a.py::get_users", "/a.py::x"], [])
+    rows = text_index.postings(g.nodes)
+    assert "Join" not in plan(rows) and "Exchange" not in plan(rows)
+    assert {(r.qualified_name, r.len) for r in rows.collect()} == {("/a.py::get_users", 8), ("/a.py::x", 6)}
+    assert [tuple(r) for r in text_index._lengths(g.nodes).collect()] == [("/a.py", 2, 14)]
