@@ -43,3 +43,11 @@ def test_postings_carry_their_length(spark):
     assert "Join" not in plan(rows) and "Exchange" not in plan(rows)
     assert {(r.qualified_name, r.len) for r in rows.collect()} == {("/a.py::get_users", 8), ("/a.py::x", 6)}
     assert [tuple(r) for r in text_index._lengths(g.nodes).collect()] == [("/a.py", 2, 14)]
+
+
+def test_names_of_communities_count_before_they_meet(spark):
+    names = [f"/a/x.py::do_{w}" for w in ("beta", "alpha")] + ["/a/x.py::test_one", "/b/y.py::test_two"]
+    found = spark.createDataFrame([(q, q[1]) for q in names], "qualified_name string, community string")
+    out = communities.community_names(graph(spark, names, [], tests=names[2:]), found)
+    assert plan(out).count("Window ") <= 1  # numbers of equal names
+    assert {(r.community, r.name, r["size"]) for r in out.collect()} == {("a", "a-alpha", 2), ("b", "b-two", 1)}
