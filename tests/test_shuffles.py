@@ -51,3 +51,15 @@ def test_names_of_communities_count_before_they_meet(spark):
     out = communities.community_names(graph(spark, names, [], tests=names[2:]), found)
     assert plan(out).count("Window ") <= 1  # numbers of equal names
     assert {(r.community, r.name, r["size"]) for r in out.collect()} == {("a", "a-alpha", 2), ("b", "b-two", 1)}
+
+
+def test_rounds_of_impact_shuffle_no_steps_to_few_names(spark, monkeypatch):
+    g = graph(spark, [f"/a::{i}" for i in range(9)], [("CALLS", f"/a::{i}", f"/a::{i + 1}") for i in range(8)] * 2 + [("TESTED_BY", "/a::8", "/a::7")])
+    plans = []
+    kept = impact.keep
+    monkeypatch.setattr(impact, "keep", lambda df, name: plans.append((name, plan(df))) or kept(df, name))
+    got = {r.qualified_name: r.score for r in impact.impact_scores(g, spark.createDataFrame([("/a::8",)], "qualified_name string"), 3, 0.0).collect()}
+    fronts = [p for name, p in plans if name == "front"]
+    assert len(fronts) == 3 and not any("hashpartitioning(src" in p or "hashpartitioning(source_qualified" in p or "hashpartitioning(target_qualified" in p for p in fronts)
+    one = got["/a::7"]
+    assert set(got) >= {f"/a::{i}" for i in (8, 7, 6, 5)} and got["/a::8"] == 1.0 and got["/a::6"] < one < 1.0
