@@ -53,6 +53,14 @@ def test_names_of_communities_count_before_they_meet(spark):
     assert {(r.community, r.name, r["size"]) for r in out.collect()} == {("a", "a-alpha", 2), ("b", "b-two", 1)}
 
 
+def test_cohesion_joins_edges_once(spark):
+    names = ["/a::1", "/a::2", "/b::1"]
+    g = graph(spark, names, [("CALLS", "/a::1", "/a::2"), ("CALLS", "/a::1", "/b::1"), ("CALLS", "/b::1", "ext"), ("CALLS", "ext", "other")], of={q: ord(q[1]) for q in names})
+    out = aggregates.community_cohesion(g)
+    assert plan(out).count("Join") == 3
+    assert {(chr(r.community_id), r.internal, r.external) for r in out.collect()} == {("a", 1, 1), ("b", 0, 2)}
+
+
 def test_rounds_of_impact_shuffle_no_steps_to_few_names(spark, monkeypatch):
     g = graph(spark, [f"/a::{i}" for i in range(9)], [("CALLS", f"/a::{i}", f"/a::{i + 1}") for i in range(8)] * 2 + [("TESTED_BY", "/a::8", "/a::7")])
     plans = []
