@@ -71,3 +71,21 @@ def test_rounds_of_impact_shuffle_no_steps_to_few_names(spark, monkeypatch):
     assert len(fronts) == 3 and not any("hashpartitioning(src" in p or "hashpartitioning(source_qualified" in p or "hashpartitioning(target_qualified" in p for p in fronts)
     one = got["/a::7"]
     assert set(got) >= {f"/a::{i}" for i in (8, 7, 6, 5)} and got["/a::8"] == 1.0 and got["/a::6"] < one < 1.0
+
+
+def test_vault_shuffles_edges_twice(spark):
+    names = ["/a.py::f", "/a.py::g", "/b.py::f"]
+    g = graph(spark, names, [("CALLS", names[0], names[1]), ("REFERENCES", names[1], names[0]), ("CALLS", names[2], names[0]), ("CALLS", names[1], names[1]), ("CALLS", names[2], "ext")], of={q: 1 for q in names})
+    noted = store._noted(g)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        links = store.obsidian_links(g, noted)
+        assert plan(links).count("Exchange hash") == 4  # twice what comes of edges, twice the pages
+        page = {r.qualified_name: r.page for r in noted.collect()}
+        want = {(names[0], names[1], "CALLS"), (names[1], names[0], "CALLS"), (names[2], names[0], "CALLS"), (names[0], names[2], "CALLS"), (names[1], names[1], "CALLS")}
+        got = [(r.page, r.item, r.line) for r in links.collect()]
+        assert sorted((p, i) for p, i, _ in got if i) == sorted((page[a], page[b]) for a, b, _ in want)
+        assert sorted(p for p, i, line in got if line == "## Connections" and i == "") == sorted(page.values())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Join" not in plan(store.obsidian_index(g, noted)).replace("BroadcastNestedLoopJoin", "")
