@@ -89,3 +89,17 @@ def test_vault_shuffles_edges_twice(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "Join" not in plan(store.obsidian_index(g, noted)).replace("BroadcastNestedLoopJoin", "")
+
+
+def test_changed_buckets_are_found_without_comparing_rows(spark, tmp_path, monkeypatch):
+    kept = GraphStore(spark, f"file://{tmp_path}/s", 8)
+    row = "file_path string, source_qualified string, target_qualified string"
+    old = spark.createDataFrame([("/a", "x", None), ("/b", "x", "y"), ("/c", "x", "y"), ("/c", "x", "y")], row)
+    kept.write(Graph(spark.createDataFrame([], NODE), old))
+    at = kept.state()
+    monkeypatch.setattr(DataFrame, "exceptAll", None)
+    none = spark.createDataFrame([], "file_path string")
+    moved = lambda rows: {b for b in maintenance._moved(kept, at, "edges", old, spark.createDataFrame(rows, row), none)[0]}
+    home = {r.file_path: r.b for r in old.select("file_path", kept.bucket("edges", at).alias("b")).collect()}
+    assert moved([tuple(r) for r in old.collect()]) == set()
+    assert moved([("/a", None, "x"), ("/b", "x", "y"), ("/c", "x", "y")]) == {home["/a"], home["/c"]}
