@@ -231,3 +231,15 @@ def test_betweenness_walks_numbers(spark, monkeypatch):
     got = centrality.betweenness(steps, spark.createDataFrame([("a",)], "node string")).collect()
     assert [tuple(r) for r in got] == [("b", 1.0)]
     assert dict(stored["level"].dtypes)["v"] == dict(stored["shares"].dtypes)["v"] == "bigint"
+
+
+def test_leiden_rounds_carry_numbers(spark, monkeypatch):
+    names = [f"/m{i % 3}.py::f{i}" for i in range(24)]
+    pairs = [(names[i], names[j]) for i in range(24) for j in range(i) if i // 6 == j // 6 or (i - j == 6 and i % 6 == 0)]
+    seen = []
+    evaluated = communities._evaluated
+    monkeypatch.setattr(communities, "_evaluated", lambda e, state, pull: seen.append((e.dtypes, state.dtypes)) or evaluated(e, state, pull))
+    e = communities.affinity_edges(graph(spark, names, [("CALLS", *p) for p in pairs]))
+    of = {r.a: r.c for r in communities.leiden(e).collect()}
+    assert seen and not any("string" in t for e_, s in seen for _, t in (*e_, *s))
+    assert of == {q: min(names[i // 6 * 6 : i // 6 * 6 + 6]) for i, q in enumerate(names)}
