@@ -3,11 +3,12 @@
 import os
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lattica import catalog_more  # noqa: F401
 from lattica.catalog import QUERIES
 from lattica.graph import Graph
-from lattica.operators import aggregates
+from lattica.operators import aggregates, patterns
 from lattica.plans import communities, impact, maintenance, store, text_index
 from lattica.plans.ledger import GraphStore
 from lattica.sources import derived
@@ -103,3 +104,27 @@ def test_changed_buckets_are_found_without_comparing_rows(spark, tmp_path, monke
     home = {r.file_path: r.b for r in old.select("file_path", kept.bucket("edges", at).alias("b")).collect()}
     assert moved([tuple(r) for r in old.collect()]) == set()
     assert moved([("/a", None, "x"), ("/b", "x", "y"), ("/c", "x", "y")]) == {home["/a"], home["/c"]}
+
+
+def test_tests_travel_as_lists(spark, monkeypatch):
+    names = ["/a.py", "/a.py::f", "/a.py::g", "/a.py::h", "run"] + [f"/t.py::t{i}" for i in range(6)] + ["/t.py::C::deep", "plain"]
+    tested = [("/a.py::g", f"/t.py::t{i}") for i in range(5)] + [("/a.py::h", "/t.py::t4"), ("/a.py::h", "/t.py::C::deep"), ("/a.py::f", "/t.py::t0"), ("/a.py::f", "plain"), ("/a.py::f", "/gone.py::t"), ("run", "/t.py::t5")]
+    edges = [("TESTED_BY", s, t) for s, t in tested * 2] + [("CALLS", "/a.py::f", "/a.py::g"), ("CALLS", "/a.py::f", "/a.py::h"), ("CALLS", "/a.py::g", "/a.py::h"), ("CALLS", "/a.py::f", "run")]
+    g = graph(spark, names, edges, tests=names[5:])
+    g = g.with_(nodes=g.nodes.withColumn("kind", F.when(F.col("qualified_name") == "/a.py", "File").otherwise(F.col("kind"))))
+    starts = spark.createDataFrame([("/a.py",), ("/a.py::f",), ("/a.py::g",)], "qualified_name string")
+    t = [f"/t.py::t{i}" for i in range(5)] + ["/t.py::C::deep", "plain"]
+    f = {("/a.py::f", q, q not in (t[0], "plain")) for q in t}
+    want = f | {("/a.py", q, False) for q in t} | {("/a.py::g", q, q == t[5]) for q in t[:6]}
+    for most in (patterns.LISTED, 64):
+        monkeypatch.setattr(patterns, "LISTED", most)
+        for depth, frontier in ((1, 50), (1, None)):
+            rows = patterns.transitive_tests(g, starts, depth, frontier)
+            assert not any("Exchange hash" in line and "test#" in line and "qualified_name#" in line for line in plan(rows).splitlines())
+            assert sorted(map(tuple, rows.collect())) == sorted(want)
+    monkeypatch.setattr(patterns, "LISTED", 64)
+    many = graph(spark, names[:4] + [f"/t.py::n{i}" for i in range(200)], [("TESTED_BY", "/a.py::g", f"/t.py::n{i}") for i in range(200)] + edges, tests=names[5:])
+    got = sorted(map(tuple, patterns.transitive_tests(many, starts.filter("qualified_name like '%f'")).collect()))
+    assert got == [("/a.py::f", q, True) for q in sorted(f"/t.py::n{i}" for i in range(200))]
+    one = patterns.transitive_tests(g, starts.filter("qualified_name like '%f'"), frontier=1)
+    assert sorted(map(tuple, one.collect())) == sorted(("/a.py::f", q, q in t[1:5]) for q in t[:5] + ["plain"])
