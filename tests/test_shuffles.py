@@ -9,8 +9,9 @@ from lattica import catalog_more  # noqa: F401
 from lattica.catalog import QUERIES
 from lattica.graph import Graph
 from lattica.operators import aggregates, patterns
-from lattica.plans import communities, impact, maintenance, store, text_index
+from lattica.plans import communities, impact, maintenance, review, store, text_index
 from lattica.plans.ledger import GraphStore
+from lattica.plans.materialise import keep
 from lattica.sources import derived
 
 NODE = "kind string, name string, qualified_name string, file_path string, line_start int, line_end int, language string, parent_name string, is_test boolean, extra string"
@@ -128,3 +129,37 @@ def test_tests_travel_as_lists(spark, monkeypatch):
     assert got == [("/a.py::f", q, True) for q in sorted(f"/t.py::n{i}" for i in range(200))]
     one = patterns.transitive_tests(g, starts.filter("qualified_name like '%f'"), frontier=1)
     assert sorted(map(tuple, one.collect())) == sorted(("/a.py::f", q, q in t[1:5]) for q in t[:5] + ["plain"])
+
+
+def shuffled(spark, run):
+    """What a run returns, and the rows that its stages wrote to shuffles."""
+    sc = spark.sparkContext._jsc.sc()
+    empty = spark.sparkContext._jvm.java.util.ArrayList()
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty()
+        found = sc.statusStore().stageList(empty, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), empty)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (found.apply(i) for i in range(found.size()))}
+
+    old = stages()
+    got = run()
+    return got, sum(n for k, n in stages().items() if k not in old)
+
+
+def test_dead_code_and_moves_shuffle_calls_once(spark):
+    names = ["/a/x.py::dead", "/b/y.py::moved", "/b/y.py::stays"] + [f"/a/x.py::f{i}" for i in range(40)]
+    calls = [("CALLS", f"/a/x.py::f{i}", f"/a/x.py::f{j}") for i in range(40) for j in range(40)]
+    more = [("CALLS", f"/a/x.py::f{i}", "/b/y.py::moved") for i in range(3)] + [("CALLS", "/a/x.py::f1", "/b/y.py::stays"), ("CALLS", "/b/y.py::moved", "/b/y.py::stays"), ("CALLS", "ext", "/b/y.py::stays")]
+    g = graph(spark, names, calls + more + more[:1], of={q: 1 + (q[1] == "b") for q in names})
+    g = g.with_(edges=keep(g.edges, "calls"), nodes=keep(g.nodes, "names"))
+    want = [("move", "/b/y.py::moved", 1), ("remove", "/a/x.py::dead", None)]
+    got, rows = shuffled(spark, lambda: review.suggest_refactor(g).collect())
+    assert sorted(map(tuple, got)) == want
+    assert rows < 1000  # of 1,607 calls
+    assert [tuple(r) for r in review.suggest_moves(g).collect()] == [("/b/y.py::moved", 2, 1, 3)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got, rows = shuffled(spark, lambda: review.suggest_refactor(g).collect())
+        assert sorted(map(tuple, got)) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
