@@ -123,6 +123,9 @@ def test_tests_travel_as_lists(spark, monkeypatch):
             rows = patterns.transitive_tests(g, starts, depth, frontier)
             assert not any("Exchange hash" in line and "test#" in line and "qualified_name#" in line for line in plan(rows).splitlines())
             assert sorted(map(tuple, rows.collect())) == sorted(want)
+    odd = [f"/o.py::{x}" for x in ("a\x00b", "a\x01\x03b", "a\x01b", "\x00", "")] + ["\x01"]
+    strange = graph(spark, names[:2] + odd, [("TESTED_BY", "/a.py::f", q) for q in odd])
+    assert sorted(map(tuple, patterns.transitive_tests(strange, starts).collect())) == sorted((s, q, False) for q in odd for s in ["/a.py::f"])
     monkeypatch.setattr(patterns, "LISTED", 64)
     many = graph(spark, names[:4] + [f"/t.py::n{i}" for i in range(200)], [("TESTED_BY", "/a.py::g", f"/t.py::n{i}") for i in range(200)] + edges, tests=names[5:])
     got = sorted(map(tuple, patterns.transitive_tests(many, starts.filter("qualified_name like '%f'")).collect()))
