@@ -243,3 +243,29 @@ def test_leiden_rounds_carry_numbers(spark, monkeypatch):
     of = {r.a: r.c for r in communities.leiden(e).collect()}
     assert seen and not any("string" in t for e_, s in seen for _, t in (*e_, *s))
     assert of == {q: min(names[i // 6 * 6 : i // 6 * 6 + 6]) for i, q in enumerate(names)}
+
+
+def test_callers_of_a_block_hand_on_one_row_a_target():
+    import pandas as pd
+
+    words = [f"w{k}" for k in range(flows.LOT)]
+    front = pd.DataFrame([(1, 0, 1 << k, *[0] * (flows.LOT - 1)) for k in range(1)] + [(i, 0, 1 << i, *[0] * (flows.LOT - 1)) for i in range(2, 40)], columns=["id", "lot", *words])
+    calls = pd.DataFrame([(s, d, 0) for s in range(1, 60) for d in (7, 100, 100 + s)], columns=["s", "d", "block"])
+    packed = flows._packed(calls)
+    assert len(packed) == 1 and sorted(map(tuple, next(flows._unpacked(iter([packed]))).to_numpy())) == sorted(zip(calls["s"], calls["d"], strict=True))
+    got = flows._handed_on(front, packed)
+    every = sum(1 << i for i in range(2, 40)) | 1
+    assert len(got) == 2 + 39 and {r.id: r.w0 for r in got.itertuples() if r.id <= 100} == {7: every, 100: every}
+    assert flows._handed_on(front[:0], packed).empty and flows._handed_on(front, packed[:0]).empty
+
+
+def test_flow_queries_spell_out_only_what_they_ask(spark):
+    edges = [("CALLS", f"/m{i % 3}.py::e{i}", f"/p{i % 4}.py::p{i % 4}") for i in range(70)] + [("CALLS", f"/p{k}.py::p{k}", f"/p{k}.py::q{k}") for k in range(4)]
+    g = graph(spark, sorted({x for e in edges for x in e[1:]}), edges)
+    bare = flows.flow_tables(g, positions=False)
+    assert dict(bare.memberships.reached.lots.dtypes)["id"] == "bigint" and "word" not in bare.memberships.reached.lots.columns
+    plain = bare.with_(memberships=bare.memberships.select("flow_id", "entry", "qualified_name"))
+    one = spark.createDataFrame([("/p1.py::q1",)], "qualified_name string")
+    same = lambda a, b: a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty() and not a.isEmpty()
+    assert same(flows.flows_of(bare, one), flows.flows_of(plain, one))
+    assert same(flows.flow_counts(bare).select("qualified_name", "flows"), flows.flow_counts(plain).select("qualified_name", "flows"))
