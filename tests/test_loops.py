@@ -269,3 +269,22 @@ def test_flow_queries_spell_out_only_what_they_ask(spark):
     same = lambda a, b: a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty() and not a.isEmpty()
     assert same(flows.flows_of(bare, one), flows.flows_of(plain, one))
     assert same(flows.flow_counts(bare).select("qualified_name", "flows"), flows.flow_counts(plain).select("qualified_name", "flows"))
+
+
+def test_registered_bridges_take_every_source_in_rounds(spark, monkeypatch):
+    from lattica.catalog import QUERIES
+
+    rng = random.Random(3)
+    names = [f"/m{i % 4}.py::f{i}" for i in range(130)]
+    edges = [("CALLS", rng.choice(names), rng.choice(names)) for _ in range(150)]
+    g = graph(spark, names, edges)
+    ends = sorted({x for _, a, b in edges for x in (a, b)})
+    assert len(ends) > 100
+    monkeypatch.setattr("lattica.catalog.graph", lambda spark, sf_dir: g)
+    monkeypatch.setattr(centrality, "ROUND_ROWS", len(ends) * 40)
+    rounds, real = [], centrality._shares
+    monkeypatch.setattr(centrality, "_shares", lambda steps, starts: rounds.append(starts.count()) or real(steps, starts))
+    want = sorted(((-round(v, 12), k) for k, v in plain_betweenness([e[1:] for e in edges], ends, ends).items()))[:10]
+    got = QUERIES["bridge_nodes"](spark, "").collect()
+    assert [r.qualified_name for r in got] == [k for _, k in want] and [r.betweenness for r in got] == pytest.approx([-v for v, _ in want], abs=1e-11)
+    assert len(rounds) > 1 and sum(rounds) == len({a for _, a, b in edges if a != b})
