@@ -166,3 +166,36 @@ def test_dead_code_and_moves_shuffle_calls_once(spark):
         assert sorted(map(tuple, got)) == want
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_risk_follows_callees_only_where_own_tests_are_few(spark, monkeypatch):
+    from lattica.operators import patterns
+    from lattica.plans import review
+    from tests.test_loops import graph
+
+    tests = [f"/tests/t.py::test_{i}" for i in range(8)]
+    edges = [("TESTED_BY", "/a.py::many", t) for t in tests[:6]] + [("TESTED_BY", "/a.py::many", tests[0])] * 3
+    edges += [("TESTED_BY", "/a.py::few", t) for t in tests[:4]] + [("TESTED_BY", "/a.py::few", tests[0])] * 4 + [("TESTED_BY", "/a.py::gone", f"/x.py::t{i}") for i in range(7)]
+    edges += [("CALLS", "/a.py::many", "/a.py::few"), ("CALLS", "/a.py::lone", "/a.py::few"), ("CALLS", "/b.py::far", "/a.py::lone"), ("CALLS", "/b.py::far", "/a.py::lone"), ("CALLS", "/a.py::few", "/a.py::lone")]
+    names = ["/a.py::many", "/a.py::few", "/a.py::lone", "/a.py::gone", "/b.py::far"]
+    g = graph(spark, [*names, *tests], edges, tests)
+    g = g.with_(communities=spark.createDataFrame([(q, ord(q[1])) for q in names], "qualified_name string, community_id long"))
+    asked, real = [], patterns.transitive_tests
+    monkeypatch.setattr(patterns, "transitive_tests", lambda g, starts: asked.extend(r.qualified_name for r in starts.collect()) or real(g, starts))
+    got = {r.qualified_name: r.risk_score for r in review.risk_score(g, g.nodes.filter("not is_test")).collect()}
+    counted = {"/a.py::many": 5, "/a.py::few": 4, "/a.py::lone": 4, "/a.py::gone": 0, "/b.py::far": 0}
+    calls, cross = {"/a.py::lone": 3, "/a.py::few": 2}, {"/a.py::lone": 1}
+    want = {q: 0.30 - min(counted[q] / 5, 1) * 0.25 + min(cross.get(q, 0) * 0.05, 0.15) + min(calls.get(q, 0) / 20, 0.1) for q in names}
+    assert {q: round(v, 9) for q, v in got.items()} == {q: round(v, 9) for q, v in want.items()}
+    assert sorted(asked) == sorted(set(names) - {"/a.py::many"})
+
+
+def test_reach_meets_a_small_front_without_a_shuffle_of_steps(spark, monkeypatch):
+    from lattica.plans import impact
+
+    plans, kept = [], impact.keep
+    monkeypatch.setattr(impact, "keep", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df, name))
+    steps = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c"), ("c", "a"), ("b", "d"), ("x", "a")], "src string, dst string")
+    found = impact.reach(steps, spark.createDataFrame([("a",), ("a",)], "node string"), 2)
+    assert sorted(map(tuple, found.collect())) == [("a", 0), ("b", 1), ("c", 2), ("d", 2)]
+    assert len(plans) == 3 and all("SortMergeJoin" not in p for p in plans)
